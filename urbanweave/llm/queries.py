@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from urbanweave.llm.ngram_jaccard import jaccard_components
+from urbanweave.llm.substring_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +17,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard,)}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a 13-word window that an earlier document holds are removed."""
+    return remove_repeats(table(spark, sf_dir, "documents"), window=13, keep_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op6_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
