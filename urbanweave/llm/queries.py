@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from urbanweave.llm.language_id import identify, train
+from urbanweave.llm.mixing import mix
 from urbanweave.llm.ngram_jaccard import jaccard_components
+from urbanweave.llm.packing import pack
+from urbanweave.llm.spark import held_out
 from urbanweave.llm.substring_dedup import remove_repeats
 
 
@@ -17,10 +23,50 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised, in sequences of at most 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), window=2048, end=1)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by a 13-word window that an earlier document holds are removed."""
     return remove_repeats(table(spark, sf_dir, "documents"), window=13, keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op6_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the four fifths that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(~held_out(F.col("doc_id"))), vocabulary=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), sample_docs=400)
+    return identify(docs, model)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a 5:2:1 mix of the sources takes of every document."""
+    return mix(table(spark, sf_dir, "documents"), weights=[5.0, 2.0, 1.0], share=1.5, most=2.0, seed=17)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op5_packing, op6_substring_dedup, op8_language_id, op9_mixing)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('17:' || doc_id), 1, 15) AS BIGINT) AS key
+  FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+ranked AS (
+  SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1]::DOUBLE AS weight,
+         source_size * 2.0::DOUBLE AS stop FROM totals),
+filled AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(stop) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+  FROM ranked WINDOW f AS (ORDER BY stop / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+chosen AS (SELECT level FROM filled WHERE level * weight < stop ORDER BY stop / weight, source IS NULL, source LIMIT 1),
+targets AS (SELECT source, source_size, CAST(coalesce(least(stop, (SELECT level FROM chosen) * weight), stop) AS DOUBLE) AS target FROM ranked),
+placed AS (
+  SELECT d.*, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS budget,
+         CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END AS BIGINT) AS taken
+FROM placed""",
+}
