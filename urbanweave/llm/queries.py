@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanweave.llm.ann import nearest
+from urbanweave.llm import quality_crf
 from urbanweave.llm.language_id import identify, train
 from urbanweave.llm.mixing import mix
 from urbanweave.llm.ngram_jaccard import jaccard_components
 from urbanweave.llm.packing import pack
 from urbanweave.llm.spark import held_out
 from urbanweave.llm.substring_dedup import remove_repeats
+from urbanweave.llm.topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,18 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest embeddings of every hundredth, found by anisotropic four-bit codes and ranked exactly."""
+    return nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of the four fifths that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    return quality_crf.quality(docs, quality_crf.train(docs, labels, sample_docs=3000), threshold=0.3)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenised, in sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), window=2048, end=1)
@@ -45,9 +60,23 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=[5.0, 2.0, 1.0], share=1.5, most=2.0, seed=17)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op5_packing, op6_substring_dedup, op8_language_id, op9_mixing)}
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty highest integer inner products of every twentieth embedding, exactly."""
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_ann, op4_quality, op5_packing, op6_substring_dedup, op8_language_id, op9_mixing, op10_exact_topk)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_exact_topk": """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20""",
     "op9_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
