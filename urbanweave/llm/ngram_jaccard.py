@@ -27,6 +27,9 @@ from urbanweave.llm.arrays import mix, signed, slices, words
 from urbanweave.llm.spark import checked_broadcast, checkpoint, components
 
 _U = np.uint64
+#: 64-bit words of a set's parity sketch. Bits in which two sketches differ never outnumber the tokens in which their sets differ.
+SKETCH = 8
+_BITS = [f"s{i}" for i in range(SKETCH)]
 #: Cost of a chance meeting relative to one emitted key, and the chance that another set agrees on one token.
 COLLISION_COST, TOKEN_AGREES = 50.0, 0.1
 
@@ -85,12 +88,23 @@ def _identities(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
+def _sketches(value: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Per set, the parity of the number of tokens hashed to each of 64 x SKETCH bits."""
+    n = len(offsets) - 1
+    bit = mix(value ^ _U(0x2545F4914F6CDD1D)) % _U(64 * SKETCH)
+    place = np.repeat(np.arange(n), np.diff(offsets)) * (64 * SKETCH) + bit.astype(np.int64)
+    odd = np.bincount(place, minlength=n * 64 * SKETCH).astype(np.uint8) & 1
+    packed = np.packbits(odd.reshape(n, SKETCH, 64), axis=2).view(np.int64).reshape(n, SKETCH)
+    return [packed[:, i] for i in range(SKETCH)]
+
+
 def _digests(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             value, offsets = shingle_sets(part.column(1), shingle)
             node, check = _identities(value, offsets)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(node), pa.array(check)], ["doc_id", "n", "node", "check"])
+            arrays = [part.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(node), pa.array(check), *map(pa.array, _sketches(value, offsets))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "node", "check", *_BITS])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -161,37 +175,50 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     the same doc_id are told apart by their text only. Extra columns are ignored.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    digests = checkpoint(docs.mapInArrow(partial(_digests, shingle=shingle), "doc_id long, n long, node long, check long"))
-    keys = docs.select("doc_id", "text").mapInArrow(partial(_signatures, shingle=shingle, num=num, den=den), "key long, node long, n int").repartition("key")
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    digests = checkpoint(docs.mapInArrow(partial(_digests, shingle=shingle), ", ".join(["doc_id long", "n long", "node long", "check long", *(f"{b} long" for b in _BITS)])))
+    keys = docs.mapInArrow(partial(_signatures, shingle=shingle, num=num, den=den), "key long, node long, n int").repartition("key")
+    # All three columns are used on both sides, so that one exchange serves the counts and the members.
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("most")).where("low < high and most > 0")
     members = checkpoint(keys.join(shared, "key").select("key", "node", "n").distinct())
+    sketches = digests.where("n > 0").groupBy("node").agg(*[F.first(b).alias(b) for b in _BITS], F.min("check").alias("x"), F.max("check").alias("y"))
+    # Should two sets share a node, no sketch speaks for both: theirs are nulled and filter nothing.
+    sketches = sketches.select("node", *[F.when(F.col("x") == F.col("y"), F.col(b)).alias(b) for b in _BITS])
+    members = checkpoint(members.join(sketches, "node"))
 
     wanted = members.select("node").distinct()
     reps = checkpoint(digests.where("n > 0").join(wanted, "node", "left_semi").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     sets = docs.join(checked_broadcast(reps), "doc_id", "left_semi").select("text").mapInArrow(partial(_sets, shingle=shingle), "node long, tokens binary")
     sets = checkpoint(sets.dropDuplicates(["node", "tokens"]))
+    x, y = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
 
-    links = None
-    labels = None
-    left, centres_per_key = members, 1
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"c_{b}"))) for b in _BITS), F.lit(0))
+    may_link = (F.col("component") != F.col("c_component")) & (F.least("n", "c_n") * den >= F.greatest("n", "c_n") * num)
+    may_link &= F.coalesce(apart * (den + num) <= (F.col("n") + F.col("c_n")) * (den - num), F.lit(True))
+    links = labels = None
+    left, centres_per_key, pilot = members, 1, True
     while True:
         state = left.withColumn("component", F.col("node")) if labels is None else left.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_keys = state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
         state = checkpoint(state.join(open_keys, "key", "left_semi"))
         if state.isEmpty():
             break
-        centres = checkpoint(state.withColumn("part", F.pmod(F.xxhash64("node", F.lit(centres_per_key)), F.lit(centres_per_key))).groupBy("key", "part").agg(F.min_by(F.struct("node", "component", "n"), "node").alias("c")).select("key", "c.*"))
-        c = centres.select("key", F.col("node").alias("c_node"), F.col("component").alias("c_component"), F.col("n").alias("c_n"))
-        pairs = state.join(c, "key").where((F.col("component") != F.col("c_component")) & (F.least("n", "c_n") * den >= F.greatest("n", "c_n") * num))
+        part = F.pmod(F.xxhash64("node", F.lit(centres_per_key)), F.lit(centres_per_key))
+        centres = state.withColumn("part", part).groupBy("key", "part").agg(F.min_by(F.struct("node", "component", "n", *_BITS), "node").alias("c"))
+        centres = checkpoint(centres.select("key", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "component", "n", *_BITS)]))
+        pairs = state.join(centres, "key").where(may_link)
+        if pilot:  # first one centre for each member: copies fall into components before most buckets are looked at
+            pairs = pairs.groupBy("node").agg(F.min("c_node").alias("c_node"))
         pairs = pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
-        x, y = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
         found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, num=num, den=den), "a long, b long")
         links = checkpoint(found if links is None else links.union(found))
         labels = components(links)
-        left = state.select("key", "node", "n").join(centres.select("key", "node"), ["key", "node"], "left_anti")
-        centres_per_key = min(centres_per_key * 4, 4096)
+        left = state.drop("component")
+        if not pilot:
+            left = left.join(centres.select("key", F.col("c_node").alias("node")), ["key", "node"], "left_anti")
+            centres_per_key = min(centres_per_key * 8, 4096)
+        pilot = False
 
-    out = digests.withColumn("class", F.when(F.col("n") > 0, F.col("node")))
+    out = digests.drop(*_BITS).withColumn("class", F.when(F.col("n") > 0, F.col("node")))
     if links is None:
         grown = digests.select(F.col("node").alias("class"), F.col("node").alias("root")).limit(0)
         degree = digests.select(F.col("node").alias("class"), F.lit(0).cast("long").alias("n_links")).limit(0)
