@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from urbanweave.llm.ann import nearest
 from urbanweave.llm import quality_crf
+from urbanweave.llm.html_template import extract
 from urbanweave.llm.language_id import identify, train
 from urbanweave.llm.mixing import mix
 from urbanweave.llm.ngram_jaccard import jaccard_components
@@ -15,6 +16,7 @@ from urbanweave.llm.packing import pack
 from urbanweave.llm.spark import held_out
 from urbanweave.llm.substring_dedup import remove_repeats
 from urbanweave.llm.topk import top_k
+from urbanweave.llm.warc_zip import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, found with the templates of the hosts."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest embeddings of every hundredth, found by anisotropic four-bit codes and ranked exactly."""
     return nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
@@ -48,6 +55,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=13, keep_text=False)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to ZIP-packaged WARC archives and read back by range."""
+    return round_trip(table(spark, sf_dir, "pages"), least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the four fifths that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -65,7 +77,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_ann, op4_quality, op5_packing, op6_substring_dedup, op8_language_id, op9_mixing, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extraction, op3_ann, op4_quality, op5_packing, op6_substring_dedup, op7_warc, op8_language_id, op9_mixing, op10_exact_topk)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_topk": """

@@ -121,6 +121,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Ite
             padded[w.end[kept & inner]] = 0x20
             first = np.concatenate([[0], np.cumsum(kept)])
             n_kept = first[w.first[1:]] - first[w.first[:-1]]
+            n = w.counts
             digest, texts = [], []
             for i, (a, b) in enumerate(zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True)):
                 out = b""
@@ -128,27 +129,31 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Ite
                     out = padded[a:b][cover[a:b]].tobytes().rstrip(b" ")
                 digest.append(hashlib.sha256(out).hexdigest())
                 if keep_text:
-                    texts.append(out.decode("utf-8", "replace"))
-            n = w.counts
+                    texts.append(w.data[a:b].tobytes().decode("utf-8") if n_kept[i] == n[i] else out.decode("utf-8"))
             arrays = [part.column(0), pa.array(n.astype(np.int64)), pa.array((n - n_kept).astype(np.int64)), pa.array(digest, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if keep_text:
                 arrays.append(pa.array(texts, pa.string()))
                 names.append("kept_text")
+            if part.num_columns > 3:
+                arrays.append(part.column(3))
+                names.append("row")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, carry: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Remove each word covered by a window whose words also start in a document of smaller doc_id.
 
     Windows are judged on the input. Returns doc_id, n_words, n_removed, kept_sha256 (of the
-    kept words joined by one space) and, on request, kept_text. Null, empty and short texts
-    lose nothing. Rows that share a doc_id are not repeats of each other, since a window has to
+    kept words joined by one space) and, on request, kept_text (the text itself where nothing
+    is removed) and, to carry them along, all input columns but the text as the struct row.
+    Null, empty and short texts lose nothing. Rows that share a doc_id are not repeats of each other, since a window has to
     start under a smaller doc_id. Null doc_ids are compared with nothing. Extra columns are ignored.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    others = [F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row")] if carry else []
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *others)
     dealt = docs.repartition("doc_id")  # one exchange of the texts; Spark reuses it for the three passes
-    named = dealt.where("doc_id is not null")
+    named = dealt.where("doc_id is not null").select("doc_id", "text")
 
     anchors = named.mapInArrow(partial(_emit_anchors, window=window), "h long, doc_id long").repartition("h")
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
@@ -159,6 +164,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, do
     first = windows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     gone = windows.join(first.select("h", "low"), "h").where("doc_id > low").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
 
-    out = dealt.join(gone, "doc_id", "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<long>")).alias("at"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    out = dealt.join(gone, "doc_id", "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<long>")).alias("at"), *["row"] * carry)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text + (f", row {out.schema['row'].dataType.simpleString()}" if carry else "")
     return out.mapInArrow(partial(_cut, window=window, keep_text=keep_text), schema)
