@@ -20,7 +20,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanweave.llm.arrays import mix, signed, slices, words
@@ -176,10 +176,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     digests = checkpoint(docs.mapInArrow(partial(_digests, shingle=shingle), ", ".join(["doc_id long", "n long", "node long", "check long", *(f"{b} long" for b in _BITS)])))
-    keys = docs.mapInArrow(partial(_signatures, shingle=shingle, num=num, den=den), "key long, node long, n int").repartition("key")
-    # All three columns are used on both sides, so that one exchange serves the counts and the members.
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("most")).where("low < high and most > 0")
-    members = checkpoint(keys.join(shared, "key").select("key", "node", "n").distinct())
+    keys = docs.mapInArrow(partial(_signatures, shingle=shingle, num=num, den=den), "key long, node long, n int")
+    same = Window.partitionBy("key")
+    keys = keys.select("key", "node", "n", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high")).where("low < high")
+    members = checkpoint(keys.select("key", "node", "n").distinct())
     sketches = digests.where("n > 0").groupBy("node").agg(*[F.first(b).alias(b) for b in _BITS], F.min("check").alias("x"), F.max("check").alias("y"))
     # Should two sets share a node, no sketch speaks for both: theirs are nulled and filter nothing.
     sketches = sketches.select("node", *[F.when(F.col("x") == F.col("y"), F.col(b)).alias(b) for b in _BITS])

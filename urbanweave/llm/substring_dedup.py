@@ -17,7 +17,8 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanweave.llm.arrays import Words, signed, slices, words
@@ -44,6 +45,7 @@ def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        batch = batch.filter(pc.is_valid(batch.column(0)))
         for part in slices(batch):
             w = words(part.column(1))
             at, value = _anchors(w, window)
@@ -70,6 +72,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
     """All windows that hold one of the document's shared anchors: (hash, doc_id, first word)."""
     period = cover_for(window)[0]
     for batch in batches:
+        batch = batch.filter(pc.is_valid(batch.column(2)))
         for part in slices(batch):
             w = words(part.column(1))
             if not len(w.hash):
@@ -152,17 +155,19 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, ca
     """
     others = [F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row")] if carry else []
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *others)
-    dealt = docs.repartition("doc_id")  # one exchange of the texts; Spark reuses it for the three passes
-    named = dealt.where("doc_id is not null").select("doc_id", "text")
-
-    anchors = named.mapInArrow(partial(_emit_anchors, window=window), "h long, doc_id long").repartition("h")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    by_doc = anchors.join(shared.select("h"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-
-    near = named.join(by_doc, "doc_id").select("doc_id", "text", "hs")
-    windows = near.mapInArrow(partial(_emit_windows, window=window), "h long, doc_id long, at long").repartition("h")
-    first = windows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    gone = windows.join(first.select("h", "low"), "h").where("doc_id > low").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    # One exchange of the texts serves three passes. Joins to it are outer and nothing filters
+    # it, so that Spark sees the same exchange each time and reuses it.
+    dealt = docs.repartition("doc_id")
+
+    same = Window.partitionBy("h")
+    anchors = dealt.mapInArrow(partial(_emit_anchors, window=window), "h long, doc_id long")
+    anchors = anchors.select("h", "doc_id", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high")).where("low < high")
+    by_doc = anchors.groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+
+    near = dealt.join(by_doc, "doc_id", "left").select("doc_id", "text", "hs")
+    windows = near.mapInArrow(partial(_emit_windows, window=window), "h long, doc_id long, at long")
+    windows = windows.select("doc_id", "at", F.min("doc_id").over(same).alias("low")).where("doc_id > low")
+    gone = windows.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
 
     out = dealt.join(gone, "doc_id", "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<long>")).alias("at"), *["row"] * carry)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text + (f", row {out.schema['row'].dataType.simpleString()}" if carry else "")
