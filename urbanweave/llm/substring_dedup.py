@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanweave.llm.arrays import Words, signed, slices, words
+from urbanweave.llm.spark import checked_broadcast, checkpoint
 
 #: Perfect difference sets (period: residues). Fixed values.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -45,7 +46,7 @@ def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        batch = batch.filter(pc.is_valid(batch.column(0)))
+        batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_null(batch.column(2))))
         for part in slices(batch):
             w = words(part.column(1))
             at, value = _anchors(w, window)
@@ -114,6 +115,8 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Ite
             np.add.at(gone, start, 1)
             np.add.at(gone, start + window, -1)
             kept = np.cumsum(gone)[:-1] == 0
+            whole = np.asarray(part.column(3).to_numpy(zero_copy_only=False), dtype=bool) & (w.counts >= window)
+            kept &= ~np.repeat(whole, w.counts)
             # Bytes of kept words, each followed by the byte behind it as a space unless it ends its row.
             inner = w.end < np.repeat(w.offsets[1:], w.counts)
             step = np.zeros(len(w.data) + 2, dtype=np.int64)
@@ -138,8 +141,8 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Ite
             if keep_text:
                 arrays.append(pa.array(texts, pa.string()))
                 names.append("kept_text")
-            if part.num_columns > 3:
-                arrays.append(part.column(3))
+            if part.num_columns > 4:
+                arrays.append(part.column(4))
                 names.append("row")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -155,20 +158,28 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, ca
     """
     others = [F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row")] if carry else []
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *others)
+    # A document whose whole text an earlier one holds repeats from end to end: it needs no
+    # anchors, and no window of it is the first of its kind.
+    marked = docs.withColumn("mark", F.md5("text"))
+    marks = marked.where("doc_id is not null and text is not null").select("doc_id", "mark")
+    earliest = marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark", "low")
+    copies = checkpoint(marks.join(earliest, "mark").where("doc_id > low").select("doc_id", "mark", F.lit(True).alias("copied")).distinct())
+    docs = marked.join(checked_broadcast(copies), ["doc_id", "mark"], "left").drop("mark")
+
     # One exchange of the texts serves three passes. Joins to it are outer and nothing filters
     # it, so that Spark sees the same exchange each time and reuses it.
     dealt = docs.repartition("doc_id")
 
     same = Window.partitionBy("h")
-    anchors = dealt.mapInArrow(partial(_emit_anchors, window=window), "h long, doc_id long")
+    anchors = dealt.select("doc_id", "text", "copied").mapInArrow(partial(_emit_anchors, window=window), "h long, doc_id long")
     anchors = anchors.select("h", "doc_id", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high")).where("low < high")
     by_doc = anchors.groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
 
-    near = dealt.join(by_doc, "doc_id", "left").select("doc_id", "text", "hs")
+    near = dealt.join(by_doc, "doc_id", "left").select("doc_id", "text", F.when(F.col("copied").isNull(), F.col("hs")).alias("hs"))
     windows = near.mapInArrow(partial(_emit_windows, window=window), "h long, doc_id long, at long")
     windows = windows.select("doc_id", "at", F.min("doc_id").over(same).alias("low")).where("doc_id > low")
     gone = windows.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
 
-    out = dealt.join(gone, "doc_id", "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<long>")).alias("at"), *["row"] * carry)
+    out = dealt.join(gone, "doc_id", "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<long>")).alias("at"), F.col("copied").isNotNull().alias("copied"), *["row"] * carry)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text + (f", row {out.schema['row'].dataType.simpleString()}" if carry else "")
     return out.mapInArrow(partial(_cut, window=window, keep_text=keep_text), schema)
