@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _name in ("grid",):
+for _name in ("grid", "joins", "stats"):
     import_module(f"urbanweave.plans.{_name}_queries")
