@@ -210,12 +210,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
             pairs = pairs.groupBy("node").agg(F.min("c_node").alias("c_node"))
         pairs = pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
         found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, num=num, den=den), "a long, b long")
-        links = checkpoint(found if links is None else links.union(found))
-        labels = components(links)
+        found = checkpoint(found)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links)
         left = state.drop("component")
         if not pilot:
             left = left.join(centres.select("key", F.col("c_node").alias("node")), ["key", "node"], "left_anti")
-            centres_per_key = min(centres_per_key * 8, 4096)
+            centres_per_key = min(centres_per_key * 32, 4096)
         pilot = False
 
     out = digests.drop(*_BITS).withColumn("class", F.when(F.col("n") > 0, F.col("node")))
