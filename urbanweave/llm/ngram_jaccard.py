@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanweave.llm.arrays import mix, signed, slices, words
-from urbanweave.llm.spark import checked_broadcast, checkpoint, components
+from urbanweave.llm.spark import checkpoint, components, fitted, joinable
 
 _U = np.uint64
 #: 64-bit words of a set's parity sketch. Bits in which two sketches differ never outnumber the tokens in which their sets differ.
@@ -179,44 +179,49 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     keys = docs.mapInArrow(partial(_signatures, shingle=shingle, num=num, den=den), "key long, node long, n int")
     same = Window.partitionBy("key")
     keys = keys.select("key", "node", "n", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high")).where("low < high")
-    members = checkpoint(keys.select("key", "node", "n").distinct())
-    sketches = digests.where("n > 0").groupBy("node").agg(*[F.first(b).alias(b) for b in _BITS], F.min("check").alias("x"), F.max("check").alias("y"))
+    members, n_members = fitted(keys.select("key", "node", "n").distinct())
+    wanted, n_wanted = fitted(members.select("node").distinct())
+    wanted = joinable(wanted, n_wanted)
+    sketches = digests.where("n > 0").join(wanted, "node", "left_semi").groupBy("node", "check").agg(*[F.first(b).alias(b) for b in _BITS], F.min("doc_id").alias("doc_id"))
+    sketches, n_sketches = fitted(sketches)
+    reps, n_reps = fitted(sketches.select("doc_id").distinct())
     # Should two sets share a node, no sketch speaks for both: theirs are nulled and filter nothing.
-    sketches = sketches.select("node", *[F.when(F.col("x") == F.col("y"), F.col(b)).alias(b) for b in _BITS])
-    members = checkpoint(members.join(sketches, "node"))
-
-    wanted = members.select("node").distinct()
-    reps = checkpoint(digests.where("n > 0").join(wanted, "node", "left_semi").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
-    sets = docs.join(checked_broadcast(reps), "doc_id", "left_semi").select("text").mapInArrow(partial(_sets, shingle=shingle), "node long, tokens binary")
-    sets = checkpoint(sets.dropDuplicates(["node", "tokens"]))
-    x, y = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    one = F.min("check") == F.max("check")
+    sketches = joinable(sketches.groupBy("node").agg(*[F.when(one, F.first(b)).alias(b) for b in _BITS]), n_sketches)
+    sets = docs.join(joinable(reps, n_reps), "doc_id", "left_semi").select("text").mapInArrow(partial(_sets, shingle=shingle), "node long, tokens binary")
+    sets, n_sets = fitted(sets.dropDuplicates(["node", "tokens"]), rows_a_task=5000)
+    few = n_sets <= 20_000 and (sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) <= 32 << 20
+    x, y = (F.broadcast(t) if few else t for t in (sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))))
 
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"c_{b}"))) for b in _BITS), F.lit(0))
     may_link = (F.col("component") != F.col("c_component")) & (F.least("n", "c_n") * den >= F.greatest("n", "c_n") * num)
     may_link &= F.coalesce(apart * (den + num) <= (F.col("n") + F.col("c_n")) * (den - num), F.lit(True))
+    by_key = Window.partitionBy("key")
     links = labels = None
-    left, centres_per_key, pilot = members, 1, True
+    left, centres_per_key, pilot, n_labels = members, 1, True, 0
     while True:
-        state = left.withColumn("component", F.col("node")) if labels is None else left.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_keys = state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        state = checkpoint(state.join(open_keys, "key", "left_semi"))
-        if state.isEmpty():
+        state = left.withColumn("component", F.col("node")) if labels is None else left.join(joinable(labels, n_labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        state = state.select("key", "node", "n", "component", F.min("component").over(by_key).alias("x"), F.max("component").over(by_key).alias("y")).where("x < y").drop("x", "y")
+        state, n_state = fitted(state)
+        if not n_state:
             break
         part = F.pmod(F.xxhash64("node", F.lit(centres_per_key)), F.lit(centres_per_key))
-        centres = state.withColumn("part", part).groupBy("key", "part").agg(F.min_by(F.struct("node", "component", "n", *_BITS), "node").alias("c"))
-        centres = checkpoint(centres.select("key", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "component", "n", *_BITS)]))
-        pairs = state.join(centres, "key").where(may_link)
+        centres = state.withColumn("part", part).groupBy("key", "part").agg(F.min_by(F.struct("node", "component", "n"), "node").alias("c"))
+        centres, n_centres = fitted(centres.select("key", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "component", "n")]))
+        drawn = centres.join(sketches.select(F.col("node").alias("c_node"), *[F.col(b).alias(f"c_{b}") for b in _BITS]), "c_node")
+        pairs = state.join(sketches, "node").join(joinable(drawn, n_centres), "key").where(may_link)
         if pilot:  # first one centre for each member: copies fall into components before most buckets are looked at
             pairs = pairs.groupBy("node").agg(F.min("c_node").alias("c_node"))
-        pairs = pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
-        found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, num=num, den=den), "a long, b long")
-        found = checkpoint(found)
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links)
+        pairs, n_pairs = fitted(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct(), rows_a_task=5000)
+        if n_pairs:
+            found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, num=num, den=den), "a long, b long")
+            found, n_found = fitted(found)
+            if n_found:
+                links = found if links is None else links.union(found)
+                labels, n_labels = fitted(components(links))
         left = state.drop("component")
         if not pilot:
-            left = left.join(centres.select("key", F.col("c_node").alias("node")), ["key", "node"], "left_anti")
+            left = left.join(joinable(centres.select("key", F.col("c_node").alias("node")), n_centres), ["key", "node"], "left_anti")
             centres_per_key = min(centres_per_key * 32, 4096)
         pilot = False
 
@@ -227,7 +232,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     else:
         grown = labels.select(F.col("node").alias("class"), F.col("component").alias("root"))
         degree = links.select(F.col("a").alias("class"), F.col("b").alias("o")).union(links.select("b", "a")).groupBy("class").agg(F.count_distinct("o").alias("n_links"))
-    out = out.join(grown, "class", "left").join(degree, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    out = out.join(joinable(grown, n_labels), "class", "left").join(joinable(degree, n_labels), "class", "left").withColumn("root", F.coalesce("root", "class"))
     # Sets that differ but share the 64-bit node keep apart unless links join them: `check` is part of an unlinked root.
     out = out.withColumn("apart", F.when(F.col("n_links").isNull(), F.col("check")).otherwise(F.lit(0)))
     smallest = out.where("n > 0").groupBy("root", "apart").agg(F.min("doc_id").alias("least"))

@@ -41,6 +41,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def fitted(df: DataFrame, rows_a_task: int = 100_000) -> tuple[DataFrame, int]:
+    """A checkpointed table in as many partitions as its rows need, and its number of rows.
+
+    Small steps of an iteration then do not scatter a few rows over as many tasks and files
+    as the first, large step had.
+    """
+    df = checkpoint(df)
+    n = df.count()
+    return df.coalesce(1 + n // rows_a_task), n
+
+
+def joinable(df: DataFrame, n: int, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast for a side whose counted rows are few."""
+    return F.broadcast(df) if n <= rows else df
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of an undirected edge table: (node, component = smallest node).
 
@@ -49,19 +65,21 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     dropped; an empty table gives an empty result.
     """
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u > v").distinct()
-    edges = checkpoint(edges)
-    while True:
+    edges, n = fitted(edges)
+    tight = lambda df: df.coalesce(1 + n // 50_000)  # noqa: E731  the work of a round follows the edges left
+    while n:
         # Stars: no node has two parents, and none is both a parent and a child.
         roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(edges.select("v", F.lit(0), F.lit(1)))
         roles = roles.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
         if roles.where("child > 1 or child = 1 and parent = 1").isEmpty():
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = tight(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
+        large = both.join(joinable(least, n), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large, n = fitted(large)
+        least = tight(large.groupBy("u").agg(F.min("v").alias("m")))
+        joined = large.join(joinable(least, n), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        edges = checkpoint(small.where("u > v").distinct())
+        edges, n = fitted(small.where("u > v").distinct())
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
