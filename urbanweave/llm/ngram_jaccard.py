@@ -7,10 +7,11 @@ at least one segment of both sets differs by less than its allowance: an allowan
 asks for equal segments, one of 2 is served by the segment and its one-deletion
 neighbourhood. How many segments get which allowance is chosen per band by expected cost.
 
-Sets that share a segment key meet in a bucket. Buckets are never expanded into all
-pairs: each is checked as stars around a growing number of centres, and members that are
-already in one component need no further check, so copies cost linear work; a bucket whose
-members do not link is still checked to the end, so no link is lost.
+Sets that share a segment key meet in a bucket. Stars around the centres of the buckets join
+sets that may link (by size and by a parity sketch, neither of which loses a link) into
+families. A family is checked exactly in pairs of blocks, each of which returns star edges and
+numbers of links, never its pairs. What may link across families is checked around a growing
+number of centres until every bucket is done, so no link is lost.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from urbanweave.llm.arrays import mix, signed, slices, words
 from urbanweave.llm.spark import checkpoint, components, fitted, joinable
 
 _U = np.uint64
+#: Sets of a block of a family.
+BLOCK = 128
 #: 64-bit words of a set's parity sketch. Bits in which two sketches differ never outnumber the tokens in which their sets differ.
-SKETCH = 8
+SKETCH = 16
 _BITS = [f"s{i}" for i in range(SKETCH)]
 #: Cost of a chance meeting relative to one emitted key, and the chance that another set agrees on one token.
 COLLISION_COST, TOKEN_AGREES = 50.0, 0.1
@@ -165,12 +168,51 @@ def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
             yield out
 
 
+def _block(num: int, den: int):
+    """Exact check of all pairs of a pair of blocks: star edges of what links, and every set's number of links."""
+
+    def check(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        node = np.asarray(table.column("node"), dtype=np.int64)
+        blk = np.asarray(table.column("blk"), dtype=np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        shared = times[token] > 1
+        new_id = np.cumsum(times > 1) - 1
+        token, owner = new_id[token[shared]], owner[shared]
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        both = np.zeros((len(sets), len(sets)), dtype=np.float64)
+        width = 8192
+        for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+            a, b = np.searchsorted(token, [low, low + width])
+            m = np.zeros((len(sets), width), dtype=np.float32)
+            m[owner[a:b], token[a:b] - low] = 1
+            both += m @ m.T
+        link = den * both >= num * (size[:, None] + size[None, :] - both)
+        np.fill_diagonal(link, False)
+        if i != j:
+            link &= blk[:, None] != blk[None, :]
+        label = np.arange(len(sets))
+        while True:
+            least = np.minimum(label, np.where(link, label[None, :], len(sets)).min(axis=1, initial=len(sets)))
+            if (least == label).all():
+                break
+            label = least
+        degree = link.sum(axis=1)
+        at = np.flatnonzero(degree)
+        return pa.table({"a": pa.array(node[at]), "b": pa.array(node[label[at]]), "degree": pa.array(degree[at].astype(np.int64))})
+
+    return check
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Connected components of the links `den * |A and B| >= num * |A or B|` between documents.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links
-    (distinct other sets found linked while the components were settled; at least one for
-    every document whose component has a different text). Null or wordless text has an empty
+    (number of other sets that link with this one). Null or wordless text has an empty
     set, links with nothing and is its own component. Repeated rows stay repeated; rows with
     the same doc_id are told apart by their text only. Extra columns are ignored.
     """
@@ -184,54 +226,82 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     wanted = joinable(wanted, n_wanted)
     sketches = digests.where("n > 0").join(wanted, "node", "left_semi").groupBy("node", "check").agg(*[F.first(b).alias(b) for b in _BITS], F.min("doc_id").alias("doc_id"))
     sketches, n_sketches = fitted(sketches)
-    reps, n_reps = fitted(sketches.select("doc_id").distinct())
+    reps = sketches.select("node", "doc_id")
     # Should two sets share a node, no sketch speaks for both: theirs are nulled and filter nothing.
     one = F.min("check") == F.max("check")
     sketches = joinable(sketches.groupBy("node").agg(*[F.when(one, F.first(b)).alias(b) for b in _BITS]), n_sketches)
-    sets = docs.join(joinable(reps, n_reps), "doc_id", "left_semi").select("text").mapInArrow(partial(_sets, shingle=shingle), "node long, tokens binary")
-    sets, n_sets = fitted(sets.dropDuplicates(["node", "tokens"]), rows_a_task=5000)
-    few = n_sets <= 20_000 and (sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) <= 32 << 20
-    x, y = (F.broadcast(t) if few else t for t in (sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))))
-
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"c_{b}"))) for b in _BITS), F.lit(0))
     may_link = (F.col("component") != F.col("c_component")) & (F.least("n", "c_n") * den >= F.greatest("n", "c_n") * num)
     may_link &= F.coalesce(apart * (den + num) <= (F.col("n") + F.col("c_n")) * (den - num), F.lit(True))
     by_key = Window.partitionBy("key")
-    links = labels = None
-    left, centres_per_key, pilot, n_labels = members, 1, True, 0
+    left, centres_per_key, families, n_families, found = members, 1, None, 0, None
+
+    def sets_of(nodes: DataFrame, n: int) -> DataFrame:
+        """Whole sets, built from the texts of the documents that stand for these nodes."""
+        asked, n_asked = fitted(reps.join(joinable(nodes, n), "node", "left_semi").select("doc_id").distinct())
+        return docs.join(joinable(asked, n_asked), "doc_id", "left_semi").select("text").mapInArrow(partial(_sets, shingle=shingle), "node long, tokens binary")
+
+    def candidates(state: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, int]:
+        """Pairs of members and centres that may link, with the centres: about `parts` of them in every bucket."""
+        part = F.pmod(F.xxhash64("node", F.lit(parts)), F.lit(parts))
+        centres = state.withColumn("part", part).groupBy("key", "part").agg(F.min_by(F.struct("node", "component", "n"), "node").alias("c"))
+        centres, n = fitted(centres.select("key", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "component", "n")]))
+        drawn = centres.join(sketches.select(F.col("node").alias("c_node"), *[F.col(b).alias(f"c_{b}") for b in _BITS]), "c_node")
+        return state.join(sketches, "node").join(joinable(drawn, n), "key").where(may_link), centres, n
+
+    def open_members(rows: DataFrame) -> tuple[DataFrame, int]:
+        """Members of the buckets that still hold more than one family."""
+        named = rows.withColumn("component", F.col("node")) if families is None else rows.join(joinable(families, n_families), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return fitted(named.select("key", "node", "n", "component", F.min("component").over(by_key).alias("x"), F.max("component").over(by_key).alias("y")).where("x < y").drop("x", "y"))
+
+    # Families: components of what may link to a centre of a shared bucket. A family is checked
+    # in blocks, all against all, so its sets travel once per block and not once per pair.
+    edges = None
+    for pilot in (True, False):
+        state, n_state = open_members(left)
+        if not n_state:
+            break
+        pairs, _, _ = candidates(state, 1)
+        pairs = pairs.groupBy("node").agg(F.min("c_node").alias("c_node")) if pilot else pairs
+        pairs, n_pairs = fitted(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct())
+        if n_pairs:
+            edges = pairs if edges is None else edges.union(pairs)
+            families, n_families = fitted(components(edges))
+        left = state.drop("component")
+
+    if n_families:
+        counts = families.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        blk = families.join(counts, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        blk = blk.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blk = blk.select("node", "component", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+        held = blk.join(checkpoint(sets_of(families.select("node"), n_families)), "node")
+        found = checkpoint(held.select("component", "i", "j", "blk", "node", "tokens").groupBy("component", "i", "j").applyInArrow(_block(num, den), "a long, b long, degree long"))
+
+    # What may link across families is checked pair by pair.
     while True:
-        state = left.withColumn("component", F.col("node")) if labels is None else left.join(joinable(labels, n_labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        state = state.select("key", "node", "n", "component", F.min("component").over(by_key).alias("x"), F.max("component").over(by_key).alias("y")).where("x < y").drop("x", "y")
-        state, n_state = fitted(state)
+        state, n_state = open_members(left)
         if not n_state:
             break
-        part = F.pmod(F.xxhash64("node", F.lit(centres_per_key)), F.lit(centres_per_key))
-        centres = state.withColumn("part", part).groupBy("key", "part").agg(F.min_by(F.struct("node", "component", "n"), "node").alias("c"))
-        centres, n_centres = fitted(centres.select("key", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "component", "n")]))
-        drawn = centres.join(sketches.select(F.col("node").alias("c_node"), *[F.col(b).alias(f"c_{b}") for b in _BITS]), "c_node")
-        pairs = state.join(sketches, "node").join(joinable(drawn, n_centres), "key").where(may_link)
-        if pilot:  # first one centre for each member: copies fall into components before most buckets are looked at
-            pairs = pairs.groupBy("node").agg(F.min("c_node").alias("c_node"))
+        pairs, centres, n_centres = candidates(state, centres_per_key)
         pairs, n_pairs = fitted(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct(), rows_a_task=5000)
         if n_pairs:
-            found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, num=num, den=den), "a long, b long")
-            found, n_found = fitted(found)
-            if n_found:
-                links = found if links is None else links.union(found)
-                labels, n_labels = fitted(components(links))
-        left = state.drop("component")
-        if not pilot:
-            left = left.join(joinable(centres.select("key", F.col("c_node").alias("node")), n_centres), ["key", "node"], "left_anti")
-            centres_per_key = min(centres_per_key * 32, 4096)
-        pilot = False
+            sets = checkpoint(sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), 2 * n_pairs))
+            few = (sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) <= 16 << 20
+            x, y = (F.broadcast(t) if few else t for t in (sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))))
+            seen, _ = fitted(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, num=num, den=den), "a long, b long").distinct())
+            both = seen.select("a", "b", F.lit(1).cast("long").alias("degree")).union(seen.select("b", "a", F.lit(1).cast("long")))
+            found = both if found is None else found.union(both)
+        left = state.drop("component").join(joinable(centres.select("key", F.col("c_node").alias("node")), n_centres), ["key", "node"], "left_anti")
+        centres_per_key = min(centres_per_key * 32, 4096)
 
+    labels, n_labels = fitted(components(found)) if found is not None else (None, 0)
     out = digests.drop(*_BITS).withColumn("class", F.when(F.col("n") > 0, F.col("node")))
-    if links is None:
+    if labels is None:
         grown = digests.select(F.col("node").alias("class"), F.col("node").alias("root")).limit(0)
         degree = digests.select(F.col("node").alias("class"), F.lit(0).cast("long").alias("n_links")).limit(0)
     else:
         grown = labels.select(F.col("node").alias("class"), F.col("component").alias("root"))
-        degree = links.select(F.col("a").alias("class"), F.col("b").alias("o")).union(links.select("b", "a")).groupBy("class").agg(F.count_distinct("o").alias("n_links"))
+        degree = found.groupBy(F.col("a").alias("class")).agg(F.sum("degree").alias("n_links"))
     out = out.join(joinable(grown, n_labels), "class", "left").join(joinable(degree, n_labels), "class", "left").withColumn("root", F.coalesce("root", "class"))
     # Sets that differ but share the 64-bit node keep apart unless links join them: `check` is part of an unlinked root.
     out = out.withColumn("apart", F.when(F.col("n_links").isNull(), F.col("check")).otherwise(F.lit(0)))
