@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _name in ("grid", "joins", "stats", "scene", "windows", "geometry", "lineage"):
+for _name in ("grid", "joins", "stats", "scene", "windows", "geometry", "lineage", "extra"):
     import_module(f"urbanweave.plans.{_name}_queries")
