@@ -55,14 +55,19 @@ def a5_coverage(spark, sf):
     return B.tile_cell(spark, sf).groupBy("r", "c").agg(F.count("*").alias("n_tiles")).groupBy("n_tiles").agg(F.count("*").alias("cells"))
 
 
-@query(with_sql("tile_cell", """, m AS (SELECT DISTINCT bit_or(CAST(1 << tile AS INTEGER)) mask FROM tile_cell WHERE r%16 = 0 GROUP BY r, c), s AS (SELECT CAST(s AS INTEGER) s FROM range(1, 16) t(s) WHERE NOT EXISTS (SELECT 1 FROM m WHERE (m.mask & CAST(t.s AS INTEGER)) = 0))
-SELECT s AS tiles, CAST(bit_count(s) AS INTEGER) AS size FROM s WHERE bit_count(s) = (SELECT min(bit_count(s)) FROM s)"""))
+_COVER = """, m AS (SELECT DISTINCT bit_or(CAST(1 << tile AS INTEGER)) mask FROM tile_cell {}GROUP BY r, c), s AS (SELECT CAST(s AS INTEGER) s FROM range(1, 16) t(s) WHERE NOT EXISTS (SELECT 1 FROM m WHERE (m.mask & CAST(t.s AS INTEGER)) = 0))
+SELECT s AS tiles, CAST(bit_count(s) AS INTEGER) AS size FROM s WHERE bit_count(s) = (SELECT min(bit_count(s)) FROM s)"""
+
+
+@query(with_sql("tile_cell", _COVER.format("WHERE r%16 = 0 ")))
 def a6_minimum_tile_set(spark, sf):
-    masks = B.tile_cell(spark, sf).where("r%16 = 0").groupBy("r", "c").agg(F.expr("bit_or(shiftleft(1, CAST(tile AS INT)))").alias("mask")).select("mask").distinct()
-    held = masks.agg(F.collect_set("mask").alias("masks"))  # at most 2^tiles masks
-    sets = held.select("masks", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("tiles")).where(F.forall("masks", lambda m: m.bitwiseAND(F.col("tiles")) != 0))
-    sets = sets.select("tiles", F.bit_count("tiles").alias("size"))
-    return sets.join(F.broadcast(sets.agg(F.min("size").alias("least"))), F.col("size") == F.col("least")).select("tiles", "size")
+    """Cover of every sixteenth row only, as its SQL has it; `a6_minimum_tile_set_whole` covers all cells."""
+    return R.minimum_tile_sets(B.tile_cell(spark, sf).where("r%16 = 0"))
+
+
+@query(with_sql("tile_cell", _COVER.format("")))
+def a6_minimum_tile_set_whole(spark, sf):
+    return R.minimum_tile_sets(B.tile_cell(spark, sf))
 
 
 @query(with_sql("cell_a chm", _PAIR + " SELECT CAST(k AS INTEGER) AS bit, count(*) AS n FROM env, range(0, 8) t(k) WHERE (state >> CAST(k AS INTEGER)) & 1 = 1 GROUP BY k"))
