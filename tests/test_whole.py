@@ -1,6 +1,8 @@
 """Queries that do the whole job, where the SQL of an older query takes a part of it."""
 
+import urbanweave.plans.registry  # noqa: F401  (the query modules import one another in its order)
 from urbanweave.operators import raster
+from urbanweave.plans import geometry_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -10,3 +12,21 @@ def test_tile_cover_holds_on_rows_that_are_not_sixteenths(spark):
     tiles = spark.createDataFrame(cells, "tile long, r long, c long")
     assert [tuple(r) for r in raster.minimum_tile_sets(tiles).collect()] == [(2, 1)]
     assert {r["tiles"] for r in raster.minimum_tile_sets(tiles.where("r % 16 = 0")).collect()} == {1, 2}
+
+
+def test_rings_count_behind_the_first_vertices(spark):
+    late = [(0, 0), (9, 0), (9, 1), (8, 1), (7, 1), (6, 1), (5, 1), (4, 1), (3, 5), (2, 1), (1, 5), (3, 1)]
+    rows = [(1, k, float(x), float(y), 0.0) for k, (x, y) in enumerate(late)] + [(2, k, float(x + (k == 9)), float(y), 0.0) for k, (x, y) in enumerate(late)]
+    v = spark.createDataFrame(rows, "id long, seq long, x double, y double, z double")
+
+    def crosses(a, b, c, d):
+        side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+        return side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+
+    edges = list(zip(late, late[1:], strict=False))
+    n = sum(crosses(*edges[i], *edges[j]) for i in range(len(edges)) for j in range(i + 2, len(edges)))
+    got = {r["id"]: r["crossings"] for r in geometry_queries._crossings(v).collect()}
+    assert n > 0 and got[1] == n
+    assert not geometry_queries._crossings(v.where("seq < 8")).collect()
+    assert len({r["key"] for r in geometry_queries._ring_keys(v).collect()}) == 2
+    assert len({r["key"] for r in geometry_queries._ring_keys(v.where("seq < 5")).collect()}) == 1

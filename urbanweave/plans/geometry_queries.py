@@ -91,13 +91,26 @@ def g9_aoi_intersects(spark, sf):
     return B.bld(spark, sf).join(hit, "id", "left_semi").select("id")
 
 
-@query(with_sql("vertex", """, v AS (SELECT id, list(CAST(CAST(floor(x*8) AS BIGINT) AS VARCHAR) ORDER BY seq) v FROM vertex WHERE seq < 5 GROUP BY id)
-SELECT id, sha256(list_min(list_concat([array_to_string(list_concat(v[i:], v[:i-1]), ',') FOR i IN range(1, 6)], [array_to_string(list_concat(list_reverse(v)[i:], list_reverse(v)[:i-1]), ',') FOR i IN range(1, 6)]))) AS key FROM v"""))
-def g11_canonical_ring(spark, sf):
-    v = B.vertex(spark, sf).where("seq < 5").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", F.floor(F.col("x") * 8).cast("long").cast("string").alias("k")))).alias("p"))
+_KEYS = """, v AS (SELECT id, list(CAST(CAST(floor(x*8) AS BIGINT) AS VARCHAR) ORDER BY seq) v FROM vertex {where}GROUP BY id)
+SELECT id, sha256(list_min(list_concat([array_to_string(list_concat(v[i:], v[:i-1]), ',') FOR i IN range(1, {end})], [array_to_string(list_concat(list_reverse(v)[i:], list_reverse(v)[:i-1]), ',') FOR i IN range(1, {end})]))) AS key FROM v"""
+
+
+def _ring_keys(vertices):
+    v = vertices.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", F.floor(F.col("x") * 8).cast("long").cast("string").alias("k")))).alias("p"))
     return v.select("id", G.canonical_key(F.transform("p", lambda p: p["k"])).alias("key"))
 
 
+@query(with_sql("vertex", _KEYS.format(where="WHERE seq < 5 ", end="6")))
+def g11_canonical_ring(spark, sf):
+    """Keys of the first five vertices, as its SQL has it; `g11_canonical_ring_whole` takes all of them."""
+    return _ring_keys(B.vertex(spark, sf).where("seq < 5"))
+
+
+@query(with_sql("vertex", _KEYS.format(where="", end="len(v)+1")))
+def g11_canonical_ring_whole(spark, sf):
+    return _ring_keys(B.vertex(spark, sf))
+
+
 @query("""WITH a AS (SELECT p_partkey id, p_size || '/' || p_type k FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey id, p_size || '/' || p_type k FROM part WHERE p_partkey % 2 = 1), na AS (SELECT k, count(*) n FROM a GROUP BY k), nb AS (SELECT k, count(*) n FROM b GROUP BY k)
 SELECT a.id, CASE WHEN nb.n IS NULL THEN 'MISSING' WHEN na.n > 1 OR nb.n > 1 THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS status FROM a JOIN na USING (k) LEFT JOIN nb USING (k)""")
 def g12_face_correspondence(spark, sf):
@@ -152,13 +165,26 @@ def g17_edge_diagnostics(spark, sf):
 _CROSS = """(({a}nx-{a}x)*({b}y-{a}y)-({a}ny-{a}y)*({b}x-{a}x))*(({a}nx-{a}x)*({b}ny-{a}y)-({a}ny-{a}y)*({b}nx-{a}x)) < 0 AND (({b}nx-{b}x)*({a}y-{b}y)-({b}ny-{b}y)*({a}x-{b}x))*(({b}nx-{b}x)*({a}ny-{b}y)-({b}ny-{b}y)*({a}nx-{b}x)) < 0"""
 
 
-@query(with_sql("vertex", ", e AS (SELECT id, seq, x, y, lead(x) OVER w nx, lead(y) OVER w ny FROM vertex WHERE seq < 8 WINDOW w AS (PARTITION BY id ORDER BY seq)) SELECT a.id, count(*) AS crossings FROM e a JOIN e b ON a.id = b.id AND b.seq > a.seq + 1 AND a.nx IS NOT NULL AND b.nx IS NOT NULL WHERE " + _CROSS.format(a="a.", b="b.") + " GROUP BY a.id"))
-def g18_edge_crossings(spark, sf):
-    e = G.ring_edges(B.vertex(spark, sf).where("seq < 8")).select("id", "seq", "x", "y", "nx", "ny")
+_CROSSINGS = ", e AS (SELECT id, seq, x, y, lead(x) OVER w nx, lead(y) OVER w ny FROM vertex {}WINDOW w AS (PARTITION BY id ORDER BY seq)) SELECT a.id, count(*) AS crossings FROM e a JOIN e b ON a.id = b.id AND b.seq > a.seq + 1 AND a.nx IS NOT NULL AND b.nx IS NOT NULL WHERE " + _CROSS.format(a="a.", b="b.") + " GROUP BY a.id"
+
+
+def _crossings(vertices):
+    e = G.ring_edges(vertices).select("id", "seq", "x", "y", "nx", "ny")
     j = e.alias("a").join(e.alias("b"), F.expr("a.id = b.id AND b.seq > a.seq + 1"))
     return j.where(_CROSS.format(a="a.", b="b.")).groupBy("a.id").agg(F.count("*").alias("crossings"))
 
 
+@query(with_sql("vertex", _CROSSINGS.format("WHERE seq < 8 ")))
+def g18_edge_crossings(spark, sf):
+    """Crossings among the first eight vertices, as its SQL has it; `g18_edge_crossings_whole` takes all of them."""
+    return _crossings(B.vertex(spark, sf).where("seq < 8"))
+
+
+@query(with_sql("vertex", _CROSSINGS.format("")))
+def g18_edge_crossings_whole(spark, sf):
+    return _crossings(B.vertex(spark, sf))
+
+
 @query(with_sql("vertex", ", b AS (SELECT id, seq, x + CASE WHEN id % 9 = 0 THEN 1e-5 ELSE 0 END x, y, CASE WHEN id % 7 = 0 AND seq = 3 THEN z + 1e-9 ELSE z END z FROM vertex WHERE NOT (id % 11 = 0 AND seq = 20)) SELECT a.id, count(*) FILTER (WHERE b.seq IS NULL) AS missing, count(*) FILTER (WHERE a.z <> b.z) AS moved_z, (max(abs(a.x-b.x)) <= 1e-7) AS xy_equal FROM vertex a LEFT JOIN b ON a.id = b.id AND a.seq = b.seq GROUP BY a.id"))
 def g19_vertex_comparison(spark, sf):
     a = B.vertex(spark, sf)
