@@ -1,8 +1,10 @@
 """Queries that do the whole job, where the SQL of an older query takes a part of it."""
 
+import pytest
+
 import urbanweave.plans.registry  # noqa: F401  (the query modules import one another in its order)
 from urbanweave.operators import raster
-from urbanweave.plans import geometry_queries
+from urbanweave.plans import geometry_queries, joins_queries, lineage_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +32,17 @@ def test_rings_count_behind_the_first_vertices(spark):
     assert not geometry_queries._crossings(v.where("seq < 8")).collect()
     assert len({r["key"] for r in geometry_queries._ring_keys(v).collect()}) == 2
     assert len({r["key"] for r in geometry_queries._ring_keys(v.where("seq < 5")).collect()}) == 1
+
+
+def test_broken_record_of_any_event_stops_the_strict_scan(spark):
+    events = spark.createDataFrame([(3, '{"k": 1}'), (4, '{"k": 2'), (6, '{"k": 5}')], "event_id long, props string")
+    assert {tuple(r) for r in lineage_queries._strict(events.where("event_id % 3 = 0")).collect()} == {(3, 1), (6, 5)}
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        lineage_queries._strict(events).collect()
+
+
+def test_odd_documents_count_as_documents(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (3,)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2,), (3,), (4,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {tuple(r) for r in joins_queries.x2_missing_and_extra_whole(spark, str(tmp_path)).collect()} == {(1, True, False), (4, False, True)}
+    assert {r["id"] for r in joins_queries.x3_common_ids_whole(spark, str(tmp_path)).collect()} == {2, 3}

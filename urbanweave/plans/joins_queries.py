@@ -211,18 +211,33 @@ def w11_two_nearest(spark, sf):
     return n.groupBy("id").agg(F.count("*").alias("candidates"), ((F.max("d2") - F.min("d2") < 1e-9) & (F.count("*") == 2)).alias("tie"))
 
 
-@query("""SELECT doc_id AS id, in_a, in_b FROM (SELECT doc_id, TRUE in_a, FALSE in_b FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, FALSE, TRUE FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0))""")
-def x2_missing_and_extra(spark, sf):
-    a, b = B.table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id"), B.table(spark, sf, "labels").select("doc_id")
+def _missing_and_extra(a, b):
     flag = lambda df, i, j: df.select(F.col("doc_id").alias("id"), F.lit(i).alias("in_a"), F.lit(j).alias("in_b"))
     return flag(a.subtract(b), True, False).unionByName(flag(b.subtract(a), False, True))
 
 
+@query("""SELECT doc_id AS id, in_a, in_b FROM (SELECT doc_id, TRUE in_a, FALSE in_b FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, FALSE, TRUE FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0))""")
+def x2_missing_and_extra(spark, sf):
+    """Even documents only, as its SQL has it; `x2_missing_and_extra_whole` takes all of them."""
+    return _missing_and_extra(B.table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id"), B.table(spark, sf, "labels").select("doc_id"))
+
+
+@query("""SELECT doc_id AS id, in_a, in_b FROM (SELECT doc_id, TRUE in_a, FALSE in_b FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, FALSE, TRUE FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents))""")
+def x2_missing_and_extra_whole(spark, sf):
+    return _missing_and_extra(B.table(spark, sf, "documents").select("doc_id"), B.table(spark, sf, "labels").select("doc_id"))
+
+
 @query("SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT doc_id FROM labels")
 def x3_common_ids(spark, sf):
+    """Even documents only, as its SQL has it; `x3_common_ids_whole` takes all of them."""
     return B.table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")).intersect(B.table(spark, sf, "labels").select("doc_id"))
 
 
+@query("SELECT doc_id AS id FROM documents INTERSECT SELECT doc_id FROM labels")
+def x3_common_ids_whole(spark, sf):
+    return B.table(spark, sf, "documents").select(F.col("doc_id").alias("id")).intersect(B.table(spark, sf, "labels").select("doc_id"))
+
+
 @query("""WITH a AS (SELECT l_partkey%50 k, l_linenumber n FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT l_partkey%50 k, l_linenumber n FROM lineitem WHERE l_returnflag = 'N')
 SELECT k, n, 'lost' AS kind, count(*) AS times FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY k, n UNION ALL SELECT k, n, 'new', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY k, n""")
 def x4_multiset_difference(spark, sf):
