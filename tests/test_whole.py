@@ -1,9 +1,12 @@
 """Queries that do the whole job, where the SQL of an older query takes a part of it."""
 
+import math
+
+import numpy as np
 import pytest
 
 import urbanweave.plans.registry  # noqa: F401  (the query modules import one another in its order)
-from urbanweave.operators import raster
+from urbanweave.operators import raster, scene
 from urbanweave.plans import geometry_queries, joins_queries, lineage_queries
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +49,46 @@ def test_odd_documents_count_as_documents(spark, tmp_path):
     spark.createDataFrame([(2,), (3,), (4,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
     assert {tuple(r) for r in joins_queries.x2_missing_and_extra_whole(spark, str(tmp_path)).collect()} == {(1, True, False), (4, False, True)}
     assert {r["id"] for r in joins_queries.x3_common_ids_whole(spark, str(tmp_path)).collect()} == {2, 3}
+
+
+def boxes_view(obs, spans, rays):
+    """View of every observer by cutting every ray with every box."""
+    out = {}
+    for r, c, z in obs:
+        total = 0.0
+        for _, du, dv, dz in rays:
+            hits = []
+            for sr, sc, k0, k1, cls in spans:
+                lo, hi = 0.0, math.inf
+                for at, d, a, b in ((0.5, du, sc - c, sc - c + 1), (0.5, dv, sr - r, sr - r + 1), (z, dz, k0, k1)):
+                    if abs(d) < 1e-12:
+                        lo, hi = (lo, hi) if a <= at < b else (1.0, 0.0)
+                    else:
+                        lo, hi = max(lo, min((a - at) / d, (b - at) / d)), min(hi, max((a - at) / d, (b - at) / d))
+                if hi - lo > 1e-9:
+                    hits.append((lo, cls, hi))
+            if hits and min(hits)[1] == scene.TREE:
+                lo, _, hi = min(hits)
+                edge = math.floor(z + lo * dz + 1e-9) + 1 if dz > 0 else math.ceil(z + lo * dz - 1e-9) - 1
+                t = math.exp(-0.5 * (min(hi, (edge - z) / dz) - lo))
+                total += 1 - t if t >= 0.01 else 0.0
+        out[r, c] = total / len(rays)
+    return out
+
+
+def test_view_of_rising_and_falling_rays_to_the_edge(spark):
+    rng = np.random.default_rng(4)
+    side, rays = 40, scene.grid_rays(12, 4)
+    assert len(scene.grid_rays()) == 2400 and min(d[3] for d in scene.grid_rays()) == pytest.approx(-0.5)
+    spans = [(r, c, 0, 1, 1) for r in range(0, side, 3) for c in range(0, side, 2)]
+    spans += [(int(r), int(c), 2, 2 + int(h), int(k)) for (r, c), h, k in zip({tuple(x) for x in rng.integers(0, side, (150, 2))}, rng.integers(1, 9, 150), rng.choice([-2, -2, -3], 150), strict=False)]
+    taken = {(s[0], s[1]) for s in spans if s[4] != 1}
+    spots = [x for x in ((0, 0), (20, 21), (39, 3), (7, 30), (11, 12)) if x not in taken]
+    eyes = [(r, c, z) for (r, c), z in zip(spots, (1.5, 9.5, 3.5, 12.5, 6.5), strict=False)]
+    o, s = spark.createDataFrame(eyes, "r long, c long, z double"), spark.createDataFrame(spans, "r long, c long, k0 long, k1 long, cls int")
+    want = boxes_view(eyes, spans, rays)
+    got = {(x["r"], x["c"]): x["view"] for x in scene.whole_view_index(spark, o, s, rays, side).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and max(want.values()) > 0
+    met = scene.meetings(o, scene.ray_paths(spark, rays, side * 2.0), s)
+    assert {(x["r"], x["c"]): x["view"] for x in scene.view_index(o, met, len(rays)).collect()} == pytest.approx(want, abs=1e-9)
+    assert met.where("dz < 0").count() > 0

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +74,12 @@ def path(du: float, dv: float, reach: float) -> list[tuple[int, int, float, floa
     return [(math.floor(0.5 + (a + b) / 2 * du), math.floor(0.5 + (a + b) / 2 * dv), a, b) for a, b in zip(order, order[1:], strict=False) if b - a > 1e-12]
 
 
+def grid_rays(azimuths: int = 120, elevations: int = 20, low: float = -30.0, high: float = 30.0) -> list[tuple[int, float, float, float]]:
+    """Rays (id, du, dv, dz) on an even grid of azimuths and of elevations from `low` to `high` degrees, both ends included."""
+    angles = [(math.radians(low + (high - low) * e / (elevations - 1)), 2 * math.pi * a / azimuths) for e in range(elevations) for a in range(azimuths)]
+    return [(k, math.cos(e) * math.cos(a), math.cos(e) * math.sin(a), math.sin(e)) for k, (e, a) in enumerate(angles)]
+
+
 def ray_paths(spark, rays: list[tuple[int, float, float, float]], reach: float) -> DataFrame:
     """Offsets crossed by every ray (id, du, dv, dz): bounded by rays x reach, whatever the scene's size."""
     rows = [(k, dz, *cell) for k, du, dv, dz in rays for cell in path(du, dv, reach)]
@@ -85,7 +92,8 @@ def meetings(obs: DataFrame, paths: DataFrame, spans: DataFrame) -> DataFrame:
     steps = obs.select("r", "c", "z").join(F.broadcast(paths), F.lit(True)).withColumn("sr", F.col("r") + F.col("dj")).withColumn("sc", F.col("c") + F.col("di"))
     s = spans.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "k0", "k1", "cls")
     j = steps.join(s, ["sr", "sc"])
-    j = j.withColumn("enter", F.greatest("t0", (F.col("k0") - F.col("z")) / F.col("dz"))).withColumn("leave", F.least("t1", (F.col("k1") - F.col("z")) / F.col("dz")))
+    low, high = (F.col("k0") - F.col("z")) / F.col("dz"), (F.col("k1") - F.col("z")) / F.col("dz")  # a falling ray comes in at the top
+    j = j.withColumn("enter", F.greatest("t0", F.least(low, high))).withColumn("leave", F.least("t1", F.greatest(low, high)))
     return j.where(F.col("leave") - F.col("enter") > 1e-9).select("r", "c", "z", "ray", "dz", "cls", "enter", "leave")
 
 
@@ -97,17 +105,49 @@ def irradiance(obs: DataFrame, met: DataFrame, elevation: float, dni: float = 80
     return obs.select("r", "c").join(hit, ["r", "c"], "left").select("r", "c", (F.lit(dni * math.sin(math.radians(elevation))) * t).alias("irradiance"))
 
 
+def _in_voxel(enter: Column, leave: Column) -> Column:
+    """Stretch from `enter` within the voxel met there; its far side is its top for rising rays, its bottom for falling ones."""
+    at = F.col("z") + enter * F.col("dz")
+    level = F.when(F.col("dz") > 0, F.floor(at + 1e-9) + 1).otherwise(F.ceil(at - 1e-9) - 1)
+    return F.least(leave, (level - F.col("z")) / F.col("dz")) - enter
+
+
 def view_index(obs: DataFrame, met: DataFrame, n_rays: int, k: float = 0.5, lad: float = 1.0, cutoff: float = 0.01) -> DataFrame:
     """Mean over all rays of 1 - exp(-k LAD L), L the stretch in the first tree voxel met; solid first gives 0."""
     first = met.groupBy("r", "c", "ray").agg(F.min_by(F.struct("cls", "enter", "leave", "z", "dz"), F.struct("enter", "cls")).alias("m")).select("r", "c", "m.*")
-    level = F.floor(F.col("z") + F.col("enter") * F.col("dz") + 1e-9) + 1
-    length = F.least(F.col("leave"), (level - F.col("z")) / F.col("dz")) - F.col("enter")
-    t = F.exp(-k * lad * length)
+    t = F.exp(-k * lad * _in_voxel(F.col("enter"), F.col("leave")))
     part = F.when((F.col("cls") == TREE) & (t >= cutoff), 1 - t).otherwise(0.0)
     total = first.groupBy("r", "c").agg(F.sum(part).alias("s"))
     return obs.select("r", "c").join(total, ["r", "c"], "left").select("r", "c", (F.coalesce("s", F.lit(0.0)) / n_rays).alias("view"))
 
 
+def whole_view_index(spark, obs: DataFrame, spans: DataFrame, rays: list[tuple[int, float, float, float]], side: int, k: float = 0.5, lad: float = 1.0, cutoff: float = 0.01) -> DataFrame:
+    """`view_index` for many rays, each up to the edge of a square domain of `side` cells or out of its heights.
+
+    Observers stay together and spans are broadcast if they are few, so no meeting is
+    exchanged; the first tree and the first solid of a ray are minima. Spans of a column must
+    not overlap: then the first tree met is also the first left.
+    """
+    ends = F.broadcast(spans.agg(F.min("k0").alias("k_low"), F.max("k1").alias("k_high")))  # one row
+    rows = [(n, dz, *cell) for n, du, dv, dz in rays for cell in path(du, dv, side * math.sqrt(2) / math.hypot(du, dv)) if max(map(abs, cell[:2])) < side]
+    paths = spark.createDataFrame(pd.DataFrame(rows, columns=["ray", "dz", "di", "dj", "t0", "t1"]), "ray int, dz double, di int, dj int, t0 double, t1 double")
+    s = spans.groupBy(F.col("r").alias("sr"), F.col("c").alias("sc")).agg(F.collect_list(F.struct("k0", "k1", "cls")).alias("column"))
+    few = len(s.limit(65_537).select(F.lit(1)).take(65_537)) <= 65_536
+    steps = obs.select("r", "c", "z").repartition("r", "c").join(ends, F.lit(True)).join(F.broadcast(paths), F.lit(True))
+    # Stretches wholly above or below all spans meet none.
+    steps = steps.where("least(z + t0*dz, z + t1*dz) < k_high AND greatest(z + t0*dz, z + t1*dz) > k_low")
+    j = steps.withColumn("sr", F.col("r") + F.col("dj")).withColumn("sc", F.col("c") + F.col("di")).join(F.broadcast(s) if few else s, ["sr", "sc"])
+    j = j.select("r", "c", "z", "ray", "dz", "t0", "t1", F.explode("column").alias("s")).select("*", "s.*")
+    low, high = (F.col("k0") - F.col("z")) / F.col("dz"), (F.col("k1") - F.col("z")) / F.col("dz")
+    j = j.withColumn("enter", F.greatest("t0", F.least(low, high))).withColumn("leave", F.least("t1", F.greatest(low, high))).where(F.col("leave") - F.col("enter") > 1e-9)
+    tree = F.col("cls") == TREE
+    first = j.groupBy("r", "c", "ray", "z", "dz").agg(F.min(F.when(tree, F.col("enter"))).alias("enter"), F.min(F.when(tree, F.col("leave"))).alias("leave"), F.min(F.when(~tree, F.col("enter"))).alias("solid"))
+    t = F.exp(-k * lad * _in_voxel(F.col("enter"), F.col("leave")))
+    seen = F.col("enter").isNotNull() & (F.col("solid").isNull() | (F.col("enter") < F.col("solid"))) & (t >= cutoff)
+    total = first.groupBy("r", "c").agg(F.sum(F.when(seen, 1 - t).otherwise(0.0)).alias("s"))
+    return obs.select("r", "c").join(total, ["r", "c"], "left").select("r", "c", (F.coalesce("s", F.lit(0.0)) / len(rays)).alias("view"))
+
+
 def settle_owners(claims: DataFrame, dem: DataFrame, height: Column, passes: int = 8) -> tuple[DataFrame, int]:
     """Owners of contested cells by a fixed point: rank by top over the owner's own ground until nothing changes.
 

@@ -11,18 +11,19 @@ from urbanweave.operators import scene as V
 from urbanweave.operators.stats import agreement
 from urbanweave.plans.geometry_queries import _mesh
 from urbanweave.plans.registry import query
-from urbanweave.plans.scene_queries import _EL, _HALF, _IRR, _MEET, _REACH, _SCENE, _SUN, _parts, _paths_sql, _scene
+from urbanweave.plans.scene_queries import _EL, _HALF, _IRR, _MEET, _REACH, _SCENE, _SUN, _parts, _paths_sql, _scene, whole_reach
 from urbanweave.sources import bindings as B
 from urbanweave.sources.bindings import with_sql
 
 _ROI = "r BETWEEN 32 AND 95 AND c BETWEEN 32 AND 95"
 
 
+@whole_reach
 @query(with_sql("cell_a claim chm", _SCENE + _paths_sql(_SUN, _REACH) + _MEET + _MEET.replace("met AS", "crop AS").replace("JOIN span s", f"JOIN (SELECT * FROM span WHERE {_ROI}) s") + ", f" + _IRR.format("TRUE") + ", w" + _IRR.format("TRUE").replace("FROM met", "FROM crop") + f" SELECT count(*) AS observers, count(*) FILTER (WHERE abs(f.w - w.w) > 1e-9) AS affected, round(max(w.w - f.w), 5) AS largest FROM f JOIN w USING (r, c) WHERE {_ROI}"))
-def v11_context_effect(spark, sf):
+def v11_context_effect(spark, sf, reach=_REACH):
     ground, buildings, trees, obs = _scene(spark, sf)
     span = ground.unionByName(buildings).unionByName(trees)
-    obs, paths = obs.where(_ROI), V.ray_paths(spark, _SUN, _REACH)
+    obs, paths = obs.where(_ROI), V.ray_paths(spark, _SUN, reach)
     one = V.irradiance(obs, V.meetings(obs, paths, span), _EL).withColumnRenamed("irradiance", "a")
     two = V.irradiance(obs, V.meetings(obs, paths, span.where(_ROI)), _EL).withColumnRenamed("irradiance", "b")
     j = one.join(two, ["r", "c"])
@@ -52,12 +53,13 @@ def v15_explicit_intervals(spark, sf):
 _MODEL = "SELECT r, c, g k0, g + {h} k1, -3 cls FROM lev JOIN own USING (r, c)"
 
 
+@whole_reach
 @query(with_sql("cell_a claim chm", _SCENE + "".join(f", m{k} AS ({_MODEL.format(h=_HALF.format(f'top/{d}'))})" for k, d in ((0, 10), (1, 14), (2, 20))) + _paths_sql(_SUN, _REACH) + "".join(_MEET.replace("met AS", f"h{k} AS").replace("JOIN span s", f"JOIN m{k} s") for k in range(3)) + """, s AS (SELECT (r, c) IN (SELECT (r, c) FROM h0) a, (r, c) IN (SELECT (r, c) FROM h1) b, (r, c) IN (SELECT (r, c) FROM h2) d FROM obs), p AS (SELECT 'AB' AS pair, a x, b y FROM s UNION ALL SELECT 'AC', a, d FROM s UNION ALL SELECT 'BC', b, d FROM s)
 SELECT pair, count(*) FILTER (WHERE x AND y) AS both, count(*) FILTER (WHERE x AND NOT y) AS a_only, count(*) FILTER (WHERE NOT x AND y) AS b_only, count(*) FILTER (WHERE NOT x AND NOT y) AS neither, CAST(0 AS BIGINT) AS excluded, round(count(*) FILTER (WHERE x AND y)/CAST(nullif(count(*) FILTER (WHERE x OR y), 0) AS DOUBLE), 6) AS iou FROM p GROUP BY pair"""))
-def r6_three_models(spark, sf):
+def r6_three_models(spark, sf, reach=_REACH):
     levels, owners, _, _ = _parts(spark, sf)
     obs = levels.join(owners, ["r", "c"], "left_anti").select("r", "c", (F.col("g") + 0.5).alias("z"))
-    paths, j = V.ray_paths(spark, _SUN, _REACH), obs.select("r", "c")
+    paths, j = V.ray_paths(spark, _SUN, reach), obs.select("r", "c")
     for name, d in (("a", 10), ("b", 14), ("d", 20)):
         spans = V.building_spans(levels, owners.withColumn("high", F.col("high") * 10 / d))
         j = j.join(V.meetings(obs, paths, spans).select("r", "c").distinct().withColumn(name, F.lit(True)), ["r", "c"], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from urbanweave.functions import columns as C
 from urbanweave.operators import scene as V
-from urbanweave.plans.registry import query
+from urbanweave.plans.registry import ORACLE_SQL, query, query_without_sql
 from urbanweave.sources import bindings as B
 from urbanweave.sources.bindings import with_sql
 
@@ -148,6 +148,19 @@ path AS (SELECT ray, dz, CAST(floor(0.5+(t0+t1)/2*du) AS BIGINT) di, CAST(floor(
 _MEET = """, met AS (SELECT * FROM (SELECT o.r, o.c, o.z, ray, dz, cls, greatest(t0, (k0-z)/dz) enter, least(t1, (k1-z)/dz) leave FROM obs o, path p JOIN span s ON s.r = o.r + p.dj AND s.c = o.c + p.di) WHERE leave - enter > 1e-9)"""
 _SUN = [(0, _DU, _DV, _DZ)]
 _REACH = 60.0
+#: From corner to corner of the domain along the sun's rays: beyond it there are no cells.
+_EDGE = B.N * math.sqrt(2) / math.cos(math.radians(_EL))
+
+
+def whole_reach(f):
+    """Registers `f` again, as `*_whole`, with sun rays up to the edge of the domain; the first keeps the reach of its SQL."""
+
+    def run(spark, sf):
+        return f(spark, sf, reach=_EDGE)
+
+    run.__name__ = f.__name__ + "_whole"
+    query(ORACLE_SQL[f.__name__].replace(_paths_sql(_SUN, _REACH), _paths_sql(_SUN, _EDGE)))(run)
+    return f
 
 
 def _met(spark, sf, keep, rays=None, reach=_REACH):
@@ -156,9 +169,10 @@ def _met(spark, sf, keep, rays=None, reach=_REACH):
     return obs, V.meetings(obs, V.ray_paths(spark, rays or _SUN, reach), span)
 
 
+@whole_reach
 @query(with_sql("cell_a claim chm", _SCENE + _paths_sql(_SUN, _REACH) + _MEET.replace("JOIN span s", "JOIN (SELECT * FROM span WHERE cls <> -2) s") + " SELECT r, c, (r, c) IN (SELECT (r, c) FROM met) AS shadow FROM obs"))
-def r1_sun_shadow(spark, sf):
-    obs, met = _met(spark, sf, "cls <> -2")
+def r1_sun_shadow(spark, sf, reach=_REACH):
+    obs, met = _met(spark, sf, "cls <> -2", reach=reach)
     hit = met.select("r", "c").distinct().withColumn("hit", F.lit(True))
     return obs.select("r", "c").join(hit, ["r", "c"], "left").select("r", "c", F.coalesce("hit", F.lit(False)).alias("shadow"))
 
@@ -166,9 +180,10 @@ def r1_sun_shadow(spark, sf):
 _IRR = """ AS (SELECT o.r, o.c, 800*sin(radians(35))*CASE WHEN coalesce(solid, 0) > 0 THEN 0 WHEN exp(-0.6*coalesce(leaf, 0)) < 0.01 THEN 0 ELSE exp(-0.6*coalesce(leaf, 0)) END w FROM obs o LEFT JOIN (SELECT r, c, max(CASE WHEN cls <> -2 THEN 1 ELSE 0 END) solid, sum(CASE WHEN cls = -2 THEN leave-enter ELSE 0 END) leaf FROM met WHERE {} GROUP BY r, c) h USING (r, c))"""
 
 
+@whole_reach
 @query(with_sql("cell_a claim chm", _SCENE + _paths_sql(_SUN, _REACH) + _MEET + ", i" + _IRR.format("TRUE") + " SELECT r, c, round(w, 5) AS irradiance FROM i"))
-def r2_direct_irradiance(spark, sf):
-    obs, met = _met(spark, sf, "true")
+def r2_direct_irradiance(spark, sf, reach=_REACH):
+    obs, met = _met(spark, sf, "true", reach=reach)
     return V.irradiance(obs, met, _EL).select("r", "c", F.round("irradiance", 5).alias("irradiance"))
 
 
@@ -183,39 +198,50 @@ def r3_view_index(spark, sf):
     return V.view_index(obs, met, len(_RAYS)).select("r", "c", C.r6(F.col("view")).alias("view"))
 
 
+@query_without_sql
+def r3_view_index_whole(spark, sf):
+    """The reference's 120 x 20 rays from -30 to +30 degrees, up to the edge of the domain; tests cut boxes instead of SQL."""
+    ground, buildings, trees, obs = _scene(spark, sf)
+    span = ground.unionByName(buildings).unionByName(trees)
+    return V.whole_view_index(spark, obs, span, V.grid_rays(), B.N).select("r", "c", C.r6(F.col("view")).alias("view"))
+
+
 _THREE = _SCENE + _paths_sql(_SUN, _REACH) + _MEET + ", cur" + _IRR.format("TRUE") + ", noc" + _IRR.format("cls <> -2") + ", ter" + _IRR.format("cls NOT IN (-2, -3)")
 
 
-def _maps(spark, sf):
-    obs, met = _met(spark, sf, "true")
+def _maps(spark, sf, reach=_REACH):
+    obs, met = _met(spark, sf, "true", reach=reach)
     maps = {n: V.irradiance(obs, met.where(cond), _EL).withColumnRenamed("irradiance", n) for n, cond in (("current", "true"), ("no_canopy", "cls <> -2"), ("terrain", "cls NOT IN (-2, -3)"))}
     return maps["current"].join(maps["no_canopy"], ["r", "c"]).join(maps["terrain"], ["r", "c"])
 
 
+@whole_reach
 @query(with_sql("cell_a claim chm", _THREE + " SELECT r, c, round(noc.w - cur.w, 5) AS canopy_reduction, round(ter.w - noc.w, 5) AS building_reduction FROM cur JOIN noc USING (r, c) JOIN ter USING (r, c)"))
-def r4_reductions(spark, sf):
-    return _maps(spark, sf).select("r", "c", F.round(F.col("no_canopy") - F.col("current"), 5).alias("canopy_reduction"), F.round(F.col("terrain") - F.col("no_canopy"), 5).alias("building_reduction"))
+def r4_reductions(spark, sf, reach=_REACH):
+    return _maps(spark, sf, reach).select("r", "c", F.round(F.col("no_canopy") - F.col("current"), 5).alias("canopy_reduction"), F.round(F.col("terrain") - F.col("no_canopy"), 5).alias("building_reduction"))
 
 
+@whole_reach
 @query(with_sql("cell_a claim chm", _THREE + " SELECT count(*) AS observers, count(*) FILTER (WHERE noc.w < ter.w - 1e-9) AS shaded, count(*) FILTER (WHERE noc.w < ter.w - 1e-9 AND least(r, c, 127-r, 127-c) = 0) AS on_boundary, round(avg(ter.w-noc.w), 5) AS mean, round(max(ter.w-noc.w), 5) AS largest FROM noc JOIN ter USING (r, c)"))
-def r9_building_pair(spark, sf):
+def r9_building_pair(spark, sf, reach=_REACH):
     d = F.col("terrain") - F.col("no_canopy")
     shaded = d > 1e-9
-    return _maps(spark, sf).agg(F.count("*").alias("observers"), F.count_if(shaded).alias("shaded"), F.count_if(shaded & (F.expr("least(r, c, 127-r, 127-c)") == 0)).alias("on_boundary"), F.round(F.avg(d), 5).alias("mean"), F.round(F.max(d), 5).alias("largest"))
+    return _maps(spark, sf, reach).agg(F.count("*").alias("observers"), F.count_if(shaded).alias("shaded"), F.count_if(shaded & (F.expr("least(r, c, 127-r, 127-c)") == 0)).alias("on_boundary"), F.round(F.avg(d), 5).alias("mean"), F.round(F.max(d), 5).alias("largest"))
 
 
 _LOWER = _SCENE.replace("CAST(CAST(top/10 AS FLOAT) AS DOUBLE)", "CAST(CAST(top/14 AS FLOAT) AS DOUBLE)")
 
 
+@whole_reach
 @query(with_sql("cell_a claim chm", _SCENE + ", bs2 AS (" + f"SELECT r, c, g k0, g + {_HALF.format('top/14')} k1, -3 cls FROM lev JOIN own USING (r, c)" + ")" + _paths_sql(_SUN, _REACH) + _MEET.replace("met AS", "ma AS").replace("JOIN span s", "JOIN bs s") + _MEET.replace("met AS", "mb AS").replace("JOIN span s", "JOIN bs2 s") + """, s AS (SELECT (r, c) IN (SELECT (r, c) FROM ma) a, (r, c) IN (SELECT (r, c) FROM mb) b FROM obs)
 SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS a_only, count(*) FILTER (WHERE NOT a AND b) AS b_only, count(*) FILTER (WHERE NOT a AND NOT b) AS neither, CAST(0 AS BIGINT) AS excluded, round(count(*) FILTER (WHERE a AND b)/CAST(nullif(count(*) FILTER (WHERE a OR b), 0) AS DOUBLE), 6) AS iou FROM s"""))
-def r5_height_model_shadow(spark, sf):
+def r5_height_model_shadow(spark, sf, reach=_REACH):
     from urbanweave.operators.stats import agreement
 
     levels, owners, buildings, _ = _parts(spark, sf)
     low = V.building_spans(levels, owners.withColumn("high", F.col("high") * 10 / 14))
     obs = levels.join(owners, ["r", "c"], "left_anti").select("r", "c", (F.col("g") + 0.5).alias("z"))
-    paths = V.ray_paths(spark, _SUN, _REACH)
+    paths = V.ray_paths(spark, _SUN, reach)
     mark = lambda spans, name: V.meetings(obs, paths, spans).select("r", "c").distinct().withColumn(name, F.lit(True))
     j = obs.select("r", "c").join(mark(buildings, "a"), ["r", "c"], "left").join(mark(low, "b"), ["r", "c"], "left")
     return j.agg(*agreement(F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False))))
@@ -230,9 +256,10 @@ def r7_shadow_reach(spark, sf):
     return top.join(F.broadcast(o), F.lit(True)).select("top", F.col("lowest").cast("double").alias("lowest"), C.r6(rise / F.tan(F.radians(F.lit(_EL)))).alias("reach"), F.round(F.col("c0") - rise / _DZ * abs(_DU), 5).alias("west"), F.round(F.col("r1") + rise / _DZ * abs(_DV), 5).alias("north"))
 
 
+@whole_reach
 @query(with_sql("cell_a claim chm", _SCENE + _paths_sql(_SUN, _REACH) + _MEET.replace("JOIN span s", "JOIN bs s") + " SELECT count(*) AS shaded, count(*) FILTER (WHERE nearest <= 60) AS in_corridor, round(avg(nearest), 6) AS mean_distance FROM (SELECT r, c, min(enter) nearest FROM met GROUP BY r, c)"))
-def r8_sunward_corridor(spark, sf):
+def r8_sunward_corridor(spark, sf, reach=_REACH):
     levels, owners, buildings, _ = _parts(spark, sf)
     obs = levels.join(owners, ["r", "c"], "left_anti").select("r", "c", (F.col("g") + 0.5).alias("z"))
-    near = V.meetings(obs, V.ray_paths(spark, _SUN, _REACH), buildings).groupBy("r", "c").agg(F.min("enter").alias("nearest"))
+    near = V.meetings(obs, V.ray_paths(spark, _SUN, reach), buildings).groupBy("r", "c").agg(F.min("enter").alias("nearest"))
     return near.agg(F.count("*").alias("shaded"), F.count_if(F.col("nearest") <= 60).alias("in_corridor"), C.r6(F.avg("nearest")).alias("mean_distance"))
