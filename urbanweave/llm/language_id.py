@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -24,20 +25,25 @@ from pyspark.sql import functions as F
 from urbanweave.llm.arrays import Words, slices, words
 from urbanweave.llm.spark import held_out
 
-PIECE_BYTES, WORD_BYTES, SCALE = 7, 64, 16.0
+#: Pieces of so many bytes are their own keys; words of more bytes than the second are read one by one.
+PIECE_BYTES, BATCH_BYTES, BLOCK = 7, 256, 1 << 16
+MIX = 0xFF51AFD7ED558CCD
 _LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint64
 
 
 @dataclass
 class Vocabulary:
-    """Pieces of at most seven bytes, found by a two-step hash table."""
+    """Pieces of any length, found by a two-step hash table; long ones by a hash, then compared byte by byte."""
 
     keys: np.ndarray
     multiplier: int = 0
     first: np.ndarray = field(default=None)
     second_keys: np.ndarray = field(default=None)
     second_ids: np.ndarray = field(default=None)
+    base: int = 0
+    lengths: tuple[int, ...] = ()  # of long pieces
+    spelled: np.ndarray = field(default=None)  # long pieces, one a row, in the order of their keys
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -45,8 +51,19 @@ class Vocabulary:
         with open(path, "rb") as f:
             pieces = {base64.b64decode(line.split()[0]).lower() for line in f if line.strip()}
         pieces |= {bytes([b]) for b in range(256)}
-        keys = np.array(sorted((len(p) << 56) | int.from_bytes(p, "big") for p in pieces if 0 < len(p) <= PIECE_BYTES), dtype=np.uint64)
-        out = cls(keys, 0x9E3779B97F4A7C15)
+        short = np.array(sorted((len(p) << 56) | int.from_bytes(p, "big") for p in pieces if 0 < len(p) <= PIECE_BYTES), dtype=np.uint64)
+        long = sorted(p for p in pieces if len(p) > PIECE_BYTES)
+        base = 0x9E3779B97F4A7C15
+        while True:
+            keyed = {_long_key(p, base): p for p in long}
+            if len(keyed) == len(long):
+                break
+            base = (base * 5 + 2) % (1 << 64) | 1
+        keys = np.concatenate([short, np.array(sorted(keyed), dtype=np.uint64)])
+        out = cls(keys, 0x9E3779B97F4A7C15, base=base, lengths=tuple(sorted({len(p) for p in long})))
+        out.spelled = np.zeros((len(long), max(out.lengths, default=0)), np.uint8)
+        for row, k in enumerate(sorted(keyed)):
+            out.spelled[row, : len(keyed[k])] = np.frombuffer(keyed[k], np.uint8)
         slot = out._slot(keys)
         out.first = np.full(1 << 20, len(keys), dtype=np.int32)
         out.first[slot[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
@@ -70,28 +87,121 @@ class Vocabulary:
         return ids
 
 
-def _piece_ids(vocabulary: Vocabulary, letters: np.ndarray) -> list[list[np.ndarray]]:
-    """For words of one length (rows of bytes): ids[i][l-1] of the pieces of l bytes that end at byte i+1."""
-    out = []
+def _long_key(piece: bytes, base: int) -> int:
+    h = 0
+    for b in piece:
+        h = (h * base + b + 1) % (1 << 64)
+    return (len(piece) << 56) | ((h * MIX) % (1 << 64) >> 8)  # mixed: the last byte alone moves only low bits
+
+
+def _prefixes(vocabulary: Vocabulary, letters: np.ndarray) -> np.ndarray:
+    """Hashes of all prefixes of words of one length (rows of bytes)."""
+    out = np.zeros((len(letters), letters.shape[1] + 1), dtype=np.uint64)
     for i in range(letters.shape[1]):
-        key = np.zeros(len(letters), dtype=np.uint64)
-        row = []
-        for n in range(1, min(PIECE_BYTES, i + 1) + 1):
-            key = key | (letters[:, i - n + 1].astype(np.uint64) << _U(8 * (n - 1)))
-            row.append(vocabulary.find(key | _U(n << 56)))
-        out.append(row)
+        out[:, i + 1] = out[:, i] * _U(vocabulary.base) + letters[:, i] + _U(1)
     return out
 
 
-def _forward(ids: list[list[np.ndarray]], probability: np.ndarray) -> list[np.ndarray]:
-    """Summed probability of all segmentations of every prefix, times SCALE to its length; probability: piece x language."""
-    alpha = [np.ones((len(ids[0][0]), probability.shape[1]))]
-    for i, row in enumerate(ids):
-        total = np.zeros_like(alpha[0])
-        for n, piece in enumerate(row, 1):
-            total += probability[piece] * (alpha[i + 1 - n] * SCALE**n)
-        alpha.append(total)
-    return alpha
+def _long_ids(vocabulary: Vocabulary, hashes: np.ndarray, windows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the windows of n bytes are long pieces, and which pieces. hashes: a pair of prefix hashes for every window."""
+    h = hashes[1] - hashes[0] * _U(pow(vocabulary.base, n, 1 << 64))
+    ids = vocabulary.find(((h * _U(MIX)) >> _U(8)) | _U(n << 56))
+    which = np.flatnonzero(ids < len(vocabulary.keys))
+    first = len(vocabulary.keys) - len(vocabulary.spelled)
+    same = (vocabulary.spelled[ids[which] - first, :n] == windows[which]).all(axis=1)
+    return which[same], ids[which[same]]
+
+
+def _piece_ids(vocabulary: Vocabulary, letters: np.ndarray) -> Iterator[list[tuple[int, np.ndarray | None, np.ndarray]]]:
+    """For words of one length (rows of bytes), for every byte: (size, rows or all, ids) of the pieces that end there."""
+    sums = _prefixes(vocabulary, letters) if vocabulary.lengths and letters.shape[1] >= vocabulary.lengths[0] else None
+    for i in range(letters.shape[1]):
+        key = np.zeros(len(letters), dtype=np.uint64)
+        row: list[tuple[int, np.ndarray | None, np.ndarray]] = []
+        for n in range(1, min(PIECE_BYTES, i + 1) + 1):
+            key = key | (letters[:, i - n + 1].astype(np.uint64) << _U(8 * (n - 1)))
+            row.append((n, None, vocabulary.find(key | _U(n << 56))))
+        for n in vocabulary.lengths:
+            if n > i + 1:
+                break
+            which, ids = _long_ids(vocabulary, (sums[:, i + 1 - n], sums[:, i + 1]), letters[:, i + 1 - n : i + 1], n)
+            if len(which):
+                row.append((n, which, ids))
+        yield row
+
+
+def _step(row: list[tuple[int, np.ndarray | None, np.ndarray]], probability: np.ndarray, log: list[np.ndarray] | deque, last: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations of the prefix that the last byte ends; log[-n]: n bytes before it."""
+    total = np.zeros_like(last)
+    for n, which, piece in row:
+        if which is None:
+            total += probability[piece] * np.exp(np.minimum(log[-n] - last, 700.0))
+        else:
+            total[which] += probability[piece] * np.exp(np.minimum(log[-n][which] - last[which], 700.0))
+    return last + np.log(np.maximum(total, 1e-300))
+
+
+def _edges(vocabulary: Vocabulary, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pieces of one word of any length, ordered by their end: (end, size, id), a block of ends at a time."""
+    back = max(PIECE_BYTES, *vocabulary.lengths, 1)
+    for at in range(0, len(word), BLOCK):
+        from_ = max(0, at - back)
+        part = word[from_ : at + BLOCK]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        h, base = 0, vocabulary.base
+        for i, b in enumerate(part.tolist()):
+            h = (h * base + b + 1) & 0xFFFFFFFFFFFFFFFF
+            sums[i + 1] = h
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        key = np.zeros(len(part), dtype=np.uint64)
+        for n in range(1, min(PIECE_BYTES, len(part)) + 1):
+            key = key[1:] if n > 1 else key
+            key = key | (part[: len(part) - n + 1].astype(np.uint64) << _U(8 * (n - 1)))
+            ids = vocabulary.find(key | _U(n << 56))
+            which = np.flatnonzero(ids < len(vocabulary.keys))
+            found.append((which + n, np.full(len(which), n), ids[which]))
+        for n in vocabulary.lengths:
+            if n <= len(part):
+                which, ids = _long_ids(vocabulary, (sums[:-n], sums[n:]), np.lib.stride_tricks.sliding_window_view(part, n), n)
+                found.append((which + n, np.full(len(which), n), ids))
+        end, size, ids = (np.concatenate([f[k] for f in found]) for k in range(3))
+        end = end + from_
+        order = np.flatnonzero(end > at)
+        order = order[np.argsort(end[order], kind="stable")]
+        yield end[order], size[order], ids[order]
+
+
+def _long_score(vocabulary: Vocabulary, probability: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Log-probability of one long word: a rolling window as long as the longest piece."""
+    room = max(PIECE_BYTES, *vocabulary.lengths, 1) + 1
+    log = np.zeros((room, probability.shape[1]))
+    done = 0
+    for end, size, ids in _edges(vocabulary, word):
+        stops = np.flatnonzero(np.diff(end, append=-1)) + 1
+        start = 0
+        for stop in stops.tolist():
+            last, i = log[done % room].copy(), int(end[start])
+            total = (probability[ids[start:stop]] * np.exp(np.minimum(log[(i - size[start:stop]) % room] - last, 700.0))).sum(axis=0)
+            log[i % room] = last + np.log(np.maximum(total, 1e-300))
+            start, done = stop, i
+    return log[done % room]
+
+
+def _long_expected(edges: tuple[np.ndarray, np.ndarray, np.ndarray], length: int, probability: np.ndarray) -> np.ndarray:
+    """Expected uses of every piece in one long word; probability: of one language."""
+    end, size, ids = edges
+    p, begin = probability[ids], end - size
+    log_a, log_b = np.zeros(length + 1), np.zeros(length + 1)
+    ends = np.searchsorted(end, np.arange(1, length + 2))
+    for i in range(1, length + 1):
+        k = slice(ends[i - 1], ends[i])
+        log_a[i] = log_a[i - 1] + np.log(max((p[k] * np.exp(np.minimum(log_a[begin[k]] - log_a[i - 1], 700.0))).sum(), 1e-300))
+    order = np.argsort(begin, kind="stable")
+    starts = np.searchsorted(begin[order], np.arange(length + 1))
+    for i in range(length - 1, -1, -1):
+        k = order[starts[i] : starts[i + 1]]
+        log_b[i] = log_b[i + 1] + np.log(max((p[k] * np.exp(np.minimum(log_b[end[k]] - log_b[i + 1], 700.0))).sum(), 1e-300))
+    return np.bincount(ids, p * np.exp(log_a[begin] + log_b[end] - log_a[length]), len(probability))
 
 
 def _by_length(sizes: np.ndarray) -> Iterator[np.ndarray]:
@@ -102,51 +212,64 @@ def _by_length(sizes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def word_scores(vocabulary: Vocabulary, probability: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Log-probability of words (byte spans of `data`) under each language.
+    """Log-probability of words (byte spans of `data`) of any length under each language.
 
-    A word is read with one space before it. A word of more than WORD_BYTES bytes is scored
-    in runs of that many bytes, all of which count.
+    A word is read with one space before it, and whole: every segmentation counts.
     """
     out = np.zeros((len(start), probability.shape[1]))
-    owner, first = np.arange(len(start)), True
-    while len(owner):
-        size = np.minimum(end - start, WORD_BYTES)
-        for group in _by_length(size):
-            letters = data[start[group][:, None] + np.arange(size[group[0]])]
-            if first:
-                letters = np.concatenate([np.full((len(group), 1), 0x20, np.uint8), letters], axis=1)
-            total = _forward(_piece_ids(vocabulary, letters), probability)[-1]
-            out[owner[group]] += np.log(np.maximum(total, 1e-300)) - letters.shape[1] * np.log(SCALE)
-        more = end - start > WORD_BYTES
-        owner, start, end, first = owner[more], start[more] + WORD_BYTES, end[more], False
+    size = end - start
+    for k in np.flatnonzero(size > BATCH_BYTES):
+        out[k] = _long_score(vocabulary, probability, np.concatenate([np.array([0x20], np.uint8), data[start[k] : end[k]]]))
+    few = np.flatnonzero(size <= BATCH_BYTES)
+    room = max(PIECE_BYTES, *vocabulary.lengths, 1)
+    for group in _by_length(size[few]):
+        group = few[group]
+        letters = data[start[group][:, None] + np.arange(size[group[0]])]
+        letters = np.concatenate([np.full((len(group), 1), 0x20, np.uint8), letters], axis=1)
+        log = deque([np.zeros((len(group), probability.shape[1]))], maxlen=room)
+        for row in _piece_ids(vocabulary, letters):
+            log.append(_step(row, probability, log, log[-1]))
+        out[group] = log[-1]
     return out
 
 
 def fit(vocabulary: Vocabulary, counts: dict[bytes, int], rounds: int = 4, smoothing: float = 0.01) -> np.ndarray:
     """Piece probabilities of one language by expectation-maximisation on word counts."""
     n = len(vocabulary.keys)
-    groups = []
-    known = {w: c for w, c in counts.items() if 0 < len(w) <= WORD_BYTES}
+    groups, long = [], []
+    known = {w: c for w, c in counts.items() if 0 < len(w) <= BATCH_BYTES}
     names, weight = list(known), np.array(list(known.values()), dtype=float)
     sizes = np.array([len(w) for w in names], dtype=np.int64)
     if len(names):
         for group in _by_length(sizes):
             letters = np.frombuffer(b"".join(b" " + names[g] for g in group), np.uint8).reshape(len(group), -1)
-            groups.append((_piece_ids(vocabulary, letters), weight[group]))
+            groups.append((list(_piece_ids(vocabulary, letters)), weight[group]))
+    for w, c in counts.items():
+        if len(w) > BATCH_BYTES:
+            parts = list(_edges(vocabulary, np.frombuffer(b" " + w, np.uint8)))
+            long.append((tuple(np.concatenate([x[k] for x in parts]) for k in range(3)), len(w) + 1, c))
     probability = np.append(np.full(n, 1.0 / n), 0.0)
     for _ in range(rounds):
         expected = np.full(n + 1, smoothing)
+        for edges, length, c in long:
+            expected += c * _long_expected(edges, length, probability)
         for ids, w in groups:
-            alpha = [a[:, 0] for a in _forward(ids, probability[:, None])]
+            log_a = [np.zeros(len(w))]
+            for row in ids:
+                log_a.append(_step(row, probability, log_a, log_a[-1]))
             length = len(ids)
-            beta = [np.zeros(len(w)) for _ in range(length)] + [np.ones(len(w))]
-            for i in range(length - 1, -1, -1):  # pieces that end at byte i+1 pass their weight to where they start
-                for size, piece in enumerate(ids[i], 1):
-                    beta[i + 1 - size] += probability[piece] * SCALE**size * beta[i + 1]
-            share = w / np.maximum(alpha[-1], 1e-300)
-            for i in range(length):
-                for size, piece in enumerate(ids[i], 1):
-                    expected += np.bincount(piece, alpha[i + 1 - size] * probability[piece] * SCALE**size * beta[i + 1] * share, n + 1)
+            starts: list[list] = [[] for _ in ids]
+            for i, row in enumerate(ids, 1):
+                for size, which, piece in row:
+                    starts[i - size].append((size, which, piece))
+            back = [np.zeros(len(w))]  # back[k]: from k bytes before the end to the end
+            for row in reversed(starts):
+                back.append(_step(row, probability, back, back[-1]))
+            for i, row in enumerate(ids, 1):
+                for size, which, piece in row:
+                    k = slice(None) if which is None else which
+                    share = np.exp(np.minimum(log_a[i - size][k] + back[length - i][k] - log_a[length][k], 700.0)) * probability[piece] * w[k]
+                    expected += np.bincount(piece, share, n + 1)
         expected[n] = 0.0
         probability = expected / expected.sum()
     return probability
