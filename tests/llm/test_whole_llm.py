@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from urbanweave.llm import language_id
+from urbanweave.llm import language_id, packing
 
 
 def vocabulary():
@@ -51,3 +51,12 @@ def test_long_words_score_alike_on_both_paths_and_teach(monkeypatch):
     single = language_id.fit(v, words, rounds=2)
     assert single == pytest.approx(batch, abs=1e-12)
     assert batch.max() > 100 / len(v.keys)
+
+
+@pytest.mark.parametrize("run", [" " * 1_100_000, "\n" * 1_500_000])
+def test_very_long_white_space_has_the_ids_of_the_library(run):
+    tokens = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "before" + run + "behind"
+    with pytest.raises(ValueError):
+        tokens.fast.encode_to_numpy(text, disallowed_special=())
+    assert tokens.ids(text).tolist() == tokens.plain.encode(text, add_special_tokens=False).ids

@@ -47,7 +47,10 @@ class Tokens:
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+        try:
+            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+        except ValueError:  # its pattern gives up on a very long run of white space
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 @lru_cache(maxsize=2)
