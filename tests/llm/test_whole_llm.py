@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from urbanweave.llm import language_id, packing
+from urbanweave.llm import html_template, language_id, packing
 
 
 def vocabulary():
@@ -60,3 +60,9 @@ def test_very_long_white_space_has_the_ids_of_the_library(run):
     with pytest.raises(ValueError):
         tokens.fast.encode_to_numpy(text, disallowed_special=())
     assert tokens.ids(text).tolist() == tokens.plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("tag", ["article class='post has-sidebar'", "article class='sidebar'", "div id='content' class='with-sidebar comments-open'", "div role='main' class='sidebar'"])
+def test_names_of_modifiers_set_no_article_apart(tag):
+    page = f"<body><{tag}><p>One two.</p><div class='comments'><p>no</p></div></{tag.split()[0]}><div class='sidebar'>side</div></body>"
+    assert html_template.main_text(page, None) == "One two."

@@ -34,6 +34,8 @@ APART = frozenset("script style textarea title noscript template iframe head nav
 APART_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments commentlist complementary contentinfo cookie cookies consent disclaimer disqus dropdown footer form gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup privacy promo promoted promotion related reply replies respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A class or id that says what a node has or lacks, not what it is.
+_MODIFIER = re.compile(r"^(?:has|with|without|no)[-_]|[-_]open$")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 #: Elements that an opening tag of the same kind ends.
 SELF_ENDING = {"p": "p", "li": "li", "td": "td", "th": "td", "tr": "tr", "dt": "dd", "dd": "dd", "option": "option"}
@@ -95,9 +97,9 @@ def parse(source: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
             for kind, a, b, c in _NAMES.findall(attributes):
                 value = (a or b or c).lower()
                 marks += [(kind.lower(), x) for x in value.split()]
-        words = {w for _, x in marks for w in re.split(r"[-_\d]+|(?<=[a-z])(?=[A-Z])", x) if w}
+        words = {w for _, x in marks if not _MODIFIER.search(x) for w in re.split(r"[-_\d]+|(?<=[a-z])(?=[A-Z])", x) if w}
         article = name in ("article", "main") or ("role", "main") in marks
-        apart = apart or name in APART or (bool(words & APART_NAMES) and name not in ("html", "body", "main")) or bool(attributes and _HIDDEN.search(attributes))
+        apart = apart or name in APART or (bool(words & APART_NAMES) and name not in ("html", "body") and not article) or bool(attributes and _HIDDEN.search(attributes))
         link, main = link or name == "a", main or article
         if name not in INLINE:
             tail = ".".join(sorted(x for kind, x in marks if not re.search(r"\d", x)))
