@@ -15,12 +15,12 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
+#: Masks of the first 0 to 8 bytes of a little-endian 64-bit word.
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(0xD6E8FEB86659FD93)
+_WORD_POWERS = _Powers(0xD6E8FEB86659FD93)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -122,10 +122,26 @@ def words(text: pa.Array, lower: bool = False) -> Words:
     edge[offsets] = True
     start = np.flatnonzero(ink[1:] & (~ink[:-1] | edge))
     end = np.flatnonzero(ink[:-1] & (~ink[1:] | edge))
-    up, down = _BYTE_POWERS.get(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[data] * up[:n], dtype=np.uint64)])
-    value = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(data, offsets, start, end, value, np.searchsorted(start, offsets))
+    return Words(data, offsets, start, end, _span_hashes(data, start, end), np.searchsorted(start, offsets))
+
+
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans (of one byte at least): a sum of eight-byte chunks, each mixed with its place.
+
+    The mixing is not linear, so no two texts collide by the structure of their bytes.
+    """
+    size = end - start
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from every byte on
+    chunks = (size + 7) >> 3
+    first = np.cumsum(chunks) - chunks
+    place = np.arange(int(chunks.sum())) - np.repeat(first, chunks)
+    at = np.repeat(start, chunks) + 8 * place
+    value = wide[at] & _MASKS[np.minimum(np.repeat(end, chunks) - at, 8)]
+    value = mix(value ^ mix((place.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15)))
+    return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _U(0xD1B54A32D192ED03))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

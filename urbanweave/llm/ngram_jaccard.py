@@ -1,21 +1,23 @@
 """Exact Jaccard join on word n-grams by universe partition and the pigeonhole principle.
 
-Documents become sets of hashed n-grams. Sizes fall into bands so that only equal or
+Documents become sets of hashed n-grams. Sizes fall into bands, so that only equal or
 neighbouring bands can link. In a band the symmetric difference of a linked pair is at
 most H, so when the universe is hashed into segments with allowances that sum to H + 1,
 at least one segment of both sets differs by less than its allowance: an allowance of 1
 asks for equal segments, one of 2 is served by the segment and its one-deletion
 neighbourhood. How many segments get which allowance is chosen per band by expected cost.
 
-Sets that share a segment key meet in a bucket. Stars around the centres of the buckets join
-sets that may link (by size and by a parity sketch, neither of which loses a link) into
-families. A family is checked exactly in pairs of blocks, each of which returns star edges and
-numbers of links, never its pairs. What may link across families is checked around a growing
-number of centres until every bucket is done, so no link is lost.
+Sets that share a segment key meet in a bucket. Within it leaders are chosen, and a set is
+tied to every leader that a set linked with it may be near to, by a distance that is never
+larger than the number of n-grams in which two sets differ. What is tied together is a
+family: no link leads out of it. Families are verified exactly, in pairs of blocks whose
+sets travel as their differences from one set of the family, and every pair of blocks
+returns star edges and numbers of links, never its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -25,25 +27,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanweave.llm.arrays import mix, signed, slices, words
-from urbanweave.llm.spark import checkpoint, components, fitted, joinable
+from urbanweave.llm.spark import BROADCAST_ROWS, checkpoint, components, fitted, look_up
 
 _U = np.uint64
-#: Sets of a block of a family.
-BLOCK = 128
-#: 64-bit words of a set's parity sketch. Bits in which two sketches differ never outnumber the tokens in which their sets differ.
-SKETCH = 16
-_BITS = [f"s{i}" for i in range(SKETCH)]
+#: Sets of a block of a family, and of a block of a bucket.
+BLOCK, BUCKET = 512, 4096
+#: Rows of a task that works on many blocks, or on many buckets, one after the other.
+TASK_ROWS = 20_000
 #: Cost of a chance meeting relative to one emitted key, and the chance that another set agrees on one token.
 COLLISION_COST, TOKEN_AGREES = 50.0, 0.1
+#: How much larger the largest size of a band is than its smallest: wide bands give fewer sets keys of two bands.
+BAND_WIDTH = 1.7
 
 
 @lru_cache(maxsize=16)
 def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First size of each band up to `largest`, its number of segments, and how many of them get allowance 2."""
+    """First size of each band up to `largest`, its number of segments, and how many of them get allowance 2.
+
+    A set of a band links only with sets of that band and of the bands beside it.
+    """
+    steps = max(1, round(math.log(BAND_WIDTH) / math.log(den / num))) if num < den else 1
     first = [1]
-    while first[-1] <= largest:
-        first.append(max(first[-1] + 1, den * (first[-1] - 1) // num + 1))
-    first += [max(first[-1] + 1, den * (first[-1] - 1) // num + 1), max(first[-1] + 2, den * (first[-1] + 1) // num + 2)]
+    while len(first) < 3 or first[-3] <= largest:
+        low = first[-1]
+        near = den * (low - 1) // num  # sizes that link with the band before
+        far = int(low * (den / num) ** steps + 1e-9)
+        first.append(max(low + 1, near + 1, far))
     segments, double = [], []
     for low, high in zip(first, first[1:], strict=False):
         size = (low + high - 1) / 2
@@ -56,7 +65,7 @@ def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.
         best = int(np.argmin(cost))
         segments.append(int(m[best]))
         double.append(int(two[best]))
-    return np.array(first[:-1]), np.array(segments), np.array(double)
+    return np.array(first), np.array(segments), np.array(double)
 
 
 def shingle_sets(text: pa.Array, shingle: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +78,8 @@ def shingle_sets(text: pa.Array, shingle: int, lower: bool = True) -> tuple[np.n
     counts, rows = w.counts, w.row
     found = []
     for k in range(1, shingle + 1):
+        if k < shingle and not (counts == k).any():
+            continue
         at, value = w.runs(k)
         keep = slice(None) if k == shingle else counts[rows[at]] == k
         found.append((rows[at][keep], value[keep]))
@@ -91,14 +102,15 @@ def _identities(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
-def _sketches(value: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Per set, the parity of the number of tokens hashed to each of 64 x SKETCH bits."""
-    n = len(offsets) - 1
-    bit = mix(value ^ _U(0x2545F4914F6CDD1D)) % _U(64 * SKETCH)
-    place = np.repeat(np.arange(n), np.diff(offsets)) * (64 * SKETCH) + bit.astype(np.int64)
-    odd = np.bincount(place, minlength=n * 64 * SKETCH).astype(np.uint8) & 1
-    packed = np.packbits(odd.reshape(n, SKETCH, 64), axis=2).view(np.int64).reshape(n, SKETCH)
-    return [packed[:, i] for i in range(SKETCH)]
+def _sketches(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Per set, the parity of the number of tokens hashed to each of its bits: a power of two, two bits a token or more."""
+    sizes = np.diff(offsets)
+    bits = 64 << np.ceil(np.log2(np.maximum(sizes, 32) / 32)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    own = (mix(value ^ _U(0x2545F4914F6CDD1D)) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(np.repeat(base[:-1], sizes) + own, minlength=base[-1]).astype(np.uint8) & 1
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[a >> 3 : b >> 3] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
 
 
 def _digests(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -106,15 +118,43 @@ def _digests(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Rec
         for part in slices(batch):
             value, offsets = shingle_sets(part.column(1), shingle)
             node, check = _identities(value, offsets)
-            arrays = [part.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(node), pa.array(check), *map(pa.array, _sketches(value, offsets))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "node", "check", *_BITS])
+            arrays = [part.column(0), part.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(node), pa.array(check), pa.array(_sketches(value, offsets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "n", "node", "check", "sketch"])
+
+
+def _keys(value: np.ndarray, sizes: np.ndarray, scheme: np.ndarray, segments: np.ndarray, double: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segment keys of sets (tokens one after the other) under one band each, and the set that each key belongs to."""
+    m = segments[scheme]
+    base = np.concatenate([[0], np.cumsum(m)])
+    token_scheme = np.repeat(scheme, sizes).astype(np.uint64)
+    segment = (mix(value + token_scheme * _U(0xA0761D6478BD642F)) % np.repeat(m, sizes).astype(np.uint64)).astype(np.int64)
+    place = np.repeat(base[:-1], sizes) + segment
+    code = mix(value ^ _U(0xE7037ED1A0B428DB))
+    order = np.argsort(place, kind="stable")
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code[order], dtype=np.uint64)])
+    ends = np.searchsorted(place[order], np.arange(base[-1] + 1))
+    total = sums[ends[1:]] - sums[ends[:-1]]
+    inside = np.arange(base[-1]) - np.repeat(base[:-1], m)
+    tag = mix(np.repeat(scheme, m).astype(np.uint64) * _U(0x8EBC6AF09C88C6E3) + inside.astype(np.uint64))
+    keys, owner = [mix(total ^ tag)], [np.repeat(np.arange(len(m)), m)]
+    two = np.flatnonzero(segment < np.repeat(double[scheme], sizes))
+    if len(two):
+        keys.append(mix((total[place[two]] - code[two]) ^ tag[place[two]]))
+        owner.append(np.repeat(np.arange(len(m)), sizes)[two])
+    return np.concatenate(keys), np.concatenate(owner)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Keys of all sets: (key, node, spread).
+
+    Sets that share a key within a slice need no other to know it: their rows have a spread
+    above 0. One of them goes on (spread 0) to meet the sets of other slices, so that a
+    frequent key is a row a slice and not a row a set.
+    """
     seen: set[int] = set()  # a set that repeats within this task is emitted once
     for batch in batches:
         for part in slices(batch):
-            value, offsets = shingle_sets(part.column(1), shingle)
+            value, offsets = shingle_sets(part.column(0), shingle)
             node, _ = _identities(value, offsets)
             sizes = np.diff(offsets)
             fresh = np.zeros(len(node), dtype=bool)
@@ -127,24 +167,95 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den:
             value, node, sizes = value[np.repeat(fresh, sizes)], node[fresh], sizes[fresh]
             first, segments, double = bands(num, den, 1 << max(10, int(sizes.max()).bit_length()))
             own = np.searchsorted(first, sizes, side="right") - 1
-            for scheme in (own, own + 1):
-                m = segments[scheme]
-                base = np.concatenate([[0], np.cumsum(m)])
-                token_scheme = np.repeat(scheme, sizes).astype(np.uint64)
-                segment = (mix(value + token_scheme * _U(0xA0761D6478BD642F)) % np.repeat(m, sizes).astype(np.uint64)).astype(np.int64)
-                place = np.repeat(base[:-1], sizes) + segment
-                code = mix(value ^ _U(0xE7037ED1A0B428DB))
-                total = np.zeros(base[-1], dtype=np.uint64)
-                np.add.at(total, place, code)
-                inside = np.arange(base[-1]) - np.repeat(base[:-1], m)
-                tag = mix(np.repeat(scheme, m).astype(np.uint64) * _U(0x8EBC6AF09C88C6E3) + inside.astype(np.uint64))
-                keys, owner = [mix(total ^ tag)], [np.repeat(np.arange(len(m)), m)]
-                two = np.flatnonzero(segment < np.repeat(double[scheme], sizes))
-                if len(two):
-                    keys.append(mix((total[place[two]] - code[two]) ^ tag[place[two]]))
-                    owner.append(np.repeat(np.arange(len(m)), sizes)[two])
-                key, owner = np.concatenate(keys), np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(node[owner]), pa.array(sizes[owner].astype(np.int32))], ["key", "node", "n"])
+            up = den * sizes // num >= first[own + 1]  # some linked set may lie in the next band
+            both = [_keys(value, sizes, own, segments, double)]
+            if up.any():
+                key, owner = _keys(value[np.repeat(up, sizes)], sizes[up], own[up] + 1, segments, double)
+                both.append((key, np.flatnonzero(up)[owner]))
+            key, owner = (np.concatenate(x) for x in zip(*both, strict=True))
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            key, owner = key[new], owner[new]
+            head = np.ones(len(key), dtype=bool)
+            head[1:] = key[1:] != key[:-1]
+            count = np.diff(np.append(np.flatnonzero(head), len(key)))
+            shared = np.flatnonzero(np.repeat(count > 1, count))
+            rows = np.concatenate([np.flatnonzero(head), shared])
+            spread = np.where(np.arange(len(rows)) < len(rows) - len(shared), 0, (node[owner[rows]] & 0xFFFFF) + 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key[rows])), pa.array(node[owner[rows]]), pa.array(spread)], ["key", "node", "spread"])
+
+
+def _tie(bucket: np.ndarray, n: np.ndarray, sketch: list[bytes], radius: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tie the sets of every bucket to leaders: (rows, rows of their leaders, rows that lead).
+
+    bucket: ascending. Leaders are chosen one after the other among the sets that no leader
+    has within their `radius`; every set is tied to all leaders within its `reach`.
+    """
+    tied, leaders = [], []
+    size = np.array([len(s) >> 3 for s in sketch], dtype=np.int64)
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    least = np.minimum.reduceat(size, start)
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(bucket))))
+    for width in np.unique(least):
+        rows = np.flatnonzero(least[group] == width)
+        # Sketches of more bits fold to fewer: the parity of a bit is that of all bits that fall on it.
+        s = np.empty((len(rows), width), dtype=np.uint64)
+        for w in np.unique(size[rows]):
+            k = np.flatnonzero(size[rows] == w)
+            s[k] = np.bitwise_xor.reduce(np.frombuffer(b"".join(sketch[i] for i in rows[k]), np.uint64).reshape(len(k), w // width, width), axis=1)
+        homeless = np.ones(len(rows), dtype=bool)
+        active = np.arange(len(rows))
+        while len(active):
+            g = group[rows[active]]
+            head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            count = np.diff(np.append(head, len(active)))
+            lead = np.minimum.reduceat(np.where(homeless[active], active, len(rows)), head)
+            leaders.append(rows[lead])
+            lead = np.repeat(lead, count)
+            apart = np.bitwise_count(s[active] ^ s[lead]).sum(axis=1, dtype=np.int64)
+            apart = np.maximum(apart, np.abs(n[rows[active]] - n[rows[lead]]))
+            near = (apart <= reach[rows[active]]) & (active != lead)
+            tied.append(np.stack([rows[active[near]], rows[lead[near]]]))
+            homeless[active[(apart <= radius[rows[active]]) | (active == lead)]] = False
+            active = active[np.repeat(np.add.reduceat(homeless[active], head) > 0, count)]
+    a, b = np.concatenate(tied, axis=1) if tied else np.zeros((2, 0), np.int64)
+    return a, b, np.concatenate(leaders) if leaders else np.zeros(0, np.int64)
+
+
+def _tie_buckets(num: int, den: int, split: bool):
+    """Edges between sets and leaders of many buckets, and the leaders of buckets that are split.
+
+    A linked set has at most n (den - num) / num tokens that its partner has not, or the
+    other way round. With split buckets, leaders of two parts are tied if sets near them may link.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, salt, node, n = (np.asarray(table.column(c), dtype=np.int64) for c in ("bucket", "salt", "node", "n"))
+        order = np.lexsort((node, salt, bucket))
+        bucket, salt, node, n = bucket[order], salt[order], node[order], n[order]
+        sketch = table.column("sketch").to_pylist()
+        sketch = [sketch[i] for i in order]
+        place = np.cumsum(np.append(False, (np.diff(bucket) != 0) | (np.diff(salt) != 0)))
+        less = den - num
+        if split:
+            # Near sets have at most n / (1 - less / 2 num) tokens.
+            most = (n * (2 * num)) // (2 * num - less) + 1
+            radius = np.full(len(n), -1)
+            reach = most * less * (3 * num + den) // (2 * num * num) + 2
+        else:
+            radius = n * less // (2 * num)
+            reach = (2 * num * n * less + n * den * less) // (2 * num * num)
+        a, b, leaders = _tie(place, n, sketch, radius, reach)
+        pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
+        lead = leaders[np.asarray(table.column("split"), dtype=bool)[order][leaders]]
+        return pa.table({
+            "a": pa.array(np.concatenate([pairs[0], node[lead]])), "b": pa.array(np.concatenate([pairs[1], node[lead]])),
+            "bucket": pa.array(np.concatenate([np.zeros(len(pairs[0]), np.int64), bucket[lead]])), "leads": pa.array(np.arange(len(pairs[0]) + len(lead)) >= len(pairs[0])),
+        })
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -155,156 +266,160 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([value[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["node", "tokens"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens that a set has beyond its family's first set as they are, and those that it lacks as their complements."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-            keep.append(den * both >= num * (len(x) + len(y) - both))
-        out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-        if out.num_rows:
-            yield out
-
-
-def _block(num: int, den: int):
-    """Exact check of all pairs of a pair of blocks: star edges of what links, and every set's number of links."""
-
-    def check(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        node = np.asarray(table.column("node"), dtype=np.int64)
-        blk = np.asarray(table.column("blk"), dtype=np.int64)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-        size = np.array([len(x) for x in sets], dtype=np.int64)
-        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        shared = times[token] > 1
-        new_id = np.cumsum(times > 1) - 1
-        token, owner = new_id[token[shared]], owner[shared]
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
-        both = np.zeros((len(sets), len(sets)), dtype=np.float64)
-        width = 8192
-        for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
-            a, b = np.searchsorted(token, [low, low + width])
-            m = np.zeros((len(sets), width), dtype=np.float32)
-            m[owner[a:b], token[a:b] - low] = 1
-            both += m @ m.T
-        link = den * both >= num * (size[:, None] + size[None, :] - both)
-        np.fill_diagonal(link, False)
-        if i != j:
-            link &= blk[:, None] != blk[None, :]
-        label = np.arange(len(sets))
-        while True:
-            least = np.minimum(label, np.where(link, label[None, :], len(sets)).min(axis=1, initial=len(sets)))
-            if (least == label).all():
-                break
-            label = least
-        degree = link.sum(axis=1)
-        at = np.flatnonzero(degree)
-        return pa.table({"a": pa.array(node[at]), "b": pa.array(node[label[at]]), "degree": pa.array(degree[at].astype(np.int64))})
-
-    return check
-
-
-def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        rows: list[list] = [[], [], []]
+        for mine, base in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            mine, base = np.frombuffer(mine, np.uint64), np.frombuffer(base, np.uint64)
+            more, lacks = np.setdiff1d(mine, base, assume_unique=True), np.setdiff1d(base, mine, assume_unique=True)
+            for column, x in zip(rows, (len(mine), len(lacks), np.concatenate([more, ~lacks]).tobytes()), strict=True):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.binary()), strict=True))], ["node", "component", "n", "lacks", "apart"])
+
+
+def _links(sets: list[np.ndarray], n: np.ndarray, lacks: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of a block link, exactly: with differences from one base, |A and B| = |base| - lacks(A) - lacks(B) + shared differences."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = times[token] > 1
+    new_id = np.cumsum(times > 1) - 1
+    token, owner = new_id[token[shared]], owner[shared]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    width = 4096
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        a, b = np.searchsorted(token, [low, low + width])
+        m = np.zeros((len(sets), min(width, int(token[-1]) + 1 - low)), dtype=np.float32)
+        m[owner[a:b], token[a:b] - low] = 1
+        both += m @ m.T
+    base = int(n[0] - (size[0] - lacks[0]) + lacks[0])
+    both += base - lacks[:, None] - lacks[None, :]
+    link = den * both >= num * (n[:, None] + n[None, :] - both)
+    np.fill_diagonal(link, False)
+    return link
+
+
+def _verify(num: int, den: int):
+    """Exact check of all pairs of pairs of blocks: star edges of what links, and every set's number of links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        component, i, j, blk, node, n, lacks = (np.asarray(table.column(c), dtype=np.int64) for c in ("component", "i", "j", "blk", "node", "n", "lacks"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("apart").to_pylist()]
+        order = np.lexsort((node, j, i, component))
+        cut = np.flatnonzero((np.diff(component[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        found: list[list[np.ndarray]] = [[], [], []]
+        for rows in np.split(order, cut):
+            rows = rows[np.append(True, np.diff(node[rows]) != 0)]  # rows that share a doc_id may bring a set twice
+            if len(rows) < 2:
+                continue
+            link = _links([sets[k] for k in rows], n[rows], lacks[rows], num, den)
+            if i[rows[0]] != j[rows[0]]:
+                link &= blk[rows][:, None] != blk[rows][None, :]
+            degree = link.sum(axis=1)
+            at = np.flatnonzero(degree)
+            if not len(at):
+                continue
+            label = np.arange(len(rows))
+            while True:
+                least = np.minimum(label, np.where(link, label[None, :], len(rows)).min(axis=1))
+                if (least == label).all():
+                    break
+                label = least
+            for column, x in zip(found, (node[rows][at], node[rows][label[at]], degree[at]), strict=True):
+                column.append(x)
+        return pa.table({c: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for c, x in zip(("a", "b", "degree"), found, strict=True)})
+
+    return run
+
+
+def _dealt(df: DataFrame, keys: list[str], n: int, rows: int = TASK_ROWS) -> DataFrame:
+    """Groups of equal keys dealt to parts of about `rows` rows, so that a task's memory is bounded and small groups share a call."""
+    return df.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(1 + n // rows)).cast("int")).groupBy("part")
+
+
+def families(sketches: DataFrame, members: DataFrame, n_members: int, num: int, den: int) -> DataFrame:
+    """Pairs of sets (a, b) whose components hold every link.
+
+    sketches: node, n, sketch. members: bucket, node, size (of the bucket), n_members in number.
+    """
+    schema = "a long, b long, bucket long, leads boolean"
+    columns = ["bucket", "salt", "node", "n", "sketch", "split"]
+    parts = F.ceil(F.col("size") / BUCKET)
+    drawn = members.join(sketches, "node").withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("split", parts > 1)
+    near = checkpoint(_dealt(drawn.select(*columns), ["bucket", "salt"], n_members).applyInArrow(_tie_buckets(num, den, split=False), schema))
+    edges = near.where(~F.col("leads")).select("a", "b")
+    # Parts of a split bucket meet by their leaders, in pairs of blocks of leaders.
+    wide = members.where(parts > 1).select("bucket").distinct()
+    if not wide.isEmpty():
+        leaders = near.where("leads").join(wide, "bucket").select("bucket", F.col("a").alias("node")).distinct()
+        counts = leaders.groupBy("bucket").agg(F.ceil(F.count("*") / (BUCKET // 2)).cast("int").alias("blocks"))
+        dealt = leaders.join(counts, "bucket").withColumn("blk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        salt = F.least("blk", "other") * F.lit(1 << 20) + F.greatest("blk", "other")
+        dealt, n_dealt = fitted(dealt.select("bucket", "node", salt.alias("salt")))
+        met = _dealt(dealt.join(sketches, "node").withColumn("split", F.lit(False)).select(*columns), ["bucket", "salt"], n_dealt).applyInArrow(_tie_buckets(num, den, split=True), schema)
+        edges = edges.union(met.select("a", "b"))
+    return edges.distinct()
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", with_mark: bool = False) -> DataFrame:
     """Connected components of the links `den * |A and B| >= num * |A or B|` between documents.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links
-    (number of other sets that link with this one). Null or wordless text has an empty
-    set, links with nothing and is its own component. Repeated rows stay repeated; rows with
-    the same doc_id are told apart by their text only. Extra columns are ignored.
+    (number of other, different sets that link with this one) and, on request, mark (a hash
+    of the text, which tells rows with one doc_id apart). Null or wordless text has an empty
+    set, links with nothing and is its own component. Repeated rows stay repeated, and equal
+    sets are one component. A null doc_id is a row like any other but never a component_id,
+    unless all of the component are null. Texts of any length are read whole. An empty table
+    gives an empty result. Extra columns are ignored.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    digests = checkpoint(docs.mapInArrow(partial(_digests, shingle=shingle), ", ".join(["doc_id long", "n long", "node long", "check long", *(f"{b} long" for b in _BITS)])))
-    keys = docs.mapInArrow(partial(_signatures, shingle=shingle, num=num, den=den), "key long, node long, n int")
-    same = Window.partitionBy("key")
-    keys = keys.select("key", "node", "n", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high")).where("low < high")
-    members, n_members = fitted(keys.select("key", "node", "n").distinct())
-    wanted, n_wanted = fitted(members.select("node").distinct())
-    wanted = joinable(wanted, n_wanted)
-    sketches = digests.where("n > 0").join(wanted, "node", "left_semi").groupBy("node", "check").agg(*[F.first(b).alias(b) for b in _BITS], F.min("doc_id").alias("doc_id"))
-    sketches, n_sketches = fitted(sketches)
-    reps = sketches.select("node", "doc_id")
-    # Should two sets share a node, no sketch speaks for both: theirs are nulled and filter nothing.
-    one = F.min("check") == F.max("check")
-    sketches = joinable(sketches.groupBy("node").agg(*[F.when(one, F.first(b)).alias(b) for b in _BITS]), n_sketches)
-    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"c_{b}"))) for b in _BITS), F.lit(0))
-    may_link = (F.col("component") != F.col("c_component")) & (F.least("n", "c_n") * den >= F.greatest("n", "c_n") * num)
-    may_link &= F.coalesce(apart * (den + num) <= (F.col("n") + F.col("c_n")) * (den - num), F.lit(True))
-    by_key = Window.partitionBy("key")
-    left, centres_per_key, families, n_families, found = members, 1, None, 0, None
-
-    def sets_of(nodes: DataFrame, n: int) -> DataFrame:
-        """Whole sets, built from the texts of the documents that stand for these nodes."""
-        asked, n_asked = fitted(reps.join(joinable(nodes, n), "node", "left_semi").select("doc_id").distinct())
-        return docs.join(joinable(asked, n_asked), "doc_id", "left_semi").select("text").mapInArrow(partial(_sets, shingle=shingle), "node long, tokens binary")
-
-    def candidates(state: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, int]:
-        """Pairs of members and centres that may link, with the centres: about `parts` of them in every bucket."""
-        part = F.pmod(F.xxhash64("node", F.lit(parts)), F.lit(parts))
-        centres = state.withColumn("part", part).groupBy("key", "part").agg(F.min_by(F.struct("node", "component", "n"), "node").alias("c"))
-        centres, n = fitted(centres.select("key", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "component", "n")]))
-        drawn = centres.join(sketches.select(F.col("node").alias("c_node"), *[F.col(b).alias(f"c_{b}") for b in _BITS]), "c_node")
-        return state.join(sketches, "node").join(joinable(drawn, n), "key").where(may_link), centres, n
-
-    def open_members(rows: DataFrame) -> tuple[DataFrame, int]:
-        """Members of the buckets that still hold more than one family."""
-        named = rows.withColumn("component", F.col("node")) if families is None else rows.join(joinable(families, n_families), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        return fitted(named.select("key", "node", "n", "component", F.min("component").over(by_key).alias("x"), F.max("component").over(by_key).alias("y")).where("x < y").drop("x", "y"))
-
-    # Families: components of what may link to a centre of a shared bucket. A family is checked
-    # in blocks, all against all, so its sets travel once per block and not once per pair.
-    edges = None
-    for pilot in (True, False):
-        state, n_state = open_members(left)
-        if not n_state:
-            break
-        pairs, _, _ = candidates(state, 1)
-        pairs = pairs.groupBy("node").agg(F.min("c_node").alias("c_node")) if pilot else pairs
-        pairs, n_pairs = fitted(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct())
-        if n_pairs:
-            edges = pairs if edges is None else edges.union(pairs)
-            families, n_families = fitted(components(edges))
-        left = state.drop("component")
-
-    if n_families:
-        counts = families.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        blk = families.join(counts, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        blk = blk.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        blk = blk.select("node", "component", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-        held = blk.join(checkpoint(sets_of(families.select("node"), n_families)), "node")
-        found = checkpoint(held.select("component", "i", "j", "blk", "node", "tokens").groupBy("component", "i", "j").applyInArrow(_block(num, den), "a long, b long, degree long"))
-
-    # What may link across families is checked pair by pair.
-    while True:
-        state, n_state = open_members(left)
-        if not n_state:
-            break
-        pairs, centres, n_centres = candidates(state, centres_per_key)
-        pairs, n_pairs = fitted(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct(), rows_a_task=5000)
-        if n_pairs:
-            sets = checkpoint(sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), 2 * n_pairs))
-            few = (sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) <= 16 << 20
-            x, y = (F.broadcast(t) if few else t for t in (sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))))
-            seen, _ = fitted(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, num=num, den=den), "a long, b long").distinct())
-            both = seen.select("a", "b", F.lit(1).cast("long").alias("degree")).union(seen.select("b", "a", F.lit(1).cast("long")))
-            found = both if found is None else found.union(both)
-        left = state.drop("component").join(joinable(centres.select("key", F.col("c_node").alias("node")), n_centres), ["key", "node"], "left_anti")
-        centres_per_key = min(centres_per_key * 32, 4096)
-
-    labels, n_labels = fitted(components(found)) if found is not None else (None, 0)
-    out = digests.drop(*_BITS).withColumn("class", F.when(F.col("n") > 0, F.col("node")))
-    if labels is None:
-        grown = digests.select(F.col("node").alias("class"), F.col("node").alias("root")).limit(0)
-        degree = digests.select(F.col("node").alias("class"), F.lit(0).cast("long").alias("n_links")).limit(0)
-    else:
-        grown = labels.select(F.col("node").alias("class"), F.col("component").alias("root"))
-        degree = found.groupBy(F.col("a").alias("class")).agg(F.sum("degree").alias("n_links"))
-    out = out.join(joinable(grown, n_labels), "class", "left").join(joinable(degree, n_labels), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    # Sets that differ but share the 64-bit node keep apart unless links join them: `check` is part of an unlinked root.
-    out = out.withColumn("apart", F.when(F.col("n_links").isNull(), F.col("check")).otherwise(F.lit(0)))
-    smallest = out.where("n > 0").groupBy("root", "apart").agg(F.min("doc_id").alias("least"))
-    out = out.join(smallest, ["root", "apart"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    digests = checkpoint(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(partial(_digests, shingle=shingle), "doc_id long, mark long, n long, node long, check long, sketch binary"))
+    nodes = digests.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = checkpoint(nodes)
+    n_rows = nodes.agg(F.sum("copies")).first()[0] or 0
+
+    # Keys that two sets share. Rows that know it already spread over the tasks; the others meet under their key.
+    keys = docs.select("text").mapInArrow(partial(_signatures, shingle=shingle, num=num, den=den), "key long, node long, spread int")
+    meet = Window.partitionBy("key", "spread")
+    keys = keys.select("key", "node", "spread", F.min("node").over(meet).alias("low"), F.max("node").over(meet).alias("high"))
+    shared = checkpoint(keys.where("spread > 0 or low < high").select("key", "node").distinct())
+    # Buckets of the same sets are one bucket.
+    buckets = shared.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("size")).where("size > 1")
+    buckets = buckets.select("key", F.xxhash64("x", "y", "size").alias("bucket"), "size")
+    members, n_members = fitted(shared.join(buckets, "key").select("bucket", "node", "size").distinct())
+    sketches = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    edges = families(sketches, members, n_members, num, den)
+    family, n_family = fitted(components(edges))
+
+    # Sets of the families, from one document each, as differences from the first set of the family.
+    asked, n_asked = fitted(nodes.join(family.select("node"), "node", "left_semi").select(F.col("least").alias("asked")).distinct())
+    texts = docs.join(F.broadcast(asked) if n_asked <= BROADCAST_ROWS else asked, F.col("doc_id").eqNullSafe(F.col("asked")), "left_semi").select("text")
+    sets = checkpoint(texts.mapInArrow(partial(_sets, shingle=shingle), "node long, tokens binary").join(family, "node").select("node", "component", "tokens"))
+    base = sets.where("node = component").select("component", F.col("tokens").alias("base"))
+    apart = sets.join(base, "component").select("node", "component", "tokens", "base").mapInArrow(_differences, "node long, component long, n long, lacks long, apart binary")
+    apart = checkpoint(apart)
+    counts = family.groupBy("component").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    counts, _ = fitted(counts)
+    n_dealt = counts.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
+    dealt = apart.join(counts, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "n", "lacks", "apart")
+    found = checkpoint(_dealt(dealt, ["component", "i", "j"], n_dealt, 4096).applyInArrow(_verify(num, den), "a long, b long, degree long"))
+
+    # One row a set: its component and its number of links; then one look-up a document.
+    labels = components(found).select("node", F.col("component").alias("root"))
+    degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("degree").alias("n_links"))
+    nodes = nodes.select("node", "check", "least", "copies").join(labels, "node", "left").join(degree, "node", "left")
+    # Different sets that share the 64-bit node keep apart unless links join them.
+    nodes = nodes.select("node", "check", "least", "copies", "n_links", F.coalesce("root", "node").alias("root"), F.when(F.col("n_links").isNull(), F.col("check")).otherwise(F.lit(0)).alias("apart"))
+    nodes = checkpoint(nodes)
+    smallest = nodes.groupBy("root", "apart").agg(F.min("least").alias("component_id"))
+    nodes = nodes.join(smallest, ["root", "apart"]).select(F.xxhash64("node", "check").alias("class"), "copies", "n_links", "component_id")
+    rows = digests.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.xxhash64("node", "check")).otherwise(F.xxhash64(F.lit("alone"), "doc_id", "mark")).alias("class"))
+    out = look_up(rows, nodes, "class", n_rows, F.xxhash64(F.lit("spread"), "doc_id", "mark"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *["mark"] * with_mark)

@@ -7,30 +7,32 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only after it was counted and found to have at most so many rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only after it was counted and found to have at most so many rows of a few numbers each.
+BROADCAST_ROWS = 100_000
+#: A key is hot if it has more than one in so many rows: there can only be so many hot keys.
+HOT_SHARE = 1000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: what the session names in spark.checkpoint.dir.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is
-    set (local tests) a temporary one is made.
+    Where none is set, a local session makes a temporary one; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder of the session."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast for a checkpointed side of at most `rows` rows; else leave the join to Spark."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
@@ -52,11 +54,6 @@ def fitted(df: DataFrame, rows_a_task: int = 100_000) -> tuple[DataFrame, int]:
     return df.coalesce(1 + n // rows_a_task), n
 
 
-def joinable(df: DataFrame, n: int, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for a side whose counted rows are few."""
-    return F.broadcast(df) if n <= rows else df
-
-
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of an undirected edge table: (node, component = smallest node).
 
@@ -64,22 +61,34 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     the number of rounds is logarithmic in the longest chain. Null ends and self links are
     dropped; an empty table gives an empty result.
     """
-    edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u > v").distinct()
-    edges, n = fitted(edges)
-    tight = lambda df: df.coalesce(1 + n // 50_000)  # noqa: E731  the work of a round follows the edges left
-    while n:
+    edges = checkpoint(links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u > v").distinct())
+    while True:
         # Stars: no node has two parents, and none is both a parent and a child.
         roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(edges.select("v", F.lit(0), F.lit(1)))
         roles = roles.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
-        if roles.where("child > 1 or child = 1 and parent = 1").isEmpty():
+        n, loose = roles.agg(F.sum("child"), F.count_if((F.col("child") > 1) | (F.col("child") == 1) & (F.col("parent") == 1))).first()
+        edges = edges.coalesce(1 + (n or 0) // 100_000)  # the work of a round follows the edges left
+        if not loose:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = tight(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
-        large = both.join(joinable(least, n), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large, n = fitted(large)
-        least = tight(large.groupBy("u").agg(F.min("v").alias("m")))
-        joined = large.join(joinable(least, n), "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        edges, n = fitted(small.where("u > v").distinct())
+        edges = checkpoint(small.where("u > v").distinct())
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def look_up(rows: DataFrame, values: DataFrame, key: str, n_rows: int, spread: Column) -> DataFrame:
+    """Left join of `rows` with `values` (one row a key, with the number of `rows` of each key in `copies`).
+
+    Hot keys are joined by a broadcast of their values, of which there are at most HOT_SHARE;
+    their rows then take part in the shuffle of the others under a number of their own.
+    """
+    names = [c for c in values.columns if c not in (key, "copies")]
+    hot = values.where(F.col("copies") > max(1000, n_rows // HOT_SHARE)).select(F.col(key), *[F.col(c).alias(f"hot_{c}") for c in names], F.lit(True).alias("hot_key"))
+    out = rows.join(F.broadcast(hot), key, "left")
+    out = out.withColumn("join_key", F.when(F.col("hot_key"), spread).otherwise(F.col(key)))
+    out = out.join(values.select(F.col(key).alias("join_key"), *[F.col(c).alias(f"cold_{c}") for c in names]), "join_key", "left")
+    return out.select(*rows.columns, *[F.when(F.col("hot_key"), F.col(f"hot_{c}")).otherwise(F.col(f"cold_{c}")).alias(c) for c in names])
