@@ -38,13 +38,15 @@ def line_features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = words(text)
     data, offsets = w.data, w.offsets
     n_rows = len(offsets) - 1
-    breaks = np.flatnonzero(data == 10) + 1
-    starts = np.sort(np.concatenate([offsets[:-1], breaks]), kind="stable")
-    # A break at the very end of a row starts an empty line there, which counts as part of no row's text but is harmless.
-    row = np.searchsorted(offsets[:-1], starts, side="right") - 1
+    # Lines are dealt to their own rows: a row has one line more than line breaks, and the last may be empty.
+    breaks = np.flatnonzero(data == 10)
+    starts = np.concatenate([offsets[:-1], breaks + 1])
+    row = np.concatenate([np.arange(n_rows), np.searchsorted(offsets, breaks, side="right") - 1])
+    order = np.lexsort((starts, row))
+    starts, row = starts[order], row[order]
     first = np.searchsorted(row, np.arange(n_rows + 1))
     ends = np.append(starts[1:], len(data))
-    size = np.maximum(ends - starts, 0)
+    size = ends - starts
     n = len(starts)
 
     def per_line(values: np.ndarray) -> np.ndarray:
@@ -200,7 +202,8 @@ def _score(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Recor
 def quality(docs: DataFrame, field: Field, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Quality of every whole text: doc_id, held_out, score, predicted (score >= threshold).
 
-    A null or empty text is one empty line and is scored like any other. Repeated rows stay
+    A null or empty text is one empty line and is scored like any other. Texts of any length
+    are scored whole, and a row's score depends on its own text alone. Repeated rows stay
     repeated; extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
