@@ -35,8 +35,9 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode("ascii")
 
 
-def _record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or a revisit with the headers alone."""
+def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record: a response with its payload, or a revisit with the headers alone. A page without an id has an empty one."""
+    page_id = "" if page_id is None else page_id
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode("ascii")
     revisit = refers_to is not None
     block = http if revisit else http + payload
@@ -144,11 +145,12 @@ def parse_record(raw: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
     page = lambda x: int(x.rsplit(":", 1)[1].rstrip(">"))
+    own = fields["WARC-Record-ID"]
     kind = fields["WARC-Type"]
     stated = fields["WARC-Payload-Digest"].split(":", 1)[1]
     if kind == "response" and (len(payload) != size or base32_sha1(payload) != stated):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} is not what its record states")
-    return {"page_id": page(fields["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": stated, "record_type": kind, "refers_to": page(fields["WARC-Refers-To"]) if kind == "revisit" else None, "url": fields.get("WARC-Target-URI"), "payload": payload.decode("utf-8") if kind == "response" else None}
+    return {"page_id": None if own == "<urn:page:>" else page(own), "payload_bytes": size, "payload_digest": stated, "record_type": kind, "refers_to": page(fields["WARC-Refers-To"]) if kind == "revisit" else None, "url": fields.get("WARC-Target-URI"), "payload": payload.decode("utf-8") if kind == "response" else None}
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str, with_payload: bool) -> Iterator[pa.RecordBatch]:
@@ -199,7 +201,8 @@ def round_trip(pages: DataFrame, least: int = 0, with_payload: bool = False) ->
     Returns page_id, payload_bytes, payload_digest (bare base-32 SHA-1 of the full payload),
     record_type, refers_to, url, and payload (of responses, on request). Rows that repeat a
     page_id and payload are each written, all as responses if the page_id is the smallest.
-    A null page_id is refused. An empty table gives an empty result.
+    A row with a null page_id is a response, and no other record refers to it. Payloads of
+    any size are written and read whole, one record at a time. An empty table gives an empty result.
     """
     root = shared_folder(pages.sparkSession)
     folder = f"{root.rstrip('/')}/archives-{uuid.uuid4().hex}"
