@@ -24,7 +24,8 @@ from urbanweave.llm.spark import checkpoint
 
 #: Split of a text before byte pairs are merged, as the vocabulary's file prescribes. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PARTS = 256
+#: Pieces of one bin that are ranked in one task.
+RANKED = 20_000
 
 
 class Tokens:
@@ -42,10 +43,13 @@ class Tokens:
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         spelled = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         ranks = {bytes(spelled[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
-        self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        split = spec.get("pre_tokenizer") or {}
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and spec.get("normalizer") is None
+        # The fast coder splits as byte-level files do by default; files that say otherwise are left to the tokenizer library.
+        self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if usual else None
 
     def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special):
             return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
         try:
             return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
@@ -162,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, step
 
     A document is its token ids and then the id `end`; null text counts as empty, so it
     still holds one token. Returns per piece doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset (and ids). Repeated rows are packed each. An empty table gives an
+    sequence_id, offset (and ids). Texts of any length are packed whole. Repeated rows are packed each. An empty table gives an
     empty result. Rows without a doc_id are packed as well. Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -170,11 +174,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, step
     pieces = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_pieces, path=tokenizer, window=window, end=end, with_ids=with_ids), schema)
     units = window // step
     pieces = pieces.withColumn("bin", F.when(F.col("length") == window, F.lit(0)).otherwise(F.ceil(F.col("length") / step)).cast("int"))
-    pieces = checkpoint(pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS)).cast("int")))
-    counts = pieces.groupBy("bin", "part").agg(F.count("*").alias("n"))
+    pieces = checkpoint(pieces)
     histogram = np.zeros(units + 1, dtype=np.int64)
-    for b, n in counts.groupBy("bin").agg(F.sum("n")).collect():  # one row per bin: bounded by the window
+    for b, n in pieces.groupBy("bin").agg(F.count("*")).collect():  # one row per bin: bounded by the window
         histogram[b] = n
+    # A bin is cut into as many parts as its pieces need, so that no task ranks more than about RANKED.
+    parts = F.element_at(F.lit([int(1 + n // RANKED) for n in histogram]), F.col("bin") + 1)
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), parts).cast("int"))
+    counts = pieces.groupBy("bin", "part").agg(F.count("*").alias("n"))
     slots, base = [(0, 0, int(histogram[0]), 0, 1)], int(histogram[0])
     used = dict.fromkeys(range(1, units + 1), 0)
     for pattern, repeat in plan(histogram[1:], depth):
@@ -187,7 +194,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, step
     by_part = Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(by_part), F.lit(0))).drop("n")
     inside = Window.partitionBy("bin", "part").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(before), ["bin", "part"])  # at most (units + 1) x PARTS rows
+    ranked = pieces.withColumn("rank", F.row_number().over(inside)).join(before, ["bin", "part"])
     ranked = ranked.withColumn("rank", F.col("rank") - 1 + F.col("before"))
     placed = ranked.join(F.broadcast(slots), (ranked["bin"] == slots["bin"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     placed = placed.withColumn("sequence_id", F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("each")).cast("long"))
