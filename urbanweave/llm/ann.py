@@ -72,10 +72,10 @@ def fit(sample: np.ndarray, subspaces: int, eta: float, rounds: int = 8, seed: i
     return centres
 
 
-def _encode(matrix: np.ndarray, model: dict[int, np.ndarray], eta: float) -> bytes:
+def _encode(matrix: np.ndarray, model: dict[int, np.ndarray], eta: dict[int, float]) -> bytes:
     """Two four-bit codes a byte."""
-    centres = model[matrix.shape[1]]
-    codes = np.concatenate([_assign(_split(matrix[i : i + 2048], len(centres)), centres, eta) for i in range(0, len(matrix), 2048)])
+    centres, weight = model[matrix.shape[1]], eta[matrix.shape[1]]
+    codes = np.concatenate([_assign(_split(matrix[i : i + 2048], len(centres)), centres, weight) for i in range(0, len(matrix), 2048)])
     return (codes[:, 0::2] * CENTRES + codes[:, 1::2]).astype(np.uint8).T.tobytes()
 
 
@@ -121,6 +121,5 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 819
         eta[dim] = max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
         subspaces = max(2, -(-dim // 4) * 2)
         model[dim] = fit(picked if len(picked) else np.zeros((1, dim)), subspaces, eta[dim])
-    weight = max(eta.values(), default=1.0)
-    found = search_blocks(rows, every, partial(_search, model=model, rerank=rerank), k, "query_id long, vec_id long, score double", partial(_encode, model=model, eta=weight))
+    found = search_blocks(rows, every, partial(_search, model=model, rerank=rerank), k, "query_id long, vec_id long, score double", partial(_encode, model=model, eta=eta))
     return best(found, k, F.asc("score"))

@@ -33,25 +33,26 @@ def _search(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.
     low, width = np.frombuffer(codes, np.float64, d), np.frombuffer(codes, np.float64, d, 8 * d)
     floor = low + np.frombuffer(codes, np.uint8, n * d, 16 * d).reshape(n, d) * width
     ceiling = floor + width
-    exact = np.floor(matrix * scale).astype(np.int64)
+    exact = lambda rows: np.floor(matrix[rows] * scale).astype(np.int64)  # noqa: E731  vectors are read only where the bounds ask for them
+    largest = np.maximum(np.abs(floor), np.abs(ceiling))
     whole = np.floor(queries * scale)
     found: list[list[np.ndarray]] = [[], [], []]
     for at in range(0, len(q_ids), 128):
         q = whole[at : at + 128]
         bounds = np.maximum(q, 0) @ ceiling.T + np.minimum(q, 0) @ floor.T
-        bounds += 1e-9 * np.abs(bounds) + 1e-6  # what rounding in the sums can take away
+        bounds += 1e-9 * (np.abs(q) @ largest.T) + 1e-6  # what rounding in the sums can take away
         for own, row, bound in zip(q_ids[at : at + 128], q.astype(np.int64), bounds, strict=True):
             bound[ids == own] = -np.inf
             first = min(n, 4 * keep)
             chosen = np.argpartition(-bound, first - 1)[:first] if first < n else np.arange(n)
             chosen = chosen[ids[chosen] != own]
-            score = exact[chosen] @ row
+            score = exact(chosen) @ row
             if len(chosen) > keep and first < n:
                 certain = np.partition(score, len(score) - keep)[len(score) - keep]
                 read = bound >= certain
                 read[chosen] = False
                 more = np.flatnonzero(read)
-                chosen, score = np.concatenate([chosen, more]), np.concatenate([score, exact[more] @ row])
+                chosen, score = np.concatenate([chosen, more]), np.concatenate([score, exact(more) @ row])
             top = np.lexsort((ids[chosen], -score))[:keep]
             for column, x in zip(found, (np.full(len(top), own), ids[chosen[top]], score[top]), strict=True):
                 column.append(x)

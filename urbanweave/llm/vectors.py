@@ -1,8 +1,8 @@
 """Blocks of vectors: how a stated query set meets all rows without a cross join.
 
 Rows are dealt into blocks of bounded size and every block becomes one row that holds its
-ids and its matrix as bytes. Query blocks are dealt to candidate blocks by an equi-join on
-the number of the query block.
+ids and its matrix as bytes. Blocks of candidates stay where they are; the far smaller blocks
+of queries are dealt to them by an equi-join on the number of the candidate block.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_ROWS, CANDIDATE_ROWS = 1024, 8192
+QUERY_ROWS, CANDIDATE_ROWS = 1024, 16384
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -53,10 +53,10 @@ def search_blocks(rows: DataFrame, every: int, search: Callable, keep: int, sche
     """
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     counts = rows.agg(F.count("*"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0)).first()
-    n_query = max(1, -(-counts[1] // QUERY_ROWS))
-    asked = blocks(queries, counts[1], QUERY_ROWS).select(F.col("block").alias("asked"), "dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    held = blocks(rows, counts[0], CANDIDATE_ROWS, encode).withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    pairs = held.join(asked, ["asked", "dim"]).select("dim", "ids", "matrix", "codes", "q_ids", "q_matrix")
+    n_blocks = max(1, -(-counts[0] // CANDIDATE_ROWS))
+    asked = blocks(queries, counts[1], QUERY_ROWS).select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    held = blocks(rows, counts[0], CANDIDATE_ROWS, encode)
+    pairs = held.join(asked, ["block", "dim"]).select("dim", "ids", "matrix", "codes", "q_ids", "q_matrix")
     return pairs.mapInArrow(partial(_search, search=search, keep=keep), schema)
 
 
