@@ -1,12 +1,11 @@
-"""Queries that do the whole job, where the SQL of an older query takes a part of it."""
+"""Queries that an earlier version ran over a part of their tables only, or whose rays it cut short."""
 
 import math
 
 import numpy as np
 import pytest
 
-import urbanweave.plans.registry  # noqa: F401  (the query modules import one another in its order)
-from urbanweave.operators import raster, scene
+from urbanweave.operators import raster, rays as ray_tiles, scene
 from urbanweave.plans import geometry_queries, joins_queries, lineage_queries
 
 SF = "/root/testdata/sf0.001"
@@ -47,8 +46,8 @@ def test_broken_record_of_any_event_stops_the_strict_scan(spark):
 def test_odd_documents_count_as_documents(spark, tmp_path):
     spark.createDataFrame([(1,), (2,), (3,)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(2,), (3,), (4,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
-    assert {tuple(r) for r in joins_queries.x2_missing_and_extra_whole(spark, str(tmp_path)).collect()} == {(1, True, False), (4, False, True)}
-    assert {r["id"] for r in joins_queries.x3_common_ids_whole(spark, str(tmp_path)).collect()} == {2, 3}
+    assert {tuple(r) for r in joins_queries.x2_missing_and_extra(spark, str(tmp_path)).collect()} == {(1, True, False), (4, False, True)}
+    assert {r["id"] for r in joins_queries.x3_common_ids(spark, str(tmp_path)).collect()} == {2, 3}
 
 
 def boxes_view(obs, spans, rays):
@@ -87,7 +86,7 @@ def test_view_of_rising_and_falling_rays_to_the_edge(spark):
     eyes = [(r, c, z) for (r, c), z in zip(spots, (1.5, 9.5, 3.5, 12.5, 6.5), strict=False)]
     o, s = spark.createDataFrame(eyes, "r long, c long, z double"), spark.createDataFrame(spans, "r long, c long, k0 long, k1 long, cls int")
     want = boxes_view(eyes, spans, rays)
-    got = {(x["r"], x["c"]): x["view"] for x in scene.whole_view_index(spark, o, s, rays, side).collect()}
+    got = {(x["r"], x["c"]): x["view"] for x in ray_tiles.view_of_many_rays(o, s, rays, side).collect()}
     assert got == pytest.approx(want, abs=1e-9) and max(want.values()) > 0
     met = scene.meetings(o, scene.ray_paths(spark, rays, side * 2.0), s)
     assert {(x["r"], x["c"]): x["view"] for x in scene.view_index(o, met, len(rays)).collect()} == pytest.approx(want, abs=1e-9)

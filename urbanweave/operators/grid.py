@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from urbanweave.functions import columns as C
 
 
+#: Rows of a grid that one task makes.
+ROWS = 16
+
+
 def cells(bounds: DataFrame, resolution: float = 1.0) -> DataFrame:
     """Cells (r, c, x, y) of the grid over `bounds` (one row: r0, r1, c0, c1), with cell centres.
 
-    Rows and columns are generated where the data are, by exploding the row range; a wide
-    grid becomes many rows per task only after the first explode has been dealt out.
+    Blocks of rows are dealt to the tasks first, which then make the rows and columns of theirs.
     """
-    rows = bounds.select("c0", "c1", F.explode(F.sequence("r0", "r1")).alias("r"))
+    blocks = bounds.select("r0", "r1", "c0", "c1", F.explode(F.expr(f"sequence(floor(r0/{ROWS}), floor(r1/{ROWS}))")).alias("block")).repartition("block")
+    rows = blocks.select("c0", "c1", F.explode(F.expr(f"sequence(greatest(r0, block*{ROWS}), least(r1, block*{ROWS}+{ROWS - 1}))")).alias("r"))
     rows = rows.select("r", F.explode(F.sequence("c0", "c1")).alias("c"))
     return rows.select("r", "c", ((F.col("c") + 0.5) * resolution).alias("x"), ((F.col("r") + 0.5) * resolution).alias("y"))
 

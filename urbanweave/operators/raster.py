@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from urbanweave.functions.tables import checkpoint
+
 
 def sample(points: DataFrame, cells: DataFrame, width: int, height: int) -> DataFrame:
     """Nearest-pixel values of points (x, y): value, and whether it is missing or outside, which differ."""
@@ -18,15 +20,47 @@ def sample(points: DataFrame, cells: DataFrame, width: int, height: int) -> Data
     return out.withColumn("value", F.when(~F.col("outside"), F.col("v"))).withColumn("missing", ~F.col("outside") & F.col("v").isNull()).drop("v")
 
 
-def nearest_centres(points: DataFrame, cells: DataFrame, keep: int = 2, reach: int = 1) -> DataFrame:
-    """The `keep` nearest cell centres within `reach` cells of every point, ranked, ties by row and column."""
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    p = points.withColumn("dr", F.explode(around)).withColumn("dc", F.explode(around))
-    p = p.withColumn("r", F.floor("y").cast("long") + F.col("dr")).withColumn("c", F.floor("x").cast("long") + F.col("dc"))
-    j = p.join(cells.select("r", "c", "v"), ["r", "c"])
-    d2 = F.pow(F.col("c") + 0.5 - F.col("x"), 2) + F.pow(F.col("r") + 0.5 - F.col("y"), 2)
-    order = Window.partitionBy("id").orderBy("d2", "r", "c")
-    return j.withColumn("d2", d2).withColumn("k", F.row_number().over(order)).where(F.col("k") <= keep)
+def nearest_centres(points: DataFrame, cells: DataFrame, keep: int = 1) -> DataFrame:
+    """The `keep` nearest cell centres of every point (id, x, y), however far, ranked by k, ties by row and column.
+
+    Points look into the three by three squares around their own; those whose results are
+    not certain yet go on with squares four times as wide, until one square holds everything.
+    A step joins only the points left, by equality of squares. Fewer cells than `keep` are
+    all returned; points without coordinates have none.
+    """
+    ends = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
+    spans = points.agg(*ends).first(), cells.agg(*[f(k) for k in "cr" for f in (F.min, F.max)]).first()
+    known = [v for s in spans for v in s if v is not None]
+    widest = (max(known) - min(known) if known else 0) + 1
+    left, out, size = points.select("id", "x", "y"), None, 1
+    while True:
+        square = lambda at: F.floor(at / size).cast("long")  # noqa: B023, E731
+        around = F.sequence(F.lit(-1), F.lit(1))
+        p = left.withColumn("dr", F.explode(around)).withColumn("dc", F.explode(around))
+        p = p.withColumn("sr", square(F.floor("y")) + F.col("dr")).withColumn("sc", square(F.floor("x")) + F.col("dc"))
+        j = p.select("id", "x", "y", "sr", "sc").join(cells.select("r", "c", "v", square(F.col("r")).alias("sr"), square(F.col("c")).alias("sc")), ["sr", "sc"])
+        d2 = F.pow(F.col("c") + 0.5 - F.col("x"), 2) + F.pow(F.col("r") + 0.5 - F.col("y"), 2)
+        order = Window.partitionBy("id").orderBy("d2", "r", "c")
+        found = j.withColumn("d2", d2).withColumn("k", F.row_number().over(order)).where(F.col("k") <= keep).select("id", "x", "y", "r", "c", "v", "d2", "k")
+        if size >= widest:
+            return found if out is None else out.unionByName(found)
+        found = checkpoint(found)
+        # Beyond the squares nothing is nearer than one of their sides.
+        certain = found.where((F.col("k") == keep) & (F.col("d2") <= size * size)).select("id")
+        done = found.join(certain, "id", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        left = checkpoint(left.join(certain, "id", "left_anti"))
+        if left.isEmpty():
+            return out
+        size *= 4
+
+
+def distance_to(cells: DataFrame, marked: DataFrame) -> DataFrame:
+    """Distance of every cell's centre to the nearest centre of a marked cell: (r, c, distance), null if none is marked."""
+    at = cells.select(F.struct("r", "c").alias("id"), (F.col("c") + 0.5).alias("x"), (F.col("r") + 0.5).alias("y"))
+    near = nearest_centres(at, marked.select("r", "c", F.lit(None).cast("double").alias("v")), keep=1)
+    near = near.select(F.col("id.r").alias("r"), F.col("id.c").alias("c"), F.sqrt("d2").alias("distance"))
+    return cells.select("r", "c").join(near, ["r", "c"], "left")
 
 
 def mosaic(tiles: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -63,9 +97,9 @@ def local_max(cells: DataFrame, reach: int = 4) -> DataFrame:
 
 
 def minimum_tile_sets(tiles: DataFrame) -> DataFrame:
-    """The smallest sets of four tiles (numbered from 0) that cover every cell: tiles (a bit mask), size."""
+    """The smallest sets of tiles (numbered from 0, at most 20) that cover every cell: tiles (a bit mask), size."""
     masks = tiles.groupBy("r", "c").agg(F.expr("bit_or(shiftleft(1, CAST(tile AS INT)))").alias("mask")).select("mask").distinct()
-    held = masks.agg(F.collect_set("mask").alias("masks"))  # at most 2^tiles masks
-    sets = held.select("masks", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("tiles")).where(F.forall("masks", lambda m: m.bitwiseAND(F.col("tiles")) != 0))
+    held = masks.agg(F.collect_set("mask").alias("masks"), F.bit_or("mask").alias("every"))  # at most 2^tiles masks
+    sets = held.select("masks", F.explode(F.expr("sequence(1, every)")).alias("tiles")).where(F.forall("masks", lambda m: m.bitwiseAND(F.col("tiles")) != 0))
     sets = sets.select("tiles", F.bit_count("tiles").alias("size"))
     return sets.join(F.broadcast(sets.agg(F.min("size").alias("least"))), F.col("size") == F.col("least")).select("tiles", "size")

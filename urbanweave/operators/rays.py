@@ -1,0 +1,112 @@
+"""View of trees along many rays: observers in tiles, spans with a halo, one azimuth at a time.
+
+Observers of a tile meet the spans within reach of it by an equality of tiles, so nothing is
+exchanged but the spans, once a tile they matter to. Rays of one azimuth cross the same
+cells whatever their elevation; all observers and elevations advance together, a cell a
+step, and leave when they meet something. Only one number an observer comes out of a task.
+"""
+
+from __future__ import annotations
+
+import math
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from urbanweave.operators.scene import TREE, path
+
+#: Cells of a tile's side.
+TILE = 32
+
+
+def azimuths(rays: list[tuple[int, float, float, float]]) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
+    """Rays (id, du, dv, dz) by azimuth: horizontal direction, and per ray its horizontal and vertical part."""
+    groups: dict[tuple[float, float], list[tuple[float, float]]] = defaultdict(list)
+    for _, du, dv, dz in rays:
+        flat = math.hypot(du, dv)
+        groups[round(du / flat, 12), round(dv / flat, 12)].append((flat, dz if abs(dz) > 1e-12 else 1e-12))
+    return [(u, v, *np.array(x).T) for (u, v), x in groups.items()]
+
+
+def _columns(r: np.ndarray, c: np.ndarray, k0: np.ndarray, k1: np.ndarray, cls: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans as arrays (slot, cell) of their levels and classes; empty slots lie at infinity."""
+    at = r * width + c
+    order = np.lexsort((k0, at))
+    at, k0, k1, cls = at[order], k0[order], k1[order], cls[order]
+    head = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+    slot = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+    slots = int(slot.max(initial=-1)) + 1
+    low, high, kind = np.full((slots, size), np.inf), np.full((slots, size), np.inf), np.zeros((slots, size), np.int64)
+    low[slot, at], high[slot, at], kind[slot, at] = k0, k1, cls
+    return low, high, kind
+
+
+def _tile_view(rays: list[tuple[int, float, float, float]], reach: int, k: float, lad: float, cutoff: float):
+    groups = [(path(u, v, reach * math.sqrt(2)), flat, up) for u, v, flat, up in azimuths(rays)]
+
+    def view(observers: pa.Table, spans: pa.Table) -> pa.Table:
+        r, c = (np.asarray(observers.column(n), dtype=np.int64) for n in "rc")
+        z = np.asarray(observers.column("z"), dtype=np.float64)
+        total = np.zeros(len(r))
+        sr, sc, k0, k1, cls = (np.asarray(spans.column(n), dtype=np.int64) for n in ("sr", "sc", "k0", "k1", "cls"))
+        if len(r) and len(sr):
+            r0, c0, width, height = r.min() - reach, c.min() - reach, int(np.ptp(c)) + 2 * reach + 1, int(np.ptp(r)) + 2 * reach + 1
+            near = (sr >= r0) & (sr < r0 + height) & (sc >= c0) & (sc < c0 + width)
+            low, high, kind = _columns(sr[near] - r0, sc[near] - c0, k0[near], k1[near], cls[near], width, width * height)
+            bottom, top = k0.min(), k1.max()
+            home = (r - r0) * width + (c - c0)
+            for cells, flat, up in groups:
+                o, e = (x.ravel() for x in np.meshgrid(np.arange(len(r)), np.arange(len(flat)), indexing="ij"))
+                for di, dj, h0, h1 in cells:
+                    if max(abs(di), abs(dj)) > reach:
+                        break
+                    t0 = h0 / flat[e]
+                    at = z[o] + t0 * up[e]
+                    alive = np.where(up[e] > 0, at < top, at > bottom)
+                    o, e, t0 = o[alive], e[alive], t0[alive]
+                    if not len(o):
+                        break
+                    cell = home[o] + dj * width + di
+                    some = np.flatnonzero(low[0, cell] < np.inf)
+                    if not len(some):
+                        continue
+                    oo, ee, cell = o[some], e[some], cell[some]
+                    dz, zz, begin, end = up[ee], z[oo], t0[some], h1 / flat[ee]
+                    best, leave, what = np.full(len(some), np.inf), np.zeros(len(some)), np.zeros(len(some), np.int64)
+                    for s in range(len(low)):
+                        a, b = (low[s, cell] - zz) / dz, (high[s, cell] - zz) / dz
+                        enter, out = np.maximum(begin, np.minimum(a, b)), np.minimum(end, np.maximum(a, b))
+                        met = (out - enter > 1e-9) & ((enter < best) | (enter == best) & (kind[s, cell] < what))
+                        best[met], leave[met], what[met] = enter[met], out[met], kind[s, cell][met]
+                    hit = np.isfinite(best)
+                    tree = np.flatnonzero(hit & (what == TREE))
+                    level = zz[tree] + best[tree] * dz[tree]
+                    level = np.where(dz[tree] > 0, np.floor(level + 1e-9) + 1, np.ceil(level - 1e-9) - 1)
+                    t = np.exp(-k * lad * (np.minimum(leave[tree], (level - zz[tree]) / dz[tree]) - best[tree]))
+                    total += np.bincount(oo[tree], np.where(t >= cutoff, 1 - t, 0.0), len(r))
+                    keep = np.ones(len(o), dtype=bool)
+                    keep[some[hit]] = False
+                    o, e = o[keep], e[keep]
+        return pa.table({"r": pa.array(r), "c": pa.array(c), "s": pa.array(total)})
+
+    return view
+
+
+def view_of_many_rays(obs: DataFrame, spans: DataFrame, rays: list[tuple[int, float, float, float]], reach: int, k: float = 0.5, lad: float = 1.0, cutoff: float = 0.01) -> DataFrame:
+    """Mean over all rays of 1 - exp(-k LAD L), L the stretch in the first tree voxel met: (r, c, view).
+
+    Rays go on for `reach` cells along either axis; with the side of the domain that is its
+    edge. Solid met first, or nothing, gives 0. A task holds the spans of one tile of
+    observers and of the cells within reach of it.
+    """
+    tile = lambda at: F.floor(at / TILE).cast("long")
+    o = obs.select("r", "c", F.col("z").cast("double").alias("z")).withColumn("tr", tile(F.col("r"))).withColumn("tc", tile(F.col("c")))
+    used = o.select("tr", "tc").distinct()
+    s = spans.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "k0", "k1", F.col("cls").cast("int").alias("cls"))
+    s = s.withColumn("tr", F.explode(F.sequence(tile(F.col("sr") - reach), tile(F.col("sr") + reach)))).withColumn("tc", F.explode(F.sequence(tile(F.col("sc") - reach), tile(F.col("sc") + reach))))
+    s = s.join(used, ["tr", "tc"], "left_semi")
+    found = o.groupBy("tr", "tc").cogroup(s.groupBy("tr", "tc")).applyInArrow(_tile_view(rays, reach, k, lad, cutoff), "r long, c long, s double")
+    return found.select("r", "c", (F.col("s") / len(rays)).alias("view"))

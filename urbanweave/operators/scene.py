@@ -9,12 +9,13 @@ cell, and cut in height.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanweave.functions.columns import half_up
+from urbanweave.functions.tables import checkpoint
 
 SUBSURFACE, SURFACE, TREE, BUILDING = -1, 1, -2, -3
 
@@ -97,12 +98,24 @@ def meetings(obs: DataFrame, paths: DataFrame, spans: DataFrame) -> DataFrame:
     return j.where(F.col("leave") - F.col("enter") > 1e-9).select("r", "c", "z", "ray", "dz", "cls", "enter", "leave")
 
 
-def irradiance(obs: DataFrame, met: DataFrame, elevation: float, dni: float = 800.0, k: float = 0.6, lad: float = 1.0, cutoff: float = 0.01) -> DataFrame:
+def irradiance(obs: DataFrame, met: DataFrame, elevation: float, **options: float) -> DataFrame:
     """Direct horizontal irradiance: DNI sin(el) T; solid in the way or T below the cutoff gives 0."""
-    hit = met.groupBy("r", "c").agg(F.max((F.col("cls") != TREE).cast("int")).alias("solid"), F.sum(F.when(F.col("cls") == TREE, F.col("leave") - F.col("enter")).otherwise(0.0)).alias("leaf"))
-    t = F.exp(-k * lad * F.coalesce("leaf", F.lit(0.0)))
-    t = F.when(F.coalesce("solid", F.lit(0)) > 0, 0.0).when(t < cutoff, 0.0).otherwise(t)
-    return obs.select("r", "c").join(hit, ["r", "c"], "left").select("r", "c", (F.lit(dni * math.sin(math.radians(elevation))) * t).alias("irradiance"))
+    return irradiance_maps(obs, met, elevation, {"irradiance": F.lit(True)}, **options)
+
+
+def irradiance_maps(obs: DataFrame, met: DataFrame, elevation: float, scenes: dict[str, Column], dni: float = 800.0, k: float = 0.6, lad: float = 1.0, cutoff: float = 0.01) -> DataFrame:
+    """Irradiance of several scenes, each the meetings that its condition keeps, from one pass over the meetings."""
+    sums = []
+    for name, kept in scenes.items():
+        sums.append(F.max((kept & (F.col("cls") != TREE)).cast("int")).alias(f"solid_{name}"))
+        sums.append(F.sum(F.when(kept & (F.col("cls") == TREE), F.col("leave") - F.col("enter")).otherwise(0.0)).alias(f"leaf_{name}"))
+    hit = obs.select("r", "c").join(met.groupBy("r", "c").agg(*sums), ["r", "c"], "left")
+    out = []
+    for name in scenes:
+        t = F.exp(-k * lad * F.coalesce(f"leaf_{name}", F.lit(0.0)))
+        t = F.when(F.coalesce(f"solid_{name}", F.lit(0)) > 0, 0.0).when(t < cutoff, 0.0).otherwise(t)
+        out.append((F.lit(dni * math.sin(math.radians(elevation))) * t).alias(name))
+    return hit.select("r", "c", *out)
 
 
 def _in_voxel(enter: Column, leave: Column) -> Column:
@@ -121,47 +134,39 @@ def view_index(obs: DataFrame, met: DataFrame, n_rays: int, k: float = 0.5, lad:
     return obs.select("r", "c").join(total, ["r", "c"], "left").select("r", "c", (F.coalesce("s", F.lit(0.0)) / n_rays).alias("view"))
 
 
-def whole_view_index(spark, obs: DataFrame, spans: DataFrame, rays: list[tuple[int, float, float, float]], side: int, k: float = 0.5, lad: float = 1.0, cutoff: float = 0.01) -> DataFrame:
-    """`view_index` for many rays, each up to the edge of a square domain of `side` cells or out of its heights.
+def settle_owners(claims: DataFrame, dem: DataFrame, passes: int = 8, strict: bool = False, rasterise: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, int, bool]:
+    """Owners of contested cells by a fixed point: rank by height over the owner's own ground until nothing changes.
 
-    Observers stay together and spans are broadcast if they are few, so no meeting is
-    exchanged; the first tree and the first solid of a ray are minima. Spans of a column must
-    not overlap: then the first tree met is also the first left.
+    Returns (r, c, id, settled) with the number of passes and whether the last one changed
+    nothing; `settled` tells it cell by cell. Heights begin as tops; a building that owns no
+    cell, or would fall to its ground, keeps its last height. `rasterise` may replace the
+    given claims: it takes (id, top, height) and returns claims (id, r, c). Scenes can cycle,
+    so running out of passes is an error only if `strict`. Each pass cuts its lineage.
     """
-    ends = F.broadcast(spans.agg(F.min("k0").alias("k_low"), F.max("k1").alias("k_high")))  # one row
-    rows = [(n, dz, *cell) for n, du, dv, dz in rays for cell in path(du, dv, side * math.sqrt(2) / math.hypot(du, dv)) if max(map(abs, cell[:2])) < side]
-    paths = spark.createDataFrame(pd.DataFrame(rows, columns=["ray", "dz", "di", "dj", "t0", "t1"]), "ray int, dz double, di int, dj int, t0 double, t1 double")
-    s = spans.groupBy(F.col("r").alias("sr"), F.col("c").alias("sc")).agg(F.collect_list(F.struct("k0", "k1", "cls")).alias("column"))
-    few = len(s.limit(65_537).select(F.lit(1)).take(65_537)) <= 65_536
-    steps = obs.select("r", "c", "z").repartition("r", "c").join(ends, F.lit(True)).join(F.broadcast(paths), F.lit(True))
-    # Stretches wholly above or below all spans meet none.
-    steps = steps.where("least(z + t0*dz, z + t1*dz) < k_high AND greatest(z + t0*dz, z + t1*dz) > k_low")
-    j = steps.withColumn("sr", F.col("r") + F.col("dj")).withColumn("sc", F.col("c") + F.col("di")).join(F.broadcast(s) if few else s, ["sr", "sc"])
-    j = j.select("r", "c", "z", "ray", "dz", "t0", "t1", F.explode("column").alias("s")).select("*", "s.*")
-    low, high = (F.col("k0") - F.col("z")) / F.col("dz"), (F.col("k1") - F.col("z")) / F.col("dz")
-    j = j.withColumn("enter", F.greatest("t0", F.least(low, high))).withColumn("leave", F.least("t1", F.greatest(low, high))).where(F.col("leave") - F.col("enter") > 1e-9)
-    tree = F.col("cls") == TREE
-    first = j.groupBy("r", "c", "ray", "z", "dz").agg(F.min(F.when(tree, F.col("enter"))).alias("enter"), F.min(F.when(tree, F.col("leave"))).alias("leave"), F.min(F.when(~tree, F.col("enter"))).alias("solid"))
-    t = F.exp(-k * lad * _in_voxel(F.col("enter"), F.col("leave")))
-    seen = F.col("enter").isNotNull() & (F.col("solid").isNull() | (F.col("enter") < F.col("solid"))) & (t >= cutoff)
-    total = first.groupBy("r", "c").agg(F.sum(F.when(seen, 1 - t).otherwise(0.0)).alias("s"))
-    return obs.select("r", "c").join(total, ["r", "c"], "left").select("r", "c", (F.coalesce("s", F.lit(0.0)) / len(rays)).alias("view"))
-
-
-def settle_owners(claims: DataFrame, dem: DataFrame, height: Column, passes: int = 8) -> tuple[DataFrame, int]:
-    """Owners of contested cells by a fixed point: rank by top over the owner's own ground until nothing changes.
-
-    Each pass cuts its lineage through the session's checkpoint folder; a scene that has not
-    settled after `passes` is an error, not a guess.
-    """
-    from urbanweave.functions.tables import checkpoint
-
-    owners = checkpoint(claims.groupBy("r", "c").agg(F.max_by("id", F.struct("top", "id")).alias("id")))
+    heights = claims.groupBy("id").agg(F.max("top").alias("top")).withColumn("height", F.col("top"))
+    before, changed = None, True
     for k in range(1, passes + 1):
-        ground = owners.join(dem, ["r", "c"]).groupBy("id").agg(F.avg("v").alias("ground"))
-        ranked = claims.join(ground, "id", "left").withColumn("rank", height)
-        now = checkpoint(ranked.groupBy("r", "c").agg(F.max_by("id", F.struct("rank", "id")).alias("id")))
-        if now.exceptAll(owners).isEmpty():
-            return now, k
-        owners = now
-    raise RuntimeError(f"owners have not settled after {passes} passes")
+        places = claims.select("id", "r", "c") if rasterise is None else rasterise(heights).select("id", "r", "c")
+        owners = checkpoint(places.join(heights.select("id", "height"), "id").groupBy("r", "c").agg(F.max_by("id", F.struct("height", "id")).alias("id")))
+        if before is not None:
+            owners = owners.join(before.select("r", "c", F.col("id").alias("was")), ["r", "c"], "left").select("r", "c", "id", F.col("id").eqNullSafe(F.col("was")).alias("settled"))
+            changed = not owners.where(~F.col("settled")).isEmpty()
+            if not changed:
+                return owners, k, True
+        before = owners.select("r", "c", "id")
+        ground = before.join(dem, ["r", "c"]).groupBy("id").agg(F.avg("v").alias("ground"))
+        height = F.round(F.col("top") - F.col("ground"), 9)
+        heights = checkpoint(heights.join(ground, "id", "left").select("id", "top", F.when(height > 0, height).otherwise(F.col("height")).alias("height")))
+    if strict:
+        raise RuntimeError(f"owners have not settled after {passes} passes")
+    return (owners if passes > 1 else owners.withColumn("settled", F.lit(False))), passes, False
+
+
+def in_shadow(obs: DataFrame, spans: DataFrame, paths: DataFrame, occlusion: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = meetings) -> DataFrame:
+    """Whether anything stands between an observer and the sun: (r, c, shadow).
+
+    `occlusion` may replace the ray join: it takes observers, paths and spans and returns
+    rows of the observers (r, c) that meet something.
+    """
+    hit = occlusion(obs, paths, spans).select("r", "c").distinct().withColumn("hit", F.lit(True))
+    return obs.select("r", "c").join(hit, ["r", "c"], "left").select("r", "c", F.coalesce("hit", F.lit(False)).alias("shadow"))

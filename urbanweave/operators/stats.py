@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanweave.functions.columns import r6
+from urbanweave.functions.tables import checkpoint
 
 
-def distribution(value: Column) -> list[Column]:
-    """Count, zeros, positives, mean and five exact quantiles (linear interpolation) of finite values."""
-    v = F.when(~F.isnan(value), value)
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.0, 0.05, 0.5, 0.95, 1.0)]))
-    names = ("low", "p05", "median", "p95", "high")
-    return [F.count(v).alias("n"), F.count_if(v == 0).alias("n_zero"), F.count_if(v > 0).alias("n_positive"), r6(F.avg(v)).alias("mean"), *[r6(F.element_at(q, k + 1)).alias(n) for k, n in enumerate(names)]]
+def quantiles(df: DataFrame, value: str, by: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear interpolation) of every group: by, and one column a name of `wanted`.
+
+    Values are dealt to tasks by ranges; the sizes of the ranges give each its first rank, so
+    no group and no map of its values is held in one task. Nulls and NaN take no part.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(by).alias("g"), F.col(value).alias("v"), F.monotonically_increasing_id().alias("tie"))
+    rows = checkpoint(rows.repartitionByRange("g", "v", "tie").withColumn("part", F.spark_partition_id()))
+    sizes = rows.groupBy("g", "part").agg(F.count("*").alias("n"))
+    parts = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("g", "part", F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("g")).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("g", "part").orderBy("v", "tie"))
+    ranked = rows.withColumn("rank", rank).join(sizes, ["g", "part"]).withColumn("rank", F.col("rank") + F.col("before") - 1)
+    at = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in wanted.items()}
+    pick = lambda where: F.max(F.when(F.col("rank") == where, F.col("v")))
+    out = ranked.groupBy("g").agg(F.max("n").alias("n"), *[x for name, p in at.items() for x in (pick(F.floor(p)).alias(f"low_{name}"), pick(F.ceil(p)).alias(f"high_{name}"))])
+    mixed = lambda name, p: F.col(f"low_{name}") + (F.col(f"high_{name}") - F.col(f"low_{name}")) * (p - F.floor(p))
+    return out.select(F.col("g").alias(by), *[r6(mixed(name, p)).alias(name) for name, p in at.items()])
+
+
+def _with_quantiles(df: DataFrame, value: str, by: str | None, wanted: dict[str, float], sums: list[Column]) -> DataFrame:
+    rows = df.withColumn("one_group", F.lit(1)) if by is None else df
+    key = by or "one_group"
+    facts = (rows.groupBy(key) if by else rows).agg(*sums)
+    facts = facts if by else facts.withColumn(key, F.lit(1))
+    out = facts.join(quantiles(rows, value, key, wanted), key, "left")
+    return out if by else out.drop(key)
 
 
-def errors(value: Column, limits: tuple[float, ...] = (0.05, 0.1, 0.2, 0.5)) -> list[Column]:
-    """Count, extremes, mean, mean absolute and root mean square error, quantiles, and counts beyond limits."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.01, 0.5, 0.99)]))
-    out = [F.count(value).alias("n"), r6(F.min(value)).alias("low"), r6(F.max(value)).alias("high"), r6(F.avg(value)).alias("mean"), r6(F.avg(F.abs(value))).alias("mae"), r6(F.sqrt(F.avg(value * value))).alias("rmse")]
-    out += [r6(F.element_at(q, k + 1)).alias(n) for k, n in enumerate(("p01", "median", "p99"))]
-    return out + [F.count_if(F.abs(value) > t).alias(f"over_{int(t * 100)}") for t in limits]
+def distribution(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """Count, zeros, positives, mean and five exact quantiles of finite values, for all rows or for every group."""
+    v = F.when(~F.isnan(value), F.col(value))
+    sums = [F.count(v).alias("n"), F.count_if(v == 0).alias("n_zero"), F.count_if(v > 0).alias("n_positive"), r6(F.avg(v)).alias("mean"), r6(F.min(v)).alias("low"), r6(F.max(v)).alias("high")]
+    return _with_quantiles(df, value, by, {"p05": 0.05, "median": 0.5, "p95": 0.95}, sums)
+
+
+def errors(df: DataFrame, value: str, limits: tuple[float, ...] = (0.05, 0.1, 0.2, 0.5)) -> DataFrame:
+    """Count, extremes, mean, mean absolute and root mean square error, exact quantiles, and counts beyond limits."""
+    v = F.col(value)
+    sums = [F.count(v).alias("n"), r6(F.min(v)).alias("low"), r6(F.max(v)).alias("high"), r6(F.avg(v)).alias("mean"), r6(F.avg(F.abs(v))).alias("mae"), r6(F.sqrt(F.avg(v * v))).alias("rmse")]
+    return _with_quantiles(df, value, None, {"p01": 0.01, "median": 0.5, "p99": 0.99}, sums + [F.count_if(F.abs(v) > t).alias(f"over_{int(t * 100)}") for t in limits])
 
 
 def by_regions(df: DataFrame, regions: dict[str, Column]) -> DataFrame:
@@ -36,12 +64,17 @@ def agreement(a: Column, b: Column) -> list[Column]:
     return [both.alias("both"), F.count_if(known & a & ~b).alias("a_only"), F.count_if(known & ~a & b).alias("b_only"), F.count_if(known & ~a & ~b).alias("neither"), F.count_if(~known).alias("excluded"), r6(F.try_divide(both.cast("double"), either)).alias("iou")]
 
 
-def digest(df: DataFrame, columns: list[str], buckets: int = 64) -> DataFrame:
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation; null with fewer than two rows or without spread in either."""
+    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), r6(F.corr(a, b)))
+
+
+def digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """Content digest of a table, whatever its order: rows are hashed, sorted in buckets, and the buckets hashed.
 
-    No single row or task holds all row hashes: each bucket is reduced to one hash first.
+    No single row or task holds all row hashes: each of 4,096 buckets is reduced to one hash first.
     """
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
-    h = df.select(row.alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % buckets)
+    h = df.select(row.alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
     part = h.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
     return part.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))

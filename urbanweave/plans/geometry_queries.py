@@ -59,13 +59,14 @@ def _diamond():
     return F.expr(f"array({p('x0+w/2D', 'y0')}, {p('x0+w', 'y0+h/2D')}, {p('x0+w/2D', 'y0+h')}, {p('x0', 'y0+h/2D')}, {p('x0+w/2D', 'y0')})")
 
 
-@query(with_sql("bld point", "SELECT p.id AS point, b.id AS building FROM point p JOIN bld b ON p.x >= b.x0 AND p.x < b.x0+b.w AND p.y >= b.y0 AND p.y < b.y0+b.h WHERE abs(p.x-b.x0-b.w/2.0::DOUBLE)/(b.w/2.0::DOUBLE) + abs(p.y-b.y0-b.h/2.0::DOUBLE)/(b.h/2.0::DOUBLE) < 1 - 1e-9"))
+@query(with_sql("bld point", "SELECT p.id AS point, b.id AS building FROM point p JOIN bld b ON p.x >= b.x0 AND p.x <= b.x0+b.w AND p.y >= b.y0 AND p.y <= b.y0+b.h WHERE abs(p.x-b.x0-b.w/2.0::DOUBLE)/(b.w/2.0::DOUBLE) + abs(p.y-b.y0-b.h/2.0::DOUBLE)/(b.h/2.0::DOUBLE) <= 1 + 1e-9"))
 def g7_point_in_polygon(spark, sf):
     b = B.bld(spark, sf).withColumn("ring", _diamond())
-    cells = B.claims(b).select(F.col("id").alias("building"), "r", "c").join(b.select(F.col("id").alias("building"), "ring", "x0", "y0", "w", "h"), "building")
+    # The boundary belongs to the polygon, so the cells beyond its right and upper corners are its own, too.
+    cells = B.claims(b.select("id", "x0", "y0", (F.col("w") + 1).alias("w"), (F.col("h") + 1).alias("h"), "top")).select(F.col("id").alias("building"), "r", "c").join(b.select(F.col("id").alias("building"), "ring", "x0", "y0", "w", "h"), "building")
     p = B.point(spark, sf).select(F.col("id").alias("point"), "x", "y", F.floor("y").cast("long").alias("r"), F.floor("x").cast("long").alias("c"))
-    clear = F.expr("abs(abs(x-x0-w/2D)/(w/2D) + abs(y-y0-h/2D)/(h/2D) - 1) > 1e-9")
-    return p.join(cells, ["r", "c"]).where(G.contains(F.col("ring"), F.col("x"), F.col("y")) & clear).select("point", "building")
+    edge = F.expr("abs(abs(x-x0-w/2D)/(w/2D) + abs(y-y0-h/2D)/(h/2D) - 1) <= 1e-9")
+    return p.join(cells, ["r", "c"]).where(G.contains(F.col("ring"), F.col("x"), F.col("y")) | edge).select("point", "building")
 
 
 @query(with_sql("bld", "SELECT id, round(CAST(w AS DOUBLE)*h, 6) AS area, (w+1)*(h+1) AS cells FROM bld"))
@@ -84,15 +85,16 @@ def g10_containment(spark, sf):
     return b.select("id", "intersects", kind.alias("class"))
 
 
-@query(with_sql("bld", "SELECT id FROM bld WHERE x0 < 96 AND x0+w > 32 AND y0 < 96 AND y0+h > 32"))
+@query(with_sql("bld", "SELECT id FROM bld WHERE x0 <= 96 AND x0+w >= 32 AND y0 <= 96 AND y0+h >= 32"))
 def g9_aoi_intersects(spark, sf):
-    aoi = spark.range(32, 96).withColumnRenamed("id", "r").withColumn("c", F.explode(F.sequence(F.lit(32).cast("long"), F.lit(95).cast("long"))))
+    # Cells around the area count as well: a footprint that only touches its boundary intersects it.
+    aoi = spark.range(31, 97).withColumnRenamed("id", "r").withColumn("c", F.explode(F.sequence(F.lit(31).cast("long"), F.lit(96).cast("long"))))
     hit = B.claims(B.bld(spark, sf)).join(aoi, ["r", "c"], "left_semi").select("id").distinct()
     return B.bld(spark, sf).join(hit, "id", "left_semi").select("id")
 
 
-_KEYS = """, v AS (SELECT id, list(CAST(CAST(floor(x*8) AS BIGINT) AS VARCHAR) ORDER BY seq) v FROM vertex {where}GROUP BY id)
-SELECT id, sha256(list_min(list_concat([array_to_string(list_concat(v[i:], v[:i-1]), ',') FOR i IN range(1, {end})], [array_to_string(list_concat(list_reverse(v)[i:], list_reverse(v)[:i-1]), ',') FOR i IN range(1, {end})]))) AS key FROM v"""
+_KEYS = """, v AS (SELECT id, list(CAST(CAST(floor(x*8) AS BIGINT) AS VARCHAR) ORDER BY seq) v FROM vertex GROUP BY id)
+SELECT id, sha256(list_min(list_concat([array_to_string(list_concat(v[i:], v[:i-1]), ',') FOR i IN range(1, len(v)+1)], [array_to_string(list_concat(list_reverse(v)[i:], list_reverse(v)[:i-1]), ',') FOR i IN range(1, len(v)+1)]))) AS key FROM v"""
 
 
 def _ring_keys(vertices):
@@ -100,14 +102,8 @@ def _ring_keys(vertices):
     return v.select("id", G.canonical_key(F.transform("p", lambda p: p["k"])).alias("key"))
 
 
-@query(with_sql("vertex", _KEYS.format(where="WHERE seq < 5 ", end="6")))
+@query(with_sql("vertex", _KEYS))
 def g11_canonical_ring(spark, sf):
-    """Keys of the first five vertices, as its SQL has it; `g11_canonical_ring_whole` takes all of them."""
-    return _ring_keys(B.vertex(spark, sf).where("seq < 5"))
-
-
-@query(with_sql("vertex", _KEYS.format(where="", end="len(v)+1")))
-def g11_canonical_ring_whole(spark, sf):
     return _ring_keys(B.vertex(spark, sf))
 
 
@@ -165,7 +161,7 @@ def g17_edge_diagnostics(spark, sf):
 _CROSS = """(({a}nx-{a}x)*({b}y-{a}y)-({a}ny-{a}y)*({b}x-{a}x))*(({a}nx-{a}x)*({b}ny-{a}y)-({a}ny-{a}y)*({b}nx-{a}x)) < 0 AND (({b}nx-{b}x)*({a}y-{b}y)-({b}ny-{b}y)*({a}x-{b}x))*(({b}nx-{b}x)*({a}ny-{b}y)-({b}ny-{b}y)*({a}nx-{b}x)) < 0"""
 
 
-_CROSSINGS = ", e AS (SELECT id, seq, x, y, lead(x) OVER w nx, lead(y) OVER w ny FROM vertex {}WINDOW w AS (PARTITION BY id ORDER BY seq)) SELECT a.id, count(*) AS crossings FROM e a JOIN e b ON a.id = b.id AND b.seq > a.seq + 1 AND a.nx IS NOT NULL AND b.nx IS NOT NULL WHERE " + _CROSS.format(a="a.", b="b.") + " GROUP BY a.id"
+_CROSSINGS = ", e AS (SELECT id, seq, x, y, lead(x) OVER w nx, lead(y) OVER w ny FROM vertex WINDOW w AS (PARTITION BY id ORDER BY seq)) SELECT a.id, count(*) AS crossings FROM e a JOIN e b ON a.id = b.id AND b.seq > a.seq + 1 AND a.nx IS NOT NULL AND b.nx IS NOT NULL WHERE " + _CROSS.format(a="a.", b="b.") + " GROUP BY a.id"
 
 
 def _crossings(vertices):
@@ -174,14 +170,8 @@ def _crossings(vertices):
     return j.where(_CROSS.format(a="a.", b="b.")).groupBy("a.id").agg(F.count("*").alias("crossings"))
 
 
-@query(with_sql("vertex", _CROSSINGS.format("WHERE seq < 8 ")))
+@query(with_sql("vertex", _CROSSINGS))
 def g18_edge_crossings(spark, sf):
-    """Crossings among the first eight vertices, as its SQL has it; `g18_edge_crossings_whole` takes all of them."""
-    return _crossings(B.vertex(spark, sf).where("seq < 8"))
-
-
-@query(with_sql("vertex", _CROSSINGS.format("")))
-def g18_edge_crossings_whole(spark, sf):
     return _crossings(B.vertex(spark, sf))
 
 

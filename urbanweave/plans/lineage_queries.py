@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from urbanweave.functions import columns as C
+from urbanweave.functions.tables import run_folder, write_verified
 from urbanweave.operators import scene as V
 from urbanweave.operators import stats as S
 from urbanweave.plans.registry import query
-from urbanweave.plans.scene_queries import _RAYS, _SCENE, _met, _paths_sql
+from urbanweave.plans.scene_queries import _RAYS, _RAYS_REACH, _SCENE, _met, _paths_sql
 from urbanweave.plans.scene_queries import _MEET as _MEET_SQL
 from urbanweave.sources import bindings as B
 from urbanweave.sources.bindings import with_sql
@@ -43,14 +44,8 @@ def _strict(events):
     return events.select(F.col("event_id").alias("id"), F.from_json("props", "k bigint", {"mode": "FAILFAST"})["k"].alias("k"))
 
 
-@query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 3 = 0")
-def s9_strict_json(spark, sf):
-    """Every third event, as its SQL has it; `s9_strict_json_whole` parses all of them."""
-    return _strict(B.table(spark, sf, "events").where("event_id % 3 = 0"))
-
-
 @query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def s9_strict_json_whole(spark, sf):
+def s9_strict_json(spark, sf):
     return _strict(B.table(spark, sf, "events"))
 
 
@@ -118,11 +113,13 @@ def l7_run_manifest(spark, sf):
     return i.select("inputs", F.sha2(F.concat("inputs", F.lit("|ratio=0.6")), 256).alias("reproducibility"))
 
 
-@query("""SELECT 'count' AS what, (SELECT count(*) FROM part) AS before, (SELECT count(*) FROM part WHERE p_size > 0) AS after UNION ALL SELECT 'names', (SELECT count(DISTINCT p_name) FROM part), (SELECT count(DISTINCT p_name) FROM part WHERE p_size > 0)""")
+@query("""SELECT 'count' AS what, count(*) AS before, count(*) AS after FROM part UNION ALL SELECT 'names', count(DISTINCT p_name), count(DISTINCT p_name) FROM part UNION ALL SELECT 'sizes', CAST(sum(p_size) AS BIGINT), CAST(sum(p_size) AS BIGINT) FROM part""")
 def l8_ingest_preservation(spark, sf):
-    p = B.table(spark, sf, "part")
-    s = p.agg(F.count("*").alias("n0"), F.count_if(F.col("p_size") > 0).alias("n1"), F.count_distinct("p_name").alias("k0"), F.count_distinct(F.when(F.col("p_size") > 0, F.col("p_name"))).alias("k1"))
-    return s.select(F.explode(F.array(F.struct(F.lit("count").alias("what"), F.col("n0").alias("before"), F.col("n1").alias("after")), F.struct(F.lit("names").alias("what"), F.col("k0").alias("before"), F.col("k1").alias("after")))).alias("x")).select("x.*")
+    """Counts, names and sizes of features before and after they went through a verified sink."""
+    p = B.table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    facts = lambda df: df.agg(F.count("*").alias("count"), F.count_distinct("p_name").alias("names"), F.sum("p_size").cast("long").alias("sizes")).select(F.explode(F.create_map(*[x for n in ("count", "names", "sizes") for x in (F.lit(n), F.col(n))])).alias("what", "n"))
+    after = facts(write_verified(p, run_folder(spark, "ingest") + "/part")).withColumnRenamed("n", "after")
+    return facts(p).withColumnRenamed("n", "before").join(after, "what").select("what", "before", "after")
 
 
 @query(with_sql("cell_a bld", "SELECT count(*) AS cells, count(*) FILTER (WHERE v IS NULL) AS uncovered, (count(*) FILTER (WHERE v IS NULL) = 0) AS passed FROM (SELECT unnest(range(lo, hi+1)) r, c0, c1 FROM (SELECT min(y0) lo, max(y0+h)-1 hi, min(x0) c0, max(x0+w)-1 c1 FROM bld)) x, LATERAL (SELECT unnest(range(c0, c1+1)) c) y LEFT JOIN cell_a a ON a.r = x.r AND a.c = y.c"))
@@ -165,9 +162,9 @@ def l12_handoff_audit(spark, sf):
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("violations")) for k in ("classes", "spans", "observers", "surface")])).alias("x")).select("x.*")
 
 
-@query(with_sql("cell_a claim chm", _SCENE + _paths_sql(_RAYS, 12.0) + _MEET_SQL + " SELECT CAST(ray AS INTEGER) AS ray, CAST(cls AS INTEGER) AS cls, count(*) AS meetings, round(sum(leave-enter), 5) AS length FROM met GROUP BY ray, cls"))
+@query(with_sql("cell_a claim chm", _SCENE + _paths_sql(_RAYS, _RAYS_REACH) + _MEET_SQL + " SELECT CAST(ray AS INTEGER) AS ray, CAST(cls AS INTEGER) AS cls, count(*) AS meetings, round(sum(leave-enter), 5) AS length FROM met GROUP BY ray, cls"))
 def j22_ray_span_join(spark, sf):
-    _, met = _met(spark, sf, "true", _RAYS, 12.0)
+    _, met = _met(spark, sf, "true", _RAYS, _RAYS_REACH)
     return met.groupBy("ray", F.col("cls").cast("int").alias("cls")).agg(F.count("*").alias("meetings"), F.round(F.sum(F.col("leave") - F.col("enter")), 5).alias("length"))
 
 

@@ -1,9 +1,8 @@
-"""All registered queries of the urban library, with the SQL that checks them."""
+"""Where queries register, with the SQL that checks them; `catalog` loads the modules that hold them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +28,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def query_without_sql(f: Query) -> Query:
     WITHOUT_SQL[f.__name__] = f
     return f
-
-
-for _name in ("grid", "joins", "stats", "scene", "windows", "geometry", "lineage", "extra"):
-    import_module(f"urbanweave.plans.{_name}_queries")

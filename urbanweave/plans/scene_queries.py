@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 
 from urbanweave.functions import columns as C
 from urbanweave.operators import scene as V
+from urbanweave.operators.rays import view_of_many_rays
 from urbanweave.plans.registry import ORACLE_SQL, query, query_without_sql
 from urbanweave.sources import bindings as B
 from urbanweave.sources.bindings import with_sql
 
 _HALF = "CAST(floor(CAST(CAST({} AS FLOAT) AS DOUBLE) + 0.5) AS BIGINT)"
-_SCENE = f""", lev AS (SELECT r, c, {_HALF.format('v - (SELECT min(v) FROM cell_a)')} + 1 AS g FROM cell_a),
-own AS (SELECT r, c, arg_max(id, (top, id)) id, max(top) top FROM claim GROUP BY r, c),
+_SCENE = f""", lev AS MATERIALIZED (SELECT r, c, {_HALF.format('v - (SELECT min(v) FROM cell_a)')} + 1 AS g FROM cell_a),
+own AS MATERIALIZED (SELECT r, c, arg_max(id, (top, id)) id, max(top) top FROM claim GROUP BY r, c),
 gs AS (SELECT r, c, 0 k0, g-1 k1, -1 cls FROM lev WHERE g > 1 UNION ALL SELECT r, c, g-1, g, 1 FROM lev),
 bs AS (SELECT r, c, g k0, g + {_HALF.format('top/10')} k1, -3 cls FROM lev JOIN own USING (r, c)),
 t0 AS (SELECT r, c, g, {_HALF.format('v*0.4')} lo, {_HALF.format('v')} hi FROM lev JOIN chm USING (r, c)),
 ts AS (SELECT r, c, g + CASE WHEN lo = hi AND hi > 0 THEN lo-1 ELSE lo END k0, g + hi k1, -2 cls FROM t0 WHERE hi > CASE WHEN lo = hi AND hi > 0 THEN lo-1 ELSE lo END),
 tr AS (SELECT t.r, t.c, CASE WHEN b.k1 IS NULL OR b.k0 > t.k0 THEN t.k0 ELSE greatest(t.k0, b.k1) END k0, CASE WHEN b.k0 IS NOT NULL AND b.k0 > t.k0 THEN least(t.k1, b.k0) ELSE t.k1 END k1, t.cls FROM ts t LEFT JOIN bs b USING (r, c)),
 trees AS (SELECT * FROM tr WHERE k1 > k0),
-span AS (SELECT * FROM gs UNION ALL SELECT * FROM bs UNION ALL SELECT * FROM trees),
-obs AS (SELECT r, c, g k, g + 0.5::DOUBLE z FROM lev WHERE (r, c) NOT IN (SELECT (r, c) FROM own))"""
+span AS MATERIALIZED (SELECT * FROM gs UNION ALL SELECT * FROM bs UNION ALL SELECT * FROM trees),
+obs AS MATERIALIZED (SELECT r, c, g k, g + 0.5::DOUBLE z FROM lev WHERE (r, c) NOT IN (SELECT (r, c) FROM own))"""
 
 
 def _parts(spark, sf):
@@ -44,7 +45,7 @@ def _out(df):
     return df.select("r", "c", "k0", "k1", F.col("cls").cast("int").alias("cls"))
 
 
-@query(with_sql("cell_a", _SCENE.split("own AS")[0].rstrip().rstrip(",") + " SELECT r, c, CAST(0 AS BIGINT) k0, g-1 AS k1, -1 AS cls FROM lev WHERE g > 1 UNION ALL SELECT r, c, g-1, g, 1 FROM lev"))
+@query(with_sql("cell_a", _SCENE.split("own AS MATERIALIZED")[0].rstrip().rstrip(",") + " SELECT r, c, CAST(0 AS BIGINT) k0, g-1 AS k1, -1 AS cls FROM lev WHERE g > 1 UNION ALL SELECT r, c, g-1, g, 1 FROM lev"))
 def v1_ground_spans(spark, sf):
     return _out(V.ground_spans(V.ground_levels(B.cell_a(spark, sf))))
 
@@ -79,14 +80,18 @@ def v6_scenario_variants(spark, sf):
     return named.groupBy("scene", F.col("cls").cast("int").alias("cls")).agg(F.count("*").alias("spans"), F.sum(F.col("k1") - F.col("k0")).alias("voxels"))
 
 
-_PASS = "g{k} AS (SELECT o.id, avg(v) ground FROM o{j} o JOIN cell_a USING (r, c) GROUP BY o.id), o{k} AS (SELECT r, c, arg_max(k.id, (k.top - coalesce(ground, 0), k.id)) id FROM claim k LEFT JOIN g{k} g ON g.id = k.id GROUP BY r, c)"
+_PASSES = 8
+_PASS = """, o{k} AS MATERIALIZED (SELECT r, c, arg_max(k.id, (h.height, k.id)) id FROM claim k JOIN h{j} h ON h.id = k.id GROUP BY r, c),
+h{k} AS MATERIALIZED (SELECT h.id, h.top, CASE WHEN round(h.top - g.ground, 9) > 0 THEN round(h.top - g.ground, 9) ELSE h.height END AS height FROM h{j} h LEFT JOIN (SELECT o.id, avg(v) ground FROM o{k} o JOIN cell_a USING (r, c) GROUP BY o.id) g ON g.id = h.id)"""
+_SETTLE = ", h0 AS MATERIALIZED (SELECT id, max(top) AS top, max(top) AS height FROM claim GROUP BY id)" + "".join(_PASS.format(j=k - 1, k=k) for k in range(1, _PASSES + 1))
+_STABLE = " ".join(f"WHEN NOT EXISTS (SELECT 1 FROM o{k} a JOIN o{k - 1} b USING (r, c) WHERE a.id <> b.id) THEN {k}" for k in range(2, _PASSES + 1))
 
 
-@query()
+@query(with_sql("claim cell_a", _SETTLE + f" SELECT a.r, a.c, a.id, (a.id = b.id) AS settled, CAST((SELECT CASE {_STABLE} ELSE {_PASSES} END) AS INTEGER) AS passes FROM o{_PASSES} a JOIN o{_PASSES - 1} b USING (r, c)"))
 def v7_fixed_point_ownership(spark, sf):
     """Iterative: each pass re-ranks cell owners by their height over the ground they own."""
-    owners, passes = V.settle_owners(B.claims(B.bld(spark, sf)), B.cell_a(spark, sf), F.floor((F.col("top") - F.coalesce("ground", F.lit(0.0))) / 20))
-    return owners.groupBy("id").agg(F.count("*").alias("cells")).withColumn("passes", F.lit(passes))
+    owners, passes, _ = V.settle_owners(B.claims(B.bld(spark, sf)), B.cell_a(spark, sf), _PASSES)
+    return owners.select("r", "c", "id", "settled", F.lit(passes).alias("passes"))
 
 
 @query(with_sql("cell_a claim chm", _SCENE + """ SELECT count(*) AS columns, count(*) FILTER (WHERE b.k1 IS NULL) AS without_building, count(*) FILTER (WHERE abs((b.k1-b.k0) - o.top/10) > 0.5) AS roof_errors, round(max(abs((b.k1-b.k0) - o.top/10)), 6) AS largest FROM lev LEFT JOIN own o USING (r, c) LEFT JOIN bs b USING (r, c)"""))
@@ -142,25 +147,13 @@ def _paths_sql(rays: list[tuple[int, float, float, float]], reach: float) -> str
     return f""", ray(ray, du, dv, dz) AS (VALUES {table}),
 cut AS (SELECT ray, 0.0::DOUBLE t FROM ray UNION SELECT ray, {reach!r}::DOUBLE FROM ray UNION SELECT ray, (n-0.5)/abs(du) FROM ray, range(1, 200) x(n) WHERE abs(du) > 1e-12 AND (n-0.5)/abs(du) < {reach!r} UNION SELECT ray, (n-0.5)/abs(dv) FROM ray, range(1, 200) x(n) WHERE abs(dv) > 1e-12 AND (n-0.5)/abs(dv) < {reach!r}),
 pair AS (SELECT ray, t t0, lead(t) OVER (PARTITION BY ray ORDER BY t) t1 FROM cut),
-path AS (SELECT ray, dz, CAST(floor(0.5+(t0+t1)/2*du) AS BIGINT) di, CAST(floor(0.5+(t0+t1)/2*dv) AS BIGINT) dj, t0, t1 FROM pair JOIN ray USING (ray) WHERE t1 - t0 > 1e-12)"""
+path AS MATERIALIZED (SELECT ray, dz, CAST(floor(0.5+(t0+t1)/2*du) AS BIGINT) di, CAST(floor(0.5+(t0+t1)/2*dv) AS BIGINT) dj, t0, t1 FROM pair JOIN ray USING (ray) WHERE t1 - t0 > 1e-12)"""
 
 
-_MEET = """, met AS (SELECT * FROM (SELECT o.r, o.c, o.z, ray, dz, cls, greatest(t0, (k0-z)/dz) enter, least(t1, (k1-z)/dz) leave FROM obs o, path p JOIN span s ON s.r = o.r + p.dj AND s.c = o.c + p.di) WHERE leave - enter > 1e-9)"""
+_MEET = """, met AS (SELECT * FROM (SELECT st.r, st.c, z, ray, dz, cls, greatest(t0, least((k0-z)/dz, (k1-z)/dz)) enter, least(t1, greatest((k0-z)/dz, (k1-z)/dz)) leave FROM (SELECT o.r, o.c, o.z, ray, dz, t0, t1, o.r + p.dj AS sr, o.c + p.di AS sc FROM obs o, path p) st JOIN span s ON s.r = sr AND s.c = sc) WHERE leave - enter > 1e-9)"""
 _SUN = [(0, _DU, _DV, _DZ)]
-_REACH = 60.0
 #: From corner to corner of the domain along the sun's rays: beyond it there are no cells.
-_EDGE = B.N * math.sqrt(2) / math.cos(math.radians(_EL))
-
-
-def whole_reach(f):
-    """Registers `f` again, as `*_whole`, with sun rays up to the edge of the domain; the first keeps the reach of its SQL."""
-
-    def run(spark, sf):
-        return f(spark, sf, reach=_EDGE)
-
-    run.__name__ = f.__name__ + "_whole"
-    query(ORACLE_SQL[f.__name__].replace(_paths_sql(_SUN, _REACH), _paths_sql(_SUN, _EDGE)))(run)
-    return f
+_REACH = B.N * math.sqrt(2) / math.cos(math.radians(_EL))
 
 
 def _met(spark, sf, keep, rays=None, reach=_REACH):
@@ -169,79 +162,73 @@ def _met(spark, sf, keep, rays=None, reach=_REACH):
     return obs, V.meetings(obs, V.ray_paths(spark, rays or _SUN, reach), span)
 
 
-@whole_reach
 @query(with_sql("cell_a claim chm", _SCENE + _paths_sql(_SUN, _REACH) + _MEET.replace("JOIN span s", "JOIN (SELECT * FROM span WHERE cls <> -2) s") + " SELECT r, c, (r, c) IN (SELECT (r, c) FROM met) AS shadow FROM obs"))
-def r1_sun_shadow(spark, sf, reach=_REACH):
-    obs, met = _met(spark, sf, "cls <> -2", reach=reach)
-    hit = met.select("r", "c").distinct().withColumn("hit", F.lit(True))
-    return obs.select("r", "c").join(hit, ["r", "c"], "left").select("r", "c", F.coalesce("hit", F.lit(False)).alias("shadow"))
+def r1_sun_shadow(spark, sf):
+    ground, buildings, _, obs = _scene(spark, sf)
+    return V.in_shadow(obs, ground.unionByName(buildings), V.ray_paths(spark, _SUN, _REACH))
 
 
 _IRR = """ AS (SELECT o.r, o.c, 800*sin(radians(35))*CASE WHEN coalesce(solid, 0) > 0 THEN 0 WHEN exp(-0.6*coalesce(leaf, 0)) < 0.01 THEN 0 ELSE exp(-0.6*coalesce(leaf, 0)) END w FROM obs o LEFT JOIN (SELECT r, c, max(CASE WHEN cls <> -2 THEN 1 ELSE 0 END) solid, sum(CASE WHEN cls = -2 THEN leave-enter ELSE 0 END) leaf FROM met WHERE {} GROUP BY r, c) h USING (r, c))"""
 
 
-@whole_reach
 @query(with_sql("cell_a claim chm", _SCENE + _paths_sql(_SUN, _REACH) + _MEET + ", i" + _IRR.format("TRUE") + " SELECT r, c, round(w, 5) AS irradiance FROM i"))
-def r2_direct_irradiance(spark, sf, reach=_REACH):
-    obs, met = _met(spark, sf, "true", reach=reach)
+def r2_direct_irradiance(spark, sf):
+    obs, met = _met(spark, sf, "true")
     return V.irradiance(obs, met, _EL).select("r", "c", F.round("irradiance", 5).alias("irradiance"))
 
 
-_RAYS = [(k, math.cos(math.radians(e)) * math.cos(math.radians(a)), math.cos(math.radians(e)) * math.sin(math.radians(a)), math.sin(math.radians(e))) for k, (e, a) in enumerate((e, a + 7.0) for e in (5.0, 20.0, 45.0) for a in range(0, 360, 45))]
+_RAYS = [(k, math.cos(math.radians(e)) * math.cos(math.radians(a)), math.cos(math.radians(e)) * math.sin(math.radians(a)), math.sin(math.radians(e))) for k, (e, a) in enumerate((e, a + 7.0) for e in (-20.0, 5.0, 30.0) for a in range(0, 360, 45))]
+_RAYS_REACH = B.N * math.sqrt(2) / math.cos(math.radians(30.0))
 
 
-@query(with_sql("cell_a claim chm", _SCENE + _paths_sql(_RAYS, 12.0) + _MEET + """, f AS (SELECT r, c, ray, arg_min(cls, (enter, cls)) cls, arg_min(leave, (enter, cls)) leave, arg_min(z, (enter, cls)) z, arg_min(dz, (enter, cls)) dz, min(enter) enter FROM met GROUP BY r, c, ray),
-l AS (SELECT r, c, cls, exp(-0.5*(least(leave, (floor(z+enter*dz+1e-9)+1-z)/dz)-enter)) t FROM f)
+@query(with_sql("cell_a claim chm", _SCENE + _paths_sql(_RAYS, _RAYS_REACH) + _MEET + """, f AS (SELECT r, c, ray, arg_min(cls, (enter, cls)) cls, arg_min(leave, (enter, cls)) leave, arg_min(z, (enter, cls)) z, arg_min(dz, (enter, cls)) dz, min(enter) enter FROM met GROUP BY r, c, ray),
+l AS (SELECT r, c, cls, exp(-0.5*(least(leave, (CASE WHEN dz > 0 THEN floor(z+enter*dz+1e-9)+1 ELSE ceil(z+enter*dz-1e-9)-1 END-z)/dz)-enter)) t FROM f)
 SELECT o.r, o.c, round(coalesce(s, 0)/24, 6) AS view FROM obs o LEFT JOIN (SELECT r, c, sum(CASE WHEN cls = -2 AND t >= 0.01 THEN 1-t ELSE 0 END) s FROM l GROUP BY r, c) USING (r, c)"""))
 def r3_view_index(spark, sf):
-    obs, met = _met(spark, sf, "true", _RAYS, 12.0)
-    return V.view_index(obs, met, len(_RAYS)).select("r", "c", C.r6(F.col("view")).alias("view"))
+    """24 rays, rising and falling, up to the edge of the domain."""
+    ground, buildings, trees, obs = _scene(spark, sf)
+    return view_of_many_rays(obs, ground.unionByName(buildings).unionByName(trees), _RAYS, B.N).select("r", "c", C.r6(F.col("view")).alias("view"))
 
 
 @query_without_sql
 def r3_view_index_whole(spark, sf):
-    """The reference's 120 x 20 rays from -30 to +30 degrees, up to the edge of the domain; tests cut boxes instead of SQL."""
+    """120 x 20 rays from -30 to +30 degrees, up to the edge of the domain; tests cut boxes instead of SQL."""
     ground, buildings, trees, obs = _scene(spark, sf)
-    span = ground.unionByName(buildings).unionByName(trees)
-    return V.whole_view_index(spark, obs, span, V.grid_rays(), B.N).select("r", "c", C.r6(F.col("view")).alias("view"))
+    return view_of_many_rays(obs, ground.unionByName(buildings).unionByName(trees), V.grid_rays(), B.N).select("r", "c", C.r6(F.col("view")).alias("view"))
 
 
 _THREE = _SCENE + _paths_sql(_SUN, _REACH) + _MEET + ", cur" + _IRR.format("TRUE") + ", noc" + _IRR.format("cls <> -2") + ", ter" + _IRR.format("cls NOT IN (-2, -3)")
 
 
-def _maps(spark, sf, reach=_REACH):
-    obs, met = _met(spark, sf, "true", reach=reach)
-    maps = {n: V.irradiance(obs, met.where(cond), _EL).withColumnRenamed("irradiance", n) for n, cond in (("current", "true"), ("no_canopy", "cls <> -2"), ("terrain", "cls NOT IN (-2, -3)"))}
-    return maps["current"].join(maps["no_canopy"], ["r", "c"]).join(maps["terrain"], ["r", "c"])
+def _maps(spark, sf):
+    obs, met = _met(spark, sf, "true")
+    return V.irradiance_maps(obs, met, _EL, {"current": F.lit(True), "no_canopy": F.col("cls") != V.TREE, "terrain": ~F.col("cls").isin(V.TREE, V.BUILDING)})
 
 
-@whole_reach
 @query(with_sql("cell_a claim chm", _THREE + " SELECT r, c, round(noc.w - cur.w, 5) AS canopy_reduction, round(ter.w - noc.w, 5) AS building_reduction FROM cur JOIN noc USING (r, c) JOIN ter USING (r, c)"))
-def r4_reductions(spark, sf, reach=_REACH):
-    return _maps(spark, sf, reach).select("r", "c", F.round(F.col("no_canopy") - F.col("current"), 5).alias("canopy_reduction"), F.round(F.col("terrain") - F.col("no_canopy"), 5).alias("building_reduction"))
+def r4_reductions(spark, sf):
+    return _maps(spark, sf).select("r", "c", F.round(F.col("no_canopy") - F.col("current"), 5).alias("canopy_reduction"), F.round(F.col("terrain") - F.col("no_canopy"), 5).alias("building_reduction"))
 
 
-@whole_reach
 @query(with_sql("cell_a claim chm", _THREE + " SELECT count(*) AS observers, count(*) FILTER (WHERE noc.w < ter.w - 1e-9) AS shaded, count(*) FILTER (WHERE noc.w < ter.w - 1e-9 AND least(r, c, 127-r, 127-c) = 0) AS on_boundary, round(avg(ter.w-noc.w), 5) AS mean, round(max(ter.w-noc.w), 5) AS largest FROM noc JOIN ter USING (r, c)"))
-def r9_building_pair(spark, sf, reach=_REACH):
+def r9_building_pair(spark, sf):
     d = F.col("terrain") - F.col("no_canopy")
     shaded = d > 1e-9
-    return _maps(spark, sf, reach).agg(F.count("*").alias("observers"), F.count_if(shaded).alias("shaded"), F.count_if(shaded & (F.expr("least(r, c, 127-r, 127-c)") == 0)).alias("on_boundary"), F.round(F.avg(d), 5).alias("mean"), F.round(F.max(d), 5).alias("largest"))
+    return _maps(spark, sf).agg(F.count("*").alias("observers"), F.count_if(shaded).alias("shaded"), F.count_if(shaded & (F.expr("least(r, c, 127-r, 127-c)") == 0)).alias("on_boundary"), F.round(F.avg(d), 5).alias("mean"), F.round(F.max(d), 5).alias("largest"))
 
 
 _LOWER = _SCENE.replace("CAST(CAST(top/10 AS FLOAT) AS DOUBLE)", "CAST(CAST(top/14 AS FLOAT) AS DOUBLE)")
 
 
-@whole_reach
 @query(with_sql("cell_a claim chm", _SCENE + ", bs2 AS (" + f"SELECT r, c, g k0, g + {_HALF.format('top/14')} k1, -3 cls FROM lev JOIN own USING (r, c)" + ")" + _paths_sql(_SUN, _REACH) + _MEET.replace("met AS", "ma AS").replace("JOIN span s", "JOIN bs s") + _MEET.replace("met AS", "mb AS").replace("JOIN span s", "JOIN bs2 s") + """, s AS (SELECT (r, c) IN (SELECT (r, c) FROM ma) a, (r, c) IN (SELECT (r, c) FROM mb) b FROM obs)
 SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS a_only, count(*) FILTER (WHERE NOT a AND b) AS b_only, count(*) FILTER (WHERE NOT a AND NOT b) AS neither, CAST(0 AS BIGINT) AS excluded, round(count(*) FILTER (WHERE a AND b)/CAST(nullif(count(*) FILTER (WHERE a OR b), 0) AS DOUBLE), 6) AS iou FROM s"""))
-def r5_height_model_shadow(spark, sf, reach=_REACH):
+def r5_height_model_shadow(spark, sf):
     from urbanweave.operators.stats import agreement
 
     levels, owners, buildings, _ = _parts(spark, sf)
     low = V.building_spans(levels, owners.withColumn("high", F.col("high") * 10 / 14))
     obs = levels.join(owners, ["r", "c"], "left_anti").select("r", "c", (F.col("g") + 0.5).alias("z"))
-    paths = V.ray_paths(spark, _SUN, reach)
+    paths = V.ray_paths(spark, _SUN, _REACH)
     mark = lambda spans, name: V.meetings(obs, paths, spans).select("r", "c").distinct().withColumn(name, F.lit(True))
     j = obs.select("r", "c").join(mark(buildings, "a"), ["r", "c"], "left").join(mark(low, "b"), ["r", "c"], "left")
     return j.agg(*agreement(F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False))))
@@ -256,10 +243,9 @@ def r7_shadow_reach(spark, sf):
     return top.join(F.broadcast(o), F.lit(True)).select("top", F.col("lowest").cast("double").alias("lowest"), C.r6(rise / F.tan(F.radians(F.lit(_EL)))).alias("reach"), F.round(F.col("c0") - rise / _DZ * abs(_DU), 5).alias("west"), F.round(F.col("r1") + rise / _DZ * abs(_DV), 5).alias("north"))
 
 
-@whole_reach
 @query(with_sql("cell_a claim chm", _SCENE + _paths_sql(_SUN, _REACH) + _MEET.replace("JOIN span s", "JOIN bs s") + " SELECT count(*) AS shaded, count(*) FILTER (WHERE nearest <= 60) AS in_corridor, round(avg(nearest), 6) AS mean_distance FROM (SELECT r, c, min(enter) nearest FROM met GROUP BY r, c)"))
-def r8_sunward_corridor(spark, sf, reach=_REACH):
+def r8_sunward_corridor(spark, sf):
     levels, owners, buildings, _ = _parts(spark, sf)
     obs = levels.join(owners, ["r", "c"], "left_anti").select("r", "c", (F.col("g") + 0.5).alias("z"))
-    near = V.meetings(obs, V.ray_paths(spark, _SUN, reach), buildings).groupBy("r", "c").agg(F.min("enter").alias("nearest"))
+    near = V.meetings(obs, V.ray_paths(spark, _SUN, _REACH), buildings).groupBy("r", "c").agg(F.min("enter").alias("nearest"))
     return near.agg(F.count("*").alias("shaded"), F.count_if(F.col("nearest") <= 60).alias("in_corridor"), C.r6(F.avg("nearest")).alias("mean_distance"))

@@ -21,7 +21,7 @@ _ERR = "count({0}) AS n, round(min({0}), 6) AS low, round(max({0}), 6) AS high,
 
 @query(with_sql("cell_a", "SELECT " + _DIST.format("v") + " FROM cell_a"))
 def a1_distribution(spark, sf):
-    return B.cell_a(spark, sf).agg(*S.distribution(F.col("v")))
+    return S.distribution(B.cell_a(spark, sf), "v")
 
 
 _DIFF = ", d AS (SELECT r, c, b.v - a.v AS d FROM cell_a a JOIN cell_b b USING (r, c)) "
@@ -33,7 +33,7 @@ def _diff(spark, sf):
 
 @query(with_sql("cell_a cell_b", _DIFF + "SELECT " + _ERR.format("d") + " FROM d"))
 def a2_error_distribution(spark, sf):
-    return _diff(spark, sf).agg(*S.errors(F.col("d")))
+    return S.errors(_diff(spark, sf), "d")
 
 
 @query(with_sql("claim cell_a", _OWN + """, g AS (SELECT id, avg(v) ground FROM own JOIN cell_a USING (r, c) GROUP BY id)
@@ -55,18 +55,12 @@ def a5_coverage(spark, sf):
     return B.tile_cell(spark, sf).groupBy("r", "c").agg(F.count("*").alias("n_tiles")).groupBy("n_tiles").agg(F.count("*").alias("cells"))
 
 
-_COVER = """, m AS (SELECT DISTINCT bit_or(CAST(1 << tile AS INTEGER)) mask FROM tile_cell {}GROUP BY r, c), s AS (SELECT CAST(s AS INTEGER) s FROM range(1, 16) t(s) WHERE NOT EXISTS (SELECT 1 FROM m WHERE (m.mask & CAST(t.s AS INTEGER)) = 0))
+_COVER = """, m AS (SELECT DISTINCT bit_or(CAST(1 << tile AS INTEGER)) mask FROM tile_cell GROUP BY r, c), s AS (SELECT CAST(s AS INTEGER) s FROM range(1, 16) t(s) WHERE NOT EXISTS (SELECT 1 FROM m WHERE (m.mask & CAST(t.s AS INTEGER)) = 0))
 SELECT s AS tiles, CAST(bit_count(s) AS INTEGER) AS size FROM s WHERE bit_count(s) = (SELECT min(bit_count(s)) FROM s)"""
 
 
-@query(with_sql("tile_cell", _COVER.format("WHERE r%16 = 0 ")))
+@query(with_sql("tile_cell", _COVER))
 def a6_minimum_tile_set(spark, sf):
-    """Cover of every sixteenth row only, as its SQL has it; `a6_minimum_tile_set_whole` covers all cells."""
-    return R.minimum_tile_sets(B.tile_cell(spark, sf).where("r%16 = 0"))
-
-
-@query(with_sql("tile_cell", _COVER.format("")))
-def a6_minimum_tile_set_whole(spark, sf):
     return R.minimum_tile_sets(B.tile_cell(spark, sf))
 
 
@@ -83,7 +77,7 @@ _REGIONS = "SELECT 'scene' AS region, v FROM cell_a UNION ALL SELECT 'roi', v FR
 @query(with_sql("cell_a", f"SELECT region, {_DIST.format('v')} FROM ({_REGIONS}) GROUP BY region"))
 def a9_region_distributions(spark, sf):
     roi = F.col("r").between(32, 95) & F.col("c").between(32, 95)
-    return S.by_regions(B.cell_a(spark, sf), {"scene": F.lit(True), "roi": roi, "outside": ~roi}).groupBy("region").agg(*S.distribution(F.col("v")))
+    return S.distribution(S.by_regions(B.cell_a(spark, sf), {"scene": F.lit(True), "roi": roi, "outside": ~roi}), "v", by="region")
 
 
 @query(with_sql("cell_a cell_b", _DIFF + """SELECT mesh, band, count(*) AS n, round(avg(d), 6) AS mean, round(sqrt(avg(d*d)), 6) AS rmse FROM (SELECT d, CAST(floor(r/64.0) AS BIGINT) mesh, CASE WHEN least(r%64, c%64, 63-r%64, 63-c%64) < 1 THEN '0-1' WHEN least(r%64, c%64, 63-r%64, 63-c%64) < 2 THEN '1-2' WHEN least(r%64, c%64, 63-r%64, 63-c%64) < 5 THEN '2-5' ELSE '5+' END band FROM d) GROUP BY ROLLUP (mesh, band)"""))
@@ -155,10 +149,10 @@ def a19_block_mean(spark, sf):
 
 
 @query(with_sql("cell_a cell_b", """, s AS (SELECT a.r, a.c, sqrt(pow((e.v-w.v)/2, 2)+pow((n.v-s.v)/2, 2)) slope FROM cell_a a JOIN cell_a e ON e.r=a.r AND e.c=a.c+1 JOIN cell_a w ON w.r=a.r AND w.c=a.c-1 JOIN cell_a n ON n.c=a.c AND n.r=a.r+1 JOIN cell_a s ON s.c=a.c AND s.r=a.r-1)
-SELECT count(*) AS n, round(corr(slope, abs(b.v-a.v)), 6) AS correlation FROM s JOIN cell_a a USING (r, c) JOIN cell_b b USING (r, c)"""))
+SELECT count(*) AS n, CASE WHEN min(slope) < max(slope) AND min(abs(b.v-a.v)) < max(abs(b.v-a.v)) THEN round(corr(slope, abs(b.v-a.v)), 6) END AS correlation FROM s JOIN cell_a a USING (r, c) JOIN cell_b b USING (r, c)"""))
 def a20_slope_correlation(spark, sf):
     j = R.slope(B.cell_a(spark, sf)).join(_diff(spark, sf), ["r", "c"])
-    return j.agg(F.count("*").alias("n"), C.r6(F.corr("slope", F.abs("d"))).alias("correlation"))
+    return j.agg(F.count("*").alias("n"), S.correlation(F.col("slope"), F.abs("d")).alias("correlation"))
 
 
 @query(with_sql("cell_a", """, x AS (SELECT r, c, v FROM cell_a ORDER BY v DESC, r, c LIMIT 1) SELECT x.r AS at_r, x.c AS at_c, a.r, a.c, round(a.v, 6) AS v FROM cell_a a, x WHERE a.r BETWEEN x.r-1 AND x.r+1 AND a.c BETWEEN x.c-1 AND x.c+1"""))
@@ -176,19 +170,11 @@ def a22_outlier_boxes(spark, sf):
     return d.groupBy("threshold").agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
 
 
-@query(with_sql("cell_a", """, h AS (SELECT a.r, a.c, min(abs(b.c-a.c)) g FROM (SELECT unnest(range(0,128)) r, c FROM range(0,128) t(c)) a JOIN cell_a b ON b.r = a.r AND b.v < 10 GROUP BY 1, 2)
-SELECT a.r, a.c, round(sqrt(min(pow(h.r-a.r, 2) + g*g)), 6) AS distance FROM cell_a a JOIN h ON h.c = a.c AND abs(h.r-a.r) <= 12 GROUP BY 1, 2"""))
+@query(with_sql("cell_a", "SELECT a.r, a.c, round(sqrt(min(pow(b.r-a.r, 2) + pow(b.c-a.c, 2))), 6) AS distance FROM cell_a a LEFT JOIN cell_a b ON b.v < 10 GROUP BY a.r, a.c"))
 def a23_distance_to_marked(spark, sf):
-    # Exact separable distance within 12 rows: nearest marked cell along each row first, then over the rows of a column.
+    """Exact distance of every cell to the nearest marked one, at any distance; null where nothing is marked."""
     a = B.cell_a(spark, sf)
-    marked = a.where("v < 10").select("r", F.col("c").alias("m"), F.lit(True).alias("hit"))
-    row = marked.select("r").distinct().select("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(127).cast("long"))).alias("c")).join(marked.withColumnRenamed("m", "c"), ["r", "c"], "left")
-    w = Window.partitionBy("r").orderBy("c")
-    at = F.when(F.col("hit"), F.col("c"))
-    near = row.select("r", "c", F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("west"), F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("east"))
-    near = near.select("r", "c", F.least(F.col("c") - F.col("west"), F.col("east") - F.col("c")).alias("g"))
-    near = near.withColumn("dr", F.explode(F.sequence(F.lit(-12), F.lit(12)))).select((F.col("r") + F.col("dr")).alias("r"), "c", (F.col("dr") * F.col("dr") + F.col("g") * F.col("g")).alias("d2"))
-    return a.select("r", "c").join(near.groupBy("r", "c").agg(F.min("d2").alias("d2")), ["r", "c"]).select("r", "c", C.r6(F.sqrt("d2")).alias("distance"))
+    return R.distance_to(a, a.where("v < 10")).select("r", "c", C.r6(F.col("distance")).alias("distance"))
 
 
 @query(with_sql("cell_a chm", "SELECT round(max(a.v+b.v), 6) AS highest, round(min(a.v), 6) AS lowest, round((max(a.v+b.v)-min(a.v))/tan(radians(35)), 6) AS reach, min(least(r, c, 127-r, 127-c)) AS exit_cells FROM cell_a a JOIN chm b USING (r, c)"))
@@ -198,10 +184,10 @@ def a24_halo(spark, sf):
     return j.agg(C.r6(high).alias("highest"), C.r6(low).alias("lowest"), C.r6((high - low) / F.tan(F.radians(F.lit(35.0)))).alias("reach"), F.min(F.expr("least(r, c, 127-r, 127-c)")).alias("exit_cells"))
 
 
-@query("""WITH h AS (SELECT sha256(coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || coalesce(lang, '~') || '|' || coalesce(source, '~')) h FROM documents), b AS (SELECT CAST('0x' || substr(h, 1, 2) AS INTEGER) % 64 bucket, sha256(string_agg(h, '' ORDER BY h)) d, count(*) n FROM h GROUP BY 1)
+@query("""WITH h AS (SELECT sha256(coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || coalesce(lang, '~') || '|' || coalesce(source, '~') || '|' || coalesce(text, '~')) h FROM documents), b AS (SELECT CAST('0x' || substr(h, 1, 3) AS INTEGER) bucket, sha256(string_agg(h, '' ORDER BY h)) d, count(*) n FROM h GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY bucket)) AS digest FROM b""")
 def a25_content_digest(spark, sf):
-    return S.digest(B.table(spark, sf, "documents"), ["doc_id", "lang", "source"])
+    return S.digest(B.table(spark, sf, "documents"), ["doc_id", "lang", "source", "text"])
 
 
 @query(with_sql("claim cell_a", """SELECT id, round(avg(v), 6) AS ground, round(min(top-v), 6) AS low, round(max(top-v), 6) AS high FROM claim JOIN cell_a USING (r, c) GROUP BY id"""))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from urbanweave.functions.tables import write_verified
 
 
-def tile_index(spark: SparkSession, path: str, key: str = "quadkey") -> DataFrame:
-    """Tiles of a GeoJSON feature collection: tile_id, xmin, ymin, xmax, ymax, url. Keys must be ten digits 0-3."""
+def tile_index(spark: SparkSession, path: str, key: str = "quadkey", lines: bool = False) -> DataFrame:
+    """Tiles of GeoJSON feature collections (one a file, or one a line): tile_id, xmin, ymin, xmax, ymax, url. Keys must be ten digits 0-3."""
     schema = f"features array<struct<properties: struct<{key}: string, url: string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
-    f = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.explode("features").alias("f"))
+    f = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path).select(F.explode("features").alias("f"))
     ring = F.get("f.geometry.coordinates", F.lit(0))
     of = lambda fn, k: fn(F.transform(ring, lambda p: F.get(p, F.lit(k))))
     out = f.select(F.col(f"f.properties.{key}").alias("tile_id"), of(F.array_min, 0).alias("xmin"), of(F.array_min, 1).alias("ymin"), of(F.array_max, 0).alias("xmax"), of(F.array_max, 1).alias("ymax"), F.col("f.properties.url").alias("url"))
