@@ -91,6 +91,10 @@ def meetings(obs: DataFrame, paths: DataFrame, spans: DataFrame) -> DataFrame:
     """Stretches of rays inside spans: observer (r, c), ray, class, entry and exit. Contact without length is none."""
     # `paths` is bounded by its parameters; observers stay where they are and only spans of the crossed cells join.
     steps = obs.select("r", "c", "z").join(F.broadcast(paths), F.lit(True)).withColumn("sr", F.col("r") + F.col("dj")).withColumn("sc", F.col("c") + F.col("di"))
+    # Steps out of the domain, or wholly above or below all spans, meet none.
+    ends = [F.min("r").alias("r_low"), F.max("r").alias("r_high"), F.min("c").alias("c_low"), F.max("c").alias("c_high"), F.min("k0").alias("k_low"), F.max("k1").alias("k_high")]
+    steps = steps.join(F.broadcast(spans.agg(*ends)), F.lit(True)).where("sr BETWEEN r_low AND r_high AND sc BETWEEN c_low AND c_high")  # one row
+    steps = steps.where("least(z + t0*dz, z + t1*dz) < k_high AND greatest(z + t0*dz, z + t1*dz) > k_low").select("r", "c", "z", "ray", "dz", "t0", "t1", "sr", "sc")
     s = spans.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "k0", "k1", "cls")
     j = steps.join(s, ["sr", "sc"])
     low, high = (F.col("k0") - F.col("z")) / F.col("dz"), (F.col("k1") - F.col("z")) / F.col("dz")  # a falling ray comes in at the top
