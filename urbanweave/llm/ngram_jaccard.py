@@ -224,8 +224,26 @@ def _tie(bucket: np.ndarray, n: np.ndarray, sketch: list[bytes], radius: np.ndar
     return a, b, np.concatenate(leaders) if leaders else np.zeros(0, np.int64)
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of edges as stars: every node but the smallest of its component, and that one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        least = np.minimum(x, y)
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        while (label[label] != label).any():
+            label = label[label]
+    rest = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[rest], nodes[label[rest]]
+
+
 def _tie_buckets(num: int, den: int, split: bool):
-    """Edges between sets and leaders of many buckets, and the leaders of buckets that are split.
+    """Star edges of what the leaders of many buckets tie together, and the leaders of buckets that are split.
 
     A linked set has at most n (den - num) / num tokens that its partner has not, or the
     other way round. With split buckets, leaders of two parts are tied if sets near them may link.
@@ -248,7 +266,7 @@ def _tie_buckets(num: int, den: int, split: bool):
             radius = n * less // (2 * num)
             reach = (2 * num * n * less + n * den * less) // (2 * num * num)
         a, b, leaders = _tie(place, n, sketch, radius, reach)
-        pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
+        pairs = _stars(node[a], node[b])
         lead = leaders[np.asarray(table.column("split"), dtype=bool)[order][leaders]]
         return pa.table({
             "a": pa.array(np.concatenate([pairs[0], node[lead]])), "b": pa.array(np.concatenate([pairs[1], node[lead]])),
