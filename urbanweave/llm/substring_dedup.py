@@ -50,17 +50,24 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
         for part in slices(batch):
             w = words(part.column(1))
             at, value = _anchors(w, window)
-            pairs = _unique_pairs(w.row[at], value)
-            ids = np.asarray(part.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[1].astype(np.int64)), pa.array(ids[pairs[0].astype(np.int64)].astype(np.int64))], ["h", "doc_id"])
-
-
-def _unique_pairs(row: np.ndarray, value: np.ndarray) -> np.ndarray:
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    return np.stack([row[new].astype(np.uint64), value[new]])
+            doc, value = np.asarray(part.column(0)).astype(np.int64)[w.row[at]], value.astype(np.int64)
+            order = np.lexsort((doc, value))
+            doc, value = doc[order], value[order]
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+            doc, value = doc[new], value[new]
+            # Documents that share an anchor within a slice need no other to know it; one of them meets those of other slices.
+            head, count = _heads(value)
+            shared = np.flatnonzero(np.repeat(count > 1, count))
+            rows = np.concatenate([head, shared])
+            spread = np.where(np.arange(len(rows)) < len(head), 0, (doc[rows] & 0xFFFFF) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(value[rows]), pa.array(doc[rows]), pa.array(spread.astype(np.int32))], ["h", "doc_id", "spread"])
+
+
+def _heads(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of every run of equal values."""
+    head = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else np.zeros(0, np.int64)
+    return head, np.diff(np.append(head, len(sorted_values)))
 
 
 def _row_marks(w: Words) -> np.ndarray:
@@ -70,7 +77,11 @@ def _row_marks(w: Words) -> np.ndarray:
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """All windows that hold one of the document's shared anchors: (hash, doc_id, first word)."""
+    """All windows that hold one of the document's shared anchors: (hash, doc_id, first word, spread).
+
+    A window that a smaller doc_id of the slice holds is known to repeat (spread above 0);
+    those of the smallest doc_id meet the windows of other slices (spread 0).
+    """
     period = cover_for(window)[0]
     for batch in batches:
         batch = batch.filter(pc.is_valid(batch.column(2)))
@@ -99,7 +110,12 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             rows = w.row[start]
             ids = np.asarray(part.column(0))
             place = (_row_marks(w)[rows] << 32) + (start - w.first[rows])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(full)), pa.array(ids[rows].astype(np.int64)), pa.array(place)], ["h", "doc_id", "at"])
+            doc = ids[rows].astype(np.int64)
+            order = np.lexsort((doc, full))
+            doc, full, place = doc[order], full[order], place[order]
+            head, count = _heads(full)
+            spread = np.where(doc > np.repeat(doc[head], count), (doc & 0xFFFFF) + 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(full)), pa.array(doc), pa.array(place), pa.array(spread.astype(np.int32))], ["h", "doc_id", "at", "spread"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -153,7 +169,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, ca
     Windows are judged on the input. Returns doc_id, n_words, n_removed, kept_sha256 (of the
     kept words joined by one space) and, on request, kept_text (the text itself where nothing
     is removed) and, to carry them along, all input columns but the text as the struct row.
-    Null, empty and short texts lose nothing. Rows that share a doc_id are not repeats of each other, since a window has to
+    Null, empty and short texts lose nothing; texts of any length are read whole; an empty table gives an empty result. Rows that share a doc_id are not repeats of each other, since a window has to
     start under a smaller doc_id. Null doc_ids are compared with nothing. Extra columns are ignored.
     """
     others = [F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row")] if carry else []
@@ -170,14 +186,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, ca
     # it, so that Spark sees the same exchange each time and reuses it.
     dealt = docs.repartition("doc_id")
 
-    same = Window.partitionBy("h")
-    anchors = dealt.select("doc_id", "text", "copied").mapInArrow(partial(_emit_anchors, window=window), "h long, doc_id long")
-    anchors = anchors.select("h", "doc_id", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high")).where("low < high")
+    same = Window.partitionBy("h", "spread")
+    anchors = dealt.select("doc_id", "text", "copied").mapInArrow(partial(_emit_anchors, window=window), "h long, doc_id long, spread int")
+    anchors = anchors.select("h", "doc_id", "spread", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high")).where("spread > 0 or low < high")
     by_doc = anchors.groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
 
     near = dealt.join(by_doc, "doc_id", "left").select("doc_id", "text", F.when(F.col("copied").isNull(), F.col("hs")).alias("hs"))
-    windows = near.mapInArrow(partial(_emit_windows, window=window), "h long, doc_id long, at long")
-    windows = windows.select("doc_id", "at", F.min("doc_id").over(same).alias("low")).where("doc_id > low")
+    windows = near.mapInArrow(partial(_emit_windows, window=window), "h long, doc_id long, at long, spread int")
+    windows = windows.select("doc_id", "at", "spread", F.min("doc_id").over(same).alias("low")).where("spread > 0 or doc_id > low")
     gone = windows.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
 
     out = dealt.join(gone, "doc_id", "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<long>")).alias("at"), F.col("copied").isNotNull().alias("copied"), *["row"] * carry)
