@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urbanweave.llm.spark import checkpoint
+
 #: Key ranges per source: rows of one range are summed in one task (they hold no text).
 RANGES = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,7 +64,8 @@ def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float =
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
     rows = rows.withColumn("key", key).withColumn("part", F.floor(F.col("key") / F.lit((1 << 60) // RANGES)).cast("int"))
     rows = rows.withColumn("has", F.col("source").isNotNull()).withColumn("name", F.coalesce("source", F.lit("")))
-    dealt = rows.repartition("name", "has", "part")  # one exchange, used for the totals and for the windows
+    # The texts are read once: what is left of them is a few numbers a document.
+    dealt = checkpoint(rows.select("doc_id", "name", "has", "part", "key", "size").repartition("name", "has", "part"))
     parts = dealt.groupBy("name", "has", "part").agg(F.sum("size").alias("part_size"))
     totals = parts.groupBy("name", "has").agg(F.sum("part_size").alias("source_size")).select(F.when(F.col("has"), F.col("name")).alias("source"), "source_size")
     targets = source_targets(totals, list(weights), share, most)
