@@ -193,9 +193,8 @@ def _score(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Recor
             features, size, first = line_features(part.column(1))
             good, _, _ = marginals(features @ field.weights, first, field.moves)
             weight = np.maximum(size, 1e-3)
-            top = np.concatenate([[0.0], np.cumsum(weight * good)])
-            low = np.concatenate([[0.0], np.cumsum(weight)])
-            score = np.clip((top[first[1:]] - top[first[:-1]]) / np.maximum(low[first[1:]] - low[first[:-1]], 1e-12), 0.0, 1.0)
+            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            score = np.clip(np.bincount(row, weight * good, len(first) - 1) / np.bincount(row, weight, len(first) - 1), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
 
 
