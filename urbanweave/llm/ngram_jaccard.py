@@ -5,7 +5,7 @@ neighbouring bands can link. In a band the symmetric difference of a linked pair
 most H, so when the universe is hashed into segments with allowances that sum to H + 1,
 at least one segment of both sets differs by less than its allowance: an allowance of 1
 asks for equal segments, one of 2 is served by the segment and its one-deletion
-neighbourhood. How many segments get which allowance is chosen per band by expected cost.
+neighbourhood. Empty segments count only together with others (see _keys). How many segments get which allowance is chosen per band by expected cost.
 
 Sets that share a segment key meet in a bucket. Within it leaders are chosen, and a set is
 tied to every leader that a set linked with it may be near to, by a distance that is never
@@ -23,7 +23,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanweave.llm.arrays import mix, signed, slices, words
@@ -34,10 +34,15 @@ _U = np.uint64
 BLOCK, BUCKET = 512, 4096
 #: Rows of a task that works on many blocks, or on many buckets, one after the other.
 TASK_ROWS = 20_000
+#: Segments of a group in which empty segments make keys with others.
+GROUP = 16
+#: Text of a slice whose keys are packed together, and tokens (about as many keys) of all sets for every range of keys.
+SIGNED_BYTES, RANGE_TOKENS = 1 << 22, 1_000_000
 #: Cost of a chance meeting relative to one emitted key, and the chance that another set agrees on one token.
 COLLISION_COST, TOKEN_AGREES = 50.0, 0.1
-#: How much larger the largest size of a band is than its smallest: wide bands give fewer sets keys of two bands.
-BAND_WIDTH = 1.7
+#: How much larger the largest size of a band is than its smallest: wide bands give fewer sets keys of two bands,
+#: narrow ones more tokens a segment and so fewer chance meetings.
+BAND_WIDTH = 1.25
 
 
 @lru_cache(maxsize=16)
@@ -123,7 +128,16 @@ def _digests(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Rec
 
 
 def _keys(value: np.ndarray, sizes: np.ndarray, scheme: np.ndarray, segments: np.ndarray, double: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segment keys of sets (tokens one after the other) under one band each, and the set that each key belongs to."""
+    """Segment keys of sets (tokens one after the other) under one band each, and the set that each key belongs to.
+
+    A share of all sets has any given segment empty, so an empty segment as a key would be a
+    hot one. Groups of segments split H + 1 between them, so in one group of g segments a
+    linked pair differs by less than g. If it agrees in no segment of the group but c empty
+    ones, the others differ by 1 at least, and fewer than c of them by more. So with one of
+    the empty segments, any c further segments hold one that is equal or one deletion apart:
+    an empty segment makes its keys together with as many segments after it (around the
+    group) as the set has empty segments in the group, and their one-deletion neighbourhoods.
+    """
     m = segments[scheme]
     base = np.concatenate([[0], np.cumsum(m)])
     token_scheme = np.repeat(scheme, sizes).astype(np.uint64)
@@ -136,7 +150,30 @@ def _keys(value: np.ndarray, sizes: np.ndarray, scheme: np.ndarray, segments: np
     total = sums[ends[1:]] - sums[ends[:-1]]
     inside = np.arange(base[-1]) - np.repeat(base[:-1], m)
     tag = mix(np.repeat(scheme, m).astype(np.uint64) * _U(0x8EBC6AF09C88C6E3) + inside.astype(np.uint64))
-    keys, owner = [mix(total ^ tag)], [np.repeat(np.arange(len(m)), m)]
+    owner_of = np.repeat(np.arange(len(m)), m)
+    # Empty segments that need no key of their own: those of a group of segments with an allowance of 1 each.
+    groups = np.maximum(1, m // GROUP)
+    m_of, groups_of = np.repeat(m, m), np.repeat(groups, m)
+    group = inside * groups_of // m_of
+    low = -(-group * m_of // groups_of)
+    width = -(-(group + 1) * m_of // groups_of) - low
+    empty = (np.diff(ends) == 0) & (np.repeat(double[scheme], m) == 0) & (width > 1)
+    keys, owner = [mix(total ^ tag)[~empty]], [owner_of[~empty]]
+    if empty.any():
+        at = np.flatnonzero(empty)
+        group = (np.repeat(np.cumsum(groups) - groups, m) + group)[at]
+        partners = np.minimum(np.bincount(group)[group], width[at] - 1)
+        step = np.arange(int(partners.sum())) - np.repeat(np.cumsum(partners) - partners, partners) + 1
+        at = np.repeat(at, partners)
+        other = base[owner_of[at]] + low[at] + (inside[at] - low[at] + step) % width[at]
+        salt = mix(tag[at] + _U(0x9FB21C651E98DF25))
+        keys.append(mix(total[other] ^ tag[other] ^ salt))
+        owner.append(owner_of[at])
+        size = ends[other + 1] - ends[other]
+        token = np.repeat(ends[other] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        other, salt, at = (np.repeat(x, size) for x in (other, salt, at))
+        keys.append(mix((total[other] - code[order[token]]) ^ tag[other] ^ salt))
+        owner.append(owner_of[at])
     two = np.flatnonzero(segment < np.repeat(double[scheme], sizes))
     if len(two):
         keys.append(mix((total[place[two]] - code[two]) ^ tag[place[two]]))
@@ -144,16 +181,18 @@ def _keys(value: np.ndarray, sizes: np.ndarray, scheme: np.ndarray, segments: np
     return np.concatenate(keys), np.concatenate(owner)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Keys of all sets: (key, node, spread).
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Keys of all sets, packed: (part, keys, nodes), a row for every range of keys in a slice.
 
-    Sets that share a key within a slice need no other to know it: their rows have a spread
-    above 0. One of them goes on (spread 0) to meet the sets of other slices, so that a
-    frequent key is a row a slice and not a row a set.
+    A key is 8 bytes: its lowest 48 bits and the place of its set among the nodes of the row.
+    Sets that share a key within a slice need no other to know it: their whole keys go, one
+    node a key, to a part below 0. One of them goes on to meet the sets of other slices, so
+    that a frequent key is 8 bytes a slice and not a set.
     """
     seen: set[int] = set()  # a set that repeats within this task is emitted once
     for batch in batches:
-        for part in slices(batch):
+        rows: list[list] = [[], [], []]
+        for part in slices(batch, limit=SIGNED_BYTES):
             value, offsets = shingle_sets(part.column(0), shingle)
             node, _ = _identities(value, offsets)
             sizes = np.diff(offsets)
@@ -173,6 +212,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den:
                 key, owner = _keys(value[np.repeat(up, sizes)], sizes[up], own[up] + 1, segments, double)
                 both.append((key, np.flatnonzero(up)[owner]))
             key, owner = (np.concatenate(x) for x in zip(*both, strict=True))
+            place = (((key >> _U(48)) * _U(ranges)) >> _U(16)) << _U(48)
+            key = place | (key & _U((1 << 48) - 1))
             order = np.lexsort((owner, key))
             key, owner = key[order], owner[order]
             new = np.ones(len(key), dtype=bool)
@@ -181,10 +222,45 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den:
             head = np.ones(len(key), dtype=bool)
             head[1:] = key[1:] != key[:-1]
             count = np.diff(np.append(np.flatnonzero(head), len(key)))
-            shared = np.flatnonzero(np.repeat(count > 1, count))
-            rows = np.concatenate([np.flatnonzero(head), shared])
-            spread = np.where(np.arange(len(rows)) < len(rows) - len(shared), 0, (node[owner[rows]] & 0xFFFFF) + 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key[rows])), pa.array(node[owner[rows]]), pa.array(spread)], ["key", "node", "spread"])
+            shared = np.repeat(count > 1, count)
+            if shared.any():
+                for column, x in zip(rows, (-1 - int(node[0] % ranges), key[shared].tobytes(), node[owner[shared]].tobytes()), strict=True):
+                    column.append(x)
+            key, owner = key[head], owner[head]
+            part_of = key >> _U(48)
+            for low, high in _runs(part_of):
+                for at in range(low, high, 1 << 16):
+                    to = min(high, at + (1 << 16))
+                    names, index = np.unique(owner[at:to], return_inverse=True)
+                    for column, x in zip(rows, (int(part_of[at]), ((key[at:to] << _U(16)) | index.astype(np.uint64)).tobytes(), node[names].tobytes()), strict=True):
+                        column.append(x)
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "keys", "nodes"])
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of every run of equal values."""
+    edge = np.flatnonzero(np.append(True, x[1:] != x[:-1])).tolist()
+    return list(zip(edge, [*edge[1:], len(x)], strict=True))
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Rows (key, node) of all keys of one part that two different sets share."""
+    part = table.column("part")[0].as_py()
+    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    nodes = [np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()]
+    if part >= 0:
+        nodes = [n[(k & _U(0xFFFF)).astype(np.int64)] for k, n in zip(keys, nodes, strict=True)]
+    key, node = np.concatenate(keys), np.concatenate(nodes)
+    if part >= 0:
+        key >>= _U(16)
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        differ = np.minimum.reduceat(node, edge) < np.maximum.reduceat(node, edge)
+        keep = np.repeat(differ, np.diff(np.append(edge, len(key))))
+        key, node = key[keep] | _U(part << 48), node[keep]
+    return pa.table({"key": pa.array(signed(key)), "node": pa.array(node)})
 
 
 def _tie(bucket: np.ndarray, n: np.ndarray, sketch: list[bytes], radius: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -400,11 +476,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     nodes = checkpoint(nodes)
     n_rows = nodes.agg(F.sum("copies")).first()[0] or 0
 
-    # Keys that two sets share. Rows that know it already spread over the tasks; the others meet under their key.
-    keys = docs.select("text").mapInArrow(partial(_signatures, shingle=shingle, num=num, den=den), "key long, node long, spread int")
-    meet = Window.partitionBy("key", "spread")
-    keys = keys.select("key", "node", "spread", F.min("node").over(meet).alias("low"), F.max("node").over(meet).alias("high"))
-    shared = checkpoint(keys.where("spread > 0 or low < high").select("key", "node").distinct())
+    # Keys that two sets share: packed by range of keys, so that the shuffle carries 8 bytes a key.
+    tokens = nodes.agg(F.sum("n")).first()[0] or 0
+    ranges = min(1 << 16, 8 + tokens // RANGE_TOKENS)
+    keys = docs.select("text").mapInArrow(partial(_signatures, shingle=shingle, num=num, den=den, ranges=ranges), "part int, keys binary, nodes binary")
+    shared = checkpoint(keys.groupBy("part").applyInArrow(_meet, "key long, node long").distinct())
     # Buckets of the same sets are one bucket.
     buckets = shared.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("size")).where("size > 1")
     buckets = buckets.select("key", F.xxhash64("x", "y", "size").alias("bucket"), "size")
