@@ -37,7 +37,7 @@ TASK_ROWS = 20_000
 #: Segments of a group in which empty segments make keys with others.
 GROUP = 16
 #: Text of a slice whose keys are packed together, and tokens (about as many keys) of all sets for every range of keys.
-SIGNED_BYTES, RANGE_TOKENS = 1 << 22, 1_000_000
+SIGNED_BYTES, RANGE_TOKENS = 1 << 22, 3_000_000
 #: Cost of a chance meeting relative to one emitted key, and the chance that another set agrees on one token.
 COLLISION_COST, TOKEN_AGREES = 50.0, 0.1
 #: How much larger the largest size of a band is than its smallest: wide bands give fewer sets keys of two bands,
