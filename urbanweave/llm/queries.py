@@ -13,6 +13,7 @@ from urbanweave.llm.language_id import identify, train
 from urbanweave.llm.mixing import mix
 from urbanweave.llm.ngram_jaccard import jaccard_components
 from urbanweave.llm.packing import pack
+from urbanweave.llm.runs import periodic_runs
 from urbanweave.llm.spark import held_out
 from urbanweave.llm.substring_dedup import remove_repeats
 from urbanweave.llm.topk import top_k
@@ -77,7 +78,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extraction, op3_ann, op4_quality, op5_packing, op6_substring_dedup, op7_warc, op8_language_id, op9_mixing, op10_exact_topk)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of every document, one document in ten made periodic first."""
+    return periodic_runs(table(spark, sf_dir, "documents"), turn=True, least=6, times=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extraction, op3_ann, op4_quality, op5_packing, op6_substring_dedup, op7_warc, op8_language_id, op9_mixing, op10_exact_topk, op13_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_topk": """
