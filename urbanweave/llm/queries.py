@@ -13,6 +13,7 @@ from urbanweave.llm.language_id import identify, train
 from urbanweave.llm.mixing import mix
 from urbanweave.llm.ngram_jaccard import jaccard_components
 from urbanweave.llm.packing import pack
+from urbanweave.llm.prefix_trie import conversation_rows, prefix_trie, with_shared_heads
 from urbanweave.llm.runs import periodic_runs
 from urbanweave.llm.spark import held_out
 from urbanweave.llm.substring_dedup import remove_repeats
@@ -78,12 +79,17 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the conversations, rebuilt to share the heads of every hundredth."""
+    return prefix_trie(with_shared_heads(conversation_rows(table(spark, sf_dir, "conversations")), group=100, modulus=6))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of the words of every document, one document in ten made periodic first."""
     return periodic_runs(table(spark, sf_dir, "documents"), turn=True, least=6, times=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extraction, op3_ann, op4_quality, op5_packing, op6_substring_dedup, op7_warc, op8_language_id, op9_mixing, op10_exact_topk, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extraction, op3_ann, op4_quality, op5_packing, op6_substring_dedup, op7_warc, op8_language_id, op9_mixing, op10_exact_topk, op12_prefix_trie, op13_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_topk": """
@@ -116,4 +122,23 @@ placed AS (
 SELECT doc_id, source, size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END AS BIGINT) AS taken
 FROM placed""",
+    "op12_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'digest': digest, 'chars': length(text)} ORDER BY turn NULLS FIRST, digest) AS turns FROM t GROUP BY conv_id),
+h AS (
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')],
+    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 6 AS h FROM o),
+r AS (
+  SELECT h.conv_id, coalesce(b.turns[1:h.h], []) || h.turns[h.h + 1:] AS turns
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d AS depth, len(turns) AS turns, [x.digest FOR x IN turns[1:d]] AS head, coalesce(turns[d].chars, 0) AS chars FROM r, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)),
+n AS (SELECT head, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, string_agg(CASE WHEN turns = depth THEN conv_id END, ',' ORDER BY conv_id) AS ends FROM p GROUP BY head, depth),
+c AS (SELECT head[1:depth - 1] AS head, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+s AS (SELECT a.head, count(*) FILTER (WHERE coalesce(k.n_children, 0) = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved
+      FROM n a JOIN n b ON b.depth >= a.depth AND b.head[1:a.depth] = a.head LEFT JOIN c k ON k.head = b.head GROUP BY a.head)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN s ON s.head = n.head LEFT JOIN c ON c.head = n.head LEFT JOIN n m ON n.depth > 0 AND m.depth = n.depth - 1 AND m.head = n.head[1:n.depth - 1]""",
 }
