@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanweave.llm.ann import nearest
-from urbanweave.llm import quality_crf
+from urbanweave.llm import quality_crf, quality_rules
 from urbanweave.llm.html_template import extract
 from urbanweave.llm.language_id import identify, train
 from urbanweave.llm.mixing import mix
@@ -79,6 +79,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether its perplexity lies in the band of its language."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs), reach=3.0, least=0.03).drop("bits")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct beginning of the conversations, rebuilt to share the heads of every hundredth."""
     return prefix_trie(with_shared_heads(conversation_rows(table(spark, sf_dir, "conversations")), group=100, modulus=6))
@@ -89,7 +95,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), turn=True, least=6, times=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extraction, op3_ann, op4_quality, op5_packing, op6_substring_dedup, op7_warc, op8_language_id, op9_mixing, op10_exact_topk, op12_prefix_trie, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extraction, op3_ann, op4_quality, op5_packing, op6_substring_dedup, op7_warc, op8_language_id, op9_mixing, op10_exact_topk, op11_quality_rules, op12_prefix_trie, op13_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_topk": """

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanweave.llm.arrays import mix, slices, words
+from urbanweave.llm.arrays import Words, mix, slices, words
 
 SCHEMA = "doc_id long, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string"
 #: Windows of a run repeat at least so often within it.
@@ -140,23 +140,26 @@ def maximal_runs(ids: np.ndarray, least: int = 6, times: int = 4) -> list[tuple[
     return sorted(found, key=lambda r: (r[0], r[2]))
 
 
-def _stretches(batch: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice: first word of every text, and the words that windows found TIMES or more in their text cover."""
-    w = words(batch)
-    at, run = w.runs(WINDOW)
+def in_repeated_windows(w: Words, length: int, times: int) -> np.ndarray:
+    """Words of a slice that windows of `length` words found `times` or more in their own text cover."""
+    at, run = w.runs(length)
     covered = np.zeros(len(w.hash) + 1, np.int64)
     if len(at):
-        row = w.row[at]
-        # Equal keys are equal windows of one text, or, as good as never, a chance that only keeps more words.
-        key = run ^ mix(row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        # Equal keys are equal windows of one text, or, as good as never, a chance.
+        key = run ^ mix(w.row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
         order = np.argsort(key, kind="stable")
         key = key[order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        often = np.repeat(np.diff(edge) >= TIMES, np.diff(edge))
-        kept = at[order[often]]
-        np.add.at(covered, kept, 1)
-        np.add.at(covered, kept + WINDOW, -1)
-    return w.first, np.cumsum(covered)[:-1] > 0, w.counts
+        kept = at[order[np.repeat(np.diff(edge) >= times, np.diff(edge))]]  # each start once
+        covered[kept] += 1
+        covered[kept + length] -= 1
+    return np.cumsum(covered)[:-1] > 0
+
+
+def _stretches(batch: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice: first word of every text, the words that a run may hold, and the number of words of each text."""
+    w = words(batch)
+    return w.first, in_repeated_windows(w, WINDOW, TIMES), w.counts
 
 
 def _turned(doc_id: int, n: int) -> tuple[int, int] | None:
