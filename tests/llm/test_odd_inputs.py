@@ -1,12 +1,13 @@
 """Hash collisions, neighbours in a batch, null ids and repeated rows."""
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from urbanweave.llm import ngram_jaccard, quality_crf, substring_dedup, warc_zip
+from urbanweave.llm import ann, language_id, ngram_jaccard, quality_crf, substring_dedup, topk, warc_zip
 from urbanweave.llm.arrays import words
 
 
@@ -76,3 +77,29 @@ def test_shared_windows_of_one_slice_and_of_many(spark):
     for df in (docs.coalesce(1), docs.repartition(7)):
         got = sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(df, 13, keep_text=False).collect())
         assert got == sorted([(0, 0)] + [(i, 20) for i in range(1, 40)] + [(5, 20)])
+
+
+def test_repeated_queries_ask_once(spark):
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in (0, 0, 20, 21, 21)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
+    for found in (topk.top_k(vectors, k=3, every=100), ann.nearest(vectors, k=3, every=100)):
+        assert [(r["query_id"], r["rank"], r["vec_id"]) for r in found.orderBy("rank").collect()] == [(0, 1, 20), (0, 2, 21), (0, 3, 21)]
+    other = vectors.union(spark.createDataFrame([(0, [-1.0, 0.0, 0.0, 0.0], "")], "vec_id long, embedding array<double>, rank string"))
+    assert {r["score"] for r in topk.top_k(other, k=3, every=100).collect()} == {-64 * 64}
+    for found in (topk.top_k(vectors.limit(0)), ann.nearest(vectors.limit(0))):
+        assert found.count() == 0
+
+
+def test_products_beyond_63_bits_raise(spark):
+    for big in (1e300, 2.0**27 * 3):
+        vectors = spark.createDataFrame([(0, [big, 1.0]), (1, [big, 1.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="63 bits"):
+            topk.top_k(vectors).collect()
+
+
+def test_numerals_are_no_letters(spark):
+    model = language_id.train(spark.createDataFrame([(i, "le chat dort", "fr") for i in range(5)] + [(9 + i, "the cat sleeps", "en") for i in range(5)], "doc_id long, text string, lang string"), vocabulary=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    texts = ["½ ² 3", "①②", "Ⅷ", "_ 12 %", "", None, "日本", "ª½", "x"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i] == "und" for i in range(9)] == [True] * 6 + [False] * 3
+    assert language_id.identify(spark.createDataFrame([(1, "a")], "doc_id long, text string").limit(0), model).count() == 0

@@ -109,8 +109,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 819
     block of candidates the `rerank` best by code are ranked by exact distance. Returns
     query_id, rank, vec_id, score (the distance), ties to the smaller vec_id; fewer rows than
     k are all returned. Vectors that are null, empty, zero or hold null or non-finite
-    components take no part; vectors meet only those of their own dimension. Rows that
-    repeat a query's vec_id are never its results. Extra columns are ignored.
+    components take no part; vectors meet only those of their own dimension. A
+    repeated vec_id asks once, with its least vector, and rows that repeat it are never its
+    results. Extra columns are ignored; an empty table gives no rows.
     """
     rows = usable(vectors, vec_id, embedding).where(F.exists("embedding", lambda x: x != 0))
     counts = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()

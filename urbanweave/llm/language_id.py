@@ -10,7 +10,6 @@ documents. Distinct words are scored once per task, for all languages at a time.
 from __future__ import annotations
 
 import base64
-import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +27,6 @@ from urbanweave.llm.spark import held_out
 #: Pieces of so many bytes are their own keys; words of more bytes than the second are read one by one.
 PIECE_BYTES, BATCH_BYTES, BLOCK = 7, 256, 1 << 16
 MIX = 0xFF51AFD7ED558CCD
-_LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint64
 
 
@@ -352,7 +350,7 @@ class Judge:
         plain = np.flatnonzero((w.data >= 97) & (w.data <= 122))
         letter[np.searchsorted(w.offsets, plain, side="right") - 1] = True
         for i in np.flatnonzero(~letter):
-            letter[i] = bool(_LETTER.search(text[int(i)].as_py() or ""))
+            letter[i] = any(map(str.isalpha, text[int(i)].as_py() or ""))  # numerals such as ½ are no letters
         if not total.shape[1]:
             return ["und"] * rows, np.zeros(rows)
         score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
@@ -380,7 +378,9 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     """Language of every whole text: doc_id, held_out, lang_pred, score (posterior under equal priors).
 
     Null texts and texts without a letter are `und` with score 0, and so is everything if no
-    language was learned. Repeated rows stay repeated; extra columns are ignored.
+    language was learned. Letters are what Unicode has as such: numerals of any kind are none.
+    Texts of any length are read whole. Repeated rows stay repeated; extra columns are ignored;
+    an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -39,8 +39,11 @@ def _search(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.
     found: list[list[np.ndarray]] = [[], [], []]
     for at in range(0, len(q_ids), 128):
         q = whole[at : at + 128]
+        reach = np.abs(q) @ largest.T
+        if reach.max() >= 2.0**63 or np.abs(q).max() >= 2.0**63:
+            raise ValueError("integer inner products beyond 63 bits")
         bounds = np.maximum(q, 0) @ ceiling.T + np.minimum(q, 0) @ floor.T
-        bounds += 1e-9 * (np.abs(q) @ largest.T) + 1e-6  # what rounding in the sums can take away
+        bounds += 1e-9 * reach + 1e-6  # what rounding in the sums can take away
         for own, row, bound in zip(q_ids[at : at + 128], q.astype(np.int64), bounds, strict=True):
             bound[ids == own] = -np.inf
             first = min(n, 4 * keep)
@@ -65,8 +68,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     Components count as floor(scale * x). Returns query_id, rank, vec_id, score; ties go to
     the smaller vec_id; fewer rows than k are all returned. Vectors that are null, empty or
     hold null or non-finite components take no part; vectors meet only those of their own
-    dimension. Rows that repeat a query's vec_id are never its results; other repeated
-    vec_ids are candidates each. Scores must fit 63 bits. Extra columns are ignored.
+    dimension. A repeated vec_id asks once, with its least vector, and rows that repeat it are
+    never its results; other repeated vec_ids are candidates each. Products that may leave 63
+    bits raise. Extra columns are ignored; an empty table gives no rows.
     """
     found = search_blocks(usable(vectors, vec_id, embedding), every, partial(_search, scale=scale), k, "query_id long, vec_id long, score long", partial(_encode, scale=scale))
     return best(found, k, F.desc("score"))

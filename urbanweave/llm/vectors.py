@@ -47,13 +47,15 @@ def blocks(rows: DataFrame, count: int, size: int, encode: Callable[[np.ndarray]
 def search_blocks(rows: DataFrame, every: int, search: Callable, keep: int, schema: str, encode: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
     """Run `search(query_ids, queries, ids, matrix, codes, keep)` on every query block against every candidate block.
 
-    Queries are the rows whose vec_id is divisible by `every`. `search` yields Arrow batches
+    Queries are the vec_ids divisible by `every`, each once: where rows repeat one with other
+    vectors, the least vector asks. `search` yields Arrow batches
     of `schema`. Vectors meet only vectors of their own dimension. The size of a block is
     fixed, so the work of a task is bounded and only the number of tasks grows.
     """
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     counts = rows.agg(F.count("*"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0)).first()
     n_blocks = max(1, -(-counts[0] // CANDIDATE_ROWS))
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = blocks(queries, counts[1], QUERY_ROWS).select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     held = blocks(rows, counts[0], CANDIDATE_ROWS, encode)
     pairs = held.join(asked, ["block", "dim"]).select("dim", "ids", "matrix", "codes", "q_ids", "q_matrix")
