@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 VALID, A_MISSING, B_MISSING, A_INVALID, B_INVALID, A_OUTSIDE, B_OUTSIDE, OVERFLOW = (1 << k for k in range(8))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once. Lambdas over arrays are interpreted, so an expression named inside one runs for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def half_up(x: Column) -> Column:
     """floor(x + 0.5) of the value as a 32-bit float."""
     return F.floor(x.cast("float").cast("double") + F.lit(0.5).cast("double")).cast("long")

@@ -42,13 +42,6 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n - 1), crosses), F.lit(0), lambda s, k: s + k) % 2 == 1
 
 
-def canonical_key(values: Column) -> Column:
-    """Key of a cycle of strings, the same for every start and for both directions."""
-    n = F.size(values)
-    turn = lambda v: F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.concat(F.slice(v, i, n), F.slice(v, F.lit(1), i - 1)), ","))
-    return F.sha2(F.array_min(F.concat(turn(values), turn(F.reverse(values)))), 256)
-
-
 def plane_fit(vertices: DataFrame) -> DataFrame:
     """Least-squares plane z = a x + b y + c of every id from grouped sums, and its largest residual."""
     x, y, z = F.col("x"), F.col("y"), F.col("z")

@@ -94,12 +94,3 @@ def local_max(cells: DataFrame, reach: int = 4) -> DataFrame:
     wide = cells.withColumn("d", spread).select("r", (F.col("c") + F.col("d")).alias("c"), "v").groupBy("r", "c").agg(F.max("v").alias("v"))
     tall = wide.withColumn("d", spread).select((F.col("r") + F.col("d")).alias("r"), "c", "v").groupBy("r", "c").agg(F.max("v").alias("highest"))
     return cells.join(tall, ["r", "c"])
-
-
-def minimum_tile_sets(tiles: DataFrame) -> DataFrame:
-    """The smallest sets of tiles (numbered from 0, at most 20) that cover every cell: tiles (a bit mask), size."""
-    masks = tiles.groupBy("r", "c").agg(F.expr("bit_or(shiftleft(1, CAST(tile AS INT)))").alias("mask")).select("mask").distinct()
-    held = masks.agg(F.collect_set("mask").alias("masks"), F.bit_or("mask").alias("every"))  # at most 2^tiles masks
-    sets = held.select("masks", F.explode(F.expr("sequence(1, every)")).alias("tiles")).where(F.forall("masks", lambda m: m.bitwiseAND(F.col("tiles")) != 0))
-    sets = sets.select("tiles", F.bit_count("tiles").alias("size"))
-    return sets.join(F.broadcast(sets.agg(F.min("size").alias("least"))), F.col("size") == F.col("least")).select("tiles", "size")

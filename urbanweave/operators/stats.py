@@ -69,12 +69,24 @@ def correlation(a: Column, b: Column) -> Column:
     return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), r6(F.corr(a, b)))
 
 
+#: Words of a content digest: so many hex digits each, so that their sums stay whole up to 5 x 10^11 rows.
+WORDS, DIGITS = 10, 6
+
+
+def row_text(columns: list[str]) -> Column:
+    """A row as one text: each value behind its length in code points, null as ~, so no two rows read alike."""
+    parts = [F.coalesce(F.concat(F.char_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~")) for c in columns]
+    return F.concat(*parts)
+
+
 def digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Content digest of a table, whatever its order: rows are hashed, sorted in buckets, and the buckets hashed.
+    """Rows and content digest of a table, whatever its order: n, digest.
 
-    No single row or task holds all row hashes: each of 4,096 buckets is reduced to one hash first.
+    Every row is hashed, the hash cut into words, and each word summed over all rows: a sum of
+    multisets that tasks build in parts, so nothing grows with the table. One row
+    changed, lost or doubled changes the sums. An empty table has a digest as well.
     """
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
-    h = df.select(row.alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
-    part = h.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return part.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    h = df.select(F.sha2(row_text(columns), 256).alias("h"))
+    words = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + DIGITS * k, DIGITS), 16, 10).cast("long")), F.lit(0)).alias(f"w{k}") for k in range(WORDS)]
+    sums = h.agg(F.count("*").alias("n"), *words)
+    return sums.select("n", F.sha2(F.concat_ws(",", "n", *[f"w{k}" for k in range(WORDS)]), 256).alias("digest"))

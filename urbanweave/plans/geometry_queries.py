@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from urbanweave.functions import columns as C
+from urbanweave.operators import cycles as Y
 from urbanweave.operators import geometry as G
+from urbanweave.operators.proximity import close_pairs
 from urbanweave.plans.registry import query
 from urbanweave.sources import bindings as B
 from urbanweave.sources.bindings import with_sql
@@ -93,13 +95,14 @@ def g9_aoi_intersects(spark, sf):
     return B.bld(spark, sf).join(hit, "id", "left_semi").select("id")
 
 
-_KEYS = """, v AS (SELECT id, list(CAST(CAST(floor(x*8) AS BIGINT) AS VARCHAR) ORDER BY seq) v FROM vertex GROUP BY id)
-SELECT id, sha256(list_min(list_concat([array_to_string(list_concat(v[i:], v[:i-1]), ',') FOR i IN range(1, len(v)+1)], [array_to_string(list_concat(list_reverse(v)[i:], list_reverse(v)[:i-1]), ',') FOR i IN range(1, len(v)+1)]))) AS key FROM v"""
+_TURNS = "[list_concat({v}[i:], {v}[:i-1]) FOR i IN range(1, len({v})+1)]"
+_KEYS = f""", v AS (SELECT id, list(CAST(CAST(floor(x*8) AS BIGINT) AS VARCHAR) ORDER BY seq) v FROM vertex GROUP BY id)
+SELECT id, sha256(array_to_string(list_min(list_concat({_TURNS.format(v="v")}, {_TURNS.format(v="list_reverse(v)")})), ',')) AS key FROM v"""
 
 
 def _ring_keys(vertices):
     v = vertices.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", F.floor(F.col("x") * 8).cast("long").cast("string").alias("k")))).alias("p"))
-    return v.select("id", G.canonical_key(F.transform("p", lambda p: p["k"])).alias("key"))
+    return v.select("id", Y.cycle_key(F.transform("p", lambda p: p["k"])).alias("key"))
 
 
 @query(with_sql("vertex", _KEYS))
@@ -158,6 +161,11 @@ def g17_edge_diagnostics(spark, sf):
     return e.groupBy("id").agg(C.r6(F.min("d")).alias("shortest"), C.r6(F.sum("d")).alias("length"), F.count_if(F.col("d") <= 0.05).alias("short_edges"))
 
 
+@query(with_sql("vertex", "SELECT a.id, a.seq AS first, b.seq AS second, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)), 6) AS distance, (a.x = b.x AND a.y = b.y) AS duplicate FROM vertex a JOIN vertex b ON b.id = a.id AND a.seq < b.seq WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 0.08"))
+def g17_close_vertex_pairs(spark, sf):
+    return close_pairs(B.vertex(spark, sf), 0.08).withColumn("distance", C.r6(F.col("distance")))
+
+
 _CROSS = """(({a}nx-{a}x)*({b}y-{a}y)-({a}ny-{a}y)*({b}x-{a}x))*(({a}nx-{a}x)*({b}ny-{a}y)-({a}ny-{a}y)*({b}nx-{a}x)) < 0 AND (({b}nx-{b}x)*({a}y-{b}y)-({b}ny-{b}y)*({a}x-{b}x))*(({b}nx-{b}x)*({a}ny-{b}y)-({b}ny-{b}y)*({a}nx-{b}x)) < 0"""
 
 
@@ -183,14 +191,22 @@ def g19_vertex_comparison(spark, sf):
     return j.groupBy("id").agg(F.count_if(F.col("bx").isNull()).alias("missing"), F.count_if(F.col("z") != F.col("bz")).alias("moved_z"), (F.max(F.abs(F.col("x") - F.col("bx"))) <= 1e-7).alias("xy_equal"))
 
 
-@query(with_sql("vertex", ", m AS (SELECT a.id, t.s, max(abs(a.x-b.x)) e FROM vertex a JOIN vertex b ON b.id = a.id JOIN range(0, 21) t(s) ON (b.seq + a.id) % 21 = (a.seq + t.s) % 21 GROUP BY a.id, t.s) SELECT id, CAST(arg_min(s, (e, s)) AS BIGINT) AS shift, round(min(e), 6) AS error FROM m GROUP BY id"))
+#: Rings whose id is divisible by 17 repeat three vertices, and lose one of 13 in the target; every fifth target has another height.
+_RING = "SELECT v.id, v.seq, u.x, u.y, u.z FROM vertex v JOIN vertex u ON u.id = v.id AND u.seq = CASE WHEN v.id % 17 = 0 THEN v.seq % 3 ELSE v.seq END"
+_TARGET = "SELECT id, (CASE WHEN id % 2 = 1 THEN 20 - seq ELSE seq END + id) % 21 AS seq, x + 1e-8 AS x, y - 1e-8 AS y, CASE WHEN id % 5 = 0 AND seq = 4 THEN z + 1e-9 ELSE z END AS z FROM ring WHERE NOT (id % 13 = 0 AND seq = 6)"
+
+
+@query(with_sql("vertex", f""", ring AS ({_RING}), target AS ({_TARGET}), c AS (SELECT r.id, count(*) n, (SELECT count(*) FROM target t WHERE t.id = r.id) m FROM ring r GROUP BY r.id),
+m AS (SELECT a.id, d.reversed, k.shift, max(greatest(abs(a.x-b.x), abs(a.y-b.y))) e FROM ring a JOIN c ON c.id = a.id AND c.n = c.m CROSS JOIN (VALUES (FALSE), (TRUE)) d(reversed) CROSS JOIN range(0, 21) k(shift)
+JOIN target b ON b.id = a.id AND b.seq = ((CASE WHEN d.reversed THEN 20 - a.seq ELSE a.seq END) + k.shift) % 21 GROUP BY ALL HAVING bool_and(abs(a.x-b.x) <= 1e-7 AND abs(a.y-b.y) <= 1e-7 AND a.z = b.z)),
+f AS (SELECT id, count(*) matches, any_value(reversed) reversed, any_value(shift) shift FROM m GROUP BY id)
+SELECT c.id, c.n, coalesce(f.matches, 0) AS matches, CASE WHEN c.n <> c.m THEN 'LENGTH' WHEN f.matches IS NULL THEN 'NONE' WHEN f.matches = 1 THEN 'UNIQUE' ELSE 'AMBIGUOUS' END AS status, CASE WHEN f.matches = 1 THEN f.reversed END AS reversed, CASE WHEN f.matches = 1 THEN f.shift END AS shift FROM c LEFT JOIN f ON f.id = c.id"""))
 def g20_ring_alignment(spark, sf):
-    v = B.vertex(spark, sf).select("id", "seq", "x")
-    # The target is the same ring started `id` places later; each of the shifts is tried.
-    target = v.select("id", F.expr("(seq + id) % 21").alias("at"), F.col("x").alias("tx"))
-    tried = v.withColumn("shift", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long")))).withColumn("at", F.expr("(seq + shift) % 21"))
-    m = tried.join(target, ["id", "at"]).groupBy("id", "shift").agg(F.max(F.abs(F.col("x") - F.col("tx"))).alias("e"))
-    return m.groupBy("id").agg(F.min_by("shift", F.struct("e", "shift")).alias("shift"), C.r6(F.min("e")).alias("error"))
+    v = B.vertex(spark, sf)
+    u = v.withColumnRenamed("seq", "at")
+    ring = v.select("id", "seq", F.expr("CASE WHEN id % 17 = 0 THEN seq % 3 ELSE seq END").alias("at")).join(u, ["id", "at"]).select("id", "seq", "x", "y", "z")
+    target = ring.where("NOT (id % 13 = 0 AND seq = 6)").selectExpr("id", "(CASE WHEN id % 2 = 1 THEN 20 - seq ELSE seq END + id) % 21 AS seq", "x + 1e-8D AS x", "y - 1e-8D AS y", "CASE WHEN id % 5 = 0 AND seq = 4 THEN z + 1e-9D ELSE z END AS z")
+    return Y.align_rings(ring, target, 1e-7).drop("error")
 
 
 #: A box as twelve outward triangles over corner bits (x, y, z). Fixed values.
@@ -259,11 +275,22 @@ def g26_overlap_quadrature(spark, sf):
     return q.groupBy("id").agg(F.count_if("other").alias("tp"), F.count_if(~F.col("other")).alias("fn"), C.r6(F.try_divide(F.count_if("other").cast("double"), F.count("*"))).alias("iou"))
 
 
-@query(with_sql("vertex", ", e AS (SELECT id, seq, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) d FROM vertex WINDOW w AS (PARTITION BY id ORDER BY seq)) SELECT id, count(*) FILTER (WHERE d IS NULL OR d > 0.1) AS kept, CAST(sum(CASE WHEN d IS NULL THEN 1 ELSE greatest(1, ceil(d/0.05)) END) AS BIGINT) AS dense FROM e GROUP BY id"))
+_FOLD = """, RECURSIVE k AS (SELECT id, seq, x, y, z, x AS kx, y AS ky, TRUE AS kept FROM vertex WHERE seq = 0
+UNION ALL SELECT v.id, v.seq, v.x, v.y, v.z, CASE WHEN d.far THEN v.x ELSE k.kx END, CASE WHEN d.far THEN v.y ELSE k.ky END, d.far FROM k JOIN vertex v ON v.id = k.id AND v.seq = k.seq + 1, LATERAL (SELECT sqrt((k.kx-v.x)*(k.kx-v.x) + (k.ky-v.y)*(k.ky-v.y)) > 0.2 AS far) d)"""
+_EDITED = """, a AS (SELECT id, seq, x, y, z, row_number() OVER (PARTITION BY id ORDER BY seq DESC) last, count(*) OVER (PARTITION BY id) n, first_value(x) OVER w fx, first_value(y) OVER w fy FROM k WHERE kept WINDOW w AS (PARTITION BY id ORDER BY seq)),
+b AS (SELECT id, seq, round_even(x, 3) x, round_even(y, 3) y, z FROM a WHERE NOT (last = 1 AND n > 1 AND sqrt((x-fx)*(x-fx) + (y-fy)*(y-fy)) <= 0.2)),
+c AS (SELECT * FROM b UNION ALL SELECT id, 99, x, y, z FROM b WHERE seq = 0),
+e AS (SELECT *, lead(x) OVER w nx, lead(y) OVER w ny, lead(z) OVER w nz FROM c WINDOW w AS (PARTITION BY id ORDER BY seq)),
+f AS (SELECT *, CASE WHEN nx IS NULL THEN 1 ELSE greatest(CAST(ceil(sqrt((x-nx)*(x-nx) + (y-ny)*(y-ny))/0.15) AS BIGINT), 1) END parts FROM e),
+g AS (SELECT id, seq, j, x + coalesce(nx-x, 0)*j/parts x, y + coalesce(ny-y, 0)*j/parts y, z + coalesce(nz-z, 0)*j/parts z FROM f, LATERAL (SELECT unnest(range(0, parts)) j))
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY seq, j) - 1 AS seq, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM g"""
+
+
+@query(with_sql("vertex", _FOLD + _EDITED).replace("WITH ", "WITH RECURSIVE ", 1).replace(", RECURSIVE k", ", k", 1))
 def g30_candidate_edits(spark, sf):
-    w = Window.partitionBy("id").orderBy("seq")
-    e = B.vertex(spark, sf).withColumn("d", F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)))
-    return e.groupBy("id").agg(F.count_if(F.col("d").isNull() | (F.col("d") > 0.1)).alias("kept"), F.sum(F.when(F.col("d").isNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("d") / 0.05)))).cast("long").alias("dense"))
+    """Rings without points near the last one kept, rounded, and with their edges cut."""
+    r = Y.edited_rings(G.rings(B.vertex(spark, sf)), tolerance=0.2, decimals=3, longest=0.15)
+    return r.select("id", "seq", *[C.r6(F.col(c)).alias(c) for c in "xyz"])
 
 
 @query(with_sql("vertex", _LEAD + ", o AS (SELECT id, sum(x*ny-nx*y)/2 area, min(x) x0, max(x) x1 FROM e GROUP BY id) SELECT a.id, round(b.area-a.area, 6) AS area_change, (abs(b.x0-a.x0) < 0.05 AND abs(b.x1-a.x1) < 0.05) AS same_bounds FROM o a JOIN o b ON b.id = a.id + 1"))

@@ -5,26 +5,65 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from urbanweave.functions import columns as C
+from urbanweave.functions.strict_json import refusal, strict_records
 from urbanweave.functions.tables import run_folder, write_verified
+from urbanweave.operators import resolution as Z
 from urbanweave.operators import scene as V
 from urbanweave.operators import stats as S
 from urbanweave.plans.registry import query
 from urbanweave.plans.scene_queries import _RAYS, _RAYS_REACH, _SCENE, _met, _paths_sql
 from urbanweave.plans.scene_queries import _MEET as _MEET_SQL
 from urbanweave.sources import bindings as B
+from urbanweave.sources import rasters
 from urbanweave.sources.bindings import with_sql
 
 
+def _tiled(spark, sf) -> str:
+    path = run_folder(spark, "tiled")
+    rasters.write_tiled(B.cell_a(spark, sf), path, tile=16)
+    return path
+
+
 @query(with_sql("cell_a", "SELECT r, c, round(v, 6) AS v FROM cell_a WHERE r BETWEEN 40 AND 71 AND c BETWEEN 16 AND 47"))
 def s1_raster_window(spark, sf):
-    return B.cell_a(spark, sf).where(F.col("r").between(40, 71) & F.col("c").between(16, 47)).select("r", "c", C.r6(F.col("v")).alias("v"))
+    """A window of a raster that lies in tiles: only the tiles it touches are read."""
+    return rasters.read_window(spark, _tiled(spark, sf), (40, 71), (16, 47), tile=16).select("r", "c", C.r6(F.col("v")).alias("v"))
+
+
+@query(with_sql("point cell_a", "SELECT p.id, round(a.v, 6) AS v FROM (SELECT id, CAST(floor(y) AS BIGINT) r, CAST(floor(x) AS BIGINT) c FROM point) p LEFT JOIN cell_a a USING (r, c)"))
+def s1_tiled_sampling(spark, sf):
+    """Points sampled from a raster in tiles; the tiles they fall in prune the scan."""
+    p = B.point(spark, sf).select("id", F.floor("y").alias("r"), F.floor("x").alias("c"))
+    return rasters.sample_tiled(spark, _tiled(spark, sf), p, tile=16).select("id", C.r6(F.col("v")).alias("v"))
+
+
+#: Declared rasters of the tiles: 0 keeps the contract, 1 has no CRS and two bands, 2 is rotated and too small, 3 has no nodata.
+_META = """SELECT 'tile-' || t AS raster_id, CASE WHEN t = 1 THEN CAST(NULL AS INTEGER) ELSE 6677 END AS epsg, CASE WHEN t = 1 THEN 2 ELSE 1 END AS bands, 128 AS width, CASE WHEN t = 2 THEN 100 ELSE 128 END AS height, {d}0.0 AS x0, {d}1.0 AS dx, CASE WHEN t = 2 THEN {d}0.5 ELSE {d}0.0 END AS rx, {d}128.0 AS y0, {d}0.0 AS ry, -{d}1.0 AS dy, CASE WHEN t = 3 THEN CAST(NULL AS DOUBLE) ELSE -{d}9999.0 END AS nodata"""
+
+
+def _rasters(spark, sf):
+    meta = spark.range(4).selectExpr("id AS t").selectExpr(*[x.strip() for x in _META.replace("SELECT ", "").replace("{d}", "").replace("CAST(NULL AS INTEGER)", "CAST(NULL AS INT)").split(", ")])
+    meta = meta.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in rasters.META.split(", ")])
+    cells = B.tile_cell(spark, sf).select(F.concat(F.lit("tile-"), F.col("tile").cast("string")).alias("raster_id"), F.col("r").alias("row"), F.col("c").alias("col"), F.col("v").alias("value"), ((F.col("r") + F.col("c")) % 9 == 0).alias("masked"))
+    return meta, cells
+
+
+_INSPECTED = "SELECT 'tile-' || tile AS raster_id, count(*) FILTER (WHERE (r+c)%9 <> 0) AS valid, count(*) FILTER (WHERE (r+c)%9 = 0) AS nodata_cells, round(min(v) FILTER (WHERE (r+c)%9 <> 0), 6) AS low, round(max(v) FILTER (WHERE (r+c)%9 <> 0), 6) AS high, CASE tile WHEN 1 THEN 'BANDS,CRS' WHEN 2 THEN 'NORTH_UP' || CASE WHEN max(r) >= 100 THEN ',OUTSIDE' ELSE '' END WHEN 3 THEN 'NODATA' ELSE '' END AS faults FROM tile_cell GROUP BY tile"
 
 
-@query(with_sql("tile_cell", "SELECT tile, count(*) AS valid, round(min(v), 6) AS low, round(max(v), 6) AS high, (count(*) > 0 AND bool_and(isfinite(v)) AND count(*) = count(DISTINCT (r, c))) AS accepted FROM tile_cell GROUP BY tile"))
+@query(with_sql("tile_cell", _INSPECTED))
 def s2_raster_contract(spark, sf):
-    t = B.tile_cell(spark, sf).groupBy("tile")
-    fine = (F.count("*") > 0) & F.every(~F.isnan("v") & (F.abs("v") < float("inf"))) & (F.count("*") == F.count_distinct("r", "c"))
-    return t.agg(F.count("*").alias("valid"), C.r6(F.min("v")).alias("low"), C.r6(F.max("v")).alias("high"), fine.alias("accepted"))
+    """What every declared raster breaks of the contract, with its facts."""
+    found = rasters.inspected(*_rasters(spark, sf))
+    return found.select("raster_id", "valid", "nodata_cells", C.r6(F.col("low")).alias("low"), C.r6(F.col("high")).alias("high"), F.array_join("faults", ",").alias("faults"))
+
+
+@query(with_sql("tile_cell", "SELECT 'tile-0' AS raster_id, r AS row, c AS col, round(v, 6) AS value FROM tile_cell WHERE tile = 0 AND (r+c)%9 <> 0"))
+def s2_accepted_cells(spark, sf):
+    """Valid cells of the rasters that were asked for; a broken one among them would stop the scan."""
+    meta, cells = _rasters(spark, sf)
+    fine = rasters.accepted_cells(meta.where("raster_id = 'tile-0'"), cells.where("raster_id = 'tile-0'"))
+    return fine.where("NOT masked").select("raster_id", "row", "col", C.r6(F.col("value")).alias("value"))
 
 
 @query(with_sql("cell_a chm", "SELECT a.r, a.c, CAST(CASE WHEN b.v IS NULL THEN -9999 ELSE round(CAST(CAST(a.v AS FLOAT) AS DOUBLE), 4) END AS DOUBLE) AS value, (b.v IS NULL) AS masked FROM cell_a a LEFT JOIN chm b USING (r, c)"))
@@ -41,7 +80,9 @@ def s7_feature_scan(spark, sf):
 
 
 def _strict(events):
-    return events.select(F.col("event_id").alias("id"), F.from_json("props", "k bigint", {"mode": "FAILFAST"})["k"].alias("k"))
+    """k of every record; one record that is not strict JSON stops the scan."""
+    r = strict_records(events, "props", "k bigint")
+    return r.select(F.col("event_id").alias("id"), F.when(F.col("refused").isNotNull(), F.raise_error(F.concat(F.lit("MALFORMED_RECORD: "), "refused")).cast("long")).otherwise(F.col("record.k")).alias("k"))
 
 
 @query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -49,6 +90,22 @@ def s9_strict_json(spark, sf):
     return _strict(B.table(spark, sf, "events"))
 
 
+#: Around the records of the events: by event_id % 8 what makes of them something that a strict reader refuses, or not.
+_WRAPPED = [
+    ("props", None), ("'[' || props || ',' || props || ']'", None), ("'{\"a\":' || props || ',\"b\":' || props || '}'", None),
+    ("'{\"a\":' || props || ',\"\\\\u0061\":1}'", "DUPLICATE"), ("'[{\"a\":{\"k\":' || props || ',\"k\":1}}]'", "DUPLICATE"),
+    ("'{\"a\":NaN}'", "NUMBER"), ("'{\"a\":-1.5e999}'", "NUMBER"), ("props || props", "GRAMMAR"),
+]
+
+
+@query("SELECT event_id AS id, CASE event_id % 8 " + " ".join(f"WHEN {k} THEN '{why}'" for k, (_, why) in enumerate(_WRAPPED) if why) + " END AS refused FROM events WHERE props IS NOT NULL")
+def s9_refused_records(spark, sf):
+    """Why records are refused: keys twice in one object at any depth, numbers that are none, text behind the value."""
+    e = B.table(spark, sf, "events").where("props IS NOT NULL")
+    text = F.expr("CASE event_id % 8 " + " ".join(f"WHEN {k} THEN {x}" for k, (x, _) in enumerate(_WRAPPED)) + " END")
+    return e.select(F.col("event_id").alias("id"), refusal(text).alias("refused"))
+
+
 @query("""SELECT r_regionkey AS id, '{"id":' || r_regionkey || ',"name":"' || r_name || '","suppliers":' || count(s_suppkey) || '}' AS feature FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_regionkey, r_name""")
 def s14_canonical_feature(spark, sf):
     r, n, s = (B.table(spark, sf, t) for t in ("region", "nation", "supplier"))
@@ -168,6 +225,23 @@ def j22_ray_span_join(spark, sf):
     return met.groupBy("ray", F.col("cls").cast("int").alias("cls")).agg(F.count("*").alias("meetings"), F.round(F.sum(F.col("leave") - F.col("enter")), 5).alias("length"))
 
 
+_SIZES = """, base AS (SELECT a.r, a.c, a.v dem, coalesce(t.v, 0) top, 0.4::DOUBLE*coalesce(t.v, 0) bottom FROM cell_a a LEFT JOIN chm t ON t.r = a.r AND t.c = a.c), z AS (SELECT min(dem) d0 FROM base),
+l AS (SELECT s.size, CAST(1/s.size AS BIGINT) f, b.*, z.d0, CAST(floor(CAST(CAST(dem-d0 AS FLOAT) AS DOUBLE)/s.size+0.5) AS BIGINT)+1 ground, CAST(floor(CAST(CAST(bottom AS FLOAT) AS DOUBLE)/s.size+0.5) AS BIGINT) lo0, CAST(floor(CAST(CAST(top AS FLOAT) AS DOUBLE)/s.size+0.5) AS BIGINT) hi FROM base b, z, (VALUES (1.0::DOUBLE), (0.5::DOUBLE)) s(size)),
+m AS (SELECT *, CASE WHEN lo0 = hi AND lo0 > 0 THEN lo0-1 ELSE lo0 END lo FROM l), n AS (SELECT *, top > 0 AND hi > lo AS tree, f*f AS kids FROM m)
+SELECT size, CAST(sum(kids) AS BIGINT) AS cells, CAST(coalesce(sum(kids) FILTER (WHERE tree), 0) AS BIGINT) AS crowns, round(coalesce(sum(kids*(hi-lo)*pow(size, 3)) FILTER (WHERE tree), 0), 6) AS volume,
+round(max(abs(d0+ground*size-dem)), 6) AS ground_error, round(max(abs(d0+(ground+lo)*size-dem-bottom)) FILTER (WHERE tree), 6) AS bottom_error, round(max(abs(d0+(ground+hi)*size-dem-top)) FILTER (WHERE tree), 6) AS top_error, round(sum(kids*(d0+(ground+floor(1.5/size)+0.5)*size-dem))/sum(kids), 6) AS ray_height FROM n GROUP BY size"""
+
+
+@query(with_sql("cell_a chm", _SIZES))
+def v13_two_resolutions(spark, sf):
+    """One ground and canopy at 1 m and at half a metre: volumes, and what the levels make of the heights."""
+    t = B.chm(spark, sf).withColumnRenamed("v", "crown")
+    base = B.cell_a(spark, sf).join(t, ["r", "c"], "left").select("r", "c", F.col("v").alias("dem"), F.coalesce("crown", F.lit(0.0)).alias("top"), (F.lit(0.4) * F.coalesce("crown", F.lit(0.0))).alias("bottom"))
+    e = Z.height_errors(Z.columns_of(base, [1.0, 0.5]))
+    worst = [C.r6(F.max(F.abs(F.col(k)))).alias(k) for k in ("ground_error", "bottom_error", "top_error")]
+    return e.groupBy("size").agg(F.count("*").alias("cells"), F.count("top_error").alias("crowns"), C.r6(F.sum("volume")).alias("volume"), *worst, C.r6(F.avg("ray_height")).alias("ray_height"))
+
+
 @query(with_sql("cell_a claim chm", _SCENE + " SELECT r//2 AS r, c//2 AS c, max(k1) AS top, count(*) AS spans FROM trees GROUP BY 1, 2"))
 def v13_coarser_scene(spark, sf):
     from urbanweave.plans.scene_queries import _parts

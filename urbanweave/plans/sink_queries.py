@@ -17,29 +17,50 @@ from urbanweave.sources.bindings import with_sql
 _SCALE = 1e-5
 
 
-def _members(name: str, points: list[tuple[str, str, str]]):
+def _members(gml: str, name: str, points: list[tuple[str, str, str]]):
     """A surface member: one polygon whose posList (lat lon h) has the corners given as SQL expressions, closed."""
     one = lambda p: F.concat_ws(" ", *[F.format_string("%.6f", F.expr(x).cast("double")) for x in (f"({p[1]})*{_SCALE}", f"({p[0]})*{_SCALE}", p[2])])
     ring = F.concat_ws(" ", *[one(p) for p in (*points, points[0])])
-    outside = F.struct(F.struct(ring.alias("gml:posList")).alias("gml:LinearRing"))
-    return F.struct(F.struct(F.concat(F.col("id").cast("string"), F.lit(f"-{name}")).alias("_gml:id"), outside.alias("gml:exterior")).alias("gml:Polygon"))
+    outside = F.struct(F.struct(ring.alias(f"{gml}:posList")).alias(f"{gml}:LinearRing"))
+    return F.struct(F.struct(F.concat(F.col("id").cast("string"), F.lit(f"-{name}")).alias(f"_{gml}:id"), outside.alias(f"{gml}:exterior")).alias(f"{gml}:Polygon"))
 
 
-def _city(spark, sf) -> str:
-    """Buildings of the part table as CityGML files: a floor, a top and a side as LoD1, and roof, wall and ground of every third as LoD2."""
+def _solid(gml: str, members):
+    return F.struct(F.struct(F.struct(members.alias(f"{gml}:surfaceMember")).alias(f"{gml}:CompositeSurface")).alias(f"{gml}:exterior")).alias(f"{gml}:Solid")
+
+
+def _city_rows(b, bldg: str, gml: str, solids: bool):
+    """Buildings: a floor, a top and a side as LoD1, and roof, wall and ground of every third as LoD2; with `solids` a LoD2 solid that names them.
+
+    Of those with a solid every seventh names what is nowhere instead of its ground, and every eleventh the roof of another building.
+    """
     x0, x1, y0, y1 = "x0", "x0+w", "y0", "y0+h"
     flat = lambda z: [(x0, y0, z), (x1, y0, z), (x1, y1, z), (x0, y1, z)]
     side = [(x0, y0, "0"), (x1, y0, "0"), (x1, y0, "top"), (x0, y0, "top")]
-    solid = F.array(_members("floor", flat("0")), _members("top", flat("top")), _members("side", side)).alias("gml:surfaceMember")
-    solid = F.struct(F.struct(F.struct(F.struct(solid).alias("gml:CompositeSurface")).alias("gml:exterior")).alias("gml:Solid"))
+    member = lambda name, p: _members(gml, name, p)
     shapes = {"Roof": flat("top"), "Wall": side, "Ground": flat("0")}
-    surface = {k: F.struct(F.struct(F.struct(F.array(_members(k, p)).alias("gml:surfaceMember")).alias("gml:MultiSurface")).alias("bldg:lod2MultiSurface")) for k, p in shapes.items()}
-    bound = F.array(*[F.struct(*[(surface[k] if k == own else F.when(F.lit(False), surface[k])).alias(f"bldg:{k}Surface") for k in shapes]) for own in shapes])
+    surface = {k: F.struct(F.struct(F.struct(F.array(member(k, p)).alias(f"{gml}:surfaceMember")).alias(f"{gml}:MultiSurface")).alias(f"{bldg}:lod2MultiSurface")) for k, p in shapes.items()}
+    bound = F.array(*[F.struct(*[(surface[k] if k == own else F.when(F.lit(False), surface[k])).alias(f"{bldg}:{k}Surface") for k in shapes]) for own in shapes])
     height = F.struct(F.when(F.col("id") % 5 == 0, F.lit("-9999")).otherwise(F.format_string("%.4f", F.col("top"))).alias("_VALUE"), F.lit("m").alias("_uom"))
-    rows = B.bld(spark, sf).select(F.col("id").cast("string").alias("_gml:id"), height.alias("bldg:measuredHeight"), solid.alias("bldg:lod1Solid"), F.when(F.col("id") % 3 == 0, bound).alias("bldg:boundedBy"))
-    path = run_folder(spark, "city")
-    rows.write.format("xml").option("rootTag", 'core:CityModel xmlns:core="urn:core" xmlns:bldg="urn:bldg" xmlns:gml="urn:gml"').option("rowTag", "bldg:Building").option("validateName", False).save(path)
-    return path
+    two = F.col("id") % 3 == 0
+    columns = [F.col("id").cast("string").alias(f"_{gml}:id"), height.alias(f"{bldg}:measuredHeight"), F.struct(_solid(gml, F.array(member("floor", flat("0")), member("top", flat("top")), member("side", side)))).alias(f"{bldg}:lod1Solid")]
+    if solids:
+        of = lambda i, k: F.struct(F.concat(F.lit("#"), i.cast("string"), F.lit(f"-{k}")).alias("_xlink:href"))
+        lost = F.struct(F.lit("#nowhere").alias("_xlink:href"))
+        named = F.array(of(F.col("id"), "Wall"), F.when(F.col("id") % 11 == 0, of(F.col("id") - 3, "Roof")).otherwise(of(F.col("id"), "Roof")), F.when(F.col("id") % 7 == 0, lost).otherwise(of(F.col("id"), "Ground")))
+        columns.append(F.when(two, F.struct(_solid(gml, named))).alias(f"{bldg}:lod2Solid"))
+    return b.select(*columns, F.when(two, bound).alias(f"{bldg}:boundedBy"))
+
+
+def _city(spark, sf, solids: bool = False) -> list[str]:
+    """The part table as CityGML files; with `solids` in two folders whose files use other prefixes."""
+    paths = []
+    for bldg, gml, which in ([("bldg", "gml", "id % 2 = 0"), ("b2", "g", "id % 2 = 1")] if solids else [("bldg", "gml", "true")]):
+        rows = _city_rows(B.bld(spark, sf).where(which), bldg, gml, solids)
+        names = f'core:CityModel xmlns:core="http://www.opengis.net/citygml/2.0" xmlns:{bldg}="http://www.opengis.net/citygml/building/2.0" xmlns:{gml}="http://www.opengis.net/gml" xmlns:xlink="http://www.w3.org/1999/xlink"'
+        paths.append(run_folder(spark, "city"))
+        rows.write.format("xml").option("rootTag", names).option("rowTag", f"{bldg}:Building").option("validateName", False).save(paths[-1])
+    return paths
 
 
 @query(with_sql("bld", "SELECT CAST(id AS VARCHAR) AS source_id, lod, CAST(3 AS BIGINT) AS faces, CAST(15 AS BIGINT) AS points, TRUE AS valid FROM bld, (VALUES ('lod1'), ('lod2')) t(lod) WHERE lod = 'lod1' OR id % 3 = 0"))
@@ -48,6 +69,30 @@ def s4_citygml_buildings(spark, sf):
     return f.groupBy("source_id", "lod").agg(F.count("*").alias("faces"), F.sum(F.size("ring")).cast("long").alias("points"), F.every(citygml.valid_ring(F.col("ring"))).alias("valid"))
 
 
+_TWO = ", two AS (SELECT id, CASE WHEN id % 11 = 0 AND (SELECT count(*) FROM bld o WHERE o.id = b.id - 3) = 1 THEN 'OTHER_BUILDING' WHEN id % 11 = 0 THEN 'MISSING' END roof, CASE WHEN id % 7 = 0 THEN 'MISSING' END ground FROM bld b WHERE id % 3 = 0)"
+
+
+@query(with_sql("bld", _TWO + """ SELECT CAST(id AS VARCHAR) AS source_id, CAST(1 AS INTEGER) AS face_no, 'Roof' AS kind, coalesce(roof, 'OK') AS status FROM two
+UNION ALL SELECT CAST(id AS VARCHAR), 2, 'Ground', coalesce(ground, 'OK') FROM two UNION ALL SELECT CAST(id AS VARCHAR), 0, 'Wall', 'OK' FROM two"""))
+def s4_solid_references(spark, sf):
+    """Members of LoD2 solids, under any prefix, and what became of the surfaces they name."""
+    r = citygml.references(citygml.members(spark, _city(spark, sf, solids=True)))
+    kind = F.coalesce("semantic", F.when(F.col("face_no") == 1, "Roof").otherwise("Ground"))
+    return r.select("source_id", "face_no", kind.alias("kind"), "status")
+
+
+@query(with_sql("bld", _TWO + """ SELECT CAST(id AS VARCHAR) AS source_id, semantic, face_no, id || '-' || semantic AS polygon_id FROM two, (VALUES ('Wall', 0), ('Roof', 1), ('Ground', 2)) t(semantic, face_no) WHERE NOT (semantic = 'Roof' AND roof IS NOT NULL) AND NOT (semantic = 'Ground' AND ground IS NOT NULL)"""))
+def s4_solid_faces(spark, sf):
+    return citygml.lod2_faces(citygml.members(spark, _city(spark, sf, solids=True))).select("source_id", "semantic", "face_no", "polygon_id")
+
+
+@query(with_sql("bld", _TWO + """ SELECT CAST(b.id AS VARCHAR) AS source_id, CASE WHEN two.id IS NULL THEN 'lod1' WHEN two.roof IS NULL AND two.ground IS NULL THEN 'lod2' ELSE 'error' END AS choice FROM bld b LEFT JOIN two ON two.id = b.id"""))
+def p29_selected_lod(spark, sf):
+    """LoD2 where a building has one that is whole, LoD1 where it has none; a broken one is an error."""
+    m = citygml.members(spark, _city(spark, sf, solids=True))
+    return citygml.selected_lod(m.where("ring is not null"), citygml.reference_errors(m))
+
+
 @query(with_sql("bld", "SELECT CAST(id AS VARCHAR) AS source_id, semantic, id || '-' || semantic AS polygon_id, round(CASE semantic WHEN 'Ground' THEN 0 ELSE round(top, 6) END, 4) AS highest FROM bld, (VALUES ('Roof'), ('Wall'), ('Ground')) t(semantic) WHERE id % 3 = 0"))
 def s5_semantic_surfaces(spark, sf):
     f = citygml.faces(spark, _city(spark, sf)).where("semantic IS NOT NULL")
@@ -113,6 +158,19 @@ def s15_feature_audit(spark, sf):
     return j.agg(F.count("*").alias("features"), F.count_if(F.col("there").isNull()).alias("lost"), F.count_if(F.col("there") & moved).alias("moved"), F.sum(F.col("b_w") * F.col("b_h")).cast("long").alias("area"))
 
 
+@query("SELECT name, n AS rows, CAST(2 AS INTEGER) AS cleared FROM (SELECT 'parts' AS name, count(*) n FROM part UNION ALL SELECT 'suppliers', count(*) FROM supplier)")
+def s16_recovered_run(spark, sf):
+    """A run that a lost driver left staged and half moved is cleared, published, and read by its marker."""
+    tables = {"parts": B.table(spark, sf, "part").select("p_partkey", "p_name"), "suppliers": B.table(spark, sf, "supplier").select("s_suppkey", "s_name")}
+    folder = run_folder(spark, "runs")
+    for left in (f"{folder}/{sinks.STAGING}/run-1/parts", f"{folder}/run-1/suppliers"):
+        tables["parts"].write.parquet(left)
+    cleared = len(sinks.clear_unfinished(spark, folder, "run-1"))
+    sinks.publish(tables, folder, "run-1", {"ratio": "0.6"})
+    out = [df.agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n, df in sinks.published(spark, folder, "run-1").items()]
+    return out[0].unionByName(out[1]).withColumn("cleared", F.lit(cleared))
+
+
 @query("SELECT name, n AS rows FROM (SELECT 'parts' AS name, count(*) n FROM part UNION ALL SELECT 'suppliers', count(*) FROM supplier)")
 def s16_publish_once(spark, sf):
     tables = {"parts": B.table(spark, sf, "part").select("p_partkey", "p_name"), "suppliers": B.table(spark, sf, "supplier").select("s_suppkey", "s_name")}

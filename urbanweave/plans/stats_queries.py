@@ -9,6 +9,7 @@ from urbanweave.functions import columns as C
 from urbanweave.operators import grid as G
 from urbanweave.operators import raster as R
 from urbanweave.operators import stats as S
+from urbanweave.operators.cover import smallest_covers
 from urbanweave.plans.grid_queries import _PAIR, _pair
 from urbanweave.plans.joins_queries import _OWN, _owner
 from urbanweave.plans.registry import query
@@ -55,13 +56,13 @@ def a5_coverage(spark, sf):
     return B.tile_cell(spark, sf).groupBy("r", "c").agg(F.count("*").alias("n_tiles")).groupBy("n_tiles").agg(F.count("*").alias("cells"))
 
 
-_COVER = """, m AS (SELECT DISTINCT bit_or(CAST(1 << tile AS INTEGER)) mask FROM tile_cell GROUP BY r, c), s AS (SELECT CAST(s AS INTEGER) s FROM range(1, 16) t(s) WHERE NOT EXISTS (SELECT 1 FROM m WHERE (m.mask & CAST(t.s AS INTEGER)) = 0))
-SELECT s AS tiles, CAST(bit_count(s) AS INTEGER) AS size FROM s WHERE bit_count(s) = (SELECT min(bit_count(s)) FROM s)"""
+_COVERS = """, cell AS (SELECT r, c, bit_or(1 << CAST(tile AS INTEGER)) m FROM tile_cell GROUP BY r, c), mask AS (SELECT DISTINCT m FROM cell), s AS (SELECT s FROM range(1, 16) t(s) WHERE NOT EXISTS (SELECT 1 FROM mask WHERE m & s = 0))
+SELECT array_to_string([k FOR k IN range(0, 4) IF (s >> CAST(k AS INTEGER)) & 1 = 1], ',') AS tiles, CAST(bit_count(s) AS INTEGER) AS size FROM s WHERE bit_count(s) = (SELECT min(bit_count(s)) FROM s)"""
 
 
-@query(with_sql("tile_cell", _COVER))
+@query(with_sql("tile_cell", _COVERS))
 def a6_minimum_tile_set(spark, sf):
-    return R.minimum_tile_sets(B.tile_cell(spark, sf))
+    return smallest_covers(B.tile_cell(spark, sf)).select(F.array_join(F.transform("tiles", lambda t: t.cast("string")), ",").alias("tiles"), "size")
 
 
 @query(with_sql("cell_a chm", _PAIR + " SELECT CAST(k AS INTEGER) AS bit, count(*) AS n FROM env, range(0, 8) t(k) WHERE (state >> CAST(k AS INTEGER)) & 1 = 1 GROUP BY k"))
@@ -184,8 +185,14 @@ def a24_halo(spark, sf):
     return j.agg(C.r6(high).alias("highest"), C.r6(low).alias("lowest"), C.r6((high - low) / F.tan(F.radians(F.lit(35.0)))).alias("reach"), F.min(F.expr("least(r, c, 127-r, 127-c)")).alias("exit_cells"))
 
 
-@query("""WITH h AS (SELECT sha256(coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || coalesce(lang, '~') || '|' || coalesce(source, '~') || '|' || coalesce(text, '~')) h FROM documents), b AS (SELECT CAST('0x' || substr(h, 1, 3) AS INTEGER) bucket, sha256(string_agg(h, '' ORDER BY h)) d, count(*) n FROM h GROUP BY 1)
-SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY bucket)) AS digest FROM b""")
+def digest_sql(table: str, columns: str) -> str:
+    """The same digest in SQL: lengths before values, hashes cut into ten words, the words summed."""
+    parts = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in columns.split())
+    sums = " || ',' || ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 6 * k}, 6) AS BIGINT)), 0) AS VARCHAR)" for k in range(10))
+    return f"SELECT count(*) AS n, sha256(count(*) || ',' || {sums}) AS digest FROM (SELECT sha256({parts}) h FROM {table})"
+
+
+@query(digest_sql("documents", "doc_id lang source text"))
 def a25_content_digest(spark, sf):
     return S.digest(B.table(spark, sf, "documents"), ["doc_id", "lang", "source", "text"])
 

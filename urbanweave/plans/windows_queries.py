@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from urbanweave.functions import columns as C
 from urbanweave.operators import raster as R
+from urbanweave.operators.numbering import stable_ids
 from urbanweave.plans.registry import query
 from urbanweave.sources import bindings as B
 from urbanweave.sources.bindings import with_sql
@@ -14,12 +15,7 @@ from urbanweave.sources.bindings import with_sql
 
 @query("SELECT c_name AS id, row_number() OVER (ORDER BY c_name) AS number FROM customer")
 def w1_numeric_ids(spark, sf):
-    # Ranges of the ordered ids are numbered apart: sizes of the ranges give each its offset, so no task sees all ids.
-    ids = B.table(spark, sf, "customer").select(F.col("c_name").alias("id")).withColumn("part", F.substring("id", 1, 15))
-    sizes = ids.groupBy("part").agg(F.count("*").alias("n"))
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = ids.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("id"))).join(offsets, "part")
-    return ranked.select("id", (F.col("before") + F.col("k")).cast("long").alias("number"))
+    return stable_ids(B.table(spark, sf, "customer").select(F.col("c_name").alias("id")))
 
 
 @query(with_sql("tile_cell", "SELECT r, c, round(arg_min(v, CASE tile WHEN 2 THEN 1 WHEN 0 THEN 2 WHEN 3 THEN 3 ELSE 4 END), 6) AS v, arg_min(tile, CASE tile WHEN 2 THEN 1 WHEN 0 THEN 2 WHEN 3 THEN 3 ELSE 4 END) AS source, count(*) AS n_tiles FROM tile_cell GROUP BY r, c"))

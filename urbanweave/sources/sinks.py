@@ -37,17 +37,72 @@ def write_features(df: DataFrame, path: str, key: str = "id") -> None:
     df.select(key, canonical_json(df.columns).alias("value")).orderBy(key).select("value").write.mode("errorifexists").text(path)
 
 
+#: Folder of runs that are being written, and the marker that comes last.
+STAGING, MARKER = "_staging", "manifest"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, as Spark has it, and the path for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _files(spark, path)
+    return bool(fs.exists(p))
+
+
+def finished(spark: SparkSession, folder: str, run_id: str) -> bool:
+    """Whether a run is published: its marker is there and whole."""
+    return _exists(spark, f"{folder}/{run_id}/{MARKER}/_SUCCESS")
+
+
+def clear_unfinished(spark: SparkSession, folder: str, run_id: str) -> list[str]:
+    """Take away what a run that ended early left: its staged tables, and moved ones without a marker. Returns the paths cleared.
+
+    Only for a run id that no other driver is writing.
+    """
+    left = [f"{folder}/{STAGING}/{run_id}"] + ([] if finished(spark, folder, run_id) else [f"{folder}/{run_id}"])
+    gone = []
+    for path in left:
+        fs, p = _files(spark, path)
+        if fs.exists(p):
+            fs.delete(p, True)
+            gone.append(path)
+    return gone
+
+
+def published(spark: SparkSession, folder: str, run_id: str) -> dict[str, DataFrame]:
+    """The tables of a published run by name; a run without its marker is none, and an error."""
+    if not finished(spark, folder, run_id):
+        raise FileNotFoundError(f"no published run {run_id} in {folder}")
+    names = [r["name"] for r in spark.read.json(f"{folder}/{run_id}/{MARKER}").select("name").collect()]  # one row a table
+    return {n: spark.read.parquet(f"{folder}/{run_id}/{n}") for n in names}
+
+
 def publish(tables: dict[str, DataFrame], folder: str, run_id: str, params: dict[str, str]) -> DataFrame:
-    """Write the tables of a run once, each read back and compared; the manifest comes last and marks a whole run."""
+    """Publish the tables of a run once, and return the manifest: name, rows, content, run_id, params.
+
+    Tables are written to a staging folder, each read back and compared, and counted. Only
+    when all are there the folder takes its final name, and the manifest, which marks a whole run, is
+    written behind it. A run that is published stays as it is: another with its id is an
+    error. What an earlier attempt left without a marker is cleared first.
+    """
     spark = next(iter(tables.values())).sparkSession
-    rows = []
+    if not run_id.strip("._") or "/" in run_id or MARKER in tables:
+        raise ValueError("a run needs an id that can name a folder, and no table has the name of the marker")
+    if finished(spark, folder, run_id):
+        raise FileExistsError(f"run {run_id} exists in {folder}")
+    clear_unfinished(spark, folder, run_id)
+    staged, rows = f"{folder}/{STAGING}/{run_id}", None
     for name, df in sorted(tables.items()):
-        back = write_verified(df, f"{folder}/{run_id}/{name}")
+        back = write_verified(df, f"{staged}/{name}")
         row = F.sha2(canonical_json(df.columns), 256)
-        rows.append(back.select(row.alias("h")).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.expr("bit_xor(conv(substring(h, 1, 15), 16, 10)::bigint)").alias("content")))
-    manifest = rows[0]
-    for r in rows[1:]:
-        manifest = manifest.unionByName(r)
-    manifest = manifest.withColumn("run_id", F.lit(run_id)).withColumn("params", F.lit(";".join(f"{k}={v}" for k, v in sorted(params.items()))))
-    manifest.coalesce(1).write.mode("errorifexists").json(f"{folder}/{run_id}/manifest")  # one row a table
-    return spark.read.json(f"{folder}/{run_id}/manifest")
+        facts = back.select(row.alias("h")).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.expr("bit_xor(conv(substring(h, 1, 15), 16, 10)::bigint)").alias("content")).first()
+        rows = [*(rows or []), (facts["name"], facts["rows"], facts["content"], run_id, ";".join(f"{k}={v}" for k, v in sorted(params.items())))]
+    fs, source = _files(spark, staged)
+    if not fs.rename(source, _files(spark, f"{folder}/{run_id}")[1]):
+        raise OSError(f"{staged} could not be moved to its final name")
+    manifest = spark.createDataFrame(rows, "name string, rows long, content long, run_id string, params string").coalesce(1)  # one row a table
+    manifest.write.mode("errorifexists").json(f"{folder}/{run_id}/{MARKER}")
+    return spark.read.json(f"{folder}/{run_id}/{MARKER}")
