@@ -317,7 +317,7 @@ def train(docs: DataFrame, vocabulary: str, sample_docs: int = 400, seed: int =
 class Judge:
     """Scores whole texts under a model; distinct words are scored once and remembered."""
 
-    def __init__(self, model: Model, remember: int = 1_000_000):
+    def __init__(self, model: Model, remember: int = 300_000):
         self.model, self.remember = model, remember
         self.seen, self.known = np.zeros(0, np.uint64), np.zeros((0, len(model.languages)))
 
@@ -361,7 +361,7 @@ class Judge:
 def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     judge = Judge(shared.value)
     for batch in batches:
-        for part in slices(batch, limit=2 << 20):
+        for part in slices(batch, limit=1 << 20):
             names, score = judge(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -369,7 +369,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[p
 def _accept(batches: Iterator[pa.RecordBatch], shared: Broadcast, text: str, least: float) -> Iterator[pa.RecordBatch]:
     judge = Judge(shared.value)
     for batch in batches:
-        for part in slices(batch, text, limit=2 << 20):
+        for part in slices(batch, text, limit=1 << 20):
             names, score = judge(part.column(part.schema.get_field_index(text)))
             yield part.filter(pa.array([x != "und" for x in names]) if least <= 0 else pa.array([x != "und" and y >= least for x, y in zip(names, score, strict=True)]))
 
