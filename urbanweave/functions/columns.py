@@ -13,7 +13,7 @@ VALID, A_MISSING, B_MISSING, A_INVALID, B_INVALID, A_OUTSIDE, B_OUTSIDE, OVERFLO
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once. Lambdas over arrays are interpreted, so an expression named inside one runs for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def half_up(x: Column) -> Column:
