@@ -103,3 +103,20 @@ def test_numerals_are_no_letters(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
     assert [got[i] == "und" for i in range(9)] == [True] * 6 + [False] * 3
     assert language_id.identify(spark.createDataFrame([(1, "a")], "doc_id long, text string").limit(0), model).count() == 0
+
+
+def test_long_texts_of_short_lines_are_scored_line_by_line(monkeypatch):
+    rng = np.random.default_rng(5)
+    field = quality_crf.Field(rng.normal(size=3 * quality_crf.N_LINE), rng.normal(size=(2, 2)))
+    text = pa.array(["\n".join(f"w{rng.integers(5)} X!" for _ in range(k)) for k in (1, 2, 300, 7, 7, 40, 40, 40, 40, 90)] + [None, "\n" * 50])
+    features, size, first = quality_crf.line_features(text)
+    score, lengths, starts = quality_crf.line_scores(text, field.weights)
+    assert score == pytest.approx(features @ field.weights, rel=1e-12) and (lengths == size).all() and (starts == first).all()
+    whole = quality_crf.marginals(score, first, field.moves)
+    for few, lines in ((1, 1 << 16), (4, 7), (100, 3)):
+        monkeypatch.setattr(quality_crf, "FEW", few)
+        monkeypatch.setattr(quality_crf, "LINES", lines)
+        good, pair, log_z = quality_crf.marginals(score, first, field.moves)
+        assert good == pytest.approx(whole[0], rel=1e-10) and pair == pytest.approx(whole[1], rel=1e-9, abs=1e-15) and log_z == pytest.approx(whole[2])
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["\n" * 1_000_000])], ["doc_id", "text"])
+    assert 0 < next(iter(quality_crf._score(iter([batch]), field))).column(1)[0].as_py() < 1

@@ -29,12 +29,8 @@ _KINDS[3, [b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "
 _KINDS[4, [ord("."), ord(",")]] = 1  # stops
 
 
-def line_features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (line x 3 N_LINE) of the lines of all rows, their lengths, and the first line of each row (n+1).
-
-    The three parts are the line's own features, those of the line before and those of the
-    line behind; neighbours outside the row are zero. An empty row has one empty line.
-    """
+def _lines(text: pa.Array) -> tuple[Iterator[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The N_LINE features of all lines of a slice, one column at a time, their lengths, rows, and the first line of each row (n+1)."""
     w = words(text)
     data, offsets = w.data, w.offsets
     n_rows = len(offsets) - 1
@@ -49,47 +45,68 @@ def line_features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = ends - starts
     n = len(starts)
 
-    def per_line(values: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(values)])
-        return total[ends] - total[starts]
-
-    own = np.zeros((n, N_LINE))
-    length = np.maximum(size, 1)
-    for k in range(5):
-        own[:, k] = per_line(_KINDS[k][data]) / length
-    line_of_word = np.searchsorted(starts, w.start, side="right") - 1 if len(w.start) else np.zeros(0, np.int64)
-    n_words = np.bincount(line_of_word, minlength=n).astype(float)
-    some = np.maximum(n_words, 1)
-    symbol_word = _KINDS[3][data[np.maximum(w.end - 1, 0)]] if len(w.end) else np.zeros(0)
-    own[:, 5] = np.bincount(line_of_word, symbol_word, n) / some
-    again = np.zeros(len(w.hash))
-    if len(again) > 1:
-        again[1:] = (w.hash[1:] == w.hash[:-1]) & (line_of_word[1:] == line_of_word[:-1])
-    own[:, 6] = np.bincount(line_of_word, again, n) / some
-    order = np.lexsort((w.hash, line_of_word))
-    new = np.ones(len(order))
-    if len(order) > 1:
-        new[1:] = (w.hash[order][1:] != w.hash[order][:-1]) | (line_of_word[order][1:] != line_of_word[order][:-1])
-    own[:, 7] = 1 - np.bincount(line_of_word[order], new, n) / some
-    own[n_words == 0, 7] = 0
-    own[:, 8] = np.log1p(n_words) / 5
-    own[:, 9] = np.bincount(line_of_word, (w.end - w.start).astype(float), n) / some / 10
-    shouted = _KINDS[0][data[w.start]] * (w.end - w.start > 1) * _KINDS[0][data[np.minimum(w.start + 1, max(len(data) - 1, 0))]] if len(w.start) else np.zeros(0)
-    own[:, 10] = np.bincount(line_of_word, shouted, n) / some
-    own[:, 11] = size == 0
-    line_hash = np.bincount(line_of_word, (w.hash >> np.uint64(20)).astype(float), n)
-    order = np.lexsort((line_hash, row))
-    same = np.zeros(n)
-    if n > 1:
-        twin = (row[order][1:] == row[order][:-1]) & (line_hash[order][1:] == line_hash[order][:-1]) & (n_words[order][1:] > 0)
-        same[order[1:]] = twin
-    own[:, 12] = same
-    own[:, 13] = 1.0
+    def columns() -> Iterator[np.ndarray]:
+        length = np.maximum(size, 1)
+        for k in range(5):
+            total = np.concatenate([[0.0], np.cumsum(_KINDS[k][data])])
+            yield (total[ends] - total[starts]) / length
+        line_of_word = np.searchsorted(starts, w.start, side="right") - 1 if len(w.start) else np.zeros(0, np.int64)
+        n_words = np.bincount(line_of_word, minlength=n).astype(float)
+        some = np.maximum(n_words, 1)
+        symbol_word = _KINDS[3][data[np.maximum(w.end - 1, 0)]] if len(w.end) else np.zeros(0)
+        yield np.bincount(line_of_word, symbol_word, n) / some
+        again = np.zeros(len(w.hash))
+        if len(again) > 1:
+            again[1:] = (w.hash[1:] == w.hash[:-1]) & (line_of_word[1:] == line_of_word[:-1])
+        yield np.bincount(line_of_word, again, n) / some
+        order = np.lexsort((w.hash, line_of_word))
+        new = np.ones(len(order))
+        if len(order) > 1:
+            new[1:] = (w.hash[order][1:] != w.hash[order][:-1]) | (line_of_word[order][1:] != line_of_word[order][:-1])
+        yield np.where(n_words == 0, 0.0, 1 - np.bincount(line_of_word[order], new, n) / some)
+        yield np.log1p(n_words) / 5
+        yield np.bincount(line_of_word, (w.end - w.start).astype(float), n) / some / 10
+        shouted = _KINDS[0][data[w.start]] * (w.end - w.start > 1) * _KINDS[0][data[np.minimum(w.start + 1, max(len(data) - 1, 0))]] if len(w.start) else np.zeros(0)
+        yield np.bincount(line_of_word, shouted, n) / some
+        yield (size == 0).astype(float)
+        line_hash = np.bincount(line_of_word, (w.hash >> np.uint64(20)).astype(float), n)
+        order = np.lexsort((line_hash, row))
+        same = np.zeros(n)
+        if n > 1:
+            twin = (row[order][1:] == row[order][:-1]) & (line_hash[order][1:] == line_hash[order][:-1]) & (n_words[order][1:] > 0)
+            same[order[1:]] = twin
+        yield same
+        yield np.ones(n)
+
+    return columns(), size.astype(float), row, first
+
+
+def line_features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (line x 3 N_LINE) of the lines of all rows, their lengths, and the first line of each row (n+1).
+
+    The three parts are the line's own features, those of the line before and those of the
+    line behind; neighbours outside the row are zero. An empty row has one empty line.
+    """
+    columns, size, row, first = _lines(text)
+    own = np.stack(list(columns), axis=1)
     before, behind = np.zeros_like(own), np.zeros_like(own)
     inside = row[1:] == row[:-1]
     before[1:][inside] = own[:-1][inside]
     behind[:-1][inside] = own[1:][inside]
-    return np.concatenate([own, before, behind], axis=1), size.astype(float), first
+    return np.concatenate([own, before, behind], axis=1), size, first
+
+
+def line_scores(text: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`line_features` times `weights`, without the features of all lines at once: scores, lengths, first lines."""
+    columns, size, row, first = _lines(text)
+    own, before, behind = (np.zeros(len(row)) for _ in range(3))
+    for k, column in enumerate(columns):
+        for part, total in enumerate((own, before, behind)):
+            total += weights[part * N_LINE + k] * column
+    inside = row[1:] == row[:-1]
+    own[1:][inside] += before[:-1][inside]
+    own[:-1][inside] += behind[1:][inside]
+    return own, size, first
 
 
 @dataclass
@@ -100,10 +117,51 @@ class Field:
     moves: np.ndarray
 
 
-def marginals(score: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """P(line is good), pair marginals per line and its predecessor (line x 4), and the log partition sum.
+#: Sequences that go on when so few are left are advanced one by one, in blocks of so many lines.
+FEW, LINES = 8, 1 << 16
+
+
+def _ahead(e: np.ndarray, a: np.ndarray, t: np.ndarray, start: int, step: int, stop: int) -> float:
+    """Forward messages of one sequence from its line `step` on; the log of what they were scaled by."""
+    (t00, t01), (t10, t11) = t.tolist()
+    (p, q), log_z = (a[start + step - 1].tolist() if step else (None, None)), 0.0
+    for at in range(start + step, start + stop, LINES):
+        end = min(at + LINES, start + stop)
+        out, scale = [], []
+        for x, y in zip(e[at:end, 0].tolist(), e[at:end, 1].tolist(), strict=True):
+            if p is not None:
+                x, y = (p * t00 + q * t10) * x, (p * t01 + q * t11) * y
+            total = x + y
+            p, q = x / total, y / total
+            out.append((p, q))
+            scale.append(total)
+        a[at:end] = out
+        log_z += float(np.log(scale).sum())
+    return log_z
+
+
+def _back(e: np.ndarray, b: np.ndarray, t: np.ndarray, start: int, step: int, stop: int) -> None:
+    """Backward messages of one sequence down to its line `step`."""
+    (t00, t01), (t10, t11) = t.tolist()
+    p, q = b[start + stop - 1].tolist()
+    for end in range(start + stop - 1, start + step, -LINES):
+        at = max(end - LINES, start + step)
+        out = []
+        for x, y in zip(e[at + 1 : end + 1, 0].tolist()[::-1], e[at + 1 : end + 1, 1].tolist()[::-1], strict=True):
+            x, y = p * x, q * y
+            p, q = x * t00 + y * t01, x * t10 + y * t11
+            total = p + q
+            p, q = p / total, q / total
+            out.append((p, q))
+        b[at:end] = out[::-1]
+
+
+def marginals(score: np.ndarray, first: np.ndarray, moves: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None, float]:
+    """P(line is good), pair marginals per line and its predecessor (line x 4, if asked for), and the log partition sum.
 
-    Sequences are the runs first[i]:first[i+1]; all are advanced together, one line a step.
+    Sequences are the runs first[i]:first[i+1]. They are advanced together, one line a step, while
+    FEW or more of them go on, and one by one behind that, so one very long text costs a few
+    operations a line. A line takes 6 numbers, and 8 more with pairs.
     """
     n = len(score)
     sizes = np.diff(first)
@@ -115,20 +173,25 @@ def marginals(score: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[
     t = np.exp(moves)
     a, b = np.zeros((n, 2)), np.ones((n, 2))
     log_z = float(peak.sum())
-    longest = int(sizes[0]) if len(sizes) else 0
-    active = [int(np.searchsorted(-sizes, -step, side="left")) for step in range(longest)]
-    for step in range(longest):
+    together = int(sizes[FEW - 1]) if len(sizes) >= FEW else 0
+    active = [int(np.searchsorted(-sizes, -step, side="left")) for step in range(together + 1)]
+    for step in range(together):
         at = first[: active[step]] + step
         value = e[at] if step == 0 else (a[at - 1] @ t) * e[at]
         total = value.sum(axis=1, keepdims=True)
         log_z += float(np.log(total).sum())
         a[at] = value / total
-    for step in range(longest - 2, -1, -1):
+    for start, stop in zip(first[: active[together]].tolist(), sizes[: active[together]].tolist(), strict=True):
+        log_z += _ahead(e, a, t, start, together, stop)
+        _back(e, b, t, start, together, stop)
+    for step in range(together - 1, -1, -1):
         at = first[: active[step + 1]] + step
         value = (b[at + 1] * e[at + 1]) @ t.T
         b[at] = value / value.sum(axis=1, keepdims=True)
     both = a * b
     good = both[:, 1] / both.sum(axis=1)
+    if not pairs:
+        return good, None, log_z
     pair = np.zeros((n, 4))
     head = np.zeros(n, dtype=bool)
     head[first[sizes > 0]] = True
@@ -190,8 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, seed: int
 def _score(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            features, size, first = line_features(part.column(1))
-            good, _, _ = marginals(features @ field.weights, first, field.moves)
+            value, size, first = line_scores(part.column(1), field.weights)
+            good, _, _ = marginals(value, first, field.moves, pairs=False)
             weight = np.maximum(size, 1e-3)
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))
             score = np.clip(np.bincount(row, weight * good, len(first) - 1) / np.bincount(row, weight, len(first) - 1), 0.0, 1.0)
