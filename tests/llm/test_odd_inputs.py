@@ -1,5 +1,7 @@
 """Hash collisions, neighbours in a batch, null ids and repeated rows."""
 
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from urbanweave.llm import ann, language_id, ngram_jaccard, quality_crf, substring_dedup, topk, warc_zip
+from urbanweave.llm import ann, html_template, language_id, ngram_jaccard, quality_crf, substring_dedup, topk, warc_zip
 from urbanweave.llm.arrays import words
 
 
@@ -120,3 +122,19 @@ def test_long_texts_of_short_lines_are_scored_line_by_line(monkeypatch):
         assert good == pytest.approx(whole[0], rel=1e-10) and pair == pytest.approx(whole[1], rel=1e-9, abs=1e-15) and log_z == pytest.approx(whole[2])
     batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["\n" * 1_000_000])], ["doc_id", "text"])
     assert 0 < next(iter(quality_crf._score(iter([batch]), field))).column(1)[0].as_py() < 1
+
+
+def test_words_in_names_and_deep_pages():
+    text = lambda s: html_template.main_text(s, None)
+    assert text('<p class="share-price">The share price fell.</p>') == "The share price fell."
+    assert text('<article><section id="notice-of-appeal"><p>Legal text body.</p></section></article>') == "Legal text body."
+    assert text('<article><h1>T</h1><section class="form-follows-function"><p>Body one.</p></section><p>two</p></article>') == "T Body one. two"
+    assert text('<article><p class="ad-hoc">ad hoc committees met.</p><p>two</p></article>') == "ad hoc committees met. two"
+    assert text('<article>x<div class="share-buttons">Tweet</div><div id="site-footer2">f</div><div class="related links">more</div></article>') == "x"
+    tracemalloc.start()
+    events = list(html_template.parse("<div>" * 20_000 + "deep" + "</div>" * 20_000))
+    assert len(events) == 40_001 and tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    opened = [e[1] for e in events if e[0] == "open"]
+    assert len(set(opened)) == 20_000 and max(map(len, opened)) <= html_template.PATH
+    assert text("<div>" * 20_000 + "deep") == "deep"

@@ -12,6 +12,7 @@ text, and each page's blocks under that node are extracted.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -33,6 +34,11 @@ APART = frozenset("script style textarea title noscript template iframe head nav
 #: Names in class, id or role that mark what is not the article. Fixed values.
 APART_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments commentlist complementary contentinfo cookie cookies consent disclaimer disqus dropdown footer form gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup privacy promo promoted promotion related reply replies respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+#: Words that only say where or what kind of box a named part is. A name is apart if it holds a word of the list above and
+#: else only these: "site-footer" is, "share-price" and "notice-of-appeal" are not. Fixed values.
+PLACES = frozenset("area bar block body bottom box btn button buttons container content desktop fixed global group head heading holder icon icons inner item items js large left link links list local main menu mobile module outer page panel post primary right row secondary section site small sticky sub text title tools top ui unit wrap wrapper".split())
+#: Paths longer than this go on from a digest of themselves, so the memory of a page grows with its tags, not with their square.
+PATH = 2000
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: A class or id that says what a node has or lacks, not what it is.
 _MODIFIER = re.compile(r"^(?:has|with|without|no)[-_]|[-_]open$")
@@ -97,13 +103,16 @@ def parse(source: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
             for kind, a, b, c in _NAMES.findall(attributes):
                 value = (a or b or c).lower()
                 marks += [(kind.lower(), x) for x in value.split()]
-        words = {w for _, x in marks if not _MODIFIER.search(x) for w in re.split(r"[-_\d]+|(?<=[a-z])(?=[A-Z])", x) if w}
+        named = [{w for w in re.split(r"[-_\d]+", x) if w} for _, x in marks if not _MODIFIER.search(x)]
+        named = any(w & APART_NAMES and w <= APART_NAMES | PLACES for w in named)
         article = name in ("article", "main") or ("role", "main") in marks
-        apart = apart or name in APART or (bool(words & APART_NAMES) and name not in ("html", "body") and not article) or bool(attributes and _HIDDEN.search(attributes))
+        apart = apart or name in APART or (named and name not in ("html", "body") and not article) or bool(attributes and _HIDDEN.search(attributes))
         link, main = link or name == "a", main or article
         if name not in INLINE:
             tail = ".".join(sorted(x for kind, x in marks if not re.search(r"\d", x)))
             path = f"{path}/{name}.{tail}" if tail else f"{path}/{name}"
+            if len(path) > PATH:
+                path = f"/{name}.~{hashlib.md5(path.encode()).hexdigest()}"
             yield "open", path, apart, link, main
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
@@ -248,7 +257,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars.
 
-    Null, empty and textless pages give an empty text. Pages whose url is null or has no host
+    Null, empty and textless pages give an empty text. Very deep pages go by digests of their
+    paths, from which no text reaches the nodes above. Pages whose url is null or has no host
     share the template of the empty host. Repeated rows stay repeated; extra columns are
     ignored; an empty table gives an empty result.
     """
