@@ -82,19 +82,54 @@ def grid_rays(azimuths: int = 120, elevations: int = 20, low: float = -30.0, hig
 
 
 def ray_paths(spark, rays: list[tuple[int, float, float, float]], reach: float) -> DataFrame:
-    """Offsets crossed by every ray (id, du, dv, dz): bounded by rays x reach, whatever the scene's size."""
-    rows = [(k, dz, *cell) for k, du, dv, dz in rays for cell in path(du, dv, reach)]
-    return spark.createDataFrame(rows, "ray int, dz double, di int, dj int, t0 double, t1 double")
+    """Offsets crossed by every ray (id, du, dv, dz), in their order: bounded by rays x reach, whatever the scene's size."""
+    rows = [(k, n, dz, *cell) for k, du, dv, dz in rays for n, cell in enumerate(path(du, dv, reach))]
+    return spark.createDataFrame(rows, "ray int, step int, dz double, di int, dj int, t0 double, t1 double")
+
+
+#: Side of a tile of the scene, and offsets of all rays up to which tiles are looked at before cells.
+TILE, OFFSETS = 16, 20_000
+
+
+def _heights_meet(low: str, high: str) -> str:
+    """A stretch t0 to t1 of a ray from z reaches into heights from `low` to `high`."""
+    return f"least(z + t0*dz, z + t1*dz) < {high} AND greatest(z + t0*dz, z + t1*dz) > {low}"
+
+
+def _steps(obs: DataFrame, paths: DataFrame, spans: DataFrame) -> DataFrame:
+    """Cells (sr, sc) that rays of observers cross where spans can be met: r, c, z, ray, dz, t0, t1, sr, sc.
+
+    Rays cross tiles first: where in its tile an observer stands decides which tiles, so a table of
+    TILE x TILE places and the tiles of every ray (bounded by the parameters) meets the observers,
+    and only tiles as high and as low as the ray go on to their cells.
+    """
+    o = obs.select("r", "c", "z").withColumns({"pr": F.pmod("r", F.lit(TILE)), "pc": F.pmod("c", F.lit(TILE)), "tr": F.floor(F.col("r") / TILE), "tc": F.floor(F.col("c") / TILE)})
+    places = paths.sparkSession.range(TILE * TILE).selectExpr(f"id div {TILE} AS pr", f"id % {TILE} AS pc")
+    crossed = paths.crossJoin(F.broadcast(places)).withColumns({"tj": F.floor((F.col("pr") + F.col("dj")) / TILE), "ti": F.floor((F.col("pc") + F.col("di")) / TILE)})
+    crossed = crossed.groupBy("ray", "dz", "pr", "pc", "ti", "tj").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.min("step").alias("first"), F.max("step").alias("last"))
+    ends = [F.min("r").alias("r_low"), F.max("r").alias("r_high"), F.min("c").alias("c_low"), F.max("c").alias("c_high"), F.min("k0").alias("k_low"), F.max("k1").alias("k_high")]
+    domain = F.broadcast(spans.agg(*ends))  # one row
+    t = o.join(F.broadcast(crossed), ["pr", "pc"]).join(domain, F.lit(True)).where(_heights_meet("k_low", "k_high"))
+    t = t.select("r", "c", "z", "ray", "dz", "t0", "t1", "first", "last", (F.col("tr") + F.col("tj")).alias("tr"), (F.col("tc") + F.col("ti")).alias("tc"))
+    tiles = spans.groupBy(F.floor(F.col("r") / TILE).alias("tr"), F.floor(F.col("c") / TILE).alias("tc")).agg(F.min("k0").alias("low"), F.max("k1").alias("high"))
+    t = t.join(tiles, ["tr", "tc"]).where(_heights_meet("low", "high")).select("r", "c", "z", "ray", F.explode(F.sequence("first", "last")).alias("step"))
+    steps = t.join(F.broadcast(paths), ["ray", "step"]).withColumn("sr", F.col("r") + F.col("dj")).withColumn("sc", F.col("c") + F.col("di"))
+    return steps.select("r", "c", "z", "ray", "dz", "t0", "t1", "sr", "sc")
 
 
 def meetings(obs: DataFrame, paths: DataFrame, spans: DataFrame) -> DataFrame:
     """Stretches of rays inside spans: observer (r, c), ray, class, entry and exit. Contact without length is none."""
+    # The scene and its observers are read several times below: they are made once.
+    obs, spans = checkpoint(obs.select("r", "c", "z")), checkpoint(spans.select("r", "c", "k0", "k1", "cls"))
     # `paths` is bounded by its parameters; observers stay where they are and only spans of the crossed cells join.
-    steps = obs.select("r", "c", "z").join(F.broadcast(paths), F.lit(True)).withColumn("sr", F.col("r") + F.col("dj")).withColumn("sc", F.col("c") + F.col("di"))
+    if len(paths.limit(OFFSETS + 1).select("ray").take(OFFSETS + 1)) <= OFFSETS:
+        steps = _steps(obs, paths, spans)
+    else:
+        steps = obs.select("r", "c", "z").join(F.broadcast(paths), F.lit(True)).withColumn("sr", F.col("r") + F.col("dj")).withColumn("sc", F.col("c") + F.col("di"))
     # Steps out of the domain, or wholly above or below all spans, meet none.
     ends = [F.min("r").alias("r_low"), F.max("r").alias("r_high"), F.min("c").alias("c_low"), F.max("c").alias("c_high"), F.min("k0").alias("k_low"), F.max("k1").alias("k_high")]
     steps = steps.join(F.broadcast(spans.agg(*ends)), F.lit(True)).where("sr BETWEEN r_low AND r_high AND sc BETWEEN c_low AND c_high")  # one row
-    steps = steps.where("least(z + t0*dz, z + t1*dz) < k_high AND greatest(z + t0*dz, z + t1*dz) > k_low").select("r", "c", "z", "ray", "dz", "t0", "t1", "sr", "sc")
+    steps = steps.where(_heights_meet("k_low", "k_high")).select("r", "c", "z", "ray", "dz", "t0", "t1", "sr", "sc")
     s = spans.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "k0", "k1", "cls")
     j = steps.join(s, ["sr", "sc"])
     low, high = (F.col("k0") - F.col("z")) / F.col("dz"), (F.col("k1") - F.col("z")) / F.col("dz")  # a falling ray comes in at the top

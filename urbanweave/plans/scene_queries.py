@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from urbanweave.functions import columns as C
 from urbanweave.operators import scene as V
-from urbanweave.operators.rays import view_of_many_rays
-from urbanweave.plans.registry import ORACLE_SQL, query, query_without_sql
+from urbanweave.plans.registry import ORACLE_SQL, query
 from urbanweave.sources import bindings as B
 from urbanweave.sources.bindings import with_sql
 
@@ -187,14 +186,8 @@ SELECT o.r, o.c, round(coalesce(s, 0)/24, 6) AS view FROM obs o LEFT JOIN (SELEC
 def r3_view_index(spark, sf):
     """24 rays, rising and falling, up to the edge of the domain."""
     ground, buildings, trees, obs = _scene(spark, sf)
-    return view_of_many_rays(obs, ground.unionByName(buildings).unionByName(trees), _RAYS, B.N).select("r", "c", C.r6(F.col("view")).alias("view"))
-
-
-@query_without_sql
-def r3_view_index_whole(spark, sf):
-    """120 x 20 rays from -30 to +30 degrees, up to the edge of the domain; tests cut boxes instead of SQL."""
-    ground, buildings, trees, obs = _scene(spark, sf)
-    return view_of_many_rays(obs, ground.unionByName(buildings).unionByName(trees), V.grid_rays(), B.N).select("r", "c", C.r6(F.col("view")).alias("view"))
+    met = V.meetings(obs, V.ray_paths(spark, _RAYS, _RAYS_REACH), ground.unionByName(buildings).unionByName(trees))
+    return V.view_index(obs, met, len(_RAYS)).select("r", "c", C.r6(F.col("view")).alias("view"))
 
 
 _THREE = _SCENE + _paths_sql(_SUN, _REACH) + _MEET + ", cur" + _IRR.format("TRUE") + ", noc" + _IRR.format("cls <> -2") + ", ter" + _IRR.format("cls NOT IN (-2, -3)")
