@@ -90,3 +90,20 @@ def digest(df: DataFrame, columns: list[str]) -> DataFrame:
     words = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + DIGITS * k, DIGITS), 16, 10).cast("long")), F.lit(0)).alias(f"w{k}") for k in range(WORDS)]
     sums = h.agg(F.count("*").alias("n"), *words)
     return sums.select("n", F.sha2(F.concat_ws(",", "n", *[f"w{k}" for k in range(WORDS)]), 256).alias("digest"))
+
+
+def edit_summary(edits: DataFrame, by: str, before: str, after: str, rejected: Column, key: str) -> DataFrame:
+    """What edits changed, by kind: moved (sum of absolute changes), largest, changed (how many), and every rejected id.
+
+    One row a rejected id, with the facts of its kind beside it, and one with a null id for a kind without any: no list of ids grows with the table.
+    """
+    change = F.abs(F.col(after) - F.col(before))
+    facts = edits.groupBy(by).agg(F.sum(change).alias("moved"), F.max(change).alias("largest"), F.count_if(change != 0).alias("changed"))
+    return facts.join(edits.where(rejected).select(by, F.col(key).alias("rejected")), by, "left")
+
+
+def tied_largest(values: DataFrame, by: str, value: str, key: str, tolerance: float = 1e-8) -> DataFrame:
+    """The largest value of every group and each id that has it, to within `tolerance`: by, n (values above 0), largest, id; one row a tied id."""
+    most = values.groupBy(by).agg(F.count_if(F.col(value) > 0).alias("n"), F.max(value).alias("largest"))
+    j = values.join(most, by).where(F.abs(F.col(value) - F.col("largest")) <= tolerance)
+    return j.select(by, "n", "largest", F.col(key).alias("id"))

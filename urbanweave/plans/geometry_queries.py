@@ -65,10 +65,11 @@ def _diamond():
 def g7_point_in_polygon(spark, sf):
     b = B.bld(spark, sf).withColumn("ring", _diamond())
     # The boundary belongs to the polygon, so the cells beyond its right and upper corners are its own, too.
-    cells = B.claims(b.select("id", "x0", "y0", (F.col("w") + 1).alias("w"), (F.col("h") + 1).alias("h"), "top")).select(F.col("id").alias("building"), "r", "c").join(b.select(F.col("id").alias("building"), "ring", "x0", "y0", "w", "h"), "building")
+    cells = B.claims(b.select("id", "x0", "y0", (F.col("w") + 1).alias("w"), (F.col("h") + 1).alias("h"), "top")).select(F.col("id").alias("building"), "r", "c")
+    shapes = b.select(F.col("id").alias("building"), "ring", "x0", "y0", "w", "h")  # they join behind the match of cells
     p = B.point(spark, sf).select(F.col("id").alias("point"), "x", "y", F.floor("y").cast("long").alias("r"), F.floor("x").cast("long").alias("c"))
     edge = F.expr("abs(abs(x-x0-w/2D)/(w/2D) + abs(y-y0-h/2D)/(h/2D) - 1) <= 1e-9")
-    return p.join(cells, ["r", "c"]).where(G.contains(F.col("ring"), F.col("x"), F.col("y")) | edge).select("point", "building")
+    return p.join(cells, ["r", "c"]).join(shapes, "building").where(G.contains(F.col("ring"), F.col("x"), F.col("y")) | edge).select("point", "building")
 
 
 @query(with_sql("bld", "SELECT id, round(CAST(w AS DOUBLE)*h, 6) AS area, (w+1)*(h+1) AS cells FROM bld"))

@@ -217,22 +217,19 @@ def a28_sample_fractions(spark, sf):
     return j.groupBy("id").agg(F.count("*").alias("samples"), part(F.col("v").isNull()).alias("nodata"), part(F.col("v") < 5).alias("low"))
 
 
-@query("""SELECT o_orderpriority AS kind, round(sum(abs(o_totalprice - round(o_totalprice))), 4) AS moved, round(max(abs(o_totalprice - round(o_totalprice))), 6) AS largest, count(*) FILTER (WHERE o_totalprice <> round(o_totalprice)) AS changed, list_sort(list(o_orderkey) FILTER (WHERE o_totalprice < 1100)) AS rejected FROM orders GROUP BY 1""")
+@query("""WITH f AS (SELECT o_orderpriority AS kind, round(sum(abs(o_totalprice - round(o_totalprice))), 4) AS moved, round(max(abs(o_totalprice - round(o_totalprice))), 6) AS largest, count(*) FILTER (WHERE o_totalprice <> round(o_totalprice)) AS changed FROM orders GROUP BY 1)
+SELECT f.*, o.o_orderkey AS rejected FROM f LEFT JOIN orders o ON o.o_orderpriority = f.kind AND o.o_totalprice < 1100""")
 def a29_edit_summary(spark, sf):
-    d = F.abs(F.col("o_totalprice") - F.round("o_totalprice"))
-    o = B.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("kind"))
-    out = o.agg(F.round(F.sum(d), 4).alias("moved"), C.r6(F.max(d)).alias("largest"), F.count_if(d != 0).alias("changed"), F.array_sort(F.collect_list(F.when(F.col("o_totalprice") < 1100, F.col("o_orderkey")))).alias("rejected"))
-    return out.withColumn("rejected", F.when(F.size("rejected") > 0, F.col("rejected")))
+    o = B.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("kind"), "o_orderkey", F.col("o_totalprice").alias("before"), F.round("o_totalprice").alias("after"))
+    return S.edit_summary(o, "kind", "before", "after", F.col("before") < 1100, "o_orderkey").select("kind", F.round("moved", 4).alias("moved"), C.r6(F.col("largest")).alias("largest"), "changed", "rejected")
 
 
-@query("""WITH d AS (SELECT p_partkey id, p_partkey%120 < 8 AS west, p_partkey%120 >= 112 AS east, greatest(0, 8 - p_partkey%120) dw, greatest(0, p_partkey%120 - 111) de FROM part), m AS (SELECT max(dw) mw, max(de) me FROM d)
-SELECT side, n, CAST(largest AS BIGINT) AS largest, ids FROM (SELECT 'west' AS side, count(*) FILTER (WHERE west) n, max(dw) largest, list_sort(list(id) FILTER (WHERE dw = mw)) ids FROM d, m UNION ALL SELECT 'east', count(*) FILTER (WHERE east), max(de), list_sort(list(id) FILTER (WHERE de = me)) FROM d, m)""")
+@query("""WITH d AS (SELECT p_partkey id, 'west' AS side, greatest(0, 8 - p_partkey%120) d FROM part UNION ALL SELECT p_partkey, 'east', greatest(0, p_partkey%120 - 111) FROM part), m AS (SELECT side, count(*) FILTER (WHERE d > 0) n, max(d) largest FROM d GROUP BY side)
+SELECT m.side, m.n, CAST(m.largest AS BIGINT) AS largest, d.id FROM m JOIN d ON d.side = m.side AND d.d = m.largest""")
 def a31_boundary_excursion(spark, sf):
     x = F.col("p_partkey") % 120
-    d = B.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array(F.struct(F.lit("west").alias("side"), F.greatest(F.lit(0), 8 - x).alias("d")), F.struct(F.lit("east").alias("side"), F.greatest(F.lit(0), x - 111).alias("d")))).alias("s")).select("id", "s.side", "s.d")
-    most = d.groupBy("side").agg(F.max("d").alias("largest"), F.count_if(F.col("d") > 0).alias("n"))
-    j = d.join(F.broadcast(most), "side")  # one row a side
-    return j.groupBy("side", "n", "largest").agg(F.array_sort(F.collect_list(F.when(F.abs(F.col("d") - F.col("largest")) <= 1e-8, F.col("id")))).alias("ids")).select("side", "n", F.col("largest").cast("long").alias("largest"), "ids")
+    d = B.table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.explode(F.array(F.struct(F.lit("west").alias("side"), F.greatest(F.lit(0), 8 - x).alias("d")), F.struct(F.lit("east").alias("side"), F.greatest(F.lit(0), x - 111).alias("d")))).alias("s")).select("key", "s.side", "s.d")
+    return S.tied_largest(d, "side", "d", "key").select("side", "n", F.col("largest").cast("long").alias("largest"), "id")
 
 
 @query(with_sql("claim cell_a", _OWN + """, g AS (SELECT o.id, avg(v) ground FROM own o JOIN cell_a USING (r, c) GROUP BY o.id) SELECT count(*) AS n, (max(abs(ground + (top - ground) - top)) < 1e-9) AS invariant, (SELECT count(*) FROM bld WHERE id NOT IN (SELECT id FROM g)) AS without_ground FROM g JOIN bld USING (id)"""))
