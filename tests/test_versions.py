@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urbanweave.functions import rules
-from urbanweave.operators import corridor, shapes
+from urbanweave.operators import corridor, grid, scene, shapes
 
 VERTEX = "id long, seq long, x double, y double, z double"
 
@@ -140,3 +140,27 @@ def test_corridor_equals_brute_force(spark):
     assert corridor.sunward_corridor(df(shaded), df(columns).limit(0), 1.0, 0.0).where("in_corridor").count() == 0
     with pytest.raises(ValueError):
         corridor.sunward_corridor(df(shaded), df(columns), 0.0, 0.0)
+
+
+def test_functions_of_the_user(spark):
+    df = spark.createDataFrame([(0, 0, 10.0, 4.0, False, False), (0, 1, None, 4.0, False, False)], "r long, c long, a double, b double, a_out boolean, b_out boolean")
+    e = {(r["r"], r["c"]): (r["state"], r["bottom"]) for r in grid.envelope_by(df, lambda t: F.when(t["a"].isNotNull(), 0.25)).collect()}
+    assert e == {(0, 0): (1, 13.0), (0, 1): (2, None)}
+    for bad in (0.0, 1.5, float("nan"), None):
+        with pytest.raises(Exception, match="crown ratio"):
+            grid.envelope_by(df, lambda t: F.lit(bad)).collect()  # noqa: B023
+    points = grid.sub_points(spark.createDataFrame([(1, 2, 3)], "r long, c long, k long"), 2, size=0.5, k=True).collect()
+    assert sorted((p["x"], p["y"], p["z"]) for p in points) == sorted((1 + a, 0.5 + b, 1.5 + c) for a in (0.125, 0.375) for b in (0.125, 0.375) for c in (0.125, 0.375))
+    with pytest.raises(ValueError):
+        grid.sub_points(df, 0)
+
+
+def test_owners_that_do_not_settle(spark):
+    claims = spark.createDataFrame([(1, 0, 0, 5.0), (2, 0, 0, 4.0), (2, 0, 1, 4.0)], "id long, r long, c long, top double")
+    dem = spark.createDataFrame([(0, 0, 3.0), (0, 1, 0.5)], "r long, c long, v double")
+    owners, passes, settled = scene.settle_owners(claims, dem)
+    assert owners.count() == 2 and passes <= 8 and settled in (True, False)
+    with pytest.raises(RuntimeError, match="not settled"):
+        scene.settle_owners(claims, dem, passes=1, strict=True)
+    other, _, _ = scene.settle_owners(claims, dem, passes=1, rasterise=lambda heights: heights.select("id", F.lit(7).alias("r"), F.lit(7).alias("c")))
+    assert [(r["r"], r["c"], r["id"]) for r in other.collect()] == [(7, 7, 1)]

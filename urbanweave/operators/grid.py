@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,28 @@ def pixel_affine(df: DataFrame, gt: tuple[float, ...]) -> DataFrame:
     return df.withColumn("col", F.floor((dx * e - dy * b) / det).cast("long")).withColumn("row", F.floor((dy * a - dx * d) / det).cast("long"))
 
 
+def sub_points(df: DataFrame, n: int, size: float = 1.0, k: bool = False) -> DataFrame:
+    """n x n midpoints of every cell (r, c of `df`, whose columns stay): point, x, y; with `k` n x n x n of every voxel (r, c, k), and z."""
+    if n < 1:
+        raise ValueError("a cell has one point at least")
+    rows = df.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n ** (3 if k else 2) - 1))))
+    at = lambda c, step: ((F.col(c) + (F.floor(F.col("point") / step) % n + 0.5) / n) * size)
+    out = rows.withColumns({"x": at("c", 1), "y": at("r", n)})
+    return out.withColumn("z", at("k", n * n)) if k else out
+
+
+def envelope_by(df: DataFrame, model: Callable[[DataFrame], Column]) -> DataFrame:
+    """`envelope` with the crown ratio of a model of the user's: a function of the table that gives a column.
+
+    The ratio of a valid cell must be a finite number above 0 and at most 1, else the scan fails; what a
+    model says of other cells is not looked at.
+    """
+    out = envelope(df, 0.6).drop("top", "bottom").withColumn("ratio", model(df).cast("double"))
+    fine = F.coalesce(~F.isnan("ratio") & (F.col("ratio") > 0) & (F.col("ratio") <= 1), F.lit(False))
+    ratio = F.when((F.col("state") == C.VALID) & ~fine, F.raise_error(F.concat(F.lit("crown ratio "), F.coalesce(F.col("ratio").cast("string"), F.lit("null")))).cast("double")).otherwise(F.col("ratio"))
+    return envelope(out.withColumn("ratio", ratio).drop("state"), F.col("ratio"))
+
+
 def envelope(df: DataFrame, ratio: Column | float = 0.6) -> DataFrame:
     """State bits and canopy envelope of cells with terrain `a` and canopy height `b`.
 
