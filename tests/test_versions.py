@@ -164,3 +164,24 @@ def test_owners_that_do_not_settle(spark):
         scene.settle_owners(claims, dem, passes=1, strict=True)
     other, _, _ = scene.settle_owners(claims, dem, passes=1, rasterise=lambda heights: heights.select("id", F.lit(7).alias("r"), F.lit(7).alias("c")))
     assert [(r["r"], r["c"], r["id"]) for r in other.collect()] == [(7, 7, 1)]
+
+
+def test_surface_audits_say_what_blocks(spark):
+    square = [(0, 0, 1), (2, 0, 1), (2, 2, 1), (0, 2, 1)]
+    wall = [(0, 0, 0), (2, 0, 0), (2, 0, 1), (0, 0, 1)]
+    ground = [(x, y, 0) for x, y, _ in square]
+    faces = [("fine", "Roof", "VERIFIED", "k1", square), ("fine", "Ground", "VERIFIED", "k2", ground), ("fine", "Wall", "VERIFIED", "k3", wall), ("fine", "Wall", "VERIFIED", "k3", wall)]
+    faces += [("bent", "Roof", "VERIFIED", "k1", [*square[:3], (0, 2, 1.5)]), ("bent", "Ground", "AMBIGUOUS_OR_MISSING", "k2", ground), ("bare", "Wall", "VERIFIED", "k1", wall), ("flat", "Roof", "VERIFIED", "k1", wall), ("flat", "Ground", "VERIFIED", "k2", wall)]
+    df = spark.createDataFrame([(*f[:4], ring(*f[4])) for f in faces], "source_id string, semantic string, mapping string, key string, ring array<struct<x: double, y: double, z: double>>")
+    measured = spark.createDataFrame([("fine", 1.5), ("bent", None)], "source_id string, measured_height double")
+    got = {r["source_id"]: r for r in shapes.surface_audit(df, measured).collect()}
+    assert {k: r["reasons"] for k, r in got.items()} == {"fine": [], "bent": ["FACES_NOT_VERIFIED", "ROOF_NOT_PLANE"], "bare": ["NO_ROOF", "NO_FOOTPRINT"], "flat": ["ROOF_NOT_PLANE", "NO_FOOTPRINT"]}
+    f = got["fine"]
+    assert (f["classification"], f["duplicate_faces"], f["roof_area"], f["ground_area"], f["z_low"], f["roof_low"], f["ground_high"], f["span_minus_measured"]) == ("CONDITIONAL", 1, 4.0, 4.0, 0.0, 1.0, 0.0, -0.5)
+    assert got["bent"]["span_minus_measured"] is None and got["bare"]["roof_low"] is None
+
+
+def test_height_models_of_one_roof(spark):
+    roofs = spark.createDataFrame([(1, 0, 0, 3.0, 4.0), (1, 0, 1, 5.0, 6.0), (2, 0, 2, None, 2.0)], "id long, r long, c long, centre double, highest double")
+    got = {(r["c"], r["model"]): r["high"] for r in scene.height_models(roofs).collect()}
+    assert got == {(0, "representative"): 6.0, (1, "representative"): 6.0, (2, "representative"): 2.0, (0, "centre"): 3.0, (1, "centre"): 5.0, (0, "cell_max"): 4.0, (1, "cell_max"): 6.0, (2, "cell_max"): 2.0}

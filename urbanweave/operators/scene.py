@@ -37,6 +37,17 @@ def building_spans(levels: DataFrame, owners: DataFrame) -> DataFrame:
     return j.select("r", "c", F.col("g").alias("k0"), (F.col("g") + half_up(F.col("high"))).alias("k1"), F.lit(BUILDING).alias("cls")).where("k1 > k0")
 
 
+def height_models(roofs: DataFrame) -> DataFrame:
+    """Roof cells (id, r, c, centre, highest) under three models: r, c, id, model, high.
+
+    representative is the building's highest roof over all its cells, centre the height at a cell's centre, cell_max the
+    highest of the cell. A cell without a value has none under its model.
+    """
+    rows = roofs.withColumn("whole", F.max("highest").over(Window.partitionBy("id")))  # the cells of a building
+    models = F.array(*[F.struct(F.lit(n).alias("model"), F.col(v).alias("high")) for n, v in (("representative", "whole"), ("centre", "centre"), ("cell_max", "highest"))])
+    return rows.select("id", "r", "c", F.explode(models).alias("m")).select("r", "c", "id", "m.model", "m.high").where("high IS NOT NULL")
+
+
 def tree_spans(levels: DataFrame, canopy: DataFrame, bottom: float = 0.4) -> DataFrame:
     """Crown spans of positive canopies; a crown thinner than a level keeps the level below its top."""
     j = levels.join(canopy, ["r", "c"])

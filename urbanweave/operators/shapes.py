@@ -164,6 +164,38 @@ def sampled_roofs(footprints: DataFrame, faces: DataFrame, method: str) -> DataF
     return j.select("source_id", "r", "c", F.when(F.col("top").isNotNull(), "KNOWN").otherwise("TOP_UNKNOWN").alias("state"), "top", "footprint_share", "coverage", partial.alias("partial"), F.coalesce(F.col("contributors"), empty).alias("contributors"))
 
 
+def surface_audit(faces: DataFrame, measured: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Accounts of the faces of every building, and what keeps it from being used.
+
+    faces: source_id, semantic, mapping (as from `correspondence`), key, ring (closed, x, y, z); measured: source_id, measured_height. Returns per building
+    of `faces` roof_faces, ground_faces, duplicate_faces (faces beyond the first of their key), z_low, z_high, roof_low, roof_high, ground_low, ground_high, span_minus_measured
+    (null without a measure), roof_area and ground_area (sums in plan), reasons (FACES_NOT_VERIFIED, NO_ROOF, ROOF_NOT_PLANE: upright, or a corner further than `tolerance` from its
+    plane; NO_FOOTPRINT: no ground, or one without area) and classification (BLOCKED with any, else CONDITIONAL).
+    """
+    z = lambda f: f(F.transform("ring", lambda p: p["z"]))
+    normal = F.array(*newell(F.col("ring")))
+
+    def off(n: Column) -> Column:
+        long = F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x))
+        first = F.get("ring", F.lit(0))
+        across = lambda p: F.abs(F.get(n, F.lit(0)) * (p["x"] - first["x"]) + F.get(n, F.lit(1)) * (p["y"] - first["y"]) + F.get(n, F.lit(2)) * (p["z"] - first["z"])) / long
+        return F.when((F.abs(F.get(n, F.lit(2))) <= 1e-12) | (long == 0), F.lit(float("inf"))).otherwise(F.array_max(F.transform("ring", across)))
+
+    f = faces.withColumns({"low": z(F.array_min), "high": z(F.array_max), "area": F.abs(signed_area(F.col("ring"))), "off": let(normal, off)})
+    again = faces.groupBy("source_id", "key").agg((F.count("*") - 1).alias("more")).groupBy("source_id").agg(F.sum("more").alias("duplicate_faces"))
+    of = lambda kind, c: F.when(F.col("semantic") == kind, F.col(c))
+    t = f.groupBy("source_id").agg(
+        F.count(of("Roof", "area")).alias("roof_faces"), F.count(of("Ground", "area")).alias("ground_faces"), F.min("low").alias("z_low"), F.max("high").alias("z_high"),
+        *[g(of(k, c)).alias(f"{k.lower()}_{c}") for k in ("Roof", "Ground") for g, c in ((F.min, "low"), (F.max, "high"))], *[F.coalesce(F.sum(of(k, "area")), F.lit(0.0)).alias(f"{k.lower()}_area") for k in ("Roof", "Ground")],
+        F.count_if(F.col("mapping") != "VERIFIED").alias("open"), F.max(of("Roof", "off")).alias("roof_off"), F.min(of("Ground", "area")).alias("least_ground"),
+    )
+    t = t.join(again, "source_id").join(measured.select("source_id", "measured_height"), "source_id", "left")
+    why = [("FACES_NOT_VERIFIED", F.col("open") > 0), ("NO_ROOF", F.col("roof_faces") == 0), ("ROOF_NOT_PLANE", F.col("roof_off") > tolerance), ("NO_FOOTPRINT", F.coalesce(F.col("least_ground") <= 0, F.lit(True)))]
+    t = t.withColumn("reasons", F.array_compact(F.array(*[F.when(cond, F.lit(n)) for n, cond in why])))
+    facts = ["roof_faces", "ground_faces", "duplicate_faces", "z_low", "z_high", "roof_low", "roof_high", "ground_low", "ground_high", "roof_area", "ground_area"]
+    return t.select("source_id", *facts, (F.col("z_high") - F.col("z_low") - F.col("measured_height")).alias("span_minus_measured"), "reasons", F.when(F.size("reasons") > 0, "BLOCKED").otherwise("CONDITIONAL").alias("classification"))
+
+
 def observations(rings: DataFrame) -> DataFrame:
     """Facts of every closed ring (id, ring of x, y, z): id, kind (POLYGON, DEGENERATE below four points, OPEN), vertices, area, x0, y0, x1, y1, content, shape.
 

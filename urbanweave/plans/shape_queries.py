@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from urbanweave.functions import columns as C
 from urbanweave.functions import rules
+from urbanweave.functions.tables import checkpoint
 from urbanweave.operators import cycles as Y
 from urbanweave.operators import geometry as G
 from urbanweave.operators import scene as V
 from urbanweave.operators import shapes as X
 from urbanweave.operators.corridor import sunward_corridor
+from urbanweave.operators.stats import agreement
 from urbanweave.plans.geometry_queries import _mesh
 from urbanweave.plans.registry import query
 from urbanweave.plans.scene_queries import _DU, _DV, _MEET, _REACH, _SCENE, _SUN, _parts, _paths_sql
@@ -196,3 +198,49 @@ def r8_lateral_distance(spark, sf):
     shaded = V.meetings(obs, V.ray_paths(spark, _SUN, _REACH), buildings).select("r", "c").distinct()
     out = sunward_corridor(shaded, owners, _DU, _DV)
     return out.select("r", "c", C.r6(F.col("lateral")).alias("lateral"), "in_corridor")
+
+
+_TILT = "(top/10 + 0.3::DOUBLE*({} - x0))"
+_MODELS = f""", rf AS MATERIALIZED (SELECT o.r, o.c, o.id, {_TILT.format('(o.c+0.5::DOUBLE)')} centre, {_TILT.format('(o.c+1)')} highest FROM (SELECT r, c, id FROM own) o JOIN bld b ON b.id = o.id),
+hm AS MATERIALIZED (SELECT r, c, 'representative' AS model, max(highest) OVER (PARTITION BY id) high FROM rf UNION ALL SELECT r, c, 'centre', centre FROM rf UNION ALL SELECT r, c, 'cell_max', highest FROM rf),
+""" + ",\n".join(f"b_{m} AS (SELECT r, c, g k0, g + CAST(floor(CAST(CAST(high AS FLOAT) AS DOUBLE) + 0.5) AS BIGINT) k1, -3 cls FROM lev JOIN hm USING (r, c) WHERE model = '{m}')" for m in ("representative", "centre", "cell_max"))
+_THREE_MET = "".join(_MEET.replace("met AS", f"m_{m} AS").replace("JOIN span s", f"JOIN b_{m} s") for m in ("representative", "centre", "cell_max"))
+_AGREE = " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, count(*) FILTER (WHERE x AND y) AS both, count(*) FILTER (WHERE x AND NOT y) AS a_only, count(*) FILTER (WHERE NOT x AND y) AS b_only, round(count(*) FILTER (WHERE x AND y)/CAST(nullif(count(*) FILTER (WHERE x OR y), 0) AS DOUBLE), 6) AS iou FROM (SELECT (r, c) IN (SELECT (r, c) FROM m_{a}) x, (r, c) IN (SELECT (r, c) FROM m_{b}) y FROM obs)" for a, b in (("representative", "centre"), ("representative", "cell_max"), ("centre", "cell_max")))
+
+
+@query(with_sql("cell_a claim chm", _SCENE + _MODELS + _paths_sql(_SUN, _REACH) + _THREE_MET + " " + _AGREE))
+def r5_three_height_models(spark, sf):
+    """Shadows of sloping roofs taken at their highest, at cell centres and at the highest of each cell, model against model."""
+    levels, owners, _, _ = _parts(spark, sf)
+    b = B.bld(spark, sf).select("id", "x0", "top")
+    roofs = owners.select("r", "c", "id").join(b, "id").select("id", "r", "c", F.expr("top/10 + 0.3D*(c+0.5D-x0)").alias("centre"), F.expr("top/10 + 0.3D*(c+1-x0)").alias("highest"))
+    heights = V.height_models(roofs)
+    obs = levels.join(owners, ["r", "c"], "left_anti").select("r", "c", (F.col("g") + 0.5).alias("z"))
+    paths = V.ray_paths(spark, _SUN, _REACH)
+    marks = obs.select("r", "c")
+    names = ("representative", "centre", "cell_max")
+    for n in names:
+        shadow = V.in_shadow(obs, V.building_spans(levels, heights.where(F.col("model") == n)), paths)
+        marks = marks.join(shadow.withColumnRenamed("shadow", n), ["r", "c"])
+    marks = checkpoint(marks)
+    out = [marks.agg(*agreement(F.col(a), F.col(c))).select(F.lit(a).alias("first"), F.lit(c).alias("second"), "both", "a_only", "b_only", "iou") for a, c in (names[:2], names[::2], names[1:])]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(with_sql("bld", """, f AS (SELECT id, 1 AS roof, CASE WHEN id % 5 <> 0 THEN 1 ELSE 0 END AS ground, CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END AS again, w*h AS plan, top, w FROM bld)
+SELECT CAST(id AS VARCHAR) AS source_id, CAST(roof AS BIGINT) AS roof_faces, CAST(ground AS BIGINT) AS ground_faces, CAST(again AS BIGINT) AS duplicate_faces, 0.0::DOUBLE AS z_low, round(top + CASE WHEN id % 6 = 0 THEN 1 ELSE 0 END, 6) AS z_high, round(top, 6) AS roof_low, round(top + CASE WHEN id % 6 = 0 THEN 1 ELSE 0 END - (top + 0.5), 6) AS span_minus_measured, CAST(plan AS DOUBLE) AS roof_area, CAST(CASE WHEN ground = 1 THEN plan ELSE 0 END AS DOUBLE) AS ground_area,
+array_to_string([x FOR x IN [CASE WHEN id % 7 = 0 THEN 'FACES_NOT_VERIFIED' END, CASE WHEN id % 6 = 0 THEN 'ROOF_NOT_PLANE' END, CASE WHEN ground = 0 THEN 'NO_FOOTPRINT' END] IF x IS NOT NULL], ',') AS reasons FROM f"""))
+def g27_surface_audit(spark, sf):
+    """Faces by kind, twins, ranges of z, areas in plan, and what blocks a building."""
+    point = lambda x, y, z: f"named_struct('x', CAST({x} AS DOUBLE), 'y', CAST({y} AS DOUBLE), 'z', CAST({z} AS DOUBLE))"
+    closed = lambda *p: f"array({', '.join(point(*q) for q in (*p, p[0]))})"
+    flat = lambda z, z1: closed(("x0", "y0", z), ("x0+w", "y0", z), ("x0+w", "y0+h", z1), ("x0", "y0+h", z))
+    side = closed(("x0", "y0", "0"), ("x0+w", "y0", "0"), ("x0+w", "y0", "top"), ("x0", "y0", "top"))
+    kinds = [("Roof", flat("top", "top + IF(id % 6 = 0, 1, 0)"), "true"), ("Wall", side, "true"), ("Wall", side, "id % 4 = 0"), ("Ground", flat("0", "0"), "id % 5 <> 0")]
+    b = B.bld(spark, sf)
+    faces = None
+    for n, ring, which in kinds:
+        one = b.where(which).selectExpr("CAST(id AS STRING) AS source_id", f"'{n}' AS semantic", "IF(id % 7 = 0 AND '" + n + "' = 'Wall', 'AMBIGUOUS_OR_MISSING', 'VERIFIED') AS mapping", f"concat(id, '{n}') AS key", f"{ring} AS ring")
+        faces = one if faces is None else faces.unionByName(one)
+    audit = X.surface_audit(faces, b.select(F.col("id").cast("string").alias("source_id"), (F.col("top") + 0.5).alias("measured_height")))
+    return audit.select("source_id", "roof_faces", "ground_faces", "duplicate_faces", *[C.r6(F.col(c)).alias(c) for c in ("z_low", "z_high", "roof_low", "span_minus_measured", "roof_area", "ground_area")], F.array_join("reasons", ",").alias("reasons"))
