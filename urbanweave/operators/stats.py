@@ -69,8 +69,8 @@ def correlation(a: Column, b: Column) -> Column:
     return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), r6(F.corr(a, b)))
 
 
-#: Words of a content digest: so many hex digits each, so that their sums stay whole up to 5 x 10^11 rows.
-WORDS, DIGITS = 10, 6
+#: Hex digits that name a group of row hashes, level by level up to the root of a content digest.
+LEVELS = (5, 3, 1)
 
 
 def row_text(columns: list[str]) -> Column:
@@ -82,14 +82,17 @@ def row_text(columns: list[str]) -> Column:
 def digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows and content digest of a table, whatever its order: n, digest.
 
-    Every row is hashed, the hash cut into words, and each word summed over all rows: a sum of
-    multisets that tasks build in parts, so nothing grows with the table. One row
-    changed, lost or doubled changes the sums. An empty table has a digest as well.
+    Every row is hashed; equal hashes become one line with their number. The sorted lines of all that begins with the
+    same five digits are hashed, those hashes with what they are of by three digits, by one, and at the root: a tree that tasks
+    build in parts, of the whole hashes. One row changed, lost or doubled changes the root. An empty table has a digest as well.
     """
-    h = df.select(F.sha2(row_text(columns), 256).alias("h"))
-    words = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + DIGITS * k, DIGITS), 16, 10).cast("long")), F.lit(0)).alias(f"w{k}") for k in range(WORDS)]
-    sums = h.agg(F.count("*").alias("n"), *words)
-    return sums.select("n", F.sha2(F.concat_ws(",", "n", *[f"w{k}" for k in range(WORDS)]), 256).alias("digest"))
+    line = F.concat_ws(":", "h", F.col("n").cast("string")).alias("line")
+    level = df.select(F.sha2(row_text(columns), 256).alias("h")).groupBy("h").agg(F.count("*").alias("n")).select("h", line, "n")
+    lines = F.array_join(F.array_sort(F.collect_list("line")), ",")
+    for digits in LEVELS:
+        level = level.groupBy(F.substring("h", 1, digits).alias("h")).agg(F.sha2(lines, 256).alias("d"), F.sum("n").alias("n"))
+        level = level.select("h", F.concat_ws(":", "h", "d").alias("line"), "n")
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(lines, 256).alias("digest"))
 
 
 def edit_summary(edits: DataFrame, by: str, before: str, after: str, rejected: Column, key: str) -> DataFrame:

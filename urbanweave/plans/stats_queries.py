@@ -186,15 +186,17 @@ def a24_halo(spark, sf):
 
 
 def digest_sql(table: str, columns: str) -> str:
-    """The same digest in SQL: lengths before values, hashes cut into ten words, the words summed."""
+    """The same digest in SQL: lengths before values, whole hashes sorted with their numbers, hashed by five, three and one of their digits and at the root."""
     parts = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in columns.split())
-    sums = " || ',' || ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 6 * k}, 6) AS BIGINT)), 0) AS VARCHAR)" for k in range(10))
-    return f"SELECT count(*) AS n, sha256(count(*) || ',' || {sums}) AS digest FROM (SELECT sha256({parts}) h FROM {table})"
+    level, lines = f"SELECT h, h || ':' || count(*) AS line, count(*) AS n FROM (SELECT sha256({parts}) h FROM {table}) GROUP BY h", "string_agg(line, ',' ORDER BY line)"
+    for digits in S.LEVELS:
+        level = f"SELECT h, h || ':' || d AS line, n FROM (SELECT substr(h, 1, {digits}) h, sha256({lines}) d, sum(n) n FROM ({level}) GROUP BY 1)"
+    return f"SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n, sha256(coalesce({lines}, '')) AS digest FROM ({level})"
 
 
-@query(digest_sql("documents", "doc_id lang source text"))
+@query(digest_sql("documents", "doc_id text lang source n_chars"))
 def a25_content_digest(spark, sf):
-    return S.digest(B.table(spark, sf, "documents"), ["doc_id", "lang", "source", "text"])
+    return S.digest(B.table(spark, sf, "documents"), ["doc_id", "text", "lang", "source", "n_chars"])
 
 
 @query(with_sql("claim cell_a", """SELECT id, round(avg(v), 6) AS ground, round(min(top-v), 6) AS low, round(max(top-v), 6) AS high FROM claim JOIN cell_a USING (r, c) GROUP BY id"""))
