@@ -24,3 +24,16 @@ def test_digest_of_documents_is_of_every_column(spark, tmp_path):
     for k, other in enumerate((d, d.withColumn("n_chars", F.col("n_chars") + F.when(F.col("doc_id") == 7, 1).otherwise(0)), d.unionByName(d.where("doc_id = 7")))):
         found.add(catalog.QUERIES["a25_content_digest"](spark, table(spark, tmp_path / str(k), "documents", other)).first()["digest"])
     assert len(found) == 3
+
+
+def test_many_rows_of_a_short_file_go_to_many_tasks(spark, tmp_path):
+    from urbanweave.plans.geometry_queries import _mesh
+    from urbanweave.sources import bindings as B
+
+    p = spark.range(B.ROWS * 3).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "900.0D AS p_retailprice").coalesce(1)
+    sf = table(spark, tmp_path, "part", p)
+    most = B.bld(spark, sf).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 2 * B.ROWS and B.bld(spark, sf).count() == 3 * B.ROWS
+    for q in ("g25_point_in_mesh", "v14_mesh_occupancy", "g26_overlap_bounds", "g12_verified_faces"):
+        assert "BroadcastHashJoin" not in catalog.QUERIES[q](spark, sf)._jdf.queryExecution().toString(), q
+    assert _mesh(spark, sf).rdd.getNumPartitions() == 3

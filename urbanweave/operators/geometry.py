@@ -64,9 +64,9 @@ def ring_edges(vertices: DataFrame) -> DataFrame:
 def solid_angles(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """Solid angle over 4 pi of a closed mesh seen from points (p, x, y, z): 1 inside, 0 outside.
 
-    triangles: ax..cz. The mesh is the small side and each point meets each triangle once.
+    triangles: ax..cz. Each point meets each triangle of its mesh once; meshes may be many, so neither side is sent to every task.
     """
-    j = points.join(triangles, "mesh")
+    j = points.join(triangles.hint("merge"), "mesh")
     for v in "abc":
         for k in "xyz":
             j = j.withColumn(v + k, F.col(v + k) - F.col(k))

@@ -194,10 +194,10 @@ def settle_owners(claims: DataFrame, dem: DataFrame, passes: int = 8, strict: bo
     so running out of passes is an error only if `strict`. Each pass cuts its lineage.
     """
     heights = claims.groupBy("id").agg(F.max("top").alias("top")).withColumn("height", F.col("top"))
-    before, changed = None, True
+    before, changed, dem = None, True, checkpoint(dem.select("r", "c", "v"))
     for k in range(1, passes + 1):
         places = claims.select("id", "r", "c") if rasterise is None else rasterise(heights).select("id", "r", "c")
-        owners = checkpoint(places.join(heights.select("id", "height"), "id").groupBy("r", "c").agg(F.max_by("id", F.struct("height", "id")).alias("id")))
+        owners = checkpoint(places.join(heights.select("id", "height").hint("merge"), "id").groupBy("r", "c").agg(F.max_by("id", F.struct("height", "id")).alias("id")))
         if before is not None:
             owners = owners.join(before.select("r", "c", F.col("id").alias("was")), ["r", "c"], "left").select("r", "c", "id", F.col("id").eqNullSafe(F.col("was")).alias("settled"))
             changed = not owners.where(~F.col("settled")).isEmpty()
@@ -206,7 +206,7 @@ def settle_owners(claims: DataFrame, dem: DataFrame, passes: int = 8, strict: bo
         before = owners.select("r", "c", "id")
         ground = before.join(dem, ["r", "c"]).groupBy("id").agg(F.avg("v").alias("ground"))
         height = F.round(F.col("top") - F.col("ground"), 9)
-        heights = checkpoint(heights.join(ground, "id", "left").select("id", "top", F.when(height > 0, height).otherwise(F.col("height")).alias("height")))
+        heights = checkpoint(heights.join(ground.hint("merge"), "id", "left").select("id", "top", F.when(height > 0, height).otherwise(F.col("height")).alias("height")))
     if strict:
         raise RuntimeError(f"owners have not settled after {passes} passes")
     return (owners if passes > 1 else owners.withColumn("settled", F.lit(False))), passes, False

@@ -86,11 +86,11 @@ def g26_overlap_bounds(spark, sf):
     """A voxel model one column short, against the closed mesh of every building, by sub-cell points and their solid angles."""
     b = B.bld(spark, sf).withColumn("c", F.explode(F.expr("sequence(x0-1, x0+w)"))).withColumn("r", F.explode(F.expr("sequence(y0, y0+h-1)"))).withColumn("k", F.explode(F.array(F.lit(0), F.lit(2))))
     cells = b.withColumn("occupied", F.expr("c < x0+w-1 AND c >= x0 AND r >= y0 AND r < y0+h AND k+0.5D < top/10"))
-    points = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(7)))).selectExpr("id AS mesh", "c", "r", "k", "occupied", "struct(c, r, k, o) AS p", "c+(o%2+0.5D)/2 AS x", "r+(o div 2%2+0.5D)/2 AS y", "k+(o div 4+0.5D)/2 AS z", "top/10 AS z1")
+    points = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(7)))).selectExpr("id AS mesh", "struct(c, r, k, o, occupied, top/10 AS z1) AS p", "c+(o%2+0.5D)/2 AS x", "r+(o div 2%2+0.5D)/2 AS y", "k+(o div 4+0.5D)/2 AS z")
     tri = _mesh(spark, sf).select(F.col("id").alias("mesh"), *[v + k for v in "abc" for k in "xyz"])
-    wound = G.solid_angles(points.select("mesh", "p", "x", "y", "z"), tri)
-    label = F.when(F.abs(F.col("z") - F.col("z1")) < 1e-9, -1).when(F.abs(F.abs("winding") - 1) < 1e-6, 1).when(F.abs("winding") < 1e-6, 0).otherwise(-1)
-    samples = points.join(wound, ["mesh", "p"]).select(F.col("mesh").alias("id"), "c", "r", "k", "occupied", label.alias("label"))
+    wound = G.solid_angles(points, tri)
+    label = F.when(F.abs(F.expr("p.k+(p.o div 4+0.5D)/2") - F.col("p.z1")) < 1e-9, -1).when(F.abs(F.abs("winding") - 1) < 1e-6, 1).when(F.abs("winding") < 1e-6, 0).otherwise(-1)
+    samples = wound.select(F.col("mesh").alias("id"), "p.c", "p.r", "p.k", "p.occupied", label.alias("label"))
     o = X.sampled_overlap(samples, ["id"], ["c", "r", "k"], 1.0, 2)
     return o.select("id", "tp", "fp", "fn", "tn", (F.col("ambiguous_occupied") + F.col("ambiguous_empty")).alias("ambiguous"), *[C.r6(F.col(c)).alias(c) for c in ("iou_low", "iou_high", "missed_high")])
 

@@ -10,12 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N = 128
+#: Rows of a table that one task turns into cells, faces or files.
+ROWS = 5_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
+    """Rows dealt by a key to tasks of about `rows` each: a short table in one file would else go to one task, with all that is made of its rows."""
+    parts = -(-df.count() // rows)
+    return df.repartition(parts, key) if parts > 1 else df
+
+
 def _cells(spark: SparkSession, sf: str, flag: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").where(F.col("l_returnflag") == flag)
     return rows.groupBy((F.col("l_orderkey") % N).alias("r"), (F.col("l_partkey") % N).alias("c")).agg(F.avg("l_quantity").alias("v"))
@@ -41,7 +49,8 @@ def chm(spark: SparkSession, sf: str) -> DataFrame:
 
 def bld(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("p_partkey")
-    return table(spark, sf, "part").select(
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey")
+    return parts.select(
         p.alias("id"), (p % 120).alias("x0"), ((p * 31 + F.floor(p / 120.0).cast("long") * 17) % 120).alias("y0"),
         (1 + F.col("p_size") % 5).cast("long").alias("w"), (1 + F.col("p_size") % 3).cast("long").alias("h"), (F.col("p_retailprice") / 20 + F.col("p_size")).alias("top"))
 
