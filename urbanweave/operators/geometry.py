@@ -42,6 +42,14 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n - 1), crosses), F.lit(0), lambda s, k: s + k) % 2 == 1
 
 
+def contains_corners(corners: list[tuple[Column, Column]], x: Column, y: Column) -> Column:
+    """`contains` for a ring of a fixed number of corners (not closed) that are columns of the row: compiled, where a lambda over an array is interpreted."""
+    crossed = F.lit(0)
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        crossed = crossed + F.when((ay > y) != (by > y), (x < (bx - ax) * (y - ay) / (by - ay) + ax).cast("int")).otherwise(0)
+    return crossed % 2 == 1
+
+
 def plane_fit(vertices: DataFrame) -> DataFrame:
     """Least-squares plane z = a x + b y + c of every id from grouped sums, and its largest residual."""
     x, y, z = F.col("x"), F.col("y"), F.col("z")
