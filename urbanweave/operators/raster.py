@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from urbanweave.functions.tables import checkpoint
 
 
+#: Points that one task looks up.
+POINTS = 50_000
+
+
 def sample(points: DataFrame, cells: DataFrame, width: int, height: int) -> DataFrame:
     """Nearest-pixel values of points (x, y): value, and whether it is missing or outside, which differ."""
     at = points.withColumn("r", F.floor("y").cast("long")).withColumn("c", F.floor("x").cast("long"))
@@ -23,22 +27,26 @@ def sample(points: DataFrame, cells: DataFrame, width: int, height: int) -> Data
 def nearest_centres(points: DataFrame, cells: DataFrame, keep: int = 1) -> DataFrame:
     """The `keep` nearest cell centres of every point (id, x, y), however far, ranked by k, ties by row and column.
 
-    Points look into the three by three squares around their own; those whose results are
+    Points look into the three by three squares around their own (the fewer of points and cells are copied for it); those whose results are
     not certain yet go on with squares four times as wide, until one square holds everything.
     A step joins only the points left, by equality of squares. Fewer cells than `keep` are
     all returned; points without coordinates have none.
     """
     ends = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
-    spans = points.agg(*ends).first(), cells.agg(*[f(k) for k in "cr" for f in (F.min, F.max)]).first()
-    known = [v for s in spans for v in s if v is not None]
+    spans = points.agg(*ends, F.count("*")).first(), cells.agg(*[f(k) for k in "cr" for f in (F.min, F.max)], F.count("*")).first()
+    known = [v for s in spans for v in s[:-1] if v is not None]
+    many = spans[0][-1] > spans[1][-1]
     widest = (max(known) - min(known) if known else 0) + 1
     left, out, size = points.select("id", "x", "y"), None, 1
+    if spans[0][-1] > POINTS:  # a point's candidates are made and ranked where it lies
+        left = left.repartition(-(-spans[0][-1] // POINTS), "id")
     while True:
         square = lambda at: F.floor(at / size).cast("long")  # noqa: B023, E731
         around = F.sequence(F.lit(-1), F.lit(1))
-        p = left.withColumn("dr", F.explode(around)).withColumn("dc", F.explode(around))
-        p = p.withColumn("sr", square(F.floor("y")) + F.col("dr")).withColumn("sc", square(F.floor("x")) + F.col("dc"))
-        j = p.select("id", "x", "y", "sr", "sc").join(cells.select("r", "c", "v", square(F.col("r")).alias("sr"), square(F.col("c")).alias("sc")), ["sr", "sc"])
+        nine = lambda df: df.withColumn("dr", F.explode(around)).withColumn("dc", F.explode(around)).withColumns({"sr": F.col("sr") + F.col("dr"), "sc": F.col("sc") + F.col("dc")}).drop("dr", "dc")  # noqa: B023, E731
+        p = left.withColumns({"sr": square(F.floor("y")), "sc": square(F.floor("x"))})
+        held = cells.select("r", "c", "v", square(F.col("r")).alias("sr"), square(F.col("c")).alias("sc"))
+        j = p.join(nine(held), ["sr", "sc"]) if many else nine(p).join(held, ["sr", "sc"])
         d2 = F.pow(F.col("c") + 0.5 - F.col("x"), 2) + F.pow(F.col("r") + 0.5 - F.col("y"), 2)
         order = Window.partitionBy("id").orderBy("d2", "r", "c")
         found = j.withColumn("d2", d2).withColumn("k", F.row_number().over(order)).where(F.col("k") <= keep).select("id", "x", "y", "r", "c", "v", "d2", "k")
