@@ -37,3 +37,20 @@ def test_many_rows_of_a_short_file_go_to_many_tasks(spark, tmp_path):
     for q in ("g25_point_in_mesh", "v14_mesh_occupancy", "g26_overlap_bounds", "g12_verified_faces"):
         assert "BroadcastHashJoin" not in catalog.QUERIES[q](spark, sf)._jdf.queryExecution().toString(), q
     assert _mesh(spark, sf).rdd.getNumPartitions() == 3
+
+
+@pytest.mark.parametrize("name, absent, joins", [("j12_overlapping_footprints", "HashAggregate", 1), ("g7_point_in_polygon", "BroadcastHashJoin", 1), ("l3_lineage_graph", "BroadcastHashJoin", 1), ("j16_reference_resolution", "Join", 0), ("j3_tile_index_join", "SortAggregate", 2), ("g14_roof_maxima", "BroadcastHashJoin", 1)])
+def test_steps_of_a_plan(spark, name, absent, joins):
+    """What the plans of small tables may not hold, since it does not hold on larger ones."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert absent not in plan and sum("Join" in line for line in plan.splitlines()) == joins
+    assert name != "g14_roof_maxima" or plan.count("ArrowEvalPython") == 2
+
+
+def test_owners_settle_without_buildings_in_every_task(spark):
+    from urbanweave.operators import scene
+
+    claims = spark.createDataFrame([(i, i % 7, c, float(i)) for i in range(60) for c in range(3)], "id long, r long, c long, top double")
+    dem = spark.createDataFrame([(r, c, 1.0) for r in range(7) for c in range(3)], "r long, c long, v double")
+    owners, passes, settled = scene.settle_owners(claims, dem)
+    assert settled and passes == 2 and owners.count() == 21
