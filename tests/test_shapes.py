@@ -77,6 +77,14 @@ def test_least_rotation_and_keys(spark):
     assert len(set(key_of(spark, [base, base[:-1], base[1:2] + base[:1] + base[2:]]).values())) == 3
 
 
+def test_a_least_value_that_stands_once_starts_the_rotation(spark):
+    rings = [["b", "a", "c"], ["a", "b", "a"], ["b", None, "a"], [None, None], ["b", "a"]]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rings)], "id long, v array<string>")
+    got = [r["t"] for r in df.orderBy("id").select(cycles.least_rotation(F.col("v")).alias("t")).collect()]
+    assert got[0] == ["a", "c", "b"] and got[1] == ["a", "a", "b"] and got[4] == ["a", "b"]
+    assert sorted(got[2], key=str) == sorted(rings[2], key=str) and got[3] == rings[3]  # nulls are not compared, and stay
+
+
 def test_key_of_ten_thousand_vertices(spark):
     base = [str(k * 7919 % 10_007) for k in range(10_000)]
     keys = key_of(spark, [base, base[4000:] + base[:4000], base[::-1], ["x"] * 10_000, ["x"] * 9_999 + ["y"]])

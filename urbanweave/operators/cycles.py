@@ -27,9 +27,14 @@ def least_rotation(values: Column) -> Column:
             moved = F.struct(i.alias("i"), F.when(i == j, j + 1).otherwise(j).alias("j"), F.when(a == b, s["k"] + 1).otherwise(F.lit(0)).alias("k"))
             return F.when((s["i"] < n) & (s["j"] < n) & (s["k"] < n), moved).otherwise(s)
 
+        def turned(start: Column) -> Column:
+            return F.concat(F.slice(v, start + 1, n), F.slice(v, F.lit(1), start))
+
         ended = F.aggregate(F.sequence(F.lit(1), F.greatest(3 * n, F.lit(1))), state, step, lambda s: F.least(s["i"], s["j"]))
-        turned = let(ended, lambda start: F.concat(F.slice(v, start + 1, n), F.slice(v, F.lit(1), start)))
-        return F.when(n < 2, v).otherwise(turned)
+        # A least value that stands once is the start; only others need the race.
+        first = (F.array_position(v, F.array_min(v)) - 1).cast("int")
+        once = (F.size(F.array_remove(v, F.array_min(v))) == n - 1) & (F.size(F.array_compact(v)) == n)
+        return F.when(n < 2, v).when(once, let(first, turned)).otherwise(let(ended, turned))
 
     return let(values, rotate)
 
