@@ -39,7 +39,7 @@ def test_many_rows_of_a_short_file_go_to_many_tasks(spark, tmp_path):
     assert _mesh(spark, sf).rdd.getNumPartitions() == 3
 
 
-@pytest.mark.parametrize("name, absent, joins", [("j12_overlapping_footprints", "HashAggregate", 1), ("g7_point_in_polygon", "BroadcastHashJoin", 1), ("l3_lineage_graph", "BroadcastHashJoin", 1), ("j16_reference_resolution", "Join", 0), ("j3_tile_index_join", "SortAggregate", 2), ("g12_verified_faces", "BroadcastHashJoin", 2), ("g14_roof_maxima", "BroadcastHashJoin", 1)])
+@pytest.mark.parametrize("name, absent, joins", [("j12_overlapping_footprints", "HashAggregate", 1), ("g7_point_in_polygon", "BroadcastHashJoin", 1), ("l3_lineage_graph", "BroadcastHashJoin", 1), ("j16_reference_resolution", "Join", 0), ("j3_tile_index_join", "SortAggregate", 2), ("g12_verified_faces", "BroadcastHashJoin", 2), ("a26_roof_summary", "BuildLeft", 1), ("a15_ownership_audit", "BuildLeft", 1), ("a27_area_conservation", "BroadcastHashJoin", 1), ("g14_roof_sampling", "BroadcastHashJoin", 1), ("g28_support_conservation", "BroadcastHashJoin", 1), ("g27_surface_audit", "BroadcastHashJoin", 2), ("g14_roof_maxima", "BroadcastHashJoin", 1)])
 def test_steps_of_a_plan(spark, name, absent, joins):
     """What the plans of small tables may not hold, since it does not hold on larger ones."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()

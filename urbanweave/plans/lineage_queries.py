@@ -255,5 +255,5 @@ def v12_roof_models(spark, sf):
     from pyspark.sql import Window
 
     b = B.bld(spark, sf)
-    s = B.claims(b).join(b.select("id", "x0"), "id").withColumn("v", F.expr("top + 0.5D*(c-x0)"))
+    s = B.claims(b).join(b.select("id", "x0").hint("merge"), "id").withColumn("v", F.expr("top + 0.5D*(c-x0)"))
     return s.select("id", "r", "c", C.r6(F.col("v")).alias("distributed"), C.r6(F.max("v").over(Window.partitionBy("id"))).alias("representative"))

@@ -213,7 +213,7 @@ def r5_three_height_models(spark, sf):
     """Shadows of sloping roofs taken at their highest, at cell centres and at the highest of each cell, model against model."""
     levels, owners, _, _ = _parts(spark, sf)
     b = B.bld(spark, sf).select("id", "x0", "top")
-    roofs = owners.select("r", "c", "id").join(b, "id").select("id", "r", "c", F.expr("top/10 + 0.3D*(c+0.5D-x0)").alias("centre"), F.expr("top/10 + 0.3D*(c+1-x0)").alias("highest"))
+    roofs = F.broadcast(owners.select("r", "c", "id")).join(b, "id").select("id", "r", "c", F.expr("top/10 + 0.3D*(c+0.5D-x0)").alias("centre"), F.expr("top/10 + 0.3D*(c+1-x0)").alias("highest"))
     heights = V.height_models(roofs)
     obs = levels.join(owners, ["r", "c"], "left_anti").select("r", "c", (F.col("g") + 0.5).alias("z"))
     paths = V.ray_paths(spark, _SUN, _REACH)

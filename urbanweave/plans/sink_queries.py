@@ -153,7 +153,7 @@ def s15_feature_audit(spark, sf):
     b = B.bld(spark, sf)
     back = write_verified(b, run_folder(spark, "features"))
     other = back.select("id", *[F.col(c).alias(f"b_{c}") for c in b.columns if c != "id"], F.lit(True).alias("there"))
-    j = b.join(other, "id", "left")
+    j = b.join(other.hint("merge"), "id", "left")
     moved = F.exists(F.array(*[~F.col(c).cast("double").eqNullSafe(F.col(f"b_{c}").cast("double")) for c in b.columns if c != "id"]), lambda x: x)
     return j.agg(F.count("*").alias("features"), F.count_if(F.col("there").isNull()).alias("lost"), F.count_if(F.col("there") & moved).alias("moved"), F.sum(F.col("b_w") * F.col("b_h")).cast("long").alias("area"))
 

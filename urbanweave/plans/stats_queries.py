@@ -122,7 +122,7 @@ SELECT k.id, count(*) AS isolated, count(*) FILTER (WHERE own.id = k.id) AS owne
 def a15_ownership_audit(spark, sf):
     k = B.claims(B.bld(spark, sf))
     cell = k.groupBy("r", "c").agg(F.max_by("id", F.struct("top", "id")).alias("owner"), F.count("*").alias("claims"))
-    return k.join(cell, ["r", "c"]).groupBy("id").agg(F.count("*").alias("isolated"), F.count_if(F.col("owner") == F.col("id")).alias("owned"), F.count_if(F.col("claims") > 1).alias("contested"))
+    return k.join(F.broadcast(cell), ["r", "c"]).groupBy("id").agg(F.count("*").alias("isolated"), F.count_if(F.col("owner") == F.col("id")).alias("owned"), F.count_if(F.col("claims") > 1).alias("contested"))
 
 
 @query(with_sql("cell_a cell_b", """, s AS (SELECT a.v < 20 AS a, b.v < 20 AS b FROM cell_a a FULL JOIN cell_b b USING (r, c))
@@ -201,7 +201,7 @@ def a25_content_digest(spark, sf):
 
 @query(with_sql("claim cell_a", """SELECT id, round(avg(v), 6) AS ground, round(min(top-v), 6) AS low, round(max(top-v), 6) AS high FROM claim JOIN cell_a USING (r, c) GROUP BY id"""))
 def a26_roof_summary(spark, sf):
-    j = B.claims(B.bld(spark, sf)).join(B.cell_a(spark, sf), ["r", "c"])
+    j = B.claims(B.bld(spark, sf)).join(F.broadcast(B.cell_a(spark, sf)), ["r", "c"])  # at most N x N cells; claims grow with the buildings
     return j.groupBy("id").agg(C.r6(F.avg("v")).alias("ground"), C.r6(F.min(F.col("top") - F.col("v"))).alias("low"), C.r6(F.max(F.col("top") - F.col("v"))).alias("high"))
 
 
@@ -209,7 +209,7 @@ def a26_roof_summary(spark, sf):
 def a27_area_conservation(spark, sf):
     b = B.bld(spark, sf)
     n = B.claims(b).groupBy("id").agg(F.count("*").alias("cells"))
-    return b.join(n, "id").selectExpr("id", "cells", "w*h AS area", "cells = w*h AS conserved")
+    return b.join(n.hint("merge"), "id").selectExpr("id", "cells", "w*h AS area", "cells = w*h AS conserved")
 
 
 @query(with_sql("claim cell_a", "SELECT id, count(*) AS samples, round(avg(CASE WHEN v IS NULL THEN 1 ELSE 0 END), 6) AS nodata, round(avg(CASE WHEN v < 5 THEN 1 ELSE 0 END), 6) AS low FROM claim LEFT JOIN cell_a USING (r, c) GROUP BY id"))
@@ -238,14 +238,14 @@ def a31_boundary_excursion(spark, sf):
 def a32_height_invariant(spark, sf):
     b = B.bld(spark, sf).select("id", "top")
     g = _owner(spark, sf).join(B.cell_a(spark, sf), ["r", "c"]).groupBy("id").agg(F.avg("v").alias("ground"))
-    j = b.join(g, "id", "left")
+    j = b.join(F.broadcast(g), "id", "left")  # owners: at most one a cell
     return j.agg(F.count("ground").alias("n"), (F.max(F.abs(F.expr("ground + (top - ground) - top"))) < 1e-9).alias("invariant"), F.count_if(F.col("ground").isNull()).alias("without_ground"))
 
 
 @query(with_sql("claim cell_a", _OWN + """, g AS (SELECT o.id, avg(v) ground FROM own o JOIN cell_a USING (r, c) GROUP BY o.id) SELECT id, round(top - ground, 6) AS height, (top - ground > 0) AS accepted FROM bld JOIN g USING (id)"""))
 def p25_height_from_ground(spark, sf):
     g = _owner(spark, sf).join(B.cell_a(spark, sf), ["r", "c"]).groupBy("id").agg(F.avg("v").alias("ground"))
-    return B.bld(spark, sf).join(g, "id").select("id", C.r6(F.col("top") - F.col("ground")).alias("height"), (F.col("top") - F.col("ground") > 0).alias("accepted"))
+    return B.bld(spark, sf).join(F.broadcast(g), "id").select("id", C.r6(F.col("top") - F.col("ground")).alias("height"), (F.col("top") - F.col("ground") > 0).alias("accepted"))
 
 
 @query(with_sql("claim cell_a", "SELECT k.id, k.r, k.c, round(top - v, 6) AS relative FROM claim k LEFT JOIN cell_a USING (r, c)"))

@@ -38,7 +38,7 @@ def u3_claims_of_the_user(spark, sf):
     b = B.bld(spark, sf)
 
     def narrow(heights):
-        return B.claims(b.withColumn("w", F.greatest(F.col("w") - 1, F.lit(1)))).join(heights.select("id"), "id", "left_semi")
+        return B.claims(b.withColumn("w", F.greatest(F.col("w") - 1, F.lit(1)))).join(heights.select("id").hint("merge"), "id", "left_semi")
 
     owners, _, _ = V.settle_owners(B.claims(b), B.cell_a(spark, sf), passes=1, rasterise=narrow)
     return owners.select("r", "c", "id")
