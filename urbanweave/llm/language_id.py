@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanweave.llm.arrays import Words, slices, words
+from urbanweave.llm.arrays import Words, giving_back, slices, words
 from urbanweave.llm.spark import held_out
 
 #: Pieces of so many bytes are their own keys; words of more bytes than the second are read one by one.
@@ -273,6 +273,7 @@ def fit(vocabulary: Vocabulary, counts: dict[bytes, int], rounds: int = 4, smoot
     return probability
 
 
+@giving_back
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -358,6 +359,7 @@ class Judge:
         return np.where(letter, names, "und").tolist(), np.where(letter, score, 0.0)
 
 
+@giving_back
 def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     judge = Judge(shared.value)
     for batch in batches:
@@ -366,6 +368,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[p
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
 
+@giving_back
 def _accept(batches: Iterator[pa.RecordBatch], shared: Broadcast, text: str, least: float) -> Iterator[pa.RecordBatch]:
     judge = Judge(shared.value)
     for batch in batches:

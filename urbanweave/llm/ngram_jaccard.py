@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanweave.llm.arrays import mix, signed, slices, words
+from urbanweave.llm.arrays import giving_back, mix, signed, slices, words
 from urbanweave.llm.spark import BROADCAST_ROWS, checkpoint, components, fitted, look_up
 
 _U = np.uint64
@@ -118,6 +118,7 @@ def _sketches(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [packed[a >> 3 : b >> 3] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
 
 
+@giving_back
 def _digests(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -181,6 +182,7 @@ def _keys(value: np.ndarray, sizes: np.ndarray, scheme: np.ndarray, segments: np
     return np.concatenate(keys), np.concatenate(owner)
 
 
+@giving_back
 def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """Keys of all sets, packed: (part, keys, nodes), a row for every range of keys in a slice.
 
@@ -244,6 +246,7 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge, [*edge[1:], len(x)], strict=True))
 
 
+@giving_back
 def _meet(table: pa.Table) -> pa.Table:
     """Rows (key, node) of all keys of one part that two different sets share."""
     part = table.column("part")[0].as_py()
@@ -325,6 +328,7 @@ def _tie_buckets(num: int, den: int, split: bool):
     other way round. With split buckets, leaders of two parts are tied if sets near them may link.
     """
 
+    @giving_back
     def run(table: pa.Table) -> pa.Table:
         bucket, salt, node, n = (np.asarray(table.column(c), dtype=np.int64) for c in ("bucket", "salt", "node", "n"))
         order = np.lexsort((node, salt, bucket))
@@ -352,6 +356,7 @@ def _tie_buckets(num: int, den: int, split: bool):
     return run
 
 
+@giving_back
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -360,6 +365,7 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([value[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["node", "tokens"])
 
 
+@giving_back
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens that a set has beyond its family's first set as they are, and those that it lacks as their complements."""
     for batch in batches:
@@ -399,6 +405,7 @@ def _links(sets: list[np.ndarray], n: np.ndarray, lacks: np.ndarray, num: int, d
 def _verify(num: int, den: int):
     """Exact check of all pairs of pairs of blocks: star edges of what links, and every set's number of links."""
 
+    @giving_back
     def run(table: pa.Table) -> pa.Table:
         component, i, j, blk, node, n, lacks = (np.asarray(table.column(c), dtype=np.int64) for c in ("component", "i", "j", "blk", "node", "n", "lacks"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("apart").to_pylist()]

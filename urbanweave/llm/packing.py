@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbanweave.llm.arrays import slices
+from urbanweave.llm.arrays import giving_back, slices
 from urbanweave.llm.spark import checkpoint
 
 #: Split of a text before byte pairs are merged, as the vocabulary's file prescribes. Fixed value.
@@ -62,6 +62,7 @@ def _tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
+@giving_back
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     tokens = _tokens(path)
     tail = np.array([end], dtype="<u4")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbanweave.llm.arrays import Words, signed, slices, words
+from urbanweave.llm.arrays import Words, giving_back, signed, slices, words
 from urbanweave.llm.spark import checked_broadcast, checkpoint
 
 #: Perfect difference sets (period: residues). Fixed values.
@@ -44,6 +44,7 @@ def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at[keep], value[keep] >> _U(16)
 
 
+@giving_back
 def _emit_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_null(batch.column(2))))
@@ -76,6 +77,7 @@ def _row_marks(w: Words) -> np.ndarray:
     return np.array([zlib.crc32(raw[a:b]) >> 1 for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True)], dtype=np.int64)
 
 
+@giving_back
 def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """All windows that hold one of the document's shared anchors: (hash, doc_id, first word, spread).
 
@@ -118,6 +120,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(signed(full)), pa.array(doc), pa.array(place), pa.array(spread.astype(np.int32))], ["h", "doc_id", "at", "spread"])
 
 
+@giving_back
 def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
