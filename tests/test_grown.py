@@ -64,3 +64,20 @@ def scans(df):
 def test_triangles_of_both_meshes_are_made_in_one_pass(spark):
     df = catalog.QUERIES["g23_triangle_delta"](spark, SF)
     assert scans(df) == 1 and {tuple(r)[1:] for r in df.collect()} == {(10, 10)}
+
+
+def test_city_files_are_parsed_once_and_positions_split_once(spark, tmp_path):
+    from urbanweave.plans.sink_queries import _city
+    from urbanweave.sources import bindings as B
+    from urbanweave.sources import citygml
+
+    p = spark.range(B.ROWS + 1).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "900.0D AS p_retailprice").coalesce(1)
+    path = _city(spark, table(spark, tmp_path, "part", p))
+    found = citygml.members(spark, path)
+    assert scans(found) == 1 and scans(citygml.faces(spark, path)) == 1
+    assert scans(citygml.references(found)) == 2 and scans(citygml.heights(spark, path)) == 2
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 3 * (B.ROWS + 1) + 3 * spark.range(0, B.ROWS + 1, 3).count()
+    odd = spark.createDataFrame([("1 2 3 4",), (" 1 2 x ",), ("",), (None,)], "text string")
+    ring = odd.select(citygml.positions(F.col("text")).alias("ring"))
+    assert [r.ring and [tuple(p) for p in r.ring] for r in ring.collect()] == [[(1, 2, 3), (4, None, None)], [(1, 2, None)], [(None, None, None)], None]
+    assert ring._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

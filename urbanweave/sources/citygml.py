@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from urbanweave.functions.columns import let
+
 #: The kinds of bounding surfaces.
 KINDS = ("Roof", "Wall", "Ground", "OuterCeiling", "OuterFloor", "Closure")
 
@@ -28,33 +30,37 @@ def buildings(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def positions(text):
     """A posList as an array of (lat, lon, h) structs; an incomplete triple becomes nulls and is refused by the ring check."""
-    n = F.split(F.trim(text), r"\s+")
-    at = lambda k: F.get(n, k).try_cast("double")
-    count = F.ceil(F.size(n) / 3).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(at(i * 3).alias("lat"), at(i * 3 + 1).alias("lon"), at(i * 3 + 2).alias("h")))
-
+    def points(n: Column) -> Column:
+        at = lambda k: F.get(n, k).try_cast("double")
+        count = F.ceil(F.size(n) / 3).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(at(i * 3).alias("lat"), at(i * 3 + 1).alias("lon"), at(i * 3 + 2).alias("h")))
 
-def _members(df: DataFrame, members: Column, lod: str, place: str, semantic: Column, surface: Column) -> DataFrame:
-    p = df.select(F.col("_id").alias("source_id"), F.lit(lod).alias("lod"), F.lit(place).alias("place"), semantic.alias("semantic"), surface.alias("surface_id"), F.posexplode(members).alias("face_no", "m"))
-    polygon = F.col("m.Polygon")
-    ring = polygon["exterior"]["LinearRing"]["posList"]
-    holes = F.coalesce(F.transform(polygon["interior"], lambda x: positions(x["LinearRing"]["posList"])), F.array())
-    return p.select("source_id", "lod", "place", "semantic", "surface_id", "face_no", polygon["_id"].alias("polygon_id"), F.col("m._href").alias("href"), positions(ring).alias("ring"), holes.alias("holes"))
+    return let(F.split(F.trim(text), r"\s+"), points)
 
 
 def members(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every surface member of LoD1 and LoD2: source_id, lod, place, semantic, surface_id, face_no, polygon_id, href, ring, holes.
 
-    A member is a polygon of its own (ring is not null) or a reference to one (href, as written).
+    A member is a polygon of its own (ring is not null) or a reference to one (href, as written). What stands in the
+    places of a building becomes one array first, so a file is read and parsed once.
     """
-    b, none = buildings(spark, path), F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+
+    def at(lod: str, place: str, found: Column, semantic: Column = none, surface: Column = none) -> Column:
+        return F.struct(F.lit(lod).alias("lod"), F.lit(place).alias("place"), semantic.alias("semantic"), surface.alias("surface_id"), found.alias("found"))
+
     shell = lambda c: F.col(c)["Solid"]["exterior"]["CompositeSurface"]["surfaceMember"]
-    out = _members(b, shell("lod1Solid"), "lod1", SHELL, none, none)
-    out = out.unionByName(_members(b, shell("lod2Solid"), "lod2", SHELL, none, none))
-    out = out.unionByName(_members(b, F.col("lod2MultiSurface")["MultiSurface"]["surfaceMember"], "lod2", OWN, none, none))
+    surfaces = lambda c: c["MultiSurface"]["surfaceMember"]
+    own = F.array(at("lod1", SHELL, shell("lod1Solid")), at("lod2", SHELL, shell("lod2Solid")), at("lod2", OWN, surfaces(F.col("lod2MultiSurface"))))
     # A bounding element holds one surface of one kind.
-    bound = b.select("_id", F.explode("boundedBy").alias("s")).select("_id", F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("s")[f"{k}Surface"].alias("of")) for k in KINDS]), lambda x: x["of"].isNotNull())).alias("s"))
-    return out.unionByName(_members(bound, F.col("s.of.lod2MultiSurface.MultiSurface.surfaceMember"), "lod2", BOUNDING, F.col("s.kind"), F.col("s.of._id")))
+    bound = lambda s: F.array(*[at("lod2", BOUNDING, surfaces(s[f"{k}Surface"]["lod2MultiSurface"]), F.lit(k), s[f"{k}Surface"]["_id"]) for k in KINDS])
+    places = F.flatten(F.array_compact(F.array(own, F.flatten(F.transform("boundedBy", bound)))))
+    p = buildings(spark, path).select(F.col("_id").alias("source_id"), F.explode(F.filter(places, lambda x: x["found"].isNotNull())).alias("at"))
+    p = p.select("source_id", "at.lod", "at.place", "at.semantic", "at.surface_id", F.posexplode("at.found").alias("face_no", "m"))
+    polygon = F.col("m.Polygon")
+    ring = polygon["exterior"]["LinearRing"]["posList"]
+    holes = F.coalesce(F.transform(polygon["interior"], lambda x: positions(x["LinearRing"]["posList"])), F.array())
+    return p.select("source_id", "lod", "place", "semantic", "surface_id", "face_no", polygon["_id"].alias("polygon_id"), F.col("m._href").alias("href"), positions(ring).alias("ring"), holes.alias("holes"))
 
 
 def faces(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -71,10 +77,10 @@ def references(found: DataFrame) -> DataFrame:
     (the same shell names it twice).
     """
     asked = found.where("href is not null").select("source_id", "lod", "face_no", "href", F.when(F.col("href").rlike("^#."), F.expr("substring(href, 2)")).alias("polygon_id"))
-    again = asked.groupBy("source_id", "lod", "href").agg(F.count("*").alias("times"))
+    asked = asked.withColumn("times", F.count("*").over(Window.partitionBy("source_id", "lod", "href")))
     target = F.struct("source_id", "semantic", "surface_id", "ring", "holes")
     held = found.where("ring is not null and polygon_id is not null").groupBy("polygon_id").agg(F.count("*").alias("polygons"), F.first(target).alias("to"))
-    j = asked.join(again, ["source_id", "lod", "href"]).join(held, "polygon_id", "left")
+    j = asked.join(held, "polygon_id", "left")
     status = (
         F.when(F.col("polygon_id").isNull(), "EXTERNAL").when(F.col("polygons").isNull(), "MISSING").when(F.col("polygons") > 1, "DUPLICATE")
         .when(F.col("to.source_id") != F.col("source_id"), "OTHER_BUILDING").when(F.col("times") > 1, "REPEATED").otherwise("OK")
