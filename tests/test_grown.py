@@ -81,3 +81,9 @@ def test_city_files_are_parsed_once_and_positions_split_once(spark, tmp_path):
     ring = odd.select(citygml.positions(F.col("text")).alias("ring"))
     assert [r.ring and [tuple(p) for p in r.ring] for r in ring.collect()] == [[(1, 2, 3), (4, None, None)], [(1, 2, None)], [(None, None, None)], None]
     assert ring._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+@pytest.mark.parametrize("name", ["p29_selected_lod", "s4_solid_faces", "s4_solid_references"])
+def test_members_of_solids_are_parsed_once(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "FileScan xml" not in plan and "FileScan parquet" in plan

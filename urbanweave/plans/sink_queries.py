@@ -63,6 +63,13 @@ def _city(spark, sf, solids: bool = False) -> list[str]:
     return paths
 
 
+def _solid_members(spark, sf):
+    """The members in the files with solids, written once: each of the joins that stand on them would read and parse the files again."""
+    found, path = citygml.members(spark, _city(spark, sf, solids=True)), run_folder(spark, "members")
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 @query(with_sql("bld", "SELECT CAST(id AS VARCHAR) AS source_id, lod, CAST(3 AS BIGINT) AS faces, CAST(15 AS BIGINT) AS points, TRUE AS valid FROM bld, (VALUES ('lod1'), ('lod2')) t(lod) WHERE lod = 'lod1' OR id % 3 = 0"))
 def s4_citygml_buildings(spark, sf):
     f = citygml.faces(spark, _city(spark, sf))
@@ -76,20 +83,20 @@ _TWO = ", two AS (SELECT id, CASE WHEN id % 11 = 0 AND (SELECT count(*) FROM bld
 UNION ALL SELECT CAST(id AS VARCHAR), 2, 'Ground', coalesce(ground, 'OK') FROM two UNION ALL SELECT CAST(id AS VARCHAR), 0, 'Wall', 'OK' FROM two"""))
 def s4_solid_references(spark, sf):
     """Members of LoD2 solids, under any prefix, and what became of the surfaces they name."""
-    r = citygml.references(citygml.members(spark, _city(spark, sf, solids=True)))
+    r = citygml.references(_solid_members(spark, sf))
     kind = F.coalesce("semantic", F.when(F.col("face_no") == 1, "Roof").otherwise("Ground"))
     return r.select("source_id", "face_no", kind.alias("kind"), "status")
 
 
 @query(with_sql("bld", _TWO + """ SELECT CAST(id AS VARCHAR) AS source_id, semantic, face_no, id || '-' || semantic AS polygon_id FROM two, (VALUES ('Wall', 0), ('Roof', 1), ('Ground', 2)) t(semantic, face_no) WHERE NOT (semantic = 'Roof' AND roof IS NOT NULL) AND NOT (semantic = 'Ground' AND ground IS NOT NULL)"""))
 def s4_solid_faces(spark, sf):
-    return citygml.lod2_faces(citygml.members(spark, _city(spark, sf, solids=True))).select("source_id", "semantic", "face_no", "polygon_id")
+    return citygml.lod2_faces(_solid_members(spark, sf)).select("source_id", "semantic", "face_no", "polygon_id")
 
 
 @query(with_sql("bld", _TWO + """ SELECT CAST(b.id AS VARCHAR) AS source_id, CASE WHEN two.id IS NULL THEN 'lod1' WHEN two.roof IS NULL AND two.ground IS NULL THEN 'lod2' ELSE 'error' END AS choice FROM bld b LEFT JOIN two ON two.id = b.id"""))
 def p29_selected_lod(spark, sf):
     """LoD2 where a building has one that is whole, LoD1 where it has none; a broken one is an error."""
-    m = citygml.members(spark, _city(spark, sf, solids=True))
+    m = _solid_members(spark, sf)
     return citygml.selected_lod(m.where("ring is not null"), citygml.reference_errors(m))
 
 
