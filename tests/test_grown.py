@@ -87,3 +87,9 @@ def test_city_files_are_parsed_once_and_positions_split_once(spark, tmp_path):
 def test_members_of_solids_are_parsed_once(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "FileScan xml" not in plan and "FileScan parquet" in plan
+
+
+def test_what_keeps_a_solid_from_its_surfaces_carries_no_rings(spark):
+    plan = catalog.QUERIES["p29_selected_lod"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    firsts = [line for line in plan.splitlines() if "first(" in line]
+    assert firsts and not any("holes" in line for line in firsts)

@@ -68,17 +68,17 @@ def faces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return members(spark, path).where("ring is not null").select("source_id", "lod", "semantic", "face_no", "polygon_id", "ring", "holes")
 
 
-def references(found: DataFrame) -> DataFrame:
+def references(found: DataFrame, carried: tuple[str, ...] = ("semantic", "surface_id", "ring", "holes")) -> DataFrame:
     """Every reference of `members`, followed by a join on the id it names.
 
-    Returns source_id, lod, face_no, href, status, and of the polygon meant polygon_id, semantic,
+    Returns source_id, lod, face_no, href, status, and of the polygon meant polygon_id and what is `carried`: semantic,
     surface_id, ring, holes (null unless OK). status: OK; EXTERNAL (not of the form #id); MISSING (no polygon
     has the id); DUPLICATE (several have it); OTHER_BUILDING (it belongs to another); REPEATED
     (the same shell names it twice).
     """
     asked = found.where("href is not null").select("source_id", "lod", "face_no", "href", F.when(F.col("href").rlike("^#."), F.expr("substring(href, 2)")).alias("polygon_id"))
     asked = asked.withColumn("times", F.count("*").over(Window.partitionBy("source_id", "lod", "href")))
-    target = F.struct("source_id", "semantic", "surface_id", "ring", "holes")
+    target = F.struct("source_id", *carried)
     held = found.where("ring is not null and polygon_id is not null").groupBy("polygon_id").agg(F.count("*").alias("polygons"), F.first(target).alias("to"))
     j = asked.join(held, "polygon_id", "left")
     status = (
@@ -86,7 +86,7 @@ def references(found: DataFrame) -> DataFrame:
         .when(F.col("to.source_id") != F.col("source_id"), "OTHER_BUILDING").when(F.col("times") > 1, "REPEATED").otherwise("OK")
     )
     fine = lambda c: F.when(F.col("status") == "OK", c)
-    return j.withColumn("status", status).select("source_id", "lod", "face_no", "href", "status", fine(F.col("polygon_id")).alias("polygon_id"), *[fine(F.col(f"to.{c}")).alias(c) for c in ("semantic", "surface_id", "ring", "holes")])
+    return j.withColumn("status", status).select("source_id", "lod", "face_no", "href", "status", fine(F.col("polygon_id")).alias("polygon_id"), *[fine(F.col(f"to.{c}")).alias(c) for c in carried])
 
 
 def reference_errors(found: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def reference_errors(found: DataFrame) -> DataFrame:
     References that are not OK; polygons in the shell itself beside references (INLINE); and polygons of the building that its
     solid does not name (UNREFERENCED, href as it would be). LoD1 has no references: each is an error there (LOD1).
     """
-    r = references(found)
+    r = references(found, carried=())
     bad = r.where("status <> 'OK' or lod = 'lod1'").select("source_id", "lod", "href", F.when(F.col("lod") == "lod1", "LOD1").otherwise(F.col("status")).alias("status"))
     two = found.where("lod = 'lod2'")
     named = two.where(F.col("place") == SHELL).select("source_id").distinct()
