@@ -1,5 +1,8 @@
 """Queries on grown tables and odd ones: what a third review found."""
 
+import duckdb
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +96,24 @@ def test_what_keeps_a_solid_from_its_surfaces_carries_no_rings(spark):
     plan = catalog.QUERIES["p29_selected_lod"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     firsts = [line for line in plan.splitlines() if "first(" in line]
     assert firsts and not any("holes" in line for line in firsts)
+
+
+def test_pairs_of_tiles_leave_in_runs_that_files_keep_small(spark, tmp_path):
+    """All pairs, also of tiles that repeat or have no key; the tiles of a place go out in one run after the other."""
+    p = spark.range(20_000).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size")
+    table(spark, tmp_path, "part", p)
+    s = spark.range(3000).selectExpr("CASE WHEN id <> 7 THEN id END AS s_suppkey").unionByName(spark.createDataFrame([(3,), (3,)], "s_suppkey long"))
+    sf = table(spark, tmp_path, "supplier", s.coalesce(1))
+    df = catalog.QUERIES["j3_tile_index_join"](spark, sf)
+    df.write.parquet(f"{sf}/out")
+    con = duckdb.connect()
+    for t in ("part", "supplier"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet/*.parquet')")
+    digest = "SELECT count(*), sum(overlap), sum(hash(id, tile, overlap)::HUGEINT) FROM"
+    got = con.sql(f"{digest} read_parquet('{sf}/out/*.parquet')").fetchall()
+    assert got == con.sql(f"{digest} ({catalog.ORACLE_SQL['j3_tile_index_join']})").fetchall()
+    switches = 0
+    for f in (tmp_path / "out").glob("*.parquet"):
+        place = np.asarray(pq.read_table(f).column("tile")) % 112
+        switches += int((np.diff(place) != 0).sum())
+    assert switches <= 112, switches
