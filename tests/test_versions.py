@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urbanweave.functions import rules
-from urbanweave.operators import corridor, grid, scene, shapes
+from urbanweave.operators import corridor, geometry, grid, scene, shapes
 
 VERTEX = "id long, seq long, x double, y double, z double"
 
@@ -185,3 +185,39 @@ def test_height_models_of_one_roof(spark):
     roofs = spark.createDataFrame([(1, 0, 0, 3.0, 4.0), (1, 0, 1, 5.0, 6.0), (2, 0, 2, None, 2.0)], "id long, r long, c long, centre double, highest double")
     got = {(r["c"], r["model"]): r["high"] for r in scene.height_models(roofs).collect()}
     assert got == {(0, "representative"): 6.0, (1, "representative"): 6.0, (2, "representative"): 2.0, (0, "centre"): 3.0, (1, "centre"): 5.0, (0, "cell_max"): 4.0, (1, "cell_max"): 6.0, (2, "cell_max"): 2.0}
+
+
+def test_windings_of_lattices_are_the_solid_angles(spark):
+    """Meshes of several sizes, an open one, none, and lattices without points."""
+    from urbanweave.plans.geometry_queries import BOX
+
+    corner = lambda k, s: (s * (k & 1), s * (k >> 1 & 1), s * (k >> 2))
+    mesh = lambda s, n: [tuple(float(x) for k in t for x in corner(k, s)) for t in BOX[:n]]
+    names = [v + k for v in "abc" for k in "xyz"]
+    kind = "id long, xs array<double>, ys array<double>, zs array<double>, triangles array<struct<" + ", ".join(f"{n}: double" for n in names) + ">>"
+    rows = [(1, [-0.5, 0.5], [0.25], [0.5, 1.5, 3.0], mesh(1, 12)), (2, [1.5], [0.5, 1.0], [0.25], mesh(2, 12)), (3, [0.5], [0.5], [0.5], mesh(1, 5)), (4, [], [1.0], [1.0], mesh(1, 12)), (5, [1.0], [1.0], [1.0], []), (6, None, [1.0], [1.0], None)]
+    df = spark.createDataFrame(rows, kind)
+    got = {r.id: r.w for r in df.select("id", shapes.windings(*[F.col(c) for c in ("xs", "ys", "zs", "triangles")]).alias("w")).collect()}
+    points = df.selectExpr("id AS mesh", "explode(zs) AS z", "xs", "ys").selectExpr("mesh", "z", "xs", "explode(ys) AS y").selectExpr("mesh", "z", "y", "explode(xs) AS x")
+    points = points.withColumn("p", F.struct("z", "y", "x"))
+    for r in geometry.solid_angles(points, df.select(F.col("id").alias("mesh"), F.inline("triangles"))).collect():
+        xs, ys, zs = next(x[1:4] for x in rows if x[0] == r.mesh)
+        n = (zs.index(r.p.z) * len(ys) + ys.index(r.p.y)) * len(xs) + xs.index(r.p.x)
+        assert abs(got[r.mesh][n] - r.winding) < 1e-12
+    assert [round(x, 9) for x in got[1]] == [0, 1, 0, 0, 0, 0] and got[4] == got[6] == [] and got[5] == [0.0]
+
+
+def test_overlap_looks_at_every_cell_around_the_mesh(spark, tmp_path):
+    """Points of all cells from one below to one beyond the bounds of the mesh, with the counts of a box by hand."""
+    from urbanweave.plans import catalog
+
+    spark.createDataFrame([(5, 2, 1000.0), (6, 3, 909.0)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.id: r for r in catalog.QUERIES["g26_overlap_bounds"](spark, str(tmp_path)).collect()}
+    # 3 x 3 x 5.2 m: 5 x 5 x 8 cells; five levels of 2 x 3 cells are occupied, the last column is missed.
+    a = got[5]
+    assert a.tp + a.fp + a.fn + a.tn + a.ambiguous == 8 * 5 * 5 * 8
+    assert (a.tp, a.fp, a.fn, a.ambiguous) == (8 * 30, 0, 8 * 15, 0)
+    # 4 x 1 x 4.845 m: 6 x 3 x 7 cells; the fifth level is occupied, since its centres lie inside, and so do its points at 4.75.
+    b = got[6]
+    assert b.tp + b.fp + b.fn + b.tn + b.ambiguous == 8 * 6 * 3 * 7
+    assert (b.tp, b.fp, b.fn, b.ambiguous) == (8 * 15, 0, 8 * 5, 0)

@@ -75,23 +75,31 @@ def g29_ring_displacement(spark, sf):
     return j.select("id", C.r6(F.col("b") - F.col("a")).alias("area_delta"), F.round(F.try_divide(F.col("b") - F.col("a"), F.col("a")) * 100, 4).alias("percent"), C.r6(F.col("hausdorff")).alias("hausdorff"))
 
 
-_SAMPLES = """, cell AS (SELECT id, x0, y0, w, h, top/10 z1, c, r, k, (c < x0+w-1 AND c >= x0 AND r >= y0 AND r < y0+h AND k+0.5 < top/10) AS occupied FROM bld, LATERAL (SELECT unnest(range(x0-1, x0+w+1)) c), LATERAL (SELECT unnest(range(y0, y0+h)) r), (VALUES (0), (2)) t(k)),
-s AS (SELECT *, CASE WHEN abs(k+(m+0.5)/2-z1) < 1e-9 THEN -1 WHEN c+(i+0.5)/2 > x0 AND c+(i+0.5)/2 < x0+w AND k+(m+0.5)/2 < z1 THEN 1 ELSE 0 END AS label FROM cell, range(0, 2) a(i), range(0, 2) b(j), range(0, 2) d(m)),
+_SAMPLES = """, cell AS (SELECT id, x0, y0, w, h, top/10 z1, c, r, k, (c < x0+w-1 AND c >= x0 AND r >= y0 AND r < y0+h AND k >= 0 AND k+0.5 < top/10) AS occupied FROM bld, LATERAL (SELECT unnest(range(x0-1, x0+w+1)) c), LATERAL (SELECT unnest(range(y0-1, y0+h+1)) r), LATERAL (SELECT unnest(range(-1, CAST(ceil(top/10) AS BIGINT)+1)) k)),
+s AS (SELECT *, CASE WHEN abs(k+(m+0.5)/2-z1) < 1e-9 THEN -1 WHEN c+(i+0.5)/2 > x0 AND c+(i+0.5)/2 < x0+w AND r+(j+0.5)/2 > y0 AND r+(j+0.5)/2 < y0+h AND k+(m+0.5)/2 > 0 AND k+(m+0.5)/2 < z1 THEN 1 ELSE 0 END AS label FROM cell, range(0, 2) a(i), range(0, 2) b(j), range(0, 2) d(m)),
 n AS (SELECT id, count(*) FILTER (WHERE occupied AND label = 1) tp, count(*) FILTER (WHERE occupied AND label = 0) fp, count(*) FILTER (WHERE NOT occupied AND label = 1) fn, count(*) FILTER (WHERE NOT occupied AND label = 0) tn, count(*) FILTER (WHERE occupied AND label = -1) ao, count(*) FILTER (WHERE NOT occupied AND label = -1) ae, count(*) FILTER (WHERE occupied)/8 vox FROM s GROUP BY id)
 SELECT id, tp, fp, fn, tn, ao + ae AS ambiguous, round((tp/8.0)/nullif(vox + fn/8.0 + ae/8.0, 0), 6)::DOUBLE AS iou_low, round((tp+ao)/8.0/nullif(vox + fn/8.0, 0), 6)::DOUBLE AS iou_high, round((fn+ae)/8.0, 6)::DOUBLE AS missed_high FROM n"""
 
 
 @query(with_sql("bld", _SAMPLES))
 def g26_overlap_bounds(spark, sf):
-    """A voxel model one column short, against the closed mesh of every building, by sub-cell points and their solid angles."""
-    b = B.bld(spark, sf).withColumn("c", F.explode(F.expr("sequence(x0-1, x0+w)"))).withColumn("r", F.explode(F.expr("sequence(y0, y0+h-1)"))).withColumn("k", F.explode(F.array(F.lit(0), F.lit(2))))
-    cells = b.withColumn("occupied", F.expr("c < x0+w-1 AND c >= x0 AND r >= y0 AND r < y0+h AND k+0.5D < top/10"))
-    points = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(7)))).selectExpr("id AS mesh", "struct(c, r, k, o, occupied, top/10 AS z1) AS p", "c+(o%2+0.5D)/2 AS x", "r+(o div 2%2+0.5D)/2 AS y", "k+(o div 4+0.5D)/2 AS z")
-    tri = _mesh(spark, sf).select(F.col("id").alias("mesh"), *[v + k for v in "abc" for k in "xyz"])
-    wound = G.solid_angles(points, tri)
-    label = F.when(F.abs(F.expr("p.k+(p.o div 4+0.5D)/2") - F.col("p.z1")) < 1e-9, -1).when(F.abs(F.abs("winding") - 1) < 1e-6, 1).when(F.abs("winding") < 1e-6, 0).otherwise(-1)
-    samples = wound.select(F.col("mesh").alias("id"), "p.c", "p.r", "p.k", "p.occupied", label.alias("label"))
-    o = X.sampled_overlap(samples, ["id"], ["c", "r", "k"], 1.0, 2)
+    """A voxel model one column short, against the closed mesh of every building, by sub-cell points of all cells from one below to one beyond its bounds, and their solid angles."""
+    tri = _mesh(spark, sf).groupBy("id").agg(F.collect_list(F.struct(*[v + k for v in "abc" for k in "xyz"])).alias("triangles"))
+    levels = B.bld(spark, sf).join(tri.hint("merge"), "id").withColumn("k", F.explode(F.expr("sequence(-1L, CAST(ceil(top/10) AS BIGINT))")))
+    # A level is a lattice of points, two a cell and axis; `n` numbers its cells by row.
+    half = lambda n, low: F.expr(f"transform(sequence(0L, 2*({n}) - 1), i -> {low} + (i + 0.5D)/2)")
+    seen = levels.withColumn("seen", X.windings(half("w+2", "x0-1"), half("h+2", "y0-1"), half("1L", "k"), F.col("triangles")))
+    seen = seen.withColumn("n", F.explode(F.expr("sequence(0L, (w+2)*(h+2) - 1)"))).withColumn("c", F.expr("x0-1 + n % (w+2)")).withColumn("r", F.expr("y0-1 + n div (w+2)"))
+
+    seen = seen.withColumn("line", F.expr("INT(2*(w+2))")).withColumn("plane", F.expr("INT(2*(h+2))*line")).withColumn("at", F.expr("INT(r-y0+1)*2*line + INT(c-x0+1)*2"))
+    eight = F.array(*[F.get("seen", F.expr(f"at + {i // 4}*plane + {i // 2 % 2}*line + {i % 2}")) for i in range(8)])
+    occupied = F.expr("c < x0+w-1 AND c >= x0 AND r >= y0 AND r < y0+h AND k >= 0 AND k+0.5D < top/10")
+    level = [F.expr(f"abs(k+({i}+0.5D)/2 - top/10) < 1e-9").alias(n) for i, n in enumerate(("low", "high"))]
+    eights = seen.select("id", occupied.alias("occupied"), eight.alias("eight"), *level)
+    # One number a cell, a byte for each label: as code of its own for every point, the step would be too long for the JVM to compile.
+    code = F.expr("aggregate(transform(eight, (x, i) -> CASE WHEN IF(i < 4, low, high) THEN 65536 WHEN abs(abs(x) - 1) < 1e-6D THEN 1 WHEN abs(x) < 1e-6D THEN 256 ELSE 65536 END), 0, (a, b) -> a + b)")
+    cells = eights.select("id", "occupied", code.alias("code")).selectExpr("id", "occupied", "code % 256L AS inside", "code div 256L % 256 AS outside", "code div 65536L AS ambiguous")
+    o = X.overlap_of_cells(cells, ["id"], 1.0, 2)
     return o.select("id", "tp", "fp", "fn", "tn", (F.col("ambiguous_occupied") + F.col("ambiguous_empty")).alias("ambiguous"), *[C.r6(F.col(c)).alias(c) for c in ("iou_low", "iou_high", "missed_high")])
 
 
