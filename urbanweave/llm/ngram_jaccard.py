@@ -23,6 +23,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,6 +193,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den:
     that a frequent key is 8 bytes a slice and not a set.
     """
     seen: set[int] = set()  # a set that repeats within this task is emitted once
+    # Slices of one content in many tasks, as copies of a table have them, go to different parts.
+    task = TaskContext.get()
+    task_salt = mix(np.array([task.partitionId() if task else 0], dtype=np.uint64))
     for batch in batches:
         rows: list[list] = [[], [], []]
         for part in slices(batch, limit=SIGNED_BYTES):
@@ -226,7 +230,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den:
             count = np.diff(np.append(np.flatnonzero(head), len(key)))
             shared = np.repeat(count > 1, count)
             if shared.any():
-                for column, x in zip(rows, (-1 - int(node[0] % ranges), key[shared].tobytes(), node[owner[shared]].tobytes()), strict=True):
+                for column, x in zip(rows, (-1 - int(mix(node[:1].view(np.uint64) + task_salt)[0] % _U(ranges)), key[shared].tobytes(), node[owner[shared]].tobytes()), strict=True):
                     column.append(x)
             key, owner = key[head], owner[head]
             part_of = key >> _U(48)
@@ -466,6 +470,15 @@ def families(sketches: DataFrame, members: DataFrame, n_members: int, num: int,
     return edges.distinct()
 
 
+def key_ranges(nodes: DataFrame) -> int:
+    """Ranges of keys for sets (n, copies), so that a range has about RANGE_TOKENS keys of all rows.
+
+    Copies count: each task that meets a set signs it once more, so that as many keys may come as the rows have tokens.
+    """
+    tokens = nodes.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0
+    return min(1 << 16, 8 + tokens // RANGE_TOKENS)
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", with_mark: bool = False) -> DataFrame:
     """Connected components of the links `den * |A and B| >= num * |A or B|` between documents.
 
@@ -484,8 +497,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     n_rows = nodes.agg(F.sum("copies")).first()[0] or 0
 
     # Keys that two sets share: packed by range of keys, so that the shuffle carries 8 bytes a key.
-    tokens = nodes.agg(F.sum("n")).first()[0] or 0
-    ranges = min(1 << 16, 8 + tokens // RANGE_TOKENS)
+    ranges = key_ranges(nodes)
     keys = docs.select("text").mapInArrow(partial(_signatures, shingle=shingle, num=num, den=den, ranges=ranges), "part int, keys binary, nodes binary")
     shared = checkpoint(keys.groupBy("part").applyInArrow(_meet, "key long, node long").distinct())
     # Buckets of the same sets are one bucket.
